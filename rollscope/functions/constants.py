@@ -68,3 +68,47 @@ SYSTEM_PROMPT = (
     "process and answer are enclosed within <think> </think> and <answer> </answer> tags, respectively, i.e., "
     "<think> reasoning process here </think><answer> answer here </answer>"
 )
+
+# --- fixed values: dataset and second-stage prompt templates ---------------
+# {answer} = one-hot probability string
+GENERATOR_QUESTION = (
+    "Analyze the image to explain how the visual elements support the object classification probability "
+    "distribution {answer}, concisely in under 100 words. Describe key objects, shapes, textures, and contextual "
+    "details that contribute to the inferred object category, highlighting their connection to the classification "
+    "probabilities. Avoid directly stating the object names or probabilities; instead, focus on the visual cues "
+    "and their implications."
+)
+# P8a emotion: {categories} {description} {slots}
+SECOND_STAGE_EMOTION = (
+    "Analyze the provided image description and generate a probability distribution across emotion categories. "
+    "Categories: {categories}.Description: {description}.Output the final answer in the following format: "
+    "{slots},where prob_0, prob_1, ..., prob_5 are probabilities summing to 1."
+)
+# P8b multi-box: {target} {description}
+SECOND_STAGE_MULTIBOX = (
+    "The image is of resolution 1000×1000. Based on the following reasoning, which describes the region "
+    "corresponding to the target category \"{target}\": {description}, please extract and output the exact "
+    "bounding box coordinates of that region.Only return the result in the following format:"
+    "[[x1,y1,x2,y2],...,[x1,y1,x2,y2]]."
+)
+# P8c referred box: {target} {description}
+SECOND_STAGE_ONEBOX = (
+    "The image is of resolution 1000×1000. Based on the following reasoning, which describes the region "
+    "corresponding to the target category \"{target}\": {description}, please extract and output the exact "
+    "bounding box coordinates of that region.Only return the result in the following format:[x1, y1, x2, y2]."
+)
+# P8d category name: {description}
+SECOND_STAGE_CATEGORY = (
+    "Based on the description: '{description}', provide only the category name of the object in the image. "
+    "Do not include any additional text."
+)
+# P9 region prompt: {box} {contains} {object}
+REGION_PROMPT = (
+    "Describe why the region is identified as the target object. The region's coordinates are {box}, and it "
+    "contains {contains} Analyze its shape, color, texture, and contextual clues. Using these visual and contextual "
+    "features, explain why this region is recognized as {object}. Provide a clear Chain-of-Thought (CoT) to "
+    "justify the conclusion."
+)
+LOSS_BETA = 0.04              # KL weight in the token loss (trainer default)
+FEWSHOT_K = 4                 # rows per class in the few-shot subset
+HEAD_N = 16                   # rows kept by the head-N subset

@@ -181,3 +181,33 @@ def f2_box_rollouts_sql() -> str:
                  coalesce(list({box('p')} ORDER BY box_no) FILTER (WHERE has_pred), []) AS pred
           FROM ({f2_box_pairs_sql()}) GROUP BY image_id)
     """
+
+
+# ------------------------------------------------------------ F5 annotation items
+def f5_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """catalog rows from ``part`` shaped like the training table."""
+    k = F.col("p_partkey")
+    cls = F.element_at(F.array(*[F.lit(c) for c in K.GENERATOR_CLASSES]), (k % 20 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(
+        k.alias("row_id"), (k % 20).alias("class_idx"), cls.alias("target"),
+        F.concat(F.lit("train/c"), (k % 20).cast("string"), F.lit("/"), k.cast("string"), F.lit(".jpg")).alias("image_path"),
+        F.when(k % 17 == 0, F.lit(None)).when(k % 29 == 0, F.lit(0)).otherwise(200 + 10 * F.col("p_size"))
+        .cast("int").alias("width"),
+        (300 + k % 700).cast("int").alias("height"),
+        F.when(k % 31 == 0, F.lit(4)).when(k % 5 == 0, F.lit(1)).otherwise(F.lit(3)).cast("int").alias("channels"),
+        F.when(k % 10 == 0, F.lit("test")).otherwise(F.lit("train")).alias("split"),
+        F.col("p_size"), F.col("p_retailprice"))
+
+
+def f5_items_sql() -> str:
+    classes = "[" + ", ".join("'" + c + "'" for c in K.GENERATOR_CLASSES) + "]"
+    return f"""
+    SELECT p_partkey AS row_id, p_partkey % 20 AS class_idx, {classes}[p_partkey % 20 + 1] AS target,
+           concat('train/c', CAST(p_partkey % 20 AS VARCHAR), '/', CAST(p_partkey AS VARCHAR), '.jpg') AS image_path,
+           CAST(CASE WHEN p_partkey % 17 = 0 THEN NULL WHEN p_partkey % 29 = 0 THEN 0 ELSE 200 + 10 * p_size END AS INTEGER)
+             AS width,
+           CAST(300 + p_partkey % 700 AS INTEGER) AS height,
+           CAST(CASE WHEN p_partkey % 31 = 0 THEN 4 WHEN p_partkey % 5 = 0 THEN 1 ELSE 3 END AS INTEGER) AS channels,
+           CASE WHEN p_partkey % 10 = 0 THEN 'test' ELSE 'train' END AS split, p_size, p_retailprice
+    FROM part
+    """
