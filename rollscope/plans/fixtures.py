@@ -211,3 +211,28 @@ def f5_items_sql() -> str:
            CASE WHEN p_partkey % 10 = 0 THEN 'test' ELSE 'train' END AS split, p_size, p_retailprice
     FROM part
     """
+
+
+# ------------------------------------------------------------------ F3 token logs
+def f3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one token per ``lineitem`` row; sequences are orders (1-7 tokens)."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("l_orderkey").orderBy(*F2_ORDER)
+    li = table(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(w))
+    o = F.col("l_orderkey")
+    return li.select(o.alias("seq_id"), F.col("rn").cast("int").alias("pos"),
+                     F.expr("l_orderkey div 8").alias("group_id"), (o % 8).alias("gen_idx"),
+                     F.expr("l_orderkey div 1024").alias("step"),
+                     (-(10 * F.col("l_discount") + 0.01)).alias("logp"),
+                     (-(10 * F.col("l_tax") + 0.02)).alias("ref_logp"),
+                     (F.col("l_returnflag") == "R").alias("is_eos"))
+
+
+def f3_tokens_sql() -> str:
+    return """
+    SELECT l_orderkey AS seq_id, CAST(rn AS INTEGER) AS pos, l_orderkey // 8 AS group_id, l_orderkey % 8 AS gen_idx,
+           l_orderkey // 1024 AS step, -(10 * l_discount + 0.01) AS logp, -(10 * l_tax + 0.02) AS ref_logp,
+           l_returnflag = 'R' AS is_eos
+    FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY """ + ", ".join(F2_ORDER) + """) AS rn
+          FROM lineitem)
+    """
