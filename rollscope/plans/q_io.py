@@ -1 +1,20 @@
-"""(filled in below)"""
+"""Sink record shapes over the scored rollouts (S5, S6).  Writes and reads
+of real files are exercised by the pytest round trips in ``tests/``."""
+from __future__ import annotations
+
+from ..functions import constants as K
+from ..sources import io as IO
+from .catalog import register
+from .q_class import scored_f1
+
+
+@register("s5_reward_log")
+def q_s5(spark, sf_dir):
+    """The JSON-lines records the reward log sink writes (maps kept)."""
+    return IO.reward_log_records(scored_f1(spark, sf_dir), K.EMOTION_CLASSES)
+
+
+@register("s6_qa_records")
+def q_s6(spark, sf_dir):
+    """QA dump records (metadata carries the write time, so no oracle)."""
+    return IO.qa_records(scored_f1(spark, sf_dir), "solution", "completion")
