@@ -12,8 +12,25 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread_by=None) -> DataFrame:
+    """Read a given table.  ``spread_by`` names the key the next wide
+    operator partitions on (see ``spread``)."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, spread_by) if spread_by else df
+
+
+def spread(df: DataFrame, keys) -> DataFrame:
+    """Scan-parallelism guard.  A scan yields one partition per file split;
+    the small test tables are single-row-group files, so their scan is a
+    single task.  When a scan has fewer partitions than the cluster has
+    cores, hash-partition it on ``keys`` -- the key of the next window /
+    aggregate / join, so that operator reuses this partitioning instead of
+    adding its own exchange.  Large inputs (many splits) pass unchanged."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    return df.repartition(n, *keys)
 
 
 def _s(c):
@@ -45,11 +62,13 @@ def f1_rollouts(spark: SparkSession, sf_dir: str, classes=K.EMOTION_CLASSES) ->
         F.lit("<answer>{"), dist(e, 3, e % 17 == 0),
         F.when(e % 23 == 0, F.lit(", joy:0.1")).otherwise(F.lit("")),
         F.lit("}</answer>")))
-    return table(spark, sf_dir, "events").select(
+    ids = table(spark, sf_dir, "events").select(e, g.alias("group_id"), F.expr("event_id div 128").alias("step"))
+    ids = spread(ids, ["step", "group_id"])      # the group window (G2) reuses this partitioning
+    return ids.select(
         e.alias("row_id"),
-        g.alias("group_id"),
+        F.col("group_id"),
         (e % 8).alias("gen_idx"),
-        F.expr("event_id div 128").alias("step"),
+        F.col("step"),
         F.concat(F.lit("img/"), _s(g), F.lit(".jpg")).alias("image_path"),
         F.concat(think, F.when(e % 5 == 0, F.lit("\n")).otherwise(F.lit("")), answer).alias("completion"),
         F.concat(F.lit("<answer>{"), dist(g, 2), F.lit("}</answer>")).alias("solution"),
@@ -91,7 +110,7 @@ def f2_box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered within the order (``(l_orderkey, l_linenumber)`` is not unique)."""
     from pyspark.sql import Window
     w = Window.partitionBy("l_orderkey").orderBy(*F2_ORDER)
-    li = table(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(w))
+    li = table(spark, sf_dir, "lineitem", spread_by="l_orderkey").withColumn("rn", F.row_number().over(w))
     o, rn = F.col("l_orderkey"), F.col("rn").cast("long")
     gx1 = (F.col("l_partkey") * 37) % 600
     gy1 = (F.col("l_suppkey") * 53) % 600
@@ -188,7 +207,7 @@ def f5_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """catalog rows from ``part`` shaped like the training table."""
     k = F.col("p_partkey")
     cls = F.element_at(F.array(*[F.lit(c) for c in K.GENERATOR_CLASSES]), (k % 20 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select(
+    return table(spark, sf_dir, "part", spread_by="p_partkey").select(
         k.alias("row_id"), (k % 20).alias("class_idx"), cls.alias("target"),
         F.concat(F.lit("train/c"), (k % 20).cast("string"), F.lit("/"), k.cast("string"), F.lit(".jpg")).alias("image_path"),
         F.when(k % 17 == 0, F.lit(None)).when(k % 29 == 0, F.lit(0)).otherwise(200 + 10 * F.col("p_size"))
@@ -218,7 +237,7 @@ def f3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one token per ``lineitem`` row; sequences are orders (1-7 tokens)."""
     from pyspark.sql import Window
     w = Window.partitionBy("l_orderkey").orderBy(*F2_ORDER)
-    li = table(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(w))
+    li = table(spark, sf_dir, "lineitem", spread_by="l_orderkey").withColumn("rn", F.row_number().over(w))
     o = F.col("l_orderkey")
     return li.select(o.alias("seq_id"), F.col("rn").cast("int").alias("pos"),
                      F.expr("l_orderkey div 8").alias("group_id"), (o % 8).alias("gen_idx"),

@@ -111,28 +111,28 @@ _SLOTS = P.slot_template(K.EMOTION_CLASSES_COT, quoted=False)
     K.SECOND_STAGE_EMOTION, categories=S.q(_CATS), description=_s_t5("text", K.EMOTION_CLASSES_COT),
     slots=S.q(_SLOTS)) + " AS problem FROM documents")
 def q_p8a(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", spread_by="doc_id")
     return d.select("doc_id", P.second_stage_problem("emotion", "text").alias("problem"))
 
 
 @register("p8b_multibox_prompt", "SELECT doc_id, " + s_fill(
     K.SECOND_STAGE_MULTIBOX, target="lang", description=_s_t3("text")) + " AS problem FROM documents")
 def q_p8b(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", spread_by="doc_id")
     return d.select("doc_id", P.second_stage_problem("multibox", "text", "lang").alias("problem"))
 
 
 @register("p8c_onebox_prompt", "SELECT doc_id, " + s_fill(
     K.SECOND_STAGE_ONEBOX, target="lang", description="text") + " AS problem FROM documents")
 def q_p8c(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", spread_by="doc_id")
     return d.select("doc_id", P.second_stage_problem("onebox", "text", "lang").alias("problem"))
 
 
 @register("p8d_category_prompt", "SELECT doc_id, " + s_fill(
     K.SECOND_STAGE_CATEGORY, description=_s_t3("text")) + " AS problem FROM documents")
 def q_p8d(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", spread_by="doc_id")
     return d.select("doc_id", P.second_stage_problem("category", "text").alias("problem"))
 
 

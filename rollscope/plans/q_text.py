@@ -23,12 +23,12 @@ NW = r"[^\pL\pN\pM_]"
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return table(spark, sf_dir, "documents", spread_by="doc_id").select("doc_id", "text")
 
 
 def augmented(spark, sf_dir):
     """F4 text with numbers and a target list appended."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", spread_by="doc_id")
     return d.select("doc_id", F.concat(
         "text", F.lit(" Identified "), (F.col("n_chars") % 9).cast("string"),
         F.lit(" potential targets. Target 1: item "), F.col("doc_id").cast("string"),
