@@ -153,11 +153,11 @@ def remove_sentences_with_words(c, words: Sequence[str], enders: str = K.SENTENC
     ws = [w for w in words if w]
     if ws:
         def keep(s):
-            cond = None
+            none = None
             for w in ws:
                 x = ~F.contains(s, F.lit(w))
-                cond = x if cond is None else (cond & x)
-            return cond
+                none = x if none is None else (none & x)
+            return ~s.rlike(f"[{e}]\\z") | none       # the trailing piece has no ender: always kept
         pieces = F.filter(pieces, keep)
     s = F.array_join(pieces, "")
     s = F.regexp_replace(s, jre(r"\s+"), " ")

@@ -97,7 +97,8 @@ def _s_remove_sentences(x):
     e = K.SENTENCE_ENDERS.replace(".", r"\.").replace("?", r"\?").replace("!", r"\!")
     t = f"replace({x}, chr(10), ' ')"
     pieces = f"regexp_extract_all({t}, {S.q(f'[^{e}]*[{e}]|[^{e}]+\\z')}, 0)"
-    keep = " AND ".join(f"NOT contains(s, {S.q(w)})" for w in SENTENCE_WORDS)
+    keep = (f"NOT regexp_matches(s, {S.q(f'[{e}]' + chr(92) + 'z')}) OR ("
+            + " AND ".join(f"NOT contains(s, {S.q(w)})" for w in SENTENCE_WORDS) + ")")
     joined = f"array_to_string(list_filter({pieces}, lambda s: {keep}), '')"
     return s_strip_u(s_rr(joined, rf"{WS}+", "' '"))
 
