@@ -29,6 +29,7 @@ def live_metrics(stream: DataFrame, ts: str = "ts", key: str = "event_type", val
     """ST2: per (window, key) count / mean / max of ``value``; rows later
     than the watermark are dropped, closed windows are emitted once."""
     w = F.window(ts, window, slide) if slide else F.window(ts, window)
+    stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))   # event time must be TIMESTAMP (not NTZ)
     return (stream.withWatermark(ts, watermark).groupBy(w.alias("window"), key)
             .agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_value"), F.max(value).alias("max_value")))
 
@@ -41,6 +42,7 @@ def streaming_advantages(stream: DataFrame, ts: str = "ts", reward: str = "rewar
     rollout.  Row windows are not allowed on streams, hence the two steps.
     Groups still short of G when the watermark passes are emitted and
     flagged ``incomplete``."""
+    stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
     grouped = (stream.withWatermark(ts, watermark)
                .groupBy(F.window(ts, window).alias("window"), *keys)
                .agg(F.collect_list(F.struct("gen_idx", F.col(reward).alias("r"))).alias("rollouts")))
