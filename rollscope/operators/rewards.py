@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import constants as K
 from ..functions import dist as D
@@ -93,3 +95,18 @@ def apply_rewards(df: DataFrame, fns: dict[str, RewardFn]) -> DataFrame:
 
 def class_registry(classes: Sequence[str] = K.EMOTION_CLASSES) -> dict[str, RewardFn]:
     return {"accuracy": accuracy_reward(classes), "format": format_reward(classes)}
+
+
+def model_reward(name: str, scorer) -> RewardFn:
+    """G11 hook: a user-supplied scorer ``(prompts: pd.Series, completions:
+    pd.Series) -> pd.Series[float]`` (e.g. a text classifier) runs as an
+    Arrow-batched pandas UDF over prompt + completion and becomes reward
+    column ``r_<name>``.  No model is shipped; the scorer is the caller's."""
+    @F.pandas_udf(DoubleType())
+    def _score(prompts: pd.Series, completions: pd.Series) -> pd.Series:
+        return pd.Series(scorer(prompts, completions), dtype="float64")
+
+    def fn(df: DataFrame) -> DataFrame:
+        prompt = F.col("problem") if "problem" in df.columns else F.col("solution")
+        return df.withColumn(f"r_{name}", _score(prompt, F.col("completion")))
+    return fn
