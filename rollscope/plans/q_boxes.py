@@ -288,8 +288,8 @@ def q_x12(spark, sf_dir):
 
 
 @register("x13_format", IMG + "SELECT image_id, CASE WHEN regexp_full_match(completion, "
-          f"{S.q('(?s)' + K.FORMAT_TAGS)}) THEN 1.0 ELSE 0.0 END AS tags_format, CASE WHEN regexp_full_match("
-          f"completion, {S.q('(?s)' + K.FORMAT_ONE_BOX)}) THEN 1.0 ELSE 0.0 END AS one_box_format FROM img")
+          f"{S.q('(?s)' + K.FORMAT_TAGS)}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS tags_format, CASE WHEN regexp_full_match("
+          f"completion, {S.q('(?s)' + K.FORMAT_ONE_BOX)}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS one_box_format FROM img")
 def q_x13(spark, sf_dir):
     d = f2_box_rollouts(spark, sf_dir)
     return d.select("image_id", B.tags_format("completion").alias("tags_format"),

@@ -238,7 +238,7 @@ def q_p16s(spark, sf_dir):
           "min(doc_id) OVER (PARTITION BY lang) AS first_doc FROM documents) WHERE fewshot_rank <= 4")
 def q_l1(spark, sf_dir):
     d = P.few_shot(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id")
-    return d.select("doc_id", "lang", F.col("fewshot_rank"), F.col("_first").alias("first_doc"))
+    return d.select("doc_id", "lang", F.col("fewshot_rank").cast("long"), F.col("_first").alias("first_doc"))
 
 
 @register("l2_head", F5 + "SELECT row_id, target FROM items ORDER BY row_id LIMIT 16")
