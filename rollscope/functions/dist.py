@@ -29,6 +29,21 @@ def last_value(keys, vals, cls: str) -> Column:
     return F.try_element_at(_c(vals), F.nullif(-pos, F.lit(0))).try_cast("double")
 
 
+def reversed_lookup(keys, vals) -> tuple[Column, Column]:
+    """Arrays for repeated last-value lookups: keys reversed, and the values
+    reversed, cast to double once and shifted by a NULL sentinel so that
+    ``element_at(values, array_position(keys, k) + 1)`` is NULL when ``k``
+    is absent (position 0).  No lambda, no per-class re-parsing."""
+    rk = F.reverse(_c(keys))
+    rv = F.concat(F.array(F.lit(None).cast("double")), F.reverse(_c(vals)).try_cast("array<double>"))
+    return rk, rv
+
+
+def lookup_last(rkeys, rvals, cls: str) -> Column:
+    """Last value of ``cls`` from the ``reversed_lookup`` arrays."""
+    return F.element_at(_c(rvals), F.array_position(_c(rkeys), F.lit(cls)).cast("int") + 1)
+
+
 def in_unit(v) -> Column:
     """Keep a probability in [0, 1], anything else (or NULL) becomes 0."""
     v = _c(v)
@@ -68,26 +83,28 @@ def mse(p: Sequence[Column], q: Sequence[Column]) -> Column:
 
 
 def with_hybrid(df, gt: Sequence[str], pred: Sequence[str], out: str, alpha: float = 0.5,
-                beta: float = 0.5):
-    """B4 as staged projections (clip sums, then KL and MSE, then the score).
+                beta: float = 0.5, factor: Column | None = None):
+    """B4 as staged projections (clip, then sums, then KL and MSE and the
+    score, times an optional ``factor`` such as a leak multiplier).
 
     Each stage references the previous one's columns several times, which
     keeps Catalyst from inlining them into one huge expression; the whole
     chain still compiles into a single whole-stage-codegen function."""
+    keep = df.columns
     eps = F.lit(K.PROB_EPSILON)
+    n = len(gt)
     d = df.select("*", *[F.greatest(F.col(c), eps).alias(f"_cg{i}") for i, c in enumerate(gt)],
                   *[F.greatest(F.col(c), eps).alias(f"_cp{i}") for i, c in enumerate(pred)])
-    n = len(gt)
     d = d.select("*", _sum([F.col(f"_cg{i}") for i in range(n)]).alias("_sg"),
                  _sum([F.col(f"_cp{i}") for i in range(n)]).alias("_sp"))
-    d = d.select("*", *[(F.col(f"_cg{i}") / F.col("_sg")).alias(f"_ng{i}") for i in range(n)],
-                 *[(F.col(f"_cp{i}") / F.col("_sp")).alias(f"_np{i}") for i in range(n)])
-    kl = _sum([F.col(f"_ng{i}") * F.ln(F.col(f"_ng{i}") / F.col(f"_np{i}")) for i in range(n)])
+    ng = [F.col(f"_cg{i}") / F.col("_sg") for i in range(n)]
+    npr = [F.col(f"_cp{i}") / F.col("_sp") for i in range(n)]
+    kl = _sum([a * (F.ln(a) - F.ln(b)) for a, b in zip(ng, npr)])
     m = mse([F.col(c) for c in gt], [F.col(c) for c in pred])
-    d = d.select("*", F.exp(-F.lit(alpha) * kl - F.lit(beta) * m).alias(out))
-    tmp = [f"_cg{i}" for i in range(n)] + [f"_cp{i}" for i in range(n)] + ["_sg", "_sp"]
-    tmp += [f"_ng{i}" for i in range(n)] + [f"_np{i}" for i in range(n)]
-    return d.drop(*tmp)
+    score = F.exp(-F.lit(alpha) * kl - F.lit(beta) * m)
+    if factor is not None:
+        score = score * factor
+    return d.select(*keep, score.alias(out))
 
 
 def hybrid_reward(gt: Sequence[Column], pred: Sequence[Column], alpha: float = 0.5,
@@ -159,16 +176,17 @@ def format_score(probs) -> Column:
 
 def with_class_format(df, completion: str, classes: Sequence[str], out: str):
     """B9 as staged projections (tag check and answer parse first, score after)."""
+    keep = df.columns
     c = F.col(completion)
     ans = py_strip(F.regexp_extract(c, jre(r"<answer>(.*?)</answer>", dotall=True), 1))
     k, v = kv_arrays(ans)
     d = df.select("*", c.rlike(jre(K.FORMAT_TAGS, dotall=True, full=True)).alias("_fok"),
                   k.alias("_fk"), v.alias("_fv"))
-    d = d.select("*", *[last_value("_fk", "_fv", cls).alias(f"_fr{i}") for i, cls in enumerate(classes)])
-    d = d.select("*", *[in_unit(f"_fr{i}").alias(f"_fp{i}") for i in range(len(classes))])
+    rk, rv = reversed_lookup("_fk", "_fv")
+    d = d.select(*keep, "_fok", rk.alias("_frk"), rv.alias("_frv"))
+    d = d.select(*keep, "_fok", *[lookup_last("_frk", "_frv", cls).alias(f"_fr{i}") for i, cls in enumerate(classes)])
+    d = d.select(*keep, "_fok", *[in_unit(f"_fr{i}").alias(f"_fp{i}") for i in range(len(classes))])
     ps = [F.col(f"_fp{i}") for i in range(len(classes))]
     all_zero = reduce(lambda a, b: a & b, [p == 0 for p in ps])
     score = F.when(~F.col("_fok") | all_zero, F.lit(0.0)).otherwise(F.exp(-F.abs(_sum(ps) - F.lit(1.0))))
-    d = d.select("*", score.alias(out))
-    return d.drop("_fok", "_fk", "_fv", *[f"_fr{i}" for i in range(len(classes))],
-                  *[f"_fp{i}" for i in range(len(classes))])
+    return d.select(*keep, score.alias(out))

@@ -42,18 +42,17 @@ def group_advantages(df: DataFrame, reward: str = "reward", keys: Sequence[str]
     r = F.col(reward)
     if method == "window":
         w = Window.partitionBy(*keys)
-        out = (df.withColumn("group_mean", F.avg(r).over(w))
-                 .withColumn("group_std", F.stddev_samp(r).over(w))
-                 .withColumn("group_size", F.count(F.lit(1)).over(w)))
+        out = df.withColumns({"group_mean": F.avg(r).over(w), "group_std": F.stddev_samp(r).over(w),
+                              "group_size": F.count(F.lit(1)).over(w)})
     else:
         stats = df.groupBy(*keys).agg(F.avg(r).alias("group_mean"), F.stddev_samp(r).alias("group_std"),
                                       F.count(F.lit(1)).alias("group_size"))
         out = df.join(stats, list(keys), "inner")
-    out = out.withColumn("advantage", (r - F.col("group_mean")) / (F.col("group_std") + F.lit(eps)))
-    out = out.withColumn("single", F.col("group_size") == 1)
+    derived = {"advantage": (r - F.col("group_mean")) / (F.col("group_std") + F.lit(eps)),
+               "single": F.col("group_size") == 1}
     if expected_size is not None:
-        out = out.withColumn("incomplete", F.col("group_size") != F.lit(expected_size))
-    return out
+        derived["incomplete"] = F.col("group_size") != F.lit(expected_size)
+    return out.withColumns(derived)
 
 
 def best_of_group(df: DataFrame, reward: str = "reward", keys: Sequence[str] = GROUP_KEYS,

@@ -30,16 +30,21 @@ def parse_class_rollouts(df: DataFrame, classes: Sequence[str], completion: str
     """T8a + T9a + T10 + B1 on both sides.  Adds ``think``, ``pred_<c>`` and
     ``gt_<c>`` columns.  Regex matches are materialised once in their own
     projection so the per-class expressions only index arrays."""
+    keep = df.columns
     pk, pv = D.kv_arrays(T.normalize_answer(T.extract_answer(completion, "a")), pattern)
     gk, gv = D.kv_arrays(T.normalize_answer(T.extract_answer(solution, "a")), pattern)
     parsed = df.select("*", T.extract_think(completion, "a").alias("think"),
                        pk.alias("_pk"), pv.alias("_pv"), gk.alias("_gk"), gv.alias("_gv"))
-    raw = parsed.select(
-        *df.columns, "think",
-        *[D.last_value("_pk", "_pv", c).alias(class_col("_rp", c)) for c in classes],
-        *[D.last_value("_gk", "_gv", c).alias(class_col("_rg", c)) for c in classes])
+    prk, prv = D.reversed_lookup("_pk", "_pv")
+    grk, grv = D.reversed_lookup("_gk", "_gv")
+    looked = parsed.select(*keep, "think", prk.alias("_prk"), prv.alias("_prv"), grk.alias("_grk"), grv.alias("_grv"))
+    # raw values in their own projection: ``in_unit`` reads each one three times
+    raw = looked.select(
+        *keep, "think",
+        *[D.lookup_last("_prk", "_prv", c).alias(class_col("_rp", c)) for c in classes],
+        *[D.lookup_last("_grk", "_grv", c).alias(class_col("_rg", c)) for c in classes])
     return raw.select(
-        *df.columns, "think",
+        *keep, "think",
         *[D.in_unit(class_col("_rp", c)).alias(class_col("pred", c)) for c in classes],
         *[D.in_unit(class_col("_rg", c)).alias(class_col("gt", c)) for c in classes],
     )
@@ -63,8 +68,7 @@ def with_class_accuracy(df: DataFrame, classes: Sequence[str], out: str = "r_acc
     """B6 + B7 on parsed columns: hybrid reward, x0.1 when the think leaks a decimal."""
     gts = [class_col("gt", c) for c in classes]
     preds = [class_col("pred", c) for c in classes]
-    d = D.with_hybrid(df, gts, preds, "_hybrid", alpha, beta)
-    return d.withColumn(out, F.col("_hybrid") * leak_factor("think")).drop("_hybrid")
+    return D.with_hybrid(df, gts, preds, out, alpha, beta, factor=leak_factor("think"))
 
 
 def accuracy_reward(classes: Sequence[str] = K.EMOTION_CLASSES) -> RewardFn:
