@@ -2,11 +2,16 @@
 of real files are exercised by the pytest round trips in ``tests/``."""
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..functions import constants as K
 from ..sources import io as IO
 from .catalog import register
+from .fixtures import f5_items, f5_items_sql
 from .q_class import scored_f1
 
+F5_SQL = f"WITH items AS ({f5_items_sql()}) "
+
 
 @register("s5_reward_log")
 def q_s5(spark, sf_dir):
@@ -18,3 +23,32 @@ def q_s5(spark, sf_dir):
 def q_s6(spark, sf_dir):
     """QA dump records (metadata carries the write time, so no oracle)."""
     return IO.qa_records(scored_f1(spark, sf_dir), "solution", "completion")
+
+
+def _scratch(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory."""
+    import uuid
+    from ..session import checkpoint_path
+    return checkpoint_path(spark, "rollscope-io", f"{name}-{uuid.uuid4().hex}")
+
+
+@register("s4_save_load_split", F5_SQL + "SELECT row_id, target, split FROM items WHERE split = 'train'")
+def q_s4(spark, sf_dir):
+    """S4 then S3 through storage: the derived table is written partitioned
+    by split, and the split is read back with partition pruning."""
+    path = _scratch(spark, "dataset")
+    IO.save_dataset(f5_items(spark, sf_dir), path)
+    return IO.load_split(spark, path, "train").select("row_id", "target", "split")
+
+
+@register("s1_class_scan", F5_SQL + "SELECT DISTINCT target FROM items WHERE target IN ("
+          + ", ".join("'" + c + "'" for c in K.GENERATOR_CLASSES[:10]) + ")")
+def q_s1(spark, sf_dir):
+    """S1 over class folders derived from the catalog: one folder per class
+    (written by Spark), scanned by listing only; classes outside the list
+    are ignored."""
+    path = _scratch(spark, "classes")
+    f5_items(spark, sf_dir).select(F.col("target").alias("class"), "image_path").write.partitionBy("class").text(path)
+    # folder names are "class=<name>"; point the scan at them by renaming the class list
+    listed = IO.scan_class_folders(spark, path, [f"class={c}" for c in K.GENERATOR_CLASSES[:10]])
+    return listed.select(F.regexp_replace("target", "^class=", "").alias("target")).distinct()
