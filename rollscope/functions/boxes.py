@@ -33,8 +33,8 @@ def _box_from_strs(a) -> Column:
 
 
 def nonempty_or_null(boxes) -> Column:
-    boxes = _c(boxes)
-    return F.when(F.size(boxes) > 0, boxes)
+    """NULL for an empty box list (``nullif`` evaluates its argument once)."""
+    return F.nullif(_c(boxes), F.array().cast(BOX_TYPE))
 
 
 # ---------------------------------------------------------------------- X1
@@ -51,14 +51,32 @@ def parse_bracket(m) -> Column:
              .when(F.size(nums) == 4, _box_from_strs(nums)))
 
 
+def parse_brackets(found) -> Column:
+    """``parse_bracket`` over an array of matches, staged so that inside the
+    (interpreted) lambdas every intermediate -- the cleaned text, the JSON
+    split -- is computed once per element, not once per use."""
+    staged = F.transform(_c(found), lambda m: F.struct(m.alias("raw"), F.translate(m, "\n ", "").alias("c")))
+    staged = F.transform(staged, lambda s: F.struct(
+        s["raw"].alias("raw"), s["c"].alias("c"),
+        F.when(s["c"].rlike(JSON_FOUR), F.split(F.substring(s["c"], 2, F.length(s["c"]) - 2), ",")).alias("four")))
+
+    def fallback(raw):
+        nums = F.regexp_extract_all(raw, F.lit(jre(K.BRACKET_NUMBER)), 0)
+        return F.when(F.size(nums) == 4, _box_from_strs(nums))
+
+    parsed = F.transform(staged, lambda s: F.when(s["four"].isNotNull(), _box_from_strs(s["four"]))
+                         .when(s["c"].rlike(JSON_LIST), F.lit(None))
+                         .otherwise(fallback(s["raw"])))
+    return F.filter(parsed, lambda b: b.isNotNull())
+
+
 def extract_boxes(text) -> Column:
     """X1 ``extract_bbox``: last ``<answer>`` block (DOTALL), every bracket
     without nested brackets, parsed by ``parse_bracket``; NULL when no
     answer or no box."""
     ans = extract_answer(text, "b")
     found = F.regexp_extract_all(ans, F.lit(jre(K.BRACKET)), 0)
-    boxes = F.filter(F.transform(found, parse_bracket), lambda b: b.isNotNull())
-    return nonempty_or_null(boxes)
+    return nonempty_or_null(parse_brackets(found))
 
 
 # ------------------------------------------------------------------ X2, X3
