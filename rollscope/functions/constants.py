@@ -112,3 +112,15 @@ REGION_PROMPT = (
 LOSS_BETA = 0.04              # KL weight in the token loss (trainer default)
 FEWSHOT_K = 4                 # rows per class in the few-shot subset
 HEAD_N = 16                   # rows kept by the head-N subset
+# P8e emotion with a worked example: {categories} {description} {example}
+SECOND_STAGE_EMOTION_EXAMPLE = (
+    "Please analyze the provided image description and generate a probability distribution across the following "
+    "emotion categories: {categories}. Description: {description}. Do not provide any additional explanations or "
+    "reasoning. Only return the result in the specified format. Each probability must be a floating-point number "
+    "between 0 and 1, rounded to 6 decimal places. The sum of all probabilities must be exactly 1.000000 (allowing "
+    "for minor floating-point errors). Example output: {example}. Incorrect output: {{'anger': 0, 'disgust': 0, "
+    "'fear': 0, 'joy': 1.0, 'sadness': 0, 'surprise': 0, 'neutral': 0}}."
+)
+EXAMPLE_EMOTION_CATEGORIES = "'anger', 'disgust', 'fear', 'joy', 'sadness', 'surprise', 'neutral'"
+EXAMPLE_EMOTION_OUTPUT = ("{'anger': 0.0, 'disgust': 0.1666667, 'fear': 0.1, 'joy': 0.466667, 'sadness': 0.1, "
+                          "'surprise': 0.166667, 'neutral': 0.0}")

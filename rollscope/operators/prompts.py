@@ -16,21 +16,34 @@ from ..functions import text as T
 from ..functions.text import _c
 
 
+def template_parts(template: str) -> list[tuple[str, str]]:
+    """Split a ``str.format``-style template into ("lit", text) / ("slot", name)
+    parts; ``{{`` and ``}}`` are literal braces."""
+    parts: list[tuple[str, str]] = []
+    buf, i = [], 0
+    while i < len(template):
+        ch = template[i]
+        if ch in "{}" and template[i:i + 2] in ("{{", "}}"):
+            buf.append(ch)
+            i += 2
+        elif ch == "{":
+            j = template.index("}", i)
+            if buf:
+                parts.append(("lit", "".join(buf)))
+                buf = []
+            parts.append(("slot", template[i + 1:j]))
+            i = j + 1
+        else:
+            buf.append(ch)
+            i += 1
+    if buf:
+        parts.append(("lit", "".join(buf)))
+    return parts
+
+
 def fill(template: str, **cols) -> Column:
     """Fill ``{name}`` slots of a fixed template with columns (a ``concat``)."""
-    parts: list[Column] = []
-    rest = template
-    while rest:
-        i = rest.find("{")
-        if i < 0:
-            parts.append(F.lit(rest))
-            break
-        j = rest.index("}", i)
-        if i:
-            parts.append(F.lit(rest[:i]))
-        parts.append(_c(cols[rest[i + 1:j]]))
-        rest = rest[j + 1:]
-    return F.concat(*parts)
+    return F.concat(*[F.lit(v) if k == "lit" else _c(cols[v]) for k, v in template_parts(template)])
 
 
 # ------------------------------------------------------------------ P1 - P4
@@ -109,6 +122,10 @@ def second_stage_problem(task: str, description, target=None, classes: Sequence[
         return fill(K.SECOND_STAGE_ONEBOX, target=target, description=d)
     if task == "category":
         return fill(K.SECOND_STAGE_CATEGORY, description=T.remove_floats_full(d))
+    if task == "emotion_example":
+        return fill(K.SECOND_STAGE_EMOTION_EXAMPLE, categories=F.lit(K.EXAMPLE_EMOTION_CATEGORIES),
+                    description=T.remove_sentences_with_words(d, K.EMOTION_CLASSES),
+                    example=F.lit(K.EXAMPLE_EMOTION_OUTPUT))
     raise ValueError(task)
 
 

@@ -18,17 +18,7 @@ GC = K.GENERATOR_CLASSES
 
 
 def s_fill(template: str, **exprs) -> str:
-    parts, rest = [], template
-    while rest:
-        i = rest.find("{")
-        if i < 0:
-            parts.append(S.q(rest))
-            break
-        j = rest.index("}", i)
-        if i:
-            parts.append(S.q(rest[:i]))
-        parts.append(exprs[rest[i + 1:j]])
-        rest = rest[j + 1:]
+    parts = [S.q(v) if k == "lit" else exprs[v] for k, v in P.template_parts(template)]
     return "concat(" + ", ".join(parts) + ")"
 
 
@@ -136,6 +126,14 @@ def q_p8d(spark, sf_dir):
     return d.select("doc_id", P.second_stage_problem("category", "text").alias("problem"))
 
 
+@register("p8e_emotion_example_prompt", "SELECT doc_id, " + s_fill(
+    K.SECOND_STAGE_EMOTION_EXAMPLE, categories=S.q(K.EXAMPLE_EMOTION_CATEGORIES),
+    description=_s_t5("text", K.EMOTION_CLASSES), example=S.q(K.EXAMPLE_EMOTION_OUTPUT)) + " AS problem FROM documents")
+def q_p8e(spark, sf_dir):
+    d = table(spark, sf_dir, "documents", spread_by="doc_id")
+    return d.select("doc_id", P.second_stage_problem("emotion_example", "text").alias("problem"))
+
+
 # ------------------------------------------------------------------- P9, P10
 def _region_text(k, target, size):
     """Region prompt text from F5 (every 7th row has no box, every 11th no 'contains')."""
