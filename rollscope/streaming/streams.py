@@ -12,9 +12,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as K
+from ..session import checkpoint_path
 from ..sources.io import REWARD_LOG_SCHEMA
 
 
+def start(df: DataFrame, name: str, path: str | None = None, fmt: str = "parquet", mode: str = "append",
+          trigger: dict | None = None, partition_by: list[str] | None = None):
+    """Start a streaming query whose state and progress live under the shared
+    ``spark.checkpoint.dir`` (``<dir>/streams/<name>``), so a restarted driver
+    or a lost executor resumes from the last committed batch."""
+    w = (df.writeStream.queryName(name).outputMode(mode).format(fmt)
+         .option("checkpointLocation", checkpoint_path(df.sparkSession, "streams", name)))
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    if trigger:
+        w = w.trigger(**trigger)
+    return w.start(path) if path else w.start()
+
+
 def follow_reward_log(spark: SparkSession, path: str, schema: T.StructType = REWARD_LOG_SCHEMA,
                       max_files_per_trigger: int | None = None) -> DataFrame:
     """ST1: the reward log as a stream (each new file is read once)."""
