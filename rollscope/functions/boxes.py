@@ -18,7 +18,11 @@ BOX_TYPE = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
 
 # JSON number / scalar grammar used to tell valid JSON apart from junk
 _NUM = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
-_SCALAR = r'(?:' + _NUM + r'|"(?:[^"\\]|\\.)*"|true|false|null)'
+_STR = r'"(?:[^"\\]|\\.)*"'
+# a flat JSON object (no brackets can occur inside a matched bracket)
+_OBJ = r'\{(?:' + _STR + r':(?:' + _NUM + r'|' + _STR + r'|true|false|null)(?:,' + _STR + r':(?:' + _NUM + r'|' + _STR \
+    + r'|true|false|null))*)?\}'
+_SCALAR = r'(?:' + _NUM + r'|' + _STR + r'|true|false|null|' + _OBJ + r')'
 JSON_FOUR = r"\A\[" + _NUM + r"(?:," + _NUM + r"){3}\]\z"
 JSON_LIST = r"\A\[(?:" + _SCALAR + r"(?:," + _SCALAR + r")*)?\]\z"
 
