@@ -15,11 +15,15 @@ from ..functions import constants as K
 def table(spark: SparkSession, sf_dir: str, name: str, spread_by=None) -> DataFrame:
     """Read a given table.  ``spread_by`` names the key the next wide
     operator partitions on (see ``spread``)."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, spread_by) if spread_by else df
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    return spread(df, spread_by, cache_key=path) if spread_by else df
 
 
-def spread(df: DataFrame, keys) -> DataFrame:
+_SCAN_PARTITIONS: dict[str, int] = {}
+
+
+def spread(df: DataFrame, keys, cache_key: str | None = None) -> DataFrame:
     """Scan-parallelism guard.  A scan yields one partition per file split;
     the small test tables are single-row-group files, so their scan is a
     single task.  When a scan has fewer partitions than the cluster has
@@ -27,7 +31,12 @@ def spread(df: DataFrame, keys) -> DataFrame:
     aggregate / join, so that operator reuses this partitioning instead of
     adding its own exchange.  Large inputs (many splits) pass unchanged."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= n:
+    if cache_key is None or cache_key not in _SCAN_PARTITIONS:
+        parts = df.rdd.getNumPartitions()          # plans the scan once per input
+        if cache_key is None:
+            return df if parts >= n else df.repartition(n, *([keys] if isinstance(keys, str) else keys))
+        _SCAN_PARTITIONS[cache_key] = parts
+    if _SCAN_PARTITIONS[cache_key] >= n:
         return df
     keys = [keys] if isinstance(keys, str) else list(keys)
     return df.repartition(n, *keys)
@@ -63,7 +72,7 @@ def f1_rollouts(spark: SparkSession, sf_dir: str, classes=K.EMOTION_CLASSES) ->
         F.when(e % 23 == 0, F.lit(", joy:0.1")).otherwise(F.lit("")),
         F.lit("}</answer>")))
     ids = table(spark, sf_dir, "events").select(e, g.alias("group_id"), F.expr("event_id div 128").alias("step"))
-    ids = spread(ids, ["step", "group_id"])      # the group window (G2) reuses this partitioning
+    ids = spread(ids, ["step", "group_id"], cache_key=f"{sf_dir}/events.parquet")  # G2 reuses this partitioning
     return ids.select(
         e.alias("row_id"),
         F.col("group_id"),
