@@ -30,7 +30,10 @@ def spread(df: DataFrame, keys, cache_key: str | None = None) -> DataFrame:
     cores, hash-partition it on ``keys`` -- the key of the next window /
     aggregate / join, so that operator reuses this partitioning instead of
     adding its own exchange.  Large inputs (many splits) pass unchanged."""
-    n = df.sparkSession.sparkContext.defaultParallelism
+    try:
+        n = df.sparkSession.sparkContext.defaultParallelism
+    except Exception:              # no SparkContext (e.g. a Spark Connect session): leave the scan alone
+        return df
     if cache_key is None or cache_key not in _SCAN_PARTITIONS:
         parts = df.rdd.getNumPartitions()          # plans the scan once per input
         if cache_key is None:
