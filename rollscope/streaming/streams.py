@@ -39,12 +39,21 @@ def follow_reward_log(spark: SparkSession, path: str, schema: T.StructType = REW
     return r.json(path)
 
 
+def event_time(df: DataFrame, ts: str) -> DataFrame:
+    """Make ``ts`` a TIMESTAMP (event time must be one).  A TIMESTAMP_NTZ
+    wall clock is read as UTC, whatever the session time zone is."""
+    if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
+        tz = df.sparkSession.conf.get("spark.sql.session.timeZone")
+        return df.withColumn(ts, F.convert_timezone(F.lit("UTC"), F.lit(tz), F.col(ts)).cast("timestamp"))
+    return df.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def live_metrics(stream: DataFrame, ts: str = "ts", key: str = "event_type", value: str = "value",
                  window: str = "1 day", slide: str | None = None, watermark: str = "1 day") -> DataFrame:
     """ST2: per (window, key) count / mean / max of ``value``; rows later
     than the watermark are dropped, closed windows are emitted once."""
     w = F.window(ts, window, slide) if slide else F.window(ts, window)
-    stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))   # event time must be TIMESTAMP (not NTZ)
+    stream = event_time(stream, ts)
     return (stream.withWatermark(ts, watermark).groupBy(w.alias("window"), key)
             .agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_value"), F.max(value).alias("max_value")))
 
@@ -57,7 +66,7 @@ def streaming_advantages(stream: DataFrame, ts: str = "ts", reward: str = "rewar
     rollout.  Row windows are not allowed on streams, hence the two steps.
     Groups still short of G when the watermark passes are emitted and
     flagged ``incomplete``."""
-    stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    stream = event_time(stream, ts)
     grouped = (stream.withWatermark(ts, watermark)
                .groupBy(F.window(ts, window).alias("window"), *keys)
                .agg(F.collect_list(F.struct("gen_idx", F.col(reward).alias("r"))).alias("rollouts")))
