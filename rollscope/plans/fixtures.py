@@ -50,66 +50,49 @@ def _s(c):
 
 
 # ---------------------------------------------------------------- F1 rollouts
-def f1_rollouts(spark: SparkSession, sf_dir: str, classes=K.EMOTION_CLASSES) -> DataFrame:
-    """emotion rollouts from ``events`` (G = 8 rollouts per group)."""
-    e = F.col("event_id")
-    g = F.expr("event_id div 8")
-
-    def dist(base, mult_off, first_override=None):
-        parts = []
-        for i, cls in enumerate(classes):
-            v = F.concat(F.lit("0."), _s((base * (i + mult_off) + i) % 10))
-            if i == 0 and first_override is not None:
-                v = F.when(first_override, F.lit("1.5")).otherwise(v)
-            parts.append(F.concat(F.lit(f"{cls}:"), v))
-        return F.concat_ws(", ", *parts)
-
-    think = F.when(e % 11 == 0, F.lit("")).otherwise(F.concat(
-        F.lit("<think>the scene shows item "), _s(e),
-        F.when(e % 13 == 0, F.lit("\n")).otherwise(F.lit(" ")),
-        F.lit("with soft light."),
-        F.when(e % 7 == 0, F.concat(F.lit(" score 0."), _s(e % 10))).otherwise(F.lit("")),
-        F.lit("</think>")))
-    answer = F.when(e % 19 == 0, F.lit("")).otherwise(F.concat(
-        F.lit("<answer>{"), dist(e, 3, e % 17 == 0),
-        F.when(e % 23 == 0, F.lit(", joy:0.1")).otherwise(F.lit("")),
-        F.lit("}</answer>")))
-    ids = table(spark, sf_dir, "events").select(e, g.alias("group_id"), F.expr("event_id div 128").alias("step"))
-    ids = spread(ids, ["step", "group_id"], cache_key=f"{sf_dir}/events.parquet")  # G2 reuses this partitioning
-    return ids.select(
-        e.alias("row_id"),
-        F.col("group_id"),
-        (e % 8).alias("gen_idx"),
-        F.col("step"),
-        F.concat(F.lit("img/"), _s(g), F.lit(".jpg")).alias("image_path"),
-        F.concat(think, F.when(e % 5 == 0, F.lit("\n")).otherwise(F.lit("")), answer).alias("completion"),
-        F.concat(F.lit("<answer>{"), dist(g, 2), F.lit("}</answer>")).alias("solution"),
-    )
-
+def _f1_exprs(classes, dialect: str) -> list[str]:
+    """F1 columns as SQL expressions over ``e`` (= event_id), in either
+    dialect: the Spark plan and the DuckDB oracle share one definition."""
+    idiv = (lambda a, b: f"({a} div {b})") if dialect == "spark" else (lambda a, b: f"({a} // {b})")
+    txt = (lambda x: f"CAST({x} AS STRING)") if dialect == "spark" else (lambda x: f"CAST({x} AS VARCHAR)")
+    nl = "char(10)" if dialect == "spark" else "chr(10)"
 
-def f1_sql(classes=K.EMOTION_CLASSES) -> str:
-    """DuckDB form of F1 (a CTE body)."""
     def dist(base, mult_off, first_override=None):
         parts = []
         for i, cls in enumerate(classes):
-            v = f"concat('0.', cast(({base} * {i + mult_off} + {i}) % 10 AS VARCHAR))"
+            v = f"concat('0.', {txt(f'({base} * {i + mult_off} + {i}) % 10')})"
             if i == 0 and first_override:
                 v = f"(CASE WHEN {first_override} THEN '1.5' ELSE {v} END)"
             parts.append(f"concat('{cls}:', {v})")
         return "concat_ws(', ', " + ", ".join(parts) + ")"
 
-    think = ("CASE WHEN e % 11 = 0 THEN '' ELSE concat('<think>the scene shows item ', cast(e AS VARCHAR), "
-             "CASE WHEN e % 13 = 0 THEN chr(10) ELSE ' ' END, 'with soft light.', "
-             "CASE WHEN e % 7 = 0 THEN concat(' score 0.', cast(e % 10 AS VARCHAR)) ELSE '' END, '</think>') END")
+    g = idiv("e", 8)
+    think = (f"CASE WHEN e % 11 = 0 THEN '' ELSE concat('<think>the scene shows item ', {txt('e')}, "
+             f"CASE WHEN e % 13 = 0 THEN {nl} ELSE ' ' END, 'with soft light.', "
+             f"CASE WHEN e % 7 = 0 THEN concat(' score 0.', {txt('e % 10')}) ELSE '' END, '</think>') END")
     answer = (f"CASE WHEN e % 19 = 0 THEN '' ELSE concat('<answer>{{', {dist('e', 3, 'e % 17 = 0')}, "
               "CASE WHEN e % 23 = 0 THEN ', joy:0.1' ELSE '' END, '}</answer>') END")
-    return f"""
-    SELECT e AS row_id, e // 8 AS group_id, e % 8 AS gen_idx, e // 128 AS step,
-           concat('img/', cast(e // 8 AS VARCHAR), '.jpg') AS image_path,
-           concat({think}, CASE WHEN e % 5 = 0 THEN chr(10) ELSE '' END, {answer}) AS completion,
-           concat('<answer>{{', {dist('(e // 8)', 2)}, '}}</answer>') AS solution
-    FROM (SELECT event_id AS e FROM events)
-    """
+    return [
+        "e AS row_id", f"{g} AS group_id", "e % 8 AS gen_idx", f"{idiv('e', 128)} AS step",
+        f"concat('img/', {txt(g)}, '.jpg') AS image_path",
+        f"concat({think}, CASE WHEN e % 5 = 0 THEN {nl} ELSE '' END, {answer}) AS completion",
+        f"concat('<answer>{{', {dist(g, 2)}, '}}</answer>') AS solution",
+    ]
+
+
+def f1_rollouts(spark: SparkSession, sf_dir: str, classes=K.EMOTION_CLASSES) -> DataFrame:
+    """emotion rollouts from ``events`` (G = 8 rollouts per group)."""
+    ids = table(spark, sf_dir, "events").selectExpr("event_id AS e", "e div 8 AS _g", "e div 128 AS _s")
+    ids = spread(ids, ["_s", "_g"], cache_key=f"{sf_dir}/events.parquet")  # G2 reuses this partitioning
+    exprs = _f1_exprs(classes, "spark")
+    # pass the partitioning columns through by alias, so the partitioning is known to be on (step, group_id)
+    exprs = [{"group_id": "_g AS group_id", "step": "_s AS step"}.get(x.rsplit(" AS ", 1)[1], x) for x in exprs]
+    return ids.selectExpr(*exprs)
+
+
+def f1_sql(classes=K.EMOTION_CLASSES) -> str:
+    """DuckDB form of F1 (a CTE body)."""
+    return "SELECT " + ", ".join(_f1_exprs(classes, "duckdb")) + " FROM (SELECT event_id AS e FROM events)"
 
 
 # ------------------------------------------------------------- F2 box rollouts

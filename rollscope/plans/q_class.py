@@ -23,7 +23,8 @@ def parsed_f1(spark, sf_dir):
 
 
 def scored_f1(spark, sf_dir):
-    return R.apply_rewards(f1_rollouts(spark, sf_dir), R.class_registry(CL))
+    """accuracy + format + total (the fused form of the class reward registry)."""
+    return R.score_class_rollouts(f1_rollouts(spark, sf_dir), CL)
 
 
 def advantaged_f1(spark, sf_dir):
