@@ -157,7 +157,8 @@ def remove_sentences_with_words(c, words: Sequence[str], enders: str = K.SENTENC
             for w in ws:
                 x = ~F.contains(s, F.lit(w))
                 none = x if none is None else (none & x)
-            return ~s.rlike(f"[{e}]\\z") | none       # the trailing piece has no ender: always kept
+            # the trailing piece has no ender: always kept
+            return ~F.substring(s, -1, 1).isin(*list(enders)) | none
         pieces = F.filter(pieces, keep)
     s = F.array_join(pieces, "")
     s = F.regexp_replace(s, jre(r"\s+"), " ")
