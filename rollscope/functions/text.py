@@ -48,10 +48,6 @@ def py_strip(c) -> Column:
     return F.regexp_replace(_c(c), r"(?U)\A\s+|\s+\z", "")
 
 
-def found(c, pattern: str) -> Column:
-    return _c(c).rlike(pattern)
-
-
 # ---------------------------------------------------------------- T8, T9, T10
 def extract_think(c, form: str = "a") -> Column:
     """T8.  (a) first ``<think>(.*?)</think>`` without DOTALL, else the whole

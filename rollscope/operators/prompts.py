@@ -79,9 +79,6 @@ def sft_record(question_col, solution_col, path_col) -> Column:
 
 
 # ------------------------------------------------------------------ P5 - P7
-_PART = "struct<type:string,text:string>"
-
-
 def _part(kind: str, text=None) -> Column:
     return F.struct(F.lit(kind).alias("type"), (F.lit(None).cast("string") if text is None else _c(text)).alias("text"))
 

@@ -8,7 +8,6 @@ one narrow stage with no shuffle.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame

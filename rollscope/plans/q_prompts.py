@@ -8,10 +8,9 @@ from ..functions import constants as K
 from ..functions import text as T
 from ..operators import prompts as P
 from . import sqlgen as S
-from .catalog import r6, register
+from .catalog import register
 from .fixtures import f1_rollouts, f1_sql, f5_items, f5_items_sql, table
-from .q_text import _s_remove_sentences as _unused  # noqa: F401  (shared helpers live there)
-from .q_text import WS, s_rr, s_strip_u
+from .q_text import s_rr, s_strip_u
 
 F5 = f"WITH items AS ({f5_items_sql()}) "
 GC = K.GENERATOR_CLASSES

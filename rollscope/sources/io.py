@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import boxes as B
-from ..functions import constants as K
 
 REWARD_LOG_SCHEMA = T.StructType([
     T.StructField("step", T.LongType()),
@@ -47,7 +46,7 @@ def read_box_label_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("label_path"),
                                                          F.col("value"))
     lines = files.select("label_path", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    tok = lines.withColumn("tok", F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " "))
+    tok = lines.withColumn("tok", F.split(F.trim(F.regexp_replace("line", r"(?U)\s+", " ")), " "))
     nums = [F.col("tok")[i].try_cast("double") for i in range(4)]
     ok = (F.size("tok") == 4) & nums[0].isNotNull() & nums[1].isNotNull() & nums[2].isNotNull() & nums[3].isNotNull()
     boxes = tok.where(ok).select("label_path", "line_no", B.box(*nums).alias("b"))
