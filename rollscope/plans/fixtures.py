@@ -106,17 +106,14 @@ def f2_box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
     w = Window.partitionBy("l_orderkey").orderBy(*F2_ORDER)
     li = table(spark, sf_dir, "lineitem", spread_by="l_orderkey").withColumn("rn", F.row_number().over(w))
-    o, rn = F.col("l_orderkey"), F.col("rn").cast("long")
-    gx1 = (F.col("l_partkey") * 37) % 600
-    gy1 = (F.col("l_suppkey") * 53) % 600
-    gx2 = gx1 + 50 + 4 * F.floor("l_quantity").cast("long")
-    gy2 = gy1 + 50 + 5 * (o % 40)
-    return li.select(
-        o.alias("image_id"), rn.alias("box_no"),
-        gx1.alias("gx1"), gy1.alias("gy1"), gx2.alias("gx2"), gy2.alias("gy2"),
-        (gx1 + (7 * o + rn) % 30).alias("px1"), (gy1 + (11 * o) % 25).alias("py1"),
-        (gx2 + (3 * o) % 20).alias("px2"), (gy2 + rn).alias("py2"),
-        ((o + rn) % 7 != 0).alias("has_gt"), ((o + rn) % 5 != 0).alias("has_pred"))
+    g = li.selectExpr("l_orderkey AS image_id", "CAST(rn AS BIGINT) AS box_no",
+                      "(l_partkey * 37) % 600 AS gx1", "(l_suppkey * 53) % 600 AS gy1",
+                      "(l_partkey * 37) % 600 + 50 + 4 * CAST(floor(l_quantity) AS BIGINT) AS gx2",
+                      "(l_suppkey * 53) % 600 + 50 + 5 * (l_orderkey % 40) AS gy2")
+    return g.selectExpr("image_id", "box_no", "gx1", "gy1", "gx2", "gy2",
+                        "gx1 + (7 * image_id + box_no) % 30 AS px1", "gy1 + (11 * image_id) % 25 AS py1",
+                        "gx2 + (3 * image_id) % 20 AS px2", "gy2 + box_no AS py2",
+                        "(image_id + box_no) % 7 != 0 AS has_gt", "(image_id + box_no) % 5 != 0 AS has_pred")
 
 
 def f2_box_pairs_sql() -> str:
@@ -133,63 +130,51 @@ def f2_box_pairs_sql() -> str:
     """
 
 
-def _box_struct(p):
-    return F.struct(*[F.col(f"{p}{k}").cast("double").alias(k) for k in ("x1", "y1", "x2", "y2")])
+def _f2_text_exprs(dialect: str) -> list[str]:
+    """F2 text columns (``solution``, ``completion``) as SQL over ``gt`` /
+    ``pred`` box arrays, in the Spark or the DuckDB dialect."""
+    spark = dialect == "spark"
+    txt = (lambda x: f"CAST({x} AS STRING)") if spark else (lambda x: f"CAST({x} AS VARCHAR)")
+    nl = "char(10)" if spark else "chr(10)"
+    lam = (lambda v, body: f"{v} -> {body}") if spark else (lambda v, body: f"lambda {v}: {body}")
+    tf, join = ("transform", "array_join") if spark else ("list_transform", "array_to_string")
+
+    def boxes_txt(arr, coord_sep, box_sep):
+        one = ("concat('[', " + f", '{coord_sep}', ".join(txt(f"CAST(b.{k} AS BIGINT)")
+                                                          for k in ("x1", "y1", "x2", "y2")) + ", ']')")
+        return f"concat('[', {join}({tf}({arr}, {lam('b', one)}), {box_sep}), ']')"
+
+    pred_txt = (f"(CASE WHEN image_id % 11 = 0 THEN {boxes_txt('pred', ', ', f'concat(chr(44), {nl})')} "
+                f"ELSE {boxes_txt('pred', ',', chr(39) + ',' + chr(39))} END)")
+    solution = f"concat('<answer>', {boxes_txt('gt', ',', chr(39) + ',' + chr(39))}, '</answer>') AS solution"
+    completion = f"""concat(CASE WHEN image_id % 23 = 0 THEN '' ELSE concat('<think>',
+                    CASE WHEN image_id % 9 = 0 THEN '[1, 2, 3, 4]'
+                         ELSE concat('locating items of order ', {txt('image_id')}) END, '</think>') END,
+                  CASE WHEN image_id % 19 = 0 THEN {pred_txt}
+                       ELSE concat('<answer>', {pred_txt},
+                                   CASE WHEN image_id % 13 = 0 THEN ', [1, 2, 3]' ELSE '' END,
+                                   CASE WHEN image_id % 17 = 0 THEN ', [01, 2, 3, 4]' ELSE '' END, '</answer>') END)
+             AS completion"""
+    return [solution, completion]
 
 
 def f2_box_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F2 per image: gt / pred box arrays plus their text forms
     (``solution`` and ``completion``), with parser edge cases mixed in."""
     pairs = f2_box_pairs(spark, sf_dir)
+    box = lambda p: ("struct(" + ", ".join(f"CAST({p}{k} AS DOUBLE) AS {k}" for k in ("x1", "y1", "x2", "y2")) + ")")
     g = pairs.groupBy("image_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("has_gt"), F.struct(F.col("box_no"), _box_struct("g").alias("b"))))
-                     ).alias("_g"),
-        F.array_sort(F.collect_list(F.when(F.col("has_pred"), F.struct(F.col("box_no"), _box_struct("p").alias("b"))))
-                     ).alias("_p"))
-    o = F.col("image_id")
-    g = g.select("image_id", F.transform("_g", lambda x: x["b"]).alias("gt"),
-                 F.transform("_p", lambda x: x["b"]).alias("pred"))
-
-    def txt(arr, coord_sep, box_sep):
-        one = lambda b: F.concat(F.lit("["), F.concat_ws(coord_sep, *[b[k].cast("long").cast("string")
-                                                                      for k in ("x1", "y1", "x2", "y2")]), F.lit("]"))
-        return F.concat(F.lit("["), F.array_join(F.transform(arr, one), box_sep), F.lit("]"))
-
-    spaced = o % 11 == 0
-    pred_txt = F.when(spaced, txt(F.col("pred"), ", ", ",\n")).otherwise(txt(F.col("pred"), ",", ","))
-    extra = F.concat(F.when(o % 13 == 0, F.lit(", [1, 2, 3]")).otherwise(F.lit("")),
-                     F.when(o % 17 == 0, F.lit(", [01, 2, 3, 4]")).otherwise(F.lit("")))
-    think = F.when(o % 23 == 0, F.lit("")).otherwise(F.concat(
-        F.lit("<think>"), F.when(o % 9 == 0, F.lit("[1, 2, 3, 4]"))
-        .otherwise(F.concat(F.lit("locating items of order "), o.cast("string"))), F.lit("</think>")))
-    answer = F.when(o % 19 == 0, pred_txt).otherwise(F.concat(F.lit("<answer>"), pred_txt, extra, F.lit("</answer>")))
-    return g.select("image_id", "gt", "pred",
-                    F.concat(F.lit("<answer>"), txt(F.col("gt"), ",", ","), F.lit("</answer>")).alias("solution"),
-                    F.concat(think, answer).alias("completion"))
+        F.expr(f"array_sort(collect_list(CASE WHEN has_gt THEN struct(box_no, {box('g')} AS b) END))").alias("_g"),
+        F.expr(f"array_sort(collect_list(CASE WHEN has_pred THEN struct(box_no, {box('p')} AS b) END))").alias("_p"))
+    g = g.selectExpr("image_id", "transform(_g, x -> x.b) AS gt", "transform(_p, x -> x.b) AS pred")
+    return g.selectExpr("image_id", "gt", "pred", *_f2_text_exprs("spark"))
 
 
 def f2_box_rollouts_sql() -> str:
     box = lambda p: (f"struct_pack(x1 := CAST({p}x1 AS DOUBLE), y1 := CAST({p}y1 AS DOUBLE), "
                      f"x2 := CAST({p}x2 AS DOUBLE), y2 := CAST({p}y2 AS DOUBLE))")
-
-    def txt(arr, coord_sep, box_sep):
-        one = ("concat('[', " + f", '{coord_sep}', ".join(f"CAST(CAST(b.{k} AS BIGINT) AS VARCHAR)"
-                                                          for k in ("x1", "y1", "x2", "y2")) + ", ']')")
-        return f"concat('[', array_to_string(list_transform({arr}, lambda b: {one}), {box_sep}), ']')"
-
-    pred_txt = (f"(CASE WHEN image_id % 11 = 0 THEN {txt('pred', ', ', 'concat(chr(44), chr(10))')} "
-                f"ELSE {txt('pred', ',', chr(39) + ',' + chr(39))} END)")
     return f"""
-    SELECT image_id, gt, pred,
-           concat('<answer>', {txt('gt', ',', chr(39) + ',' + chr(39))}, '</answer>') AS solution,
-           concat(CASE WHEN image_id % 23 = 0 THEN '' ELSE concat('<think>',
-                    CASE WHEN image_id % 9 = 0 THEN '[1, 2, 3, 4]'
-                         ELSE concat('locating items of order ', CAST(image_id AS VARCHAR)) END, '</think>') END,
-                  CASE WHEN image_id % 19 = 0 THEN {pred_txt}
-                       ELSE concat('<answer>', {pred_txt},
-                                   CASE WHEN image_id % 13 = 0 THEN ', [1, 2, 3]' ELSE '' END,
-                                   CASE WHEN image_id % 17 = 0 THEN ', [01, 2, 3, 4]' ELSE '' END, '</answer>') END)
-             AS completion
+    SELECT image_id, gt, pred, {", ".join(_f2_text_exprs("duckdb"))}
     FROM (SELECT image_id,
                  coalesce(list({box('g')} ORDER BY box_no) FILTER (WHERE has_gt), []) AS gt,
                  coalesce(list({box('p')} ORDER BY box_no) FILTER (WHERE has_pred), []) AS pred
