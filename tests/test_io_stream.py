@@ -102,3 +102,15 @@ def test_st3_streaming_advantages(spark, tmp_path):
     j = got.join(batch.select("step", "group_id", "gen_idx", F.col("advantage").alias("b_adv")),
                  ["step", "group_id", "gen_idx"])
     assert j.where(F.abs(F.col("advantage") - F.col("b_adv")) > 1e-9).count() == 0
+
+
+def test_start_helper_checkpoints_under_shared_dir(spark, tmp_path):
+    ev = table(spark, SF001, "events")
+    ev.write.parquet(str(tmp_path / "ev"))
+    stream = spark.readStream.schema(ev.schema).parquet(str(tmp_path / "ev"))
+    name = f"st_helper_{os.getpid()}"
+    q = ST.start(stream.select("event_id"), name, fmt="memory", trigger={"availableNow": True})
+    q.awaitTermination(120)
+    assert spark.table(name).count() == ev.count()
+    from rollscope.session import checkpoint_path
+    assert os.path.isdir(checkpoint_path(spark, "streams", name).replace("file:", ""))
