@@ -47,7 +47,10 @@ def group_advantages(df: DataFrame, reward: str = "reward", keys: Sequence[str]
     else:
         stats = df.groupBy(*keys).agg(F.avg(r).alias("group_mean"), F.stddev_samp(r).alias("group_std"),
                                       F.count(F.lit(1)).alias("group_size"))
-        out = df.join(stats, list(keys), "inner")
+        stats = stats.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                             "group_mean", "group_std", "group_size")
+        cond = [df[k].eqNullSafe(stats[f"_k{i}"]) for i, k in enumerate(keys)]   # a NULL key is a group too
+        out = df.join(stats, cond, "inner").drop(*[f"_k{i}" for i in range(len(keys))])
     derived = {"advantage": (r - F.col("group_mean")) / (F.col("group_std") + F.lit(eps)),
                "single": F.col("group_size") == 1}
     if expected_size is not None:
