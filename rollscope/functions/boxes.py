@@ -180,9 +180,11 @@ def pair_matrix(gt, pred, score=None) -> Column:
 
 
 # --------------------------------------------------------------------- X12
-def coord_leak(think) -> Column:
-    """The whole reasoning is a coordinate list (anchored pattern)."""
-    return _c(think).rlike(jre(K.COORD_LEAK))
+def coord_leak(think, anchored: bool = True) -> Column:
+    """The whole reasoning is a coordinate list (anchored pattern).
+    ``anchored=False`` (ruling D13 option) fires on a coordinate list anywhere."""
+    p = K.COORD_LEAK if anchored else K.COORD_LEAK.lstrip("^").rstrip("$")
+    return _c(think).rlike(jre(p))
 
 
 # --------------------------------------------------------------------- X13

@@ -49,24 +49,25 @@ def py_strip(c) -> Column:
 
 
 # ---------------------------------------------------------------- T8, T9, T10
-def extract_think(c, form: str = "a") -> Column:
+def extract_think(c, form: str = "a", dotall: bool = False) -> Column:
     """T8.  (a) first ``<think>(.*?)</think>`` without DOTALL, else the whole
-    content stripped; (b) ``<think[^>]*>(.*?)</think>`` with DOTALL, else NULL."""
+    content stripped; (b) ``<think[^>]*>(.*?)</think>`` with DOTALL, else NULL.
+    ``dotall=True`` lets form (a) span newlines (ruling D2 option)."""
     c = _c(c)
     if form == "a":
-        p = jre(r"<think>(.*?)</think>")
+        p = jre(r"<think>(.*?)</think>", dotall=dotall)
         return F.when(c.rlike(p), py_strip(F.regexp_extract(c, p, 1))).otherwise(py_strip(c))
     p = jre(r"<think[^>]*>(.*?)</think>", dotall=True)
     return F.when(c.rlike(p), py_strip(F.regexp_extract(c, p, 1)))
 
 
-def extract_answer(c, form: str = "a") -> Column:
+def extract_answer(c, form: str = "a", dotall: bool = False) -> Column:
     """T9.  (a) first ``<answer>`` block, no DOTALL, else ``""``;
     (b) last block, DOTALL, stripped, else NULL; (c) first block stripped,
-    else the whole content stripped."""
+    else the whole content stripped.  ``dotall=True`` for (a) is the D2 option."""
     c = _c(c)
     if form == "a":
-        return F.regexp_extract(c, jre(r"<answer>(.*?)</answer>"), 1)
+        return F.regexp_extract(c, jre(r"<answer>(.*?)</answer>", dotall=dotall), 1)
     if form == "b":
         p = jre(r"<answer>(.*?)</answer>", dotall=True)
         return py_strip(F.try_element_at(F.regexp_extract_all(c, F.lit(p), 1), F.lit(-1)))

@@ -180,6 +180,13 @@ def image_reject_reason(width, height, channels, ndim=None) -> Column:
     return r
 
 
+def split_by_quality(df: DataFrame, width: str = "width", height: str = "height", channels: str = "channels"):
+    """P16 with ruling D19: (valid rows, quarantined rows with ``reject_reason``).
+    Invalid images are split off instead of being sent on."""
+    d = df.withColumn("reject_reason", image_reject_reason(width, height, channels))
+    return d.where(F.col("reject_reason").isNull()).drop("reject_reason"), d.where(F.col("reject_reason").isNotNull())
+
+
 # ------------------------------------------------------------------- L1, L2
 def _local_first_k(cls: str, order: str, k: int):
     def fn(batches):

@@ -26,7 +26,8 @@ def class_col(prefix: str, cls: str) -> str:
 
 
 def parse_class_rollouts(df: DataFrame, classes: Sequence[str], completion: str = "completion",
-                         solution: str = "solution", pattern: str = K.KV_PATTERN_LOOSE) -> DataFrame:
+                         solution: str = "solution", pattern: str = K.KV_PATTERN_LOOSE,
+                         class_match: str = "reference") -> DataFrame:
     """T8a + T9a + T10 + B1 on both sides.  Adds ``think``, ``pred_<c>`` and
     ``gt_<c>`` columns.  Regex matches are materialised once in their own
     projection so the per-class expressions only index arrays."""
@@ -41,8 +42,8 @@ def parse_class_rollouts(df: DataFrame, classes: Sequence[str], completion: str
     # raw values in their own projection: ``in_unit`` reads each one three times
     raw = looked.select(
         *keep, "think",
-        *[D.lookup_last("_prk", "_prv", c).alias(class_col("_rp", c)) for c in classes],
-        *[D.lookup_last("_grk", "_grv", c).alias(class_col("_rg", c)) for c in classes])
+        *[D.lookup_last("_prk", "_prv", match_name(c, class_match)).alias(class_col("_rp", c)) for c in classes],
+        *[D.lookup_last("_grk", "_grv", match_name(c, class_match)).alias(class_col("_rg", c)) for c in classes])
     return raw.select(
         *keep, "think",
         *[D.in_unit(class_col("_rp", c)).alias(class_col("pred", c)) for c in classes],
@@ -124,8 +125,17 @@ def _lit(v: str) -> str:
     return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def match_name(cls: str, class_match: str = "reference") -> str:
+    """The key a class is looked up under.  ``reference``: the class name as
+    is (so multi-word classes never match a normalised answer, D1);
+    ``normalized``: the class name normalised like the answer (no spaces or
+    underscores, lower case)."""
+    return cls if class_match == "reference" else cls.replace(" ", "").replace("_", "").lower()
+
+
 def score_class_rollouts(df: DataFrame, classes: Sequence[str] = K.EMOTION_CLASSES, completion: str = "completion",
-                         solution: str = "solution", alpha: float = 0.5, beta: float = 0.5) -> DataFrame:
+                         solution: str = "solution", alpha: float = 0.5, beta: float = 0.5,
+                         class_match: str = "reference") -> DataFrame:
     """B8 + B9 + G1 fused: the same results as ``apply_rewards(df,
     class_registry(classes))`` in five projections.
 
@@ -158,8 +168,8 @@ def score_class_rollouts(df: DataFrame, classes: Sequence[str] = K.EMOTION_CLASS
 
     kq = [_q(k) for k in keep]
     b = a.select(*keep, "think", "_fok", "_leak",
-                 *[E(look("pr", c)).alias(f"_rp{i}") for i, c in enumerate(classes)],
-                 *[E(look("gr", c)).alias(f"_rg{i}") for i, c in enumerate(classes)],
+                 *[E(look("pr", match_name(c, class_match))).alias(f"_rp{i}") for i, c in enumerate(classes)],
+                 *[E(look("gr", match_name(c, class_match))).alias(f"_rg{i}") for i, c in enumerate(classes)],
                  *[E(look("fr", c)).alias(f"_rf{i}") for i, c in enumerate(classes)])
     preds = [class_col("pred", x) for x in classes]
     gts = [class_col("gt", x) for x in classes]
