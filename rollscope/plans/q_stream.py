@@ -36,3 +36,21 @@ def q_st3(spark, sf_dir):
     a = ST.streaming_advantages(d, window="1 hour", watermark="0 seconds")
     return a.select("step", "group_id", "gen_idx", r6("advantage").alias("advantage"),
                     F.col("group_size").cast("long").alias("group_size"), "incomplete")
+
+
+@register("st1_follow_log", CTE + f" SELECT step, image_path AS img_path, {S.r6('r_accuracy')} AS reward FROM scored")
+def q_st1(spark, sf_dir):
+    """ST1 end to end: the scored rollouts are written as the per-step reward
+    log (S5), followed as a stream (one read per new file), and the stream is
+    written to parquet under the shared checkpoint folder; the result is that
+    parquet table."""
+    import uuid
+    from ..session import checkpoint_path
+    from ..sources import io as IO
+    from ..functions import constants as K
+    base = checkpoint_path(spark, "rollscope-io", f"st1-{uuid.uuid4().hex}")
+    IO.write_reward_log(IO.reward_log_records(scored_f1(spark, sf_dir), K.EMOTION_CLASSES), f"{base}/log")
+    q = ST.start(ST.follow_reward_log(spark, f"{base}/log").select("step", "img_path", "reward"),
+                 f"st1_{uuid.uuid4().hex[:8]}", path=f"{base}/out", trigger={"availableNow": True})
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("step", "img_path", r6("reward").alias("reward"))
