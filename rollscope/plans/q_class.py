@@ -32,20 +32,22 @@ def advantaged_f1(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- oracle side
-def _parsed_cte() -> str:
+def _parsed_cte(cl=CL) -> str:
     pk, pv = S.kv(S.norm(S.answer_a("completion")), K.KV_PATTERN_LOOSE)
     gk, gv = S.kv(S.norm(S.answer_a("solution")), K.KV_PATTERN_LOOSE)
-    probs = [f"{S.prob('pk', 'pv', c)} AS {p}" for c, p in zip(CL, PRED)]
-    probs += [f"{S.prob('gk', 'gv', c)} AS {g}" for c, g in zip(CL, GT)]
+    pred_cols = [R.class_col("pred", c) for c in cl]
+    gt_cols = [R.class_col("gt", c) for c in cl]
+    probs = [f"{S.prob('pk', 'pv', c)} AS {p}" for c, p in zip(cl, pred_cols)]
+    probs += [f"{S.prob('gk', 'gv', c)} AS {g}" for c, g in zip(cl, gt_cols)]
     fmt_ans = S.strip(f"regexp_extract(completion, {S.q('(?s)<answer>(.*?)</answer>')}, 1)")
     fk, fv = S.kv("fans", K.KV_PATTERN_LOOSE)
-    fprobs = [S.prob("fk", "fv", c) for c in CL]
+    fprobs = [S.prob("fk", "fv", c) for c in cl]
     fmt = (f"CASE WHEN NOT regexp_full_match(completion, {S.q('(?s)' + K.FORMAT_TAGS)}) THEN 0.0 "
            f"WHEN {' AND '.join(f'{p} = 0' for p in fprobs)} THEN 0.0 "
            f"ELSE exp(-abs({' + '.join(fprobs)} - 1.0)) END")
-    acc = S.hybrid(GT, PRED)
+    acc = S.hybrid(gt_cols, pred_cols)
     return f"""
-    f1 AS ({f1_sql(CL)}),
+    f1 AS ({f1_sql(cl)}),
     p0 AS (SELECT *, {S.think_a('completion')} AS think, {pk} AS pk, {pv} AS pv, {gk} AS gk, {gv} AS gv,
                   {fmt_ans} AS fans FROM f1),
     p1 AS (SELECT *, {fk} AS fk, {fv} AS fv FROM p0),
@@ -61,6 +63,7 @@ def _parsed_cte() -> str:
 
 
 CTE = "WITH " + _parsed_cte().strip()
+CTE_IMAGE = "WITH " + _parsed_cte(K.IMAGE_CLASSES).strip()
 
 
 # --------------------------------------------------------------------- queries
@@ -254,3 +257,12 @@ def q_l5(spark, sf_dir):
     m = scored_f1(spark, sf_dir).groupBy("step").agg(F.avg("r_accuracy").alias("value"))
     rb = G.running_best(m, block=4)
     return rb.select("step", r6("value").alias("value"), r6("prev_best").alias("prev_best"), "improved", "keep")
+
+
+@register("b8_accuracy_image_classes", CTE_IMAGE + f" SELECT row_id, {S.r6('r_accuracy')} AS r_accuracy, "
+          f"{S.r6('r_format')} AS r_format FROM scored")
+def q_b8_image(spark, sf_dir):
+    """B8/B9 with the 10 image classes (five of them two words long: their
+    keys never survive the answer normalisation, ruling D1)."""
+    d = R.score_class_rollouts(f1_rollouts(spark, sf_dir, K.IMAGE_CLASSES), K.IMAGE_CLASSES)
+    return d.select("row_id", r6("r_accuracy").alias("r_accuracy"), r6("r_format").alias("r_format"))
