@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..sources import io as IO
 from .catalog import register
-from .fixtures import f5_items, f5_items_sql
-from .q_class import scored_f1
+from .fixtures import f3_tokens, f3_tokens_sql, f5_items, f5_items_sql
+from .q_class import _parsed_cte, parsed_f1, scored_f1
 
 F5_SQL = f"WITH items AS ({f5_items_sql()}) "
 
@@ -52,3 +52,21 @@ def q_s1(spark, sf_dir):
     # folder names are "class=<name>"; point the scan at them by renaming the class list
     listed = IO.scan_class_folders(spark, path, [f"class={c}" for c in K.GENERATOR_CLASSES[:10]])
     return listed.select(F.regexp_replace("target", "^class=", "").alias("target")).distinct()
+
+
+@register("s7_clean_report", "WITH " + _parsed_cte().strip() + " SELECT step, group_id, gen_idx, completion, think AS cleaned FROM parsed")
+def q_s7(spark, sf_dir):
+    """S7 through storage: raw completion and its cleaned reasoning written
+    side by side per step, then read back."""
+    path = _scratch(spark, "report")
+    IO.write_clean_report(parsed_f1(spark, sf_dir).withColumn("cleaned", F.col("think")), path)
+    return spark.read.parquet(path).select("step", "group_id", "gen_idx", "completion", "cleaned")
+
+
+@register("s8_token_log", "WITH tok AS (" + f3_tokens_sql() + ") SELECT seq_id, pos, step, round(exp(ref_logp - logp) - (ref_logp - logp) - 1, 6) + 0.0 "
+          "AS kl FROM tok")
+def q_s8(spark, sf_dir):
+    """S8 through storage: token log-probs and KL written per step, read back."""
+    path = _scratch(spark, "tokens")
+    IO.write_token_logs(f3_tokens(spark, sf_dir), path)
+    return spark.read.parquet(path).select("seq_id", "pos", "step", F.round("kl", 6).alias("kl"))
