@@ -175,7 +175,13 @@ def assignment_sum(flat: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
 
 def match_sum(m) -> Column:
     """Exact optimum sum of the score matrix ``m`` (array<array<double>>,
-    rows = gt); 0.0 when a side is empty, NULL when ``m`` is NULL."""
+    rows = gt); 0.0 when a side is empty, NULL when ``m`` is NULL.
+
+    ``m`` must be a materialised column, not an expression with lambdas
+    (``operators.box_rewards.with_match`` projects the matrix first): Spark
+    cannot hand a Python UDF an argument that still contains lambda
+    functions.  ``m`` is referenced three times below, which also keeps
+    Catalyst from folding the matrix projection back into this one."""
     m = _c(m)
     n, k = _dims(m)
     return assignment_sum(F.flatten(m), n, k)
