@@ -294,3 +294,17 @@ def q_x13(spark, sf_dir):
     d = f2_box_rollouts(spark, sf_dir)
     return d.select("image_id", B.tags_format("completion").alias("tags_format"),
                     B.one_box_format("completion").alias("one_box_format"))
+
+
+@register("t8b_think_tagged", IMG + f"SELECT image_id, {S.think_b('completion')} AS think FROM img")
+def q_t8b(spark, sf_dir):
+    """T8 form (b): ``<think...>`` with attributes allowed, DOTALL, NULL when absent."""
+    d = f2_box_rollouts(spark, sf_dir)
+    return d.select("image_id", T.extract_think("completion", "b").alias("think"))
+
+
+@register("t9b_answer_last", IMG + f"SELECT image_id, {S.answer_b('completion')} AS answer FROM img")
+def q_t9b(spark, sf_dir):
+    """T9 form (b): the last answer block, DOTALL, stripped; NULL when absent."""
+    d = f2_box_rollouts(spark, sf_dir)
+    return d.select("image_id", T.extract_answer("completion", "b").alias("answer"))
