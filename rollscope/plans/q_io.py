@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..sources import io as IO
 from .catalog import register
-from .fixtures import f3_tokens, f3_tokens_sql, f5_items, f5_items_sql
+from .fixtures import f2_box_pairs, f2_box_pairs_sql, f3_tokens, f3_tokens_sql, f5_items, f5_items_sql
 from .q_class import _parsed_cte, parsed_f1, scored_f1
 
 F5_SQL = f"WITH items AS ({f5_items_sql()}) "
@@ -70,3 +70,26 @@ def q_s8(spark, sf_dir):
     path = _scratch(spark, "tokens")
     IO.write_token_logs(f3_tokens(spark, sf_dir), path)
     return spark.read.parquet(path).select("seq_id", "pos", "step", F.round("kl", 6).alias("kl"))
+
+
+_S2_LINE_SPARK = ("CASE WHEN (image_id + box_no) % 7 = 0 THEN concat('bad line ', CAST(box_no AS STRING)) "
+                  "WHEN (image_id + box_no) % 11 = 0 THEN concat_ws(' ', CAST(gx1 AS STRING), CAST(gy1 AS STRING), "
+                  "CAST(gx2 AS STRING)) ELSE concat_ws('  ', CAST(gx1 AS STRING), CAST(gy1 AS STRING), "
+                  "CAST(gx2 AS STRING), concat(CAST(gy2 AS STRING), '.5')) END")
+
+
+@register("s2_label_files", "WITH pairs AS (" + f2_box_pairs_sql() + "), ok AS (SELECT * FROM pairs "
+          "WHERE (image_id + box_no) % 7 <> 0 AND (image_id + box_no) % 11 <> 0) "
+          "SELECT CAST(count(*) AS BIGINT) AS n_boxes, CAST(sum(gx1) AS DOUBLE) AS sum_x1, "
+          "CAST(sum(gy1) AS DOUBLE) AS sum_y1, CAST(sum(gx2) AS DOUBLE) AS sum_x2, "
+          "round(sum(gy2 + 0.5), 6) + 0.0 AS sum_y2 FROM ok")
+def q_s2(spark, sf_dir):
+    """S2 over label files written from the F2 boxes: one text line per box
+    (extra spaces, a decimal), junk lines and 3-number lines mixed in.  The
+    files are read back whole and parsed; totals over all boxes are compared
+    (which lines share a file depends on the writer's tasks, totals do not)."""
+    path = _scratch(spark, "labels")
+    f2_box_pairs(spark, sf_dir).selectExpr(f"{_S2_LINE_SPARK} AS value").write.text(path)
+    boxes = IO.read_box_label_files(spark, path).select(F.explode("boxes").alias("b"))
+    return boxes.agg(F.count(F.lit(1)).alias("n_boxes"), F.sum("b.x1").alias("sum_x1"), F.sum("b.y1").alias("sum_y1"),
+                     F.sum("b.x2").alias("sum_x2"), F.round(F.sum("b.y2"), 6).alias("sum_y2"))
