@@ -39,16 +39,23 @@ def _rows(pdf):
     return cols, sorted(out, key=lambda r: tuple((x is None, str(type(x)), str(x)) for x in r))
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     t0 = time.time()
-    sp = fn(spark, sf_dir).toPandas()
+    sdf = fn(spark, sf_dir)
+    s_types = {c: SPARK_TO_DUCK.get(t, t) for c, t in sdf.dtypes}
+    sp = sdf.toPandas()
     t1 = time.time()
-    dk = con.execute(sql).df()
+    rel = con.sql(sql)
+    d_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    dk = rel.df()
     t2 = time.time()
     sc, sr = _rows(sp)
     dc, dr = _rows(dk)
-    ok = sc == dc and len(sr) == len(dr)
-    first_bad = None
+    ok = sc == dc and len(sr) == len(dr) and s_types == d_types
+    first_bad = None if s_types == d_types else ("types", s_types, d_types)
     if ok:
         for a, b in zip(sr, dr):
             if a != b:

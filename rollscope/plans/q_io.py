@@ -60,7 +60,7 @@ def q_s7(spark, sf_dir):
     side by side per step, then read back."""
     path = _scratch(spark, "report")
     IO.write_clean_report(parsed_f1(spark, sf_dir).withColumn("cleaned", F.col("think")), path)
-    return spark.read.parquet(path).select("step", "group_id", "gen_idx", "completion", "cleaned")
+    return spark.read.parquet(path).select(F.col("step").cast("long"), "group_id", "gen_idx", "completion", "cleaned")
 
 
 @register("s8_token_log", "WITH tok AS (" + f3_tokens_sql() + ") SELECT seq_id, pos, step, round(exp(ref_logp - logp) - (ref_logp - logp) - 1, 6) + 0.0 "
@@ -69,7 +69,7 @@ def q_s8(spark, sf_dir):
     """S8 through storage: token log-probs and KL written per step, read back."""
     path = _scratch(spark, "tokens")
     IO.write_token_logs(f3_tokens(spark, sf_dir), path)
-    return spark.read.parquet(path).select("seq_id", "pos", "step", F.round("kl", 6).alias("kl"))
+    return spark.read.parquet(path).select("seq_id", "pos", F.col("step").cast("long"), F.round("kl", 6).alias("kl"))
 
 
 _S2_LINE_SPARK = ("CASE WHEN (image_id + box_no) % 7 = 0 THEN concat('bad line ', CAST(box_no AS STRING)) "
@@ -82,7 +82,7 @@ _S2_LINE_SPARK = ("CASE WHEN (image_id + box_no) % 7 = 0 THEN concat('bad line '
           "WHERE (image_id + box_no) % 7 <> 0 AND (image_id + box_no) % 11 <> 0) "
           "SELECT CAST(count(*) AS BIGINT) AS n_boxes, CAST(sum(gx1) AS DOUBLE) AS sum_x1, "
           "CAST(sum(gy1) AS DOUBLE) AS sum_y1, CAST(sum(gx2) AS DOUBLE) AS sum_x2, "
-          "round(sum(gy2 + 0.5), 6) + 0.0 AS sum_y2 FROM ok")
+          "round(CAST(sum(gy2 + 0.5) AS DOUBLE), 6) + 0.0 AS sum_y2 FROM ok")
 def q_s2(spark, sf_dir):
     """S2 over label files written from the F2 boxes: one text line per box
     (extra spaces, a decimal), junk lines and 3-number lines mixed in.  The
