@@ -41,3 +41,11 @@ def test_regex_parsed_once(spark):
     df = QUERIES["b8_accuracy"](spark, SF001)
     opt = df._jdf.queryExecution().optimizedPlan().toString()
     assert opt.count("regexp_extract_all") == 4     # keys + values, completion + solution
+
+
+def test_spread_leaves_large_inputs_alone(spark):
+    from rollscope.plans.fixtures import spread
+    many = spark.range(0, 1000, 1, numPartitions=2 * spark.sparkContext.defaultParallelism)
+    assert "Exchange" not in spread(many, "id")._jdf.queryExecution().executedPlan().toString()
+    one = spark.range(0, 1000, 1, numPartitions=1)
+    assert "hashpartitioning(id" in spread(one, "id")._jdf.queryExecution().executedPlan().toString()
