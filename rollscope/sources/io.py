@@ -79,9 +79,18 @@ def reward_log_records(scored: DataFrame, classes: Sequence[str]) -> DataFrame:
                          pred.alias("pred_probs"), gt.alias("gt_probs"))
 
 
-def write_reward_log(records: DataFrame, path: str) -> None:
+def write_reward_log(records: DataFrame, path: str, files_per_step: int | None = None) -> None:
     """JSON lines, one directory per step, NULL fields kept, non-ASCII
-    kept.  Appending adds new files; it never rewrites existing ones."""
+    kept.  Appending adds new files; it never rewrites existing ones.
+
+    By default every task writes its own file in each step it holds (no
+    shuffle).  ``files_per_step=k`` first hash-partitions on (step, salt) with
+    k salt values: at most k files per step, and a hot step is still written
+    by k tasks instead of one."""
+    if files_per_step:
+        hashable = [f.name for f in records.schema.fields if not isinstance(f.dataType, T.MapType)]
+        salt = F.pmod(F.xxhash64(*hashable), F.lit(files_per_step))   # deterministic: a retried task re-routes alike
+        records = records.repartition("step", salt)
     (records.write.mode("append").partitionBy("step").option("ignoreNullFields", "false")
      .json(path))
 

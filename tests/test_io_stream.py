@@ -114,3 +114,12 @@ def test_start_helper_checkpoints_under_shared_dir(spark, tmp_path):
     assert spark.table(name).count() == ev.count()
     from rollscope.session import checkpoint_path
     assert os.path.isdir(checkpoint_path(spark, "streams", name).replace("file:", ""))
+
+
+def test_s5_bounded_files_per_step(spark, tmp_path):
+    recs = IO.reward_log_records(scored_f1(spark, SF001), K.EMOTION_CLASSES)
+    IO.write_reward_log(recs, str(tmp_path / "log"), files_per_step=2)
+    for d in (tmp_path / "log").iterdir():
+        if d.is_dir():
+            assert len([f for f in d.iterdir() if f.name.endswith(".json")]) <= 2
+    assert IO.read_reward_log(spark, str(tmp_path / "log")).count() == recs.count()
