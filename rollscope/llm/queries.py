@@ -3,7 +3,7 @@ operator, with production parameters, to a whole table and returns the digest
 columns of its contract."""
 from __future__ import annotations
 
-from . import op2_huffman, op8_packing
+from . import op2_huffman, op3_substring, op8_packing
 from .common import documents
 from .op1_jaccard import join_sets
 
@@ -17,10 +17,14 @@ def op2_huffman_tokens(spark, sf_dir):
     return op2_huffman.round_trip(documents(spark, sf_dir))
 
 
+def op3_substring_dedup(spark, sf_dir):
+    return op3_substring.dedup(documents(spark, sf_dir), text=False)
+
+
 def op8_best_fit_packing(spark, sf_dir):
     return op8_packing.pack(documents(spark, sf_dir), ids=False)
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard_join, op2_huffman_tokens, op8_best_fit_packing)}
+    op1_ngram_jaccard_join, op2_huffman_tokens, op3_substring_dedup, op8_best_fit_packing)}
 ORACLE: dict[str, str] = {}
