@@ -104,3 +104,18 @@ def merged_counters(rows: DataFrame, size: int, parts: int = 16) -> np.ndarray:
     for r in rows.repartition(parts, "slice").mapInArrow(add, COUNTER_SCHEMA).collect():
         out[r["slice"]] += np.frombuffer(r["counts"], np.int64)
     return out.reshape(-1)
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with its rows' numbers 0, 1, ... in the given order as column
+    ``name``: sorted by range, numbered within a range, and moved by the sizes
+    of the ranges before (as many rows as the session has shuffle partitions)."""
+    from pyspark.sql import Window
+    spark = df.sparkSession
+    rows = cut(df.repartitionByRange(parallel(spark), *order).sortWithinPartitions(*order)
+               .withColumn("__id", F.monotonically_increasing_id()), "numbered")
+    rows = rows.withColumn("__part", F.shiftright("__id", 33)).withColumn(
+        "__id", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+    base = rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    base = base.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__base"))
+    return rows.join(base, "__part").withColumn(name, F.col("__id") + F.col("__base")).drop("__id", "__part", "__base")

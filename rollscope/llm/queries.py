@@ -3,7 +3,9 @@ operator, with production parameters, to a whole table and returns the digest
 columns of its contract."""
 from __future__ import annotations
 
-from . import op2_huffman, op3_substring, op8_packing
+from . import op2_huffman, op3_substring, op4_fingerprint, op6_mixing, op8_packing
+from pyspark.sql import functions as F
+
 from .common import documents
 from .op1_jaccard import join_sets
 
@@ -21,10 +23,20 @@ def op3_substring_dedup(spark, sf_dir):
     return op3_substring.dedup(documents(spark, sf_dir), text=False)
 
 
+def op4_minhash_fingerprints(spark, sf_dir):
+    return op4_fingerprint.compare_edited(documents(spark, sf_dir))
+
+
+def op6_source_mixing(spark, sf_dir):
+    planned = op6_mixing.plan(documents(spark, sf_dir))
+    return planned.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op8_best_fit_packing(spark, sf_dir):
     return op8_packing.pack(documents(spark, sf_dir), ids=False)
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard_join, op2_huffman_tokens, op3_substring_dedup, op8_best_fit_packing)}
+    op1_ngram_jaccard_join, op2_huffman_tokens, op3_substring_dedup, op4_minhash_fingerprints,
+    op6_source_mixing, op8_best_fit_packing)}
 ORACLE: dict[str, str] = {}
