@@ -127,7 +127,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
 
 def sets_table(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, hashes) for the documents in ``ids``."""
+    """(id, hashes) for the documents in ``ids`` and the few others that the filter lets through."""
     wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(id_filter(ids)))
 
     def build(batches):
@@ -141,9 +141,8 @@ def sets_table(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))],
                                                  ["id", "hashes"])
 
-    sets = (docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
-            .mapInArrow(build, "id long, hashes array<long>"))
-    return cut(sets.join(ids, "id", "left_semi").dropDuplicates(["id", "hashes"]), "sets")
+    return cut(docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
+               .mapInArrow(build, "id long, hashes array<long>"), "sets")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -203,8 +202,9 @@ def join_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame
     head = mixed.groupBy("token", "label", "n").agg(F.min("pos").alias("pos"))
     x = head.select("token", F.col("label").alias("a"), F.col("n").alias("xn"), F.col("pos").alias("xpos"))
     y = head.select("token", F.col("label").alias("b"), F.col("n").alias("yn"), F.col("pos").alias("ypos"))
-    roots = cut(x.join(y, "token").where("a < b").where(may_link(percent, "x", "y")).select("a", "b").distinct(),
-                "roots")
+    blocks = cut(x.join(y, "token").where("a < b").where(may_link(percent, "x", "y")).select("token", "a", "b").distinct(),
+                 "blocks")
+    roots = cut(blocks.select("a", "b").distinct(), "roots")
     if roots.isEmpty():
         all_links = links
     else:
@@ -226,7 +226,8 @@ def join_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame
                               F.col("pos").alias("xpos"), F.col("away").alias("xaway"))
         right = entries.select("token", F.col("label").alias("b"), F.col("id").alias("yid"), F.col("n").alias("yn"),
                                F.col("pos").alias("ypos"), F.col("away").alias("yaway"))
-        rest = (left.join(close, "a").join(right, ["token", "b"]).where(may_link(percent, "x", "y"))
+        rest = (blocks.join(close, ["a", "b"]).join(left, ["token", "a"]).join(right, ["token", "b"])
+                .where(may_link(percent, "x", "y"))
                 .where(F.col("d") <= slack + F.col("xaway") + F.col("yaway"))
                 .select(F.col("xid").alias("a"), F.col("yid").alias("b")).distinct())
         more = cut(compared(rest, sets).where(linked(percent)), "more")
