@@ -4,8 +4,9 @@ A text's word 5-grams are hashed once.  A hash names one of ``BINS`` bins and a
 value; each bin keeps its smallest value.  Empty bins are filled by optimal
 densification: each draws hashed bins of the same text until one is not empty
 (eight draws, then the non-empty bin of smallest hashed rank, which also is a
-uniform draw).  The fingerprint stores ``BITS`` low-order bits of each bin, as
-hexadecimal digits.  Equal bins by chance are corrected for:
+uniform draw).  The fingerprint stores ``BITS`` low-order bits of each bin's value,
+hashed with the bin's number (else a value that fills many bins would be equal by
+chance in all of them at once), as hexadecimal digits.  Equal bins by chance are corrected for:
 ``(p - 2^-b) / (1 - 2^-b)`` with the share ``p`` of equal digits.
 
 Everything is DataFrame expressions.  To give each document the text of the
@@ -50,11 +51,11 @@ def add_fingerprint(df: DataFrame, text: str, name: str, k: int = 5) -> DataFram
     df = df.select(*keep, "__m", F.expr(f"filter(__m, v -> (v & {_EMPTY}L) <> {_EMPTY}L)").alias("__n"))
     draw = f"get(__m, cast(xxhash64(i, t) & {BINS - 1} AS int))"
     return df.select(*keep, F.expr(f"""
-        CASE WHEN size(__n) = 0 THEN '' ELSE array_join(transform(__m, (v, i) -> lower(hex({(1 << BITS) - 1} &
+        CASE WHEN size(__n) = 0 THEN '' ELSE array_join(transform(__m, (v, i) -> lower(hex({(1 << BITS) - 1} & xxhash64(i,
             CASE WHEN (v & {_EMPTY}L) <> {_EMPTY}L THEN v
                  ELSE coalesce(get(filter(transform(sequence(1, 8), t -> {draw}), u -> (u & {_EMPTY}L) <> {_EMPTY}L), 0),
                                array_min(transform(__n, u -> struct(xxhash64(i, shiftright(u, {_SHIFT})) AS r, u AS u))).u)
-            END))), '') END""").alias(name))
+            END)))), '') END""").alias(name))
 
 
 def likeness(a: str, b: str) -> Column:
