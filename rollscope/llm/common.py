@@ -11,7 +11,16 @@ from pyspark.sql import functions as F
 from rollscope.session import checkpoint_path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of fewer rows than Spark's default of
+    10,000; a batch size that the session has set stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -70,6 +70,7 @@ def order_sketch(docs: DataFrame, k: int) -> np.ndarray:
             for _, h in sets_of(b.column(0), k):
                 np.add.at(total, h >> np.uint64(64 - SKETCH_BITS), 1)
         yield counter_rows(total)
+        W.release()
 
     counts = merged_counters(docs.select("text").mapInArrow(count, COUNTER_SCHEMA), 1 << SKETCH_BITS)
     return np.minimum(255, 6 * np.log2(1.0 + counts)).astype(np.uint8)
@@ -95,6 +96,7 @@ def with_prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(digest, pa.binary()),
                  pa.array(pre, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "prefix"])
+        W.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         prefix, "doc_id long, n int, digest binary, prefix array<long>")
@@ -140,6 +142,7 @@ def sets_table(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 sets = [h.view(np.int64) for _, h in sets_of(b.column(1), k)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))],
                                                  ["id", "hashes"])
+        W.release()
 
     return cut(docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
                .mapInArrow(build, "id long, hashes array<long>"), "sets")

@@ -7,13 +7,14 @@ memory of a task does not depend on the number of rows in an Arrow batch.
 """
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 21
+SLICE = 1 << 19
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -143,3 +144,12 @@ def whole(h: np.ndarray) -> int:
     for v in h.tolist():
         x = (x * int(_STEP) + v) & 0xFFFFFFFFFFFFFFFF
     return int(mix64(_U(x) ^ _BASE)[0])
+
+
+def release() -> None:
+    """Give memory that a finished task has freed back to the machine (workers live on)."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):             # a C library without it
+        pass
