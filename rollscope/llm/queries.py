@@ -3,7 +3,7 @@ operator, with production parameters, to a whole table and returns the digest
 columns of its contract."""
 from __future__ import annotations
 
-from . import op2_huffman, op3_substring, op4_fingerprint, op5_chat, op6_mixing, op8_packing, op10_secrets
+from . import op2_huffman, op3_substring, op4_fingerprint, op5_chat, op6_mixing, op8_packing, op9_quality, op10_secrets
 from pyspark.sql import functions as F
 
 from .common import documents
@@ -43,6 +43,10 @@ def op8_best_fit_packing(spark, sf_dir):
     return op8_packing.pack(documents(spark, sf_dir), ids=False)
 
 
+def op9_quality_rules(spark, sf_dir):
+    return op9_quality.verdicts(documents(spark, sf_dir))
+
+
 def op10_secret_scans(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return op10_secrets.digest(op10_secrets.scan(docs, op10_secrets.fresh_ledger(docs)))
@@ -50,5 +54,6 @@ def op10_secret_scans(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_huffman_tokens, op3_substring_dedup, op4_minhash_fingerprints,
-    op5_chat_format, op6_source_mixing, op8_best_fit_packing, op10_secret_scans)}
+    op5_chat_format, op6_source_mixing, op8_best_fit_packing, op9_quality_rules,
+    op10_secret_scans)}
 ORACLE: dict[str, str] = {}
