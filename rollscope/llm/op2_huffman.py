@@ -15,7 +15,7 @@ The format is a Parquet table of blocks (Spark's committer makes the files
 whole or absent) and a table of code lengths beside it.
 
 Cases: a null text is empty (the end id alone).  Rows that repeat a doc_id
-follow each other in the order of their ids; null doc_ids come last.  An empty
+follow each other in the order of a hash of their ids; null doc_ids come last.  An empty
 table gives no blocks.  Columns beside doc_id and text are not read.
 """
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from rollscope.session import checkpoint_path
 
+from . import words as W
 from .common import COUNTER_SCHEMA, counter_rows, cut, merged_counters, parallel
 from .tokens import WORD_BPE, Encoder
 
@@ -48,6 +49,7 @@ def token_table(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
             ids = [np.append(x, np.uint32(end_id)).astype("<u2").tobytes() for _, x in enc.encode(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ids, pa.binary())],
                                              ["doc_id", "ids"])
+        W.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         encode, "doc_id long, ids binary")
@@ -57,8 +59,10 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(IDS, np.int64)
         for b in batches:
-            for raw in b.column(0):
-                total += np.bincount(np.frombuffer(raw.as_buffer(), "<u2"), minlength=IDS)
+            _, off, data = b.column(0).buffers()
+            off = np.frombuffer(off, np.int32)[b.column(0).offset:][[0, len(b)]] if len(b) else (0, 0)
+            if off[1] > off[0]:
+                total += np.bincount(np.frombuffer(data, "<u2")[off[0] // 2:off[1] // 2], minlength=IDS)
         yield counter_rows(total)
 
     return merged_counters(tokens.select("ids").mapInArrow(count, COUNTER_SCHEMA), IDS)
@@ -186,11 +190,12 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = WORD_BPE, end_id:
                     yield close()
         if held:
             yield close()
+        W.release()
 
     arrow = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("before", pa.int64()), ("n", pa.int64()),
                        ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())),
                        ("marks", pa.binary()), ("bits", pa.binary())])
-    order = [F.col("doc_id").asc_nulls_last(), F.col("ids")]
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("ids")]
     (tokens.repartitionByRange(parallel(spark), *order).sortWithinPartitions(*order)
      .mapInArrow(encode, "part int, block long, before long, n long, doc_ids array<long>, sizes array<long>, "
                          "marks binary, bits binary").write.parquet(f"{path}/blocks"))
@@ -228,8 +233,10 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
                         at += m
                 cols = [pa.array(x, pa.int64()) for x in (doc, start, n, crc)] + [pa.array(raw, pa.binary())] * ids
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][:len(cols)])
+        W.release()
 
-    return blocks.join(parts, "part").mapInArrow(
+    # a row for each task that wrote (the session's shuffle partitions): small whatever the data
+    return blocks.join(F.broadcast(parts), "part").mapInArrow(
         decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
 
 

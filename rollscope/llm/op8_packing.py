@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import words as W
 from .common import cut
 from .tokens import WORD_BPE, Encoder
 
@@ -118,6 +119,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, window: int) -> DataFr
                 [pa.array(x, pa.int64()) for x in (doc, start, length, crc, total, rank, [part] * len(doc))]
                 + [pa.array(raw, pa.binary())],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank", "part", "ids"])
+        W.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         cut_up, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, rank long, part long, ids binary")

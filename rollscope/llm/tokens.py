@@ -8,6 +8,7 @@ emptied when full); a text's ids are then gathered by numpy.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
@@ -15,6 +16,15 @@ from . import words as W
 
 WORD_BPE = "word_bpe_49k.json"
 MOST_WORDS = 1 << 21          # words that a worker keeps
+MOST_PIECES = 1 << 20
+#: The tokenizer's own split (contractions, letters, single digits, other signs), spelt out for lower-case
+#: Latin-1, where normalising changes nothing and lower-casing maps single letters.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
+                     "|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+").findall
+_PLAIN = re.compile("[!-~\xa1-\xff]+").fullmatch        # Latin-1 without controls and blanks
+#: The byte alphabet of byte-level merges: printable Latin-1 bytes stand for themselves, the others, in
+#: order, for the letters from U+0100 on.
+_LETTER = {b: 256 + i for i, b in enumerate(x for x in range(256) if not (33 <= x <= 126 or 161 <= x <= 172 or x >= 174))}
 
 
 class Encoder:
@@ -35,6 +45,7 @@ class Encoder:
             import public_tokenizers
             name = public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(name)
+        self.by_pieces = os.path.basename(name) == WORD_BPE
         self.clear()
 
     def clear(self):
@@ -43,14 +54,37 @@ class Encoder:
         self.size = np.zeros(0, np.int64)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
+        self.pieces: dict[str, tuple[int, ...]] = {}
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _know_pieces(self, new: list[str]):
+        """Ids of single pieces, straight from the tokenizer's merge model."""
+        if len(self.pieces) + len(new) > MOST_PIECES:
+            self.pieces.clear()
+        merge = self.tokenizer.model.tokenize
+        # (printable ASCII is its own byte alphabet; tuples of numbers are left alone by the garbage collector)
+        self.pieces.update((x, tuple(t.id for t in merge(x if x.isascii() else x.encode().decode("latin-1").translate(_LETTER))))
+                           for x in new)
+
+    def _ids_of(self, texts: list[str]) -> list:
+        """Ids of white-space free words: by pieces where these are certain, else by the tokenizer."""
+        if not self.by_pieces:
+            return self._encode(texts)
+        split = [_PIECES(x.lower()) if _PLAIN(x) and "<|" not in x else None for x in texts]
+        self._know_pieces([x for x in dict.fromkeys(p for x in split if x for p in x) if x not in self.pieces])
+        rest = iter(self._encode([t for t, x in zip(texts, split) if x is None]))
+        known = self.pieces
+        return [next(rest) if x is None else known[x[0]] if len(x) == 1 else [t for p in x for t in known[p]] for x in split]
 
     def _learn(self, keys, texts):
         if len(self.keys) + len(keys) > MOST_WORDS:
             self.clear()
         sizes = np.empty(len(keys), np.int64)
         parts = []
-        for i in range(0, len(texts), 4096):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts[i:i + 4096], add_special_tokens=False)]
+        for i in range(0, len(texts), 1 << 16):
+            got = self._ids_of(texts[i:i + (1 << 16)])
             sizes[i:i + len(got)] = [len(x) for x in got]
             parts.append(np.array([t for x in got for t in x], np.uint32))
         flat = np.concatenate(parts)
