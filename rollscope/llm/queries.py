@@ -3,7 +3,7 @@ operator, with production parameters, to a whole table and returns the digest
 columns of its contract."""
 from __future__ import annotations
 
-from . import op2_huffman, op3_substring, op4_fingerprint, op5_chat, op6_mixing, op8_packing, op9_quality, op10_secrets
+from . import op2_huffman, op3_substring, op4_fingerprint, op5_chat, op6_mixing, op7_language, op8_packing, op9_quality, op10_secrets
 from pyspark.sql import functions as F
 
 from .common import documents
@@ -39,6 +39,10 @@ def op6_source_mixing(spark, sf_dir):
     return planned.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_language_id(spark, sf_dir):
+    return op7_language.identify(documents(spark, sf_dir))
+
+
 def op8_best_fit_packing(spark, sf_dir):
     return op8_packing.pack(documents(spark, sf_dir), ids=False)
 
@@ -54,6 +58,6 @@ def op10_secret_scans(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_huffman_tokens, op3_substring_dedup, op4_minhash_fingerprints,
-    op5_chat_format, op6_source_mixing, op8_best_fit_packing, op9_quality_rules,
+    op5_chat_format, op6_source_mixing, op7_language_id, op8_best_fit_packing, op9_quality_rules,
     op10_secret_scans)}
 ORACLE: dict[str, str] = {}
