@@ -1,7 +1,53 @@
-"""Corpus pipeline."""
-STAGES = []
+"""Corpus pipeline: quality rules, near-duplicate removal, secret redaction, mixing, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run``
+writes every stage's result to a Parquet table in the shared folder and reads it
+back as the next stage's documents.  All but the last return the columns of
+``documents``.
+"""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from rollscope.llm import op1_jaccard, op6_mixing, op8_packing, op9_quality, op10_secrets
+from rollscope.llm.common import cut, documents, small_batches
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers of their language and source."""
+    small_batches(spark)
+    return op9_quality.filtered(docs)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (the smallest doc_id) of each component of linked documents."""
+    small_batches(spark)
+    return op1_jaccard.representatives(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with ``[SECRET]`` in place of every span found."""
+    return op10_secrets.redact(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's rate and its own draw say."""
+    return op6_mixing.mix(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in the packed sequences."""
+    small_batches(spark)
+    return op8_packing.pack(docs)
+
+
+STAGES = [("quality", quality), ("deduplicate", deduplicate), ("secrets", secrets), ("mixing", mixing), ("packing", packing)]
+#: The stages on fitted covariances and token ids have no SQL form; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as W
 from .common import cut
@@ -103,10 +104,7 @@ def with_stats(docs: DataFrame) -> DataFrame:
         W.release()
 
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    schema = packed.schema
-    for c in STATS:
-        schema = schema.add(c, "long")
-    return packed.mapInArrow(run, schema)
+    return packed.mapInArrow(run, T.StructType([*packed.schema.fields, *[T.StructField(c, T.LongType()) for c in STATS]]))
 
 
 def light_stats(docs: DataFrame) -> DataFrame:
