@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import COUNTER_SCHEMA, components, counter_rows, cut, merged_counters
+from .common import COUNTER_SCHEMA, components, counter_rows, cut, drop, merged_counters
 
 SKETCH_BITS = 18          # counters of the order sketch: 2^18, whatever the data
 FILTER_BITS = 23          # bits of the id filter: 1 MB, whatever the data
@@ -62,44 +62,62 @@ def sets_of(col, k: int):
                 yield i + r, np.zeros(0, np.uint64)
 
 
-def order_sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """Counters of n-grams by hash prefix, as levels 0..255 (rare to common)."""
-    def count(batches):
+def survey(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, n, digest) for each document (digest null for an empty set), and
+    the order sketch: counters of n-grams by hash prefix, as levels 0..255, rare to common."""
+    def run(batches):
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
-            for _, h in sets_of(b.column(0), k):
+            n, digest = [], []
+            for _, h in sets_of(b.column(1), k):
+                n.append(len(h))
+                digest.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                 np.add.at(total, h >> np.uint64(64 - SKETCH_BITS), 1)
-        yield counter_rows(total)
+            none = [None] * len(b)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(digest, pa.binary()),
+                 pa.array(none, pa.int32()), pa.array(none, pa.binary())], names)
+        counts = counter_rows(total)
+        none = [None] * len(counts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(none, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary()), *counts.columns], names)
         W.release()
 
-    counts = merged_counters(docs.select("text").mapInArrow(count, COUNTER_SCHEMA), 1 << SKETCH_BITS)
-    return np.minimum(255, 6 * np.log2(1.0 + counts)).astype(np.uint8)
+    names = ["doc_id", "n", "digest", "slice", "counts"]
+    table = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, f"doc_id long, n int, digest binary, {COUNTER_SCHEMA}"), "survey")
+    counts = merged_counters(table.where("slice is not null").select("slice", "counts"), 1 << SKETCH_BITS)
+    return (table.where("slice is null").select("doc_id", "n", "digest"),
+            np.minimum(255, 6 * np.log2(1.0 + counts)).astype(np.uint8))
 
 
-def with_prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, digest, prefix) for each document; digest null for an empty set."""
-    level = docs.sparkSession.sparkContext.broadcast(order_sketch(docs, k))
+def index_entries(docs: DataFrame, ids: np.ndarray, level: np.ndarray, k: int, percent: int) -> DataFrame:
+    """(id, n, pos, token) for the prefix of each set whose id is in the filter ``ids``."""
+    shared = docs.sparkSession.sparkContext.broadcast((np.packbits(ids), level))
 
     def prefix(batches):
+        bits, level = shared.value
+        bits = np.unpackbits(bits).astype(bool)
         for b in batches:
-            n, digest, pre = [], [], []
+            b = b.filter(pa.array(bits[hashed(b.column(0))]))
+            n, pre = [], []
             for _, h in sets_of(b.column(1), k):
                 m = len(h)
                 n.append(m)
-                if not m:
-                    digest.append(None)
-                    pre.append(None)
-                    continue
-                digest.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
-                rare = np.lexsort((h, level.value[h >> np.uint64(64 - SKETCH_BITS)]))
+                rare = np.lexsort((h, level[h >> np.uint64(64 - SKETCH_BITS)])) if m else np.zeros(0, np.int64)
                 pre.append(h[rare[:m - (percent * m + 99) // 100 + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(digest, pa.binary()),
-                 pa.array(pre, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(pre, pa.list_(pa.int64()))],
+                                             ["id", "n", "prefix"])
         W.release()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        prefix, "doc_id long, n int, digest binary, prefix array<long>")
+    return (docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
+            .mapInArrow(prefix, "id long, n int, prefix array<long>").select("id", "n", F.posexplode("prefix").alias("pos", "token")))
+
+
+def hashed(ids) -> np.ndarray:
+    """Places of an Arrow column of ids in an id filter."""
+    return (W.mix64(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
@@ -107,7 +125,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     def bits(batches):
         total = np.zeros(1 << FILTER_BITS, bool)
         for b in batches:
-            total[W.mix64(b.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - FILTER_BITS)] = True
+            total[hashed(b.column(0))] = True
         yield counter_rows(np.packbits(total).view(np.int64))
 
     # the words of the bitmaps are or-ed on the executors, slice by slice
@@ -128,33 +146,35 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return np.unpackbits(out.reshape(-1).view(np.uint8)).astype(bool)
 
 
-def sets_table(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, hashes) for the documents in ``ids`` and the few others that the filter lets through."""
-    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(id_filter(ids)))
+def sets_for(docs: DataFrame, a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """(id, hashes, in_a, in_b): the sets of the ids in ``a`` and ``b`` (and of the
+    few others that the id filters let through), built from the text again."""
+    ends = [np.packbits(id_filter(x.select(F.col(x.columns[0]).alias("id")).distinct())) for x in (a, b)]
+    shared = docs.sparkSession.sparkContext.broadcast(ends)
 
     def build(batches):
-        bits = np.unpackbits(wanted.value).astype(bool)
+        first, second = (np.unpackbits(x).astype(bool) for x in shared.value)
         for b in batches:
-            ids_ = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            keep = bits[W.mix64(ids_.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)]
-            b = b.filter(pa.array(keep))
+            at = hashed(b.column(0))
+            b = b.append_column("in_a", pa.array(first[at])).append_column("in_b", pa.array(second[at]))
+            b = b.filter(pa.array(first[at] | second[at]))
             if len(b):
                 sets = [h.view(np.int64) for _, h in sets_of(b.column(1), k)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))],
-                                                 ["id", "hashes"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array(sets, pa.list_(pa.int64())), b.column(2), b.column(3)], ["id", "hashes", "in_a", "in_b"])
         W.release()
 
     return cut(docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
-               .mapInArrow(build, "id long, hashes array<long>"), "sets")
+               .mapInArrow(build, "id long, hashes array<long>, in_a boolean, in_b boolean"), "sets")
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def compared(sets: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """Exact sizes and overlap of the sets of each pair: (a, b, na, nb, common)."""
-    x = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
-    y = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
-    return pairs.join(y, "b").join(x, "a").select(
+    x = sets.where("in_a").select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
+    y = sets.where("in_b").select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
+    return cut(pairs.join(y, "b").join(x, "a").select(
         "a", "b", F.size("ha").alias("na"), F.size("hb").alias("nb"),
-        F.size(F.array_intersect("ha", "hb")).alias("common"))
+        F.size(F.array_intersect("ha", "hb")).alias("common")), name)
 
 
 def linked(percent: int):
@@ -177,12 +197,9 @@ def join_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame
     has one row per document; ``links(a, b, na, nb, common)`` the exact pairs
     between distinct sets that tie each component together."""
     slack = 1 - percent / 100 + 1e-9
-    table = cut(with_prefixes(docs, k, percent), "prefixes")
+    table, level = survey(docs, k)
     reps = cut(table.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id")), "reps")
-    first = table.where("digest is not null").join(reps.select("digest", F.col("id").alias("doc_id")),
-                                                   ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"])
-    entry = first.select(
-        F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "token"))
+    entry = index_entries(docs, id_filter(reps.select("id")), level, k, percent)
     lists = Window.partitionBy("token")
     index = cut(entry.select("token", "id", "n", "pos", F.count("*").over(lists).alias("c"),
                              F.min(F.struct("id", "n", "pos")).over(lists).alias("p"))
@@ -192,8 +209,9 @@ def join_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame
     # the pivots' answers
     stars = cut(index.where("id <> pid").where(may_link(percent, "", "p"))
                 .select(F.col("pid").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    sets = sets_table(docs, index.select("id").distinct(), k)
-    found = cut(compared(stars, sets), "answers")
+    sets = sets_for(docs, stars.select("a"), stars.select("b"), k)
+    found = compared(sets, stars, "answers")
+    drop(sets)
     links = found.where(linked(percent))
     label = cut(components(links.select("a", "b")), "labels")
 
@@ -211,13 +229,18 @@ def join_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame
     if roots.isEmpty():
         all_links = links
     else:
-        root_found = cut(compared(roots, sets), "root-answers")
+        heads = blocks.select("token", F.col("a").alias("label")).union(blocks.select("token", F.col("b").alias("label")))
+        touched = mixed.join(heads.distinct(), ["token", "label"], "left_semi").select("id", "label")
+        touched = cut(touched.select("id").union(touched.select(F.col("label").alias("id"))).distinct(), "touched")
+        sets = sets_for(docs, touched, touched, k)
+        root_found = compared(sets, roots, "root-answers")
         open_roots = root_found.where(~linked(percent)).select("a", "b", distance().alias("d"))
         ends = open_roots.select(F.col("a").alias("label")).union(open_roots.select(F.col("b").alias("label"))).distinct()
         member = label.where("id <> comp").select(F.col("comp").alias("a"), F.col("id").alias("b"))
-        member = member.join(ends.select(F.col("label").alias("a")), "a", "left_semi")
-        away = cut(compared(member, sets).select(F.col("b").alias("id"), F.col("a").alias("label"),
-                                                 distance().alias("away")), "away")
+        member = member.join(ends.select(F.col("label").alias("a")), "a", "left_semi").join(
+            touched.select(F.col("id").alias("b")), "b", "left_semi")
+        away = compared(sets, member, "away").select(F.col("b").alias("id"), F.col("a").alias("label"),
+                                                        distance().alias("away"))
         most = away.groupBy("label").agg(F.max("away").alias("most"))
         close = (open_roots.join(most.select(F.col("label").alias("a"), F.col("most").alias("ma")), "a", "left")
                  .join(most.select(F.col("label").alias("b"), F.col("most").alias("mb")), "b", "left")
@@ -233,14 +256,17 @@ def join_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame
                 .where(may_link(percent, "x", "y"))
                 .where(F.col("d") <= slack + F.col("xaway") + F.col("yaway"))
                 .select(F.col("xid").alias("a"), F.col("yid").alias("b")).distinct())
-        more = cut(compared(rest, sets).where(linked(percent)), "more")
+        more = compared(sets, rest, "more").where(linked(percent))
         all_links = links.union(root_found.where(linked(percent))).union(more)
-        label = cut(components(all_links.select("a", "b")), "labels")
+        # the labels found so far stand for their links
+        grown = label.where("id <> comp").select(F.col("comp").alias("a"), F.col("id").alias("b"))
+        grown = grown.union(root_found.where(linked(percent)).select("a", "b")).union(more.select("a", "b"))
+        label = cut(components(grown), "labels")
 
     members = (table.join(reps, "digest", "left").join(label, "id", "left")
                .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
-                       F.coalesce("id", "doc_id").alias("set_id"),
-                       F.coalesce("comp", "id", "doc_id").alias("component_id")))
+                       F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")).alias("set_id"),
+                       F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "id", "doc_id")).alias("component_id")))
     return members, all_links
 
 

@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 from . import words as W
 
 WORD_BPE = "word_bpe_49k.json"
-MOST_WORDS = 1 << 21          # words that a worker keeps
-MOST_PIECES = 1 << 20
+MOST_WORDS = 1 << 20          # words that a worker keeps (about 50 bytes each)
+MOST_PIECES = 1 << 18         # and pieces (about 200 bytes each)
 #: The tokenizer's own split (contractions, letters, single digits, other signs), spelt out for lower-case
 #: Latin-1, where normalising changes nothing and lower-casing maps single letters.
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
@@ -50,48 +51,46 @@ class Encoder:
 
     def clear(self):
         self.keys = np.zeros(0, np.uint64)                  # hashes of the words, sorted
-        self.at = np.zeros(0, np.int64)                     # where a word's ids begin in the pool
-        self.size = np.zeros(0, np.int64)
+        self.at = np.zeros(0, np.int32)                     # where a word's ids begin in the pool
+        self.size = np.zeros(0, np.int32)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _know_pieces(self, new: list[str]):
         """Ids of single pieces, straight from the tokenizer's merge model."""
-        if len(self.pieces) + len(new) > MOST_PIECES:
-            self.pieces.clear()
         merge = self.tokenizer.model.tokenize
-        # (printable ASCII is its own byte alphabet; tuples of numbers are left alone by the garbage collector)
-        self.pieces.update((x, tuple(t.id for t in merge(x if x.isascii() else x.encode().decode("latin-1").translate(_LETTER))))
-                           for x in new)
+        # (printable ASCII is its own byte alphabet)
+        self.pieces.update((x, array("I", [t.id for t in merge(
+            x if x.isascii() else x.encode().decode("latin-1").translate(_LETTER))]).tobytes()) for x in new)
 
-    def _ids_of(self, texts: list[str]) -> list:
+    def _ids_of(self, texts: list[str]) -> list[bytes]:
         """Ids of white-space free words: by pieces where these are certain, else by the tokenizer."""
         if not self.by_pieces:
             return self._encode(texts)
         split = [_PIECES(x.lower()) if _PLAIN(x) and "<|" not in x else None for x in texts]
-        self._know_pieces([x for x in dict.fromkeys(p for x in split if x for p in x) if x not in self.pieces])
-        rest = iter(self._encode([t for t, x in zip(texts, split) if x is None]))
         known = self.pieces
-        return [next(rest) if x is None else known[x[0]] if len(x) == 1 else [t for p in x for t in known[p]] for x in split]
+        new = {p for x in split if x for p in x}
+        if len(known) + len(new) > MOST_PIECES:
+            known.clear()
+        self._know_pieces([x for x in new if x not in known])
+        rest = iter(self._encode([t for t, x in zip(texts, split) if x is None]))
+        return [next(rest) if x is None else known[x[0]] if len(x) == 1 else b"".join([known[p] for p in x]) for x in split]
 
     def _learn(self, keys, texts):
         if len(self.keys) + len(keys) > MOST_WORDS:
             self.clear()
-        sizes = np.empty(len(keys), np.int64)
-        parts = []
-        for i in range(0, len(texts), 1 << 16):
-            got = self._ids_of(texts[i:i + (1 << 16)])
-            sizes[i:i + len(got)] = [len(x) for x in got]
-            parts.append(np.array([t for x in got for t in x], np.uint32))
-        flat = np.concatenate(parts)
+        got = [x for i in range(0, len(texts), 1 << 14) for x in self._ids_of(texts[i:i + (1 << 14)])]
+        sizes = np.array([len(x) for x in got], np.int32) // 4
+        flat = np.frombuffer(b"".join(got), np.uint32)
+        del got
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
         self.pool[self.used:self.used + len(flat)] = flat
-        at = self.used + np.cumsum(sizes) - sizes
+        at = (self.used + np.cumsum(sizes) - sizes).astype(np.int32)
         self.used += len(flat)
         keys, at, sizes = (np.concatenate(x) for x in ((self.keys, keys), (self.at, at), (self.size, sizes)))
         order = np.argsort(keys, kind="stable")
