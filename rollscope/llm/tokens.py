@@ -1,14 +1,19 @@
-"""Token ids of whole texts with a public tokenizer, one encoding per distinct word.
+"""Token ids of whole texts with a public tokenizer, one encoding per distinct piece.
 
-The tokenizer normalises and splits at white space before its merges, so the
-ids of a text are the ids of its white-space separated words in order.  Each
-Python worker keeps the ids of words it has met (a bounded table of arrays,
-emptied when full); a text's ids are then gathered by numpy.
+The tokenizer normalises, splits and only then merges, so the ids of a text are
+the ids of its pieces in order.  White space always splits.  Words of plain
+signs (printable ASCII without the apostrophe, and the letters U+00C0-U+00FF)
+are split further into the tokenizer's own pieces by numpy: normalising leaves
+them alone and lower-casing maps letter by letter; a piece goes straight to the
+merge model.  All other words go through the whole tokenizer.
+
+Each Python worker keeps the ids of what it has met (a bounded table of arrays,
+emptied when full); a text's ids are gathered by numpy.
 """
 from __future__ import annotations
 
+import gc
 import os
-import re
 from array import array
 
 import numpy as np
@@ -16,18 +21,53 @@ import numpy as np
 from . import words as W
 
 WORD_BPE = "word_bpe_49k.json"
-MOST_WORDS = 1 << 20          # words that a worker keeps (about 50 bytes each)
-MOST_PIECES = 1 << 18         # and pieces (about 200 bytes each)
-#: The tokenizer's own split (contractions, letters, single digits, other signs), spelt out for lower-case
-#: Latin-1, where normalising changes nothing and lower-casing maps single letters.
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
-                     "|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+").findall
-_PLAIN = re.compile("[!-~\xa1-\xff]+").fullmatch        # Latin-1 without controls and blanks
+MOST_UNITS = 1 << 21          # pieces and words that a worker keeps (about 40 bytes each)
+SLICE = 1 << 21
+
+# classes of bytes: 0 white space, 1 letter, 2 digit (a piece of its own), 3 other sign, 9 not plain
+_CLASS = np.full(256, 9, np.uint8)
+_CLASS[33:127] = 3
+_CLASS[[*range(65, 91), *range(97, 123)]] = 1
+_CLASS[48:58] = 2
+_CLASS[ord("'")] = 9                                   # contractions are left to the tokenizer
+_CLASS[W._SPACE] = 0
+_CLASS[0xC3] = 1
+_CLASS[0x80:0xC0] = 1                                  # after 0xC3 only
 #: The byte alphabet of byte-level merges: printable Latin-1 bytes stand for themselves, the others, in
 #: order, for the letters from U+0100 on.
 _LETTER = {b: 256 + i for i, b in enumerate(x for x in range(256) if not (33 <= x <= 126 or 161 <= x <= 172 or x >= 174))}
 
 
+def find_units(data: np.ndarray, off: np.ndarray):
+    """(start, end, first, whole, lowered bytes): byte ranges of the units, each
+    row's first unit, and which units are whole words for the tokenizer."""
+    start, end, first = W.find_words(data, off)
+    if not len(start):
+        return start, end, first, np.zeros(0, bool), data
+    before = np.concatenate([[0], data[:-1]]).astype(np.uint8)
+    kind = _CLASS[data]
+    follows = (data & 0xC0) == 0x80
+    kind[follows & (before != 0xC3)] = 9
+    sign = np.flatnonzero(follows & ((data == 0x97) | (data == 0xB7)) & (before == 0xC3))      # the signs U+00D7, U+00F7
+    kind[sign] = kind[sign - 1] = 3
+    kind[:-1][(data[:-1] == 60) & (data[1:] == 124)] = 9                                        # "<|": special tokens
+    odd = np.concatenate([[0], np.cumsum(kind == 9)])
+    odd = odd[end] > odd[start]
+    change = np.zeros(len(data) + 1, np.int8)
+    change[start[odd]] += 1
+    change[end[odd]] -= 1
+    whole = np.cumsum(change[:-1]) > 0
+    inside = kind != 0
+    s = inside & ~whole & ((kind != np.concatenate([[0], kind[:-1]])) | (kind == 2))
+    s[start] = True
+    edge = np.zeros(len(data), bool)
+    edge[end - 1] = True
+    edge[:-1] |= s[1:] & inside[:-1]
+    low = data + 32 * (((data >= 65) & (data <= 90)) | ((before == 0xC3) & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)))
+    unit = np.flatnonzero(s)
+    return unit, np.flatnonzero(edge) + 1, np.searchsorted(unit, off), whole[unit], low.astype(np.uint8)
+
+
 class Encoder:
     _made: dict[str, "Encoder"] = {}
 
@@ -50,74 +90,68 @@ class Encoder:
         self.clear()
 
     def clear(self):
-        self.keys = np.zeros(0, np.uint64)                  # hashes of the words, sorted
-        self.at = np.zeros(0, np.int32)                     # where a word's ids begin in the pool
+        self.keys = np.zeros(0, np.uint64)                  # hashes of the units, sorted
+        self.at = np.zeros(0, np.int32)                     # where a unit's ids begin in the pool
         self.size = np.zeros(0, np.int32)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.pieces: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _know_pieces(self, new: list[str]):
-        """Ids of single pieces, straight from the tokenizer's merge model."""
-        merge = self.tokenizer.model.tokenize
-        # (printable ASCII is its own byte alphabet)
-        self.pieces.update((x, array("I", [t.id for t in merge(
-            x if x.isascii() else x.encode().decode("latin-1").translate(_LETTER))]).tobytes()) for x in new)
-
-    def _ids_of(self, texts: list[str]) -> list[bytes]:
-        """Ids of white-space free words: by pieces where these are certain, else by the tokenizer."""
-        if not self.by_pieces:
-            return self._encode(texts)
-        split = [_PIECES(x.lower()) if _PLAIN(x) and "<|" not in x else None for x in texts]
-        known = self.pieces
-        new = {p for x in split if x for p in x}
-        if len(known) + len(new) > MOST_PIECES:
-            known.clear()
-        self._know_pieces([x for x in new if x not in known])
-        rest = iter(self._encode([t for t, x in zip(texts, split) if x is None]))
-        return [next(rest) if x is None else known[x[0]] if len(x) == 1 else b"".join([known[p] for p in x]) for x in split]
-
-    def _learn(self, keys, texts):
-        if len(self.keys) + len(keys) > MOST_WORDS:
-            self.clear()
-        got = [x for i in range(0, len(texts), 1 << 14) for x in self._ids_of(texts[i:i + (1 << 14)])]
-        sizes = np.array([len(x) for x in got], np.int32) // 4
-        flat = np.frombuffer(b"".join(got), np.uint32)
-        del got
+
+    def _learn(self, keys, units):
+        """Keep the ids of new units: bytes that are a plain piece, or (True, bytes of a word)."""
+        gc.disable()              # many small objects come and go: nothing here makes cycles
+        try:
+            merge = self.tokenizer.model.tokenize
+            words = [u.decode() for w, u in units if w]
+            rest = iter([e.ids for i in range(0, len(words), 4096)
+                         for e in self.tokenizer.encode_batch_fast(words[i:i + 4096], add_special_tokens=False)])
+            got = [array("I", next(rest) if w else
+                         [t.id for t in merge(u.decode() if u.isascii() else u.decode("latin-1").translate(_LETTER))])
+                   for w, u in units]
+            sizes = np.array([len(x) for x in got], np.int32)
+            flat = np.frombuffer(b"".join(got), np.uint32)
+            del got, rest
+        finally:
+            gc.enable()
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
         self.pool[self.used:self.used + len(flat)] = flat
         at = (self.used + np.cumsum(sizes) - sizes).astype(np.int32)
         self.used += len(flat)
-        keys, at, sizes = (np.concatenate(x) for x in ((self.keys, keys), (self.at, at), (self.size, sizes)))
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.size = keys[order], at[order], sizes[order]
+        place = np.searchsorted(self.keys, keys)            # both sorted: one pass of inserts
+        self.keys, self.at, self.size = (np.insert(a, place, b) for a, b in (
+            (self.keys, keys), (self.at, at), (self.size, sizes)))
+
+    def _find(self, keys):
+        pos = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(pos, len(self.keys) - 1)] == keys
+        return pos, known
 
     def encode(self, col):
         """Yield (row, ids) for every text of an Arrow string column (null: no ids)."""
         data, off = W.text_bytes(col)
-        table = W.byte_table(seed=7)
-        for i, j, part, po in W.slices(data, off):
-            start, end, first = W.find_words(part, po)
-            h = W.word_hashes(part, start, end, table)
+        for i, j, part, po in W.slices(data, off, SLICE):
+            if self.by_pieces:
+                start, end, first, whole, low = find_units(part, po)
+            else:
+                (start, end, first), low = W.find_words(part, po), part
+                whole = np.ones(len(start), bool)
+            h = W.word_hashes(low, start, end, W.byte_table(seed=7))
+            h[whole] = W.word_hashes(part, start[whole], end[whole], W.byte_table(seed=8))
             keys, one, where = np.unique(h, return_index=True, return_inverse=True)
-            def find():
-                p = np.searchsorted(self.keys, keys)
-                return p, (self.keys[np.minimum(p, len(self.keys) - 1)] == keys) if len(self.keys) else np.zeros(len(keys), bool)
-            pos, known = find()
+            pos, known = self._find(keys)
             if not known.all():
-                raw = part.tobytes()
-                if len(self.keys) + len(keys) > MOST_WORDS:
+                if len(self.keys) + len(keys) > MOST_UNITS:
                     self.clear()
                     known[:] = False
+                raw, lower = part.tobytes(), low.tobytes()
                 new = np.flatnonzero(~known)
-                self._learn(keys[new], [raw[start[x]:end[x]].decode() for x in one[new]])
-                pos, _ = find()
+                self._learn(keys[new], [(w, (raw if w else lower)[a:b]) for w, a, b in zip(
+                    whole[one[new]].tolist(), start[one[new]].tolist(), end[one[new]].tolist())])
+                pos, _ = self._find(keys)
             at, size = self.at[pos][where], self.size[pos][where]
-            total = np.concatenate([[0], np.cumsum(size)])
+            total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
             ids = self.pool[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
             cut = total[first]
             for r in range(j - i):

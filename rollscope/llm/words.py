@@ -72,12 +72,12 @@ def text_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0]:off[-1]], off - off[0]
 
 
-def slices(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of rows of about SLICE bytes;
+def slices(data: np.ndarray, off: np.ndarray, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of runs of rows of about ``size`` bytes;
     a longer text makes a run of its own."""
     i, n = 0, len(off) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(off, off[i] + size, side="right")) - 1)
         j = min(j, n)
         yield i, j, data[off[i]:off[j]], off[i:j + 1] - off[i]
         i = j

@@ -41,7 +41,7 @@ def test_encoder_equals_library(texts):
 
 
 def test_encoder_forgets_when_full(library, monkeypatch):
-    monkeypatch.setattr("rollscope.llm.tokens.MOST_WORDS", 50)
+    monkeypatch.setattr("rollscope.llm.tokens.MOST_UNITS", 50)
     texts = [" ".join(f"word{random.Random(i).randrange(200)}" for i in range(k, k + 40)) for k in range(0, 400, 40)]
     got = [x.tolist() for _, x in Encoder(WORD_BPE).encode(pa.array(texts))]
     assert got == [library.encode(x, add_special_tokens=False).ids for x in texts]
