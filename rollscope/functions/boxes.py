@@ -16,15 +16,18 @@ from .text import _c, extract_answer, jre
 
 BOX_TYPE = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
 
-# JSON number / scalar grammar used to tell valid JSON apart from junk
-_NUM = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
-_STR = r'"(?:[^"\\]|\\.)*"'
+# JSON grammar used to tell valid JSON apart from junk, after spaces and newlines are deleted: tab and CR
+# stay and are white space between tokens (and not allowed in strings); NaN and Infinity count as numbers.
+_WS = r"[\t\r]*"
+_NUM = r"(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|NaN|-?Infinity)"
+_STR = r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"'
+_VALUE = f"(?:{_NUM}|{_STR}|true|false|null)"
+_PAIR = f"{_WS}{_STR}{_WS}:{_WS}{_VALUE}{_WS}"
 # a flat JSON object (no brackets can occur inside a matched bracket)
-_OBJ = r'\{(?:' + _STR + r':(?:' + _NUM + r'|' + _STR + r'|true|false|null)(?:,' + _STR + r':(?:' + _NUM + r'|' + _STR \
-    + r'|true|false|null))*)?\}'
-_SCALAR = r'(?:' + _NUM + r'|' + _STR + r'|true|false|null|' + _OBJ + r')'
-JSON_FOUR = r"\A\[" + _NUM + r"(?:," + _NUM + r"){3}\]\z"
-JSON_LIST = r"\A\[(?:" + _SCALAR + r"(?:," + _SCALAR + r")*)?\]\z"
+_OBJ = r"\{(?:" + _PAIR + "(?:," + _PAIR + r")*|" + _WS + r")\}"
+_ITEM = f"{_WS}(?:{_VALUE}|{_OBJ}){_WS}"
+JSON_FOUR = r"\A\[" + f"{_WS}{_NUM}{_WS}(?:,{_WS}{_NUM}{_WS})" + r"{3}\]\z"
+JSON_LIST = r"\A\[(?:" + _ITEM + "(?:," + _ITEM + ")*|" + _WS + r")\]\z"
 
 
 def box(x1, y1, x2, y2) -> Column:
@@ -42,27 +45,17 @@ def nonempty_or_null(boxes) -> Column:
 
 
 # ---------------------------------------------------------------------- X1
-def parse_bracket(m) -> Column:
-    """One ``[...]`` match -> box or NULL.  After deleting spaces/newlines a
+def parse_brackets(found) -> Column:
+    """Each ``[...]`` match -> box or NULL.  After deleting spaces and newlines a
     valid 4-number JSON list is taken as is; any other valid JSON list is
     dropped; text that is not JSON falls back to the numbers inside the raw
-    match, kept when there are exactly four."""
-    clean = F.translate(m, "\n ", "")
-    four = F.split(F.substring(clean, 2, F.length(clean) - 2), ",")
-    nums = F.regexp_extract_all(m, F.lit(jre(K.BRACKET_NUMBER)), 0)
-    return (F.when(clean.rlike(JSON_FOUR), _box_from_strs(four))
-             .when(clean.rlike(JSON_LIST), F.lit(None))
-             .when(F.size(nums) == 4, _box_from_strs(nums)))
-
-
-def parse_brackets(found) -> Column:
-    """``parse_bracket`` over an array of matches, staged so that inside the
+    match, kept when there are exactly four.  Staged so that inside the
     (interpreted) lambdas every intermediate -- the cleaned text, the JSON
     split -- is computed once per element, not once per use."""
     staged = F.transform(_c(found), lambda m: F.struct(m.alias("raw"), F.translate(m, "\n ", "").alias("c")))
     staged = F.transform(staged, lambda s: F.struct(
         s["raw"].alias("raw"), s["c"].alias("c"),
-        F.when(s["c"].rlike(JSON_FOUR), F.split(F.substring(s["c"], 2, F.length(s["c"]) - 2), ",")).alias("four")))
+        F.when(s["c"].rlike(JSON_FOUR), F.split(F.translate(s["c"], "[]\t\r", ""), ",")).alias("four")))
 
     def fallback(raw):
         nums = F.regexp_extract_all(raw, F.lit(jre(K.BRACKET_NUMBER)), 0)
@@ -76,7 +69,7 @@ def parse_brackets(found) -> Column:
 
 def extract_boxes(text) -> Column:
     """X1 ``extract_bbox``: last ``<answer>`` block (DOTALL), every bracket
-    without nested brackets, parsed by ``parse_bracket``; NULL when no
+    without nested brackets, parsed by ``parse_brackets``; NULL when no
     answer or no box."""
     ans = extract_answer(text, "b")
     found = F.regexp_extract_all(ans, F.lit(jre(K.BRACKET)), 0)
@@ -201,12 +194,14 @@ def one_box_format(completion) -> Column:
 # --------------------------------------------------------------------- X14
 def rescale(v, scale, size: int) -> Column:
     """X14 one coordinate: round half-even, clamp to [0, size - 1], int."""
-    return F.least(F.greatest(F.rint(_c(v) * scale), F.lit(0.0)), F.lit(float(size - 1))).cast("int")
+    x = F.rint(_c(v) * scale)
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(float(size - 1)))).cast("int")
 
 
 def rescale_box(b, width, height, target=K.RESCALE_TARGET) -> Column:
+    """A box on the target size; coordinates are NULL where the image's size is missing or 0."""
     b = _c(b)
-    sx = F.lit(float(target[0])) / _c(width)
-    sy = F.lit(float(target[1])) / _c(height)
+    sx = F.lit(float(target[0])) / F.when(_c(width) > 0, _c(width))
+    sy = F.lit(float(target[1])) / F.when(_c(height) > 0, _c(height))
     return F.struct(rescale(b["x1"], sx, target[0]).alias("x1"), rescale(b["y1"], sy, target[1]).alias("y1"),
                     rescale(b["x2"], sx, target[0]).alias("x2"), rescale(b["y2"], sy, target[1]).alias("y2"))

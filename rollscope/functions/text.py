@@ -7,6 +7,8 @@ row.  Patterns are written in Python syntax and ported to Java syntax by
 Port rules (Python ``re`` on ``str`` -> ``java.util.regex``):
   * ``.`` without DOTALL excludes only ``\\n`` in Python -> ``(?d)`` (UNIX_LINES)
   * ``\\w \\d \\s \\b`` are Unicode in Python            -> ``(?U)``
+  * ``\\s`` and ``str.strip`` in Python also take U+001C-U+001F, which Java's
+    White_Space lacks                                   -> an explicit class
   * ``fullmatch``                                       -> ``\\A(?:...)\\z``
 """
 from __future__ import annotations
@@ -21,9 +23,28 @@ from . import constants as K
 _REGEX_SPECIAL = set("\\.^$|?*+()[]{}")
 
 
+def _python_space(pattern: str) -> str:
+    """Write ``\\s`` and ``\\S`` out so that they take the separators U+001C-U+001F too."""
+    out, i, inside = [], 0, False
+    while i < len(pattern):
+        two = pattern[i:i + 2]
+        if two in ("\\s", "\\S") and (two == "\\s" or not inside):
+            span = "\\s\\x1c-\\x1f"
+            out.append(span if inside else f"[{span}]" if two == "\\s" else f"[^{span}]")
+        elif two[0] == "\\":
+            out.append(two)
+        else:
+            inside = two[0] == "[" or (inside and two[0] != "]")
+            out.append(two[0])
+            i -= 1
+        i += 2
+    return "".join(out)
+
+
 def jre(pattern: str, *, dotall: bool = False, multiline: bool = False,
         icase: bool = False, full: bool = False) -> str:
     """Port a Python regex to an equivalent Java regex string."""
+    pattern = _python_space(pattern)
     flags = "dU" + ("s" if dotall else "") + ("m" if multiline else "") + ("i" if icase else "")
     body = f"\\A(?:{pattern})\\z" if full else pattern
     return f"(?{flags}){body}"
@@ -45,7 +66,7 @@ def _c(c) -> Column:
 
 def py_strip(c) -> Column:
     """Python ``str.strip()``: remove leading and trailing Unicode whitespace."""
-    return F.regexp_replace(_c(c), r"(?U)\A\s+|\s+\z", "")
+    return F.regexp_replace(_c(c), jre(r"\A\s+|\s+\z"), "")
 
 
 # ---------------------------------------------------------------- T8, T9, T10
@@ -139,13 +160,18 @@ def remove_sentences_with_words(c, words: Sequence[str], enders: str = K.SENTENC
     whitespace; strip.  A trailing piece without an ender always stays.
 
     Deleting sentences word by word is the same as keeping the sentences that
-    contain none of the words (words hold no ender, so sentence boundaries
-    never move).  Splitting into sentences once is linear in the text length,
+    contain none of the words, as long as no word holds an ender (sentence
+    boundaries never move).  If one does (``e.g.``), a match of it runs across
+    boundaries, and the words are deleted one after the other.  Splitting into sentences once is linear in the text length,
     where the per-word ``[^E]*word[^E]*[E]`` scan backtracks quadratically on
     long texts without enders.
     """
     e = _class_escape(enders)
     t = F.regexp_replace(_c(c), "\n", " ")
+    if any(x in enders for w in words for x in w):
+        for w in words:
+            t = F.regexp_replace(t, f"[^{e}]*{escape(w)}[^{e}]*[{e}]", "")
+        return py_strip(F.regexp_replace(t, jre(r"\s+"), " "))
     pieces = F.regexp_extract_all(t, F.lit(f"[^{e}]*[{e}]|[^{e}]+\\z"), 0)
     ws = [w for w in words if w]
     if ws:

@@ -1,10 +1,10 @@
 """Group statistics over rollouts and per-step metrics.
 
 Rollout groups are keyed explicitly by ``(step, group_id)``; one rollout is
-one row.  Every grouped statistic is a hash aggregate with map-side
-partial aggregation (G2/G3 join the per-group statistics back; L4 is a
-``max_by``; G7/G9 are partial + final), so a hot group, step or metric is
-pre-aggregated before any shuffle.
+one row.  G2/G3 are windows over one exchange by group (a group is bounded by
+G); L4 is rank 1 of a window, limited map-side; the step metrics G7/G9 are
+partial and final hash aggregates, so a hot step or metric is pre-aggregated
+before the shuffle.
 """
 from __future__ import annotations
 
@@ -63,13 +63,11 @@ def best_of_group(df: DataFrame, reward: str = "reward", keys: Sequence[str] = G
     """L4 rejection sampling: keep the best rollout of each group (ties go to
     the lowest ``tiebreak``), optionally only when it reaches ``min_reward``.
 
-    A ``max_by`` aggregate, not a ranking window: each task keeps only its
-    current best row per group and partial results are merged, so a hot
-    group is reduced map-side before the shuffle."""
-    others = [c for c in df.columns if c not in keys]
-    order = F.struct(F.col(reward).alias("r"), (-F.col(tiebreak)).alias("t"))
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("_best"))
-    out = best.select(*keys, *[F.col("_best")[c].alias(c) for c in others])
+    Rank 1 of a window: Spark keeps the best row of each group in every task
+    before the shuffle (``WindowGroupLimit``), so a hot group is reduced
+    map-side, and columns that the caller does not read never enter the shuffle."""
+    w = Window.partitionBy(*keys).orderBy(F.col(reward).desc_nulls_last(), F.col(tiebreak).asc())
+    out = df.withColumn("_rk", F.row_number().over(w)).where("_rk = 1").drop("_rk")
     if min_reward is not None:
         out = out.where(F.col(reward) >= F.lit(min_reward))
     return out
@@ -106,27 +104,36 @@ def log_flush(metrics: DataFrame, every: int, step: str = "step") -> DataFrame:
 
 
 def running_best(metrics: DataFrame, value: str = "value", order: str = "step",
-                 initial: float = 0.0, threshold: float = 0.499, block: int = 1024) -> DataFrame:
+                 initial: float = 0.0, threshold: float = 0.499, block: int = 1024, levels: int = 4) -> DataFrame:
     """Best value seen *before* each row (in ``order``), whether the row
     improves on it, and whether the improvement also clears ``threshold``.
 
-    A prefix maximum over a global order: computed per block of ``block``
-    consecutive order values (one window partition per block), then each
-    block is offset by the max of all earlier blocks (a table of one row per
-    block, joined back on the block id).  No single task sees every row.
+    A prefix maximum over a global order, as a tree: rows are taken in blocks
+    of ``block`` consecutive order values, the blocks' maxima again in blocks,
+    and so on for ``levels`` levels.  Every window runs within one block, so it
+    holds ``block`` rows at most as long as the order values span less than
+    ``block ** (levels + 1)`` (10^15 by default); each level's table is joined
+    back on its block id.
     """
-    blk = F.floor(F.col(order) / F.lit(block)).cast("long")
-    d = metrics.withColumn("_blk", blk)
-    w_in = Window.partitionBy("_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_prev_in_blk", F.max(value).over(w_in))
-    blocks = d.groupBy("_blk").agg(F.max(value).alias("_blk_max"))
-    w_b = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per block: bounded by (#order values / block)
-    blocks = blocks.withColumn("_prev_blks", F.max("_blk_max").over(w_b)).select("_blk", "_prev_blks")
-    d = d.join(blocks, "_blk", "left")
-    prev = F.greatest(F.lit(initial), F.coalesce(F.col("_prev_in_blk"), F.lit(initial)),
-                      F.coalesce(F.col("_prev_blks"), F.lit(initial)))
-    d = d.withColumn("prev_best", prev)
+    def inside(df, key, parent, val, out):
+        w = Window.partitionBy(parent).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out, F.max(val).over(w))
+
+    def up(c):
+        return F.floor(F.col(c) / F.lit(block)).cast("long")
+
+    d = inside(metrics.withColumn("_b1", up(order)), order, "_b1", value, "_p0")
+    table, offsets = d.groupBy("_b1").agg(F.max(value).alias("_m")), []
+    for k in range(1, levels + 1):
+        table = inside(table.withColumn(f"_b{k + 1}", up(f"_b{k}")), f"_b{k}", f"_b{k + 1}", "_m", f"_p{k}")
+        offsets.append(table.select(f"_b{k}", f"_b{k + 1}", f"_p{k}"))
+        table = table.groupBy(f"_b{k + 1}").agg(F.max("_m").alias("_m"))
+    before = offsets[-1]
+    for k in range(levels - 1, 0, -1):
+        before = offsets[k - 1].join(before, f"_b{k + 1}")
+    best = [F.coalesce(F.col(f"_p{k}"), F.lit(initial)) for k in range(levels + 1)]
+    d = d.join(before.select("_b1", *[f"_p{k}" for k in range(1, levels + 1)]), "_b1", "left")
+    d = d.withColumn("prev_best", F.greatest(F.lit(initial), *best))
     d = d.withColumn("improved", F.col(value) > F.col("prev_best"))
     d = d.withColumn("keep", F.col("improved") & (F.col(value) > F.lit(threshold)))
-    return d.drop("_blk", "_prev_in_blk", "_prev_blks")
+    return d.drop("_b1", *[f"_p{k}" for k in range(levels + 1)])

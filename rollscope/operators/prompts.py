@@ -96,9 +96,10 @@ def image_conversation(problem) -> Column:
 
 
 def with_prompt(df: DataFrame, problem: str = "problem") -> DataFrame:
-    """Image conversation when the table has an image column,
-    else a text conversation and ``messages`` dropped (no error if absent)."""
-    if "image_path" in df.columns or "image" in df.columns:
+    """Image conversation when the table has an ``image`` column (a
+    path alone does not make it one), else a text conversation and
+    ``messages`` dropped (no error if absent)."""
+    if "image" in df.columns:
         return df.withColumn("prompt", image_conversation(problem))
     return df.withColumn("prompt", text_conversation(problem)).drop("messages")
 
@@ -154,6 +155,11 @@ def keep_last(arr, n: int) -> Column:
     return F.slice(a, F.greatest(F.lit(1), F.size(a) - F.lit(n) + 1), F.lit(n))
 
 
+def truncate_left(ids, mask, n: int) -> Column:
+    """P12 on token ids and their attention mask: both are cut alike."""
+    return F.struct(keep_last(ids, n).alias("ids"), keep_last(mask, n).alias("mask"))
+
+
 # ---------------------------------------------------------------- P13, P14
 def fan_out(df: DataFrame, g: int = K.DEFAULT_G, col: str = "gen_idx") -> DataFrame:
     """Every row G times, numbered 0..G-1."""
@@ -161,22 +167,31 @@ def fan_out(df: DataFrame, g: int = K.DEFAULT_G, col: str = "gen_idx") -> DataFr
 
 
 def attach_responses(prompts: DataFrame, responses: DataFrame, keys: Sequence[str] = ("group_id", "gen_idx")):
-    """Attach generated responses by key; returns (matched, unmatched
-    prompts).  Both sides are large, so this is a shuffle (sort-merge) join
-    on the keys; skewed keys are split by AQE's skew-join handling."""
+    """Attach generated responses by key; returns (matched, prompts without
+    a response, responses without a prompt).  An equi-join on the keys; Spark
+    splits skewed keys of a sort-merge join at run time."""
     keys = list(keys)
-    return prompts.join(responses, keys, "inner"), prompts.join(responses, keys, "left_anti")
+    return (prompts.join(responses, keys, "inner"), prompts.join(responses, keys, "left_anti"),
+            responses.join(prompts, keys, "left_anti"))
 
 
 # ---------------------------------------------------------------------- P16
-def image_reject_reason(width, height, channels, ndim=None) -> Column:
-    """Why an image is unusable (NULL = valid)."""
+def image_reject_reason(width, height, channels, ndim=None, kind=None) -> Column:
+    """Why an image is unusable (NULL = valid).  ``kind`` is what was
+    found in its place (``image`` or ``tensor``; anything else is a wrong
+    type), ``ndim`` the number of a tensor's dimensions (3 wanted); a tensor
+    without a single value is ``empty``."""
     w, h, c = _c(width), _c(height), _c(channels)
-    r = (F.when(w.isNull() | h.isNull(), F.lit("missing"))
-          .when((w == 0) | (h == 0), F.lit("zero_size"))
-          .when(~c.isin(1, 3), F.lit("bad_channels")))
+    reasons = [(w.isNull() | h.isNull(), "missing"), ((w == 0) | (h == 0), "zero_size"), (~c.isin(1, 3), "bad_channels")]
     if ndim is not None:
-        r = F.when(_c(ndim) != 3, F.lit("bad_ndim")).otherwise(r)
+        reasons.insert(0, (_c(ndim) != 3, "bad_ndim"))
+    if kind is not None:
+        k = _c(kind)
+        reasons = [(k.isNull() | ~k.isin("image", "tensor"), "bad_type"),
+                   ((k == "tensor") & ((w == 0) | (h == 0) | (c == 0)), "empty"), *reasons]
+    r = F.lit(None).cast("string")
+    for wrong, reason in reversed(reasons):
+        r = F.when(wrong, F.lit(reason)).otherwise(r)
     return r
 
 
@@ -188,24 +203,14 @@ def split_by_quality(df: DataFrame, width: str = "width", height: str = "height"
 
 
 # ------------------------------------------------------------------- L1, L2
-def _local_first_k(cls: str, order: str, k: int):
-    def fn(batches):
-        for pdf in batches:
-            yield pdf.sort_values(order, kind="stable").groupby(cls, sort=False, dropna=False).head(k)
-    return fn
-
-
 def few_shot(df: DataFrame, cls: str, order: str, k: int = K.FEWSHOT_K) -> DataFrame:
     """L1: the first ``k`` rows of every class in ``order``; ``_first`` (the
     class's first ``order`` value) orders classes by first appearance.
 
-    Two-phase top-k so a hot class is never one big task: every Arrow batch
-    first keeps only its own first ``k`` rows per class (no shuffle), then a
-    ranking window runs over that reduced set (at most k rows per class per
-    batch)."""
-    local = df.mapInPandas(_local_first_k(cls, order, k), df.schema)
+    Spark keeps the first ``k`` rows of each class in every task before the
+    shuffle (``WindowGroupLimit``), so a hot class is never one big task."""
     w = Window.partitionBy(cls).orderBy(order)
-    d = local.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k)
+    d = df.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k)
     d = d.withColumn("_first", F.min(order).over(Window.partitionBy(cls)))
     return d.withColumn("fewshot_rank", F.col("_rk")).drop("_rk")
 

@@ -102,18 +102,21 @@ def class_registry(classes: Sequence[str] = K.EMOTION_CLASSES) -> dict[str, Rewa
     return {"accuracy": accuracy_reward(classes), "format": format_reward(classes)}
 
 
-def model_reward(name: str, scorer) -> RewardFn:
+def model_reward(name: str, scorer, prompt: str = "problem") -> RewardFn:
     """G11 hook: a user-supplied scorer ``(prompts: pd.Series, completions:
     pd.Series) -> pd.Series[float]`` (e.g. a text classifier) runs as an
     Arrow-batched pandas UDF over prompt + completion and becomes reward
-    column ``r_<name>``.  No model is shipped; the scorer is the caller's."""
+    column ``r_<name>``.  No model is shipped; the scorer is the caller's.
+    ``prompt`` names the prompt column; without it this is an error (the
+    solution never stands in for the prompt)."""
     @F.pandas_udf(DoubleType())
     def _score(prompts: pd.Series, completions: pd.Series) -> pd.Series:
         return pd.Series(scorer(prompts, completions), dtype="float64")
 
     def fn(df: DataFrame) -> DataFrame:
-        prompt = F.col("problem") if "problem" in df.columns else F.col("solution")
-        return df.withColumn(f"r_{name}", _score(prompt, F.col("completion")))
+        if prompt not in df.columns:
+            raise ValueError(f"model_reward needs the prompt column {prompt!r}")
+        return df.withColumn(f"r_{name}", _score(F.col(prompt), F.col("completion")))
     return fn
 
 

@@ -12,37 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread_by=None) -> DataFrame:
-    """Read a given table.  ``spread_by`` names the key the next wide
-    operator partitions on (see ``spread``)."""
-    path = f"{sf_dir}/{name}.parquet"
-    df = spark.read.parquet(path)
-    return spread(df, spread_by, cache_key=path) if spread_by else df
-
-
-_SCAN_PARTITIONS: dict[str, int] = {}
-
-
-def spread(df: DataFrame, keys, cache_key: str | None = None) -> DataFrame:
-    """Scan-parallelism guard.  A scan yields one partition per file split;
-    the small test tables are single-row-group files, so their scan is a
-    single task.  When a scan has fewer partitions than the cluster has
-    cores, hash-partition it on ``keys`` -- the key of the next window /
-    aggregate / join, so that operator reuses this partitioning instead of
-    adding its own exchange.  Large inputs (many splits) pass unchanged."""
-    try:
-        n = df.sparkSession.sparkContext.defaultParallelism
-    except Exception:              # no SparkContext (e.g. a Spark Connect session): leave the scan alone
-        return df
-    if cache_key is None or cache_key not in _SCAN_PARTITIONS:
-        parts = df.rdd.getNumPartitions()          # plans the scan once per input
-        if cache_key is None:
-            return df if parts >= n else df.repartition(n, *([keys] if isinstance(keys, str) else keys))
-        _SCAN_PARTITIONS[cache_key] = parts
-    if _SCAN_PARTITIONS[cache_key] >= n:
-        return df
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    return df.repartition(n, *keys)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read a given table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _s(c):
@@ -82,12 +54,7 @@ def _f1_exprs(classes, dialect: str) -> list[str]:
 
 def f1_rollouts(spark: SparkSession, sf_dir: str, classes=K.EMOTION_CLASSES) -> DataFrame:
     """emotion rollouts from ``events`` (G = 8 rollouts per group)."""
-    ids = table(spark, sf_dir, "events").selectExpr("event_id AS e", "e div 8 AS _g", "e div 128 AS _s")
-    ids = spread(ids, ["_s", "_g"], cache_key=f"{sf_dir}/events.parquet")  # G2 reuses this partitioning
-    exprs = _f1_exprs(classes, "spark")
-    # pass the partitioning columns through by alias, so the partitioning is known to be on (step, group_id)
-    exprs = [{"group_id": "_g AS group_id", "step": "_s AS step"}.get(x.rsplit(" AS ", 1)[1], x) for x in exprs]
-    return ids.selectExpr(*exprs)
+    return table(spark, sf_dir, "events").selectExpr("event_id AS e").selectExpr(*_f1_exprs(classes, "spark"))
 
 
 def f1_sql(classes=K.EMOTION_CLASSES) -> str:
@@ -105,7 +72,7 @@ def f2_box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered within the order (``(l_orderkey, l_linenumber)`` is not unique)."""
     from pyspark.sql import Window
     w = Window.partitionBy("l_orderkey").orderBy(*F2_ORDER)
-    li = table(spark, sf_dir, "lineitem", spread_by="l_orderkey").withColumn("rn", F.row_number().over(w))
+    li = table(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(w))
     g = li.selectExpr("l_orderkey AS image_id", "CAST(rn AS BIGINT) AS box_no",
                       "(l_partkey * 37) % 600 AS gx1", "(l_suppkey * 53) % 600 AS gy1",
                       "(l_partkey * 37) % 600 + 50 + 4 * CAST(floor(l_quantity) AS BIGINT) AS gx2",
@@ -146,6 +113,11 @@ def _f2_text_exprs(dialect: str) -> list[str]:
 
     pred_txt = (f"(CASE WHEN image_id % 11 = 0 THEN {boxes_txt('pred', ', ', f'concat(chr(44), {nl})')} "
                 f"ELSE {boxes_txt('pred', ',', chr(39) + ',' + chr(39))} END)")
+    # JSON white space that survives the deletion of spaces and newlines
+    ch = (lambda n: f"char({n})") if spark else (lambda n: f"chr({n})")
+    tab1 = f"concat(', [\"a\",', {ch(9)}, '1,2,3,4]')"
+    tab2 = f"concat(', [1e2,', {ch(9)}, '2,3,4]')"
+    cr = f"concat(', [5,', {ch(13)}, '6,7,', {ch(13)}, '8]')"
     solution = f"concat('<answer>', {boxes_txt('gt', ',', chr(39) + ',' + chr(39))}, '</answer>') AS solution"
     completion = f"""concat(CASE WHEN image_id % 23 = 0 THEN '' ELSE concat('<think>',
                     CASE WHEN image_id % 9 = 0 THEN '[1, 2, 3, 4]'
@@ -153,7 +125,10 @@ def _f2_text_exprs(dialect: str) -> list[str]:
                   CASE WHEN image_id % 19 = 0 THEN {pred_txt}
                        ELSE concat('<answer>', {pred_txt},
                                    CASE WHEN image_id % 13 = 0 THEN ', [1, 2, 3]' ELSE '' END,
-                                   CASE WHEN image_id % 17 = 0 THEN ', [01, 2, 3, 4]' ELSE '' END, '</answer>') END)
+                                   CASE WHEN image_id % 17 = 0 THEN ', [01, 2, 3, 4]' ELSE '' END,
+                                   CASE WHEN image_id % 29 = 0 THEN {tab1} ELSE '' END,
+                                   CASE WHEN image_id % 31 = 0 THEN {tab2} ELSE '' END,
+                                   CASE WHEN image_id % 37 = 0 THEN {cr} ELSE '' END, '</answer>') END)
              AS completion"""
     return [solution, completion]
 
@@ -187,7 +162,7 @@ def f5_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """catalog rows from ``part`` shaped like the training table."""
     k = F.col("p_partkey")
     cls = F.element_at(F.array(*[F.lit(c) for c in K.GENERATOR_CLASSES]), (k % 20 + 1).cast("int"))
-    return table(spark, sf_dir, "part", spread_by="p_partkey").select(
+    return table(spark, sf_dir, "part").select(
         k.alias("row_id"), (k % 20).alias("class_idx"), cls.alias("target"),
         F.concat(F.lit("train/c"), (k % 20).cast("string"), F.lit("/"), k.cast("string"), F.lit(".jpg")).alias("image_path"),
         F.when(k % 17 == 0, F.lit(None)).when(k % 29 == 0, F.lit(0)).otherwise(200 + 10 * F.col("p_size"))
@@ -217,7 +192,7 @@ def f3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one token per ``lineitem`` row; sequences are orders (1-7 tokens)."""
     from pyspark.sql import Window
     w = Window.partitionBy("l_orderkey").orderBy(*F2_ORDER)
-    li = table(spark, sf_dir, "lineitem", spread_by="l_orderkey").withColumn("rn", F.row_number().over(w))
+    li = table(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(w))
     o = F.col("l_orderkey")
     return li.select(o.alias("seq_id"), F.col("rn").cast("int").alias("pos"),
                      F.expr("l_orderkey div 8").alias("group_id"), (o % 8).alias("gen_idx"),

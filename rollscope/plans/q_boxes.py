@@ -21,11 +21,14 @@ def s_box(a: list[str]) -> str:
 
 
 def s_extract_boxes(x: str) -> str:
+    # validity by DuckDB's own JSON parser (which also takes a trailing comma: not JSON), numbers by its types
     clean = "replace(replace(m, chr(10), ''), ' ', '')"
-    four = f"string_split(substr({clean}, 2, length({clean}) - 2), ',')"
+    valid = f"(json_valid({clean}) AND NOT regexp_matches({clean}, ',[\\t\\r]*\\]$'))"
+    four = [f"json_extract({clean}, '$[{i}]')" for i in range(4)]
+    number = " AND ".join(f"json_type({x}) IN ('BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE')" for x in four)
     nums = f"regexp_extract_all(m, {S.q(K.BRACKET_NUMBER)}, 0)"
-    parse = (f"CASE WHEN regexp_full_match({clean}, {S.q(B.JSON_FOUR)}) THEN {s_box([f'{four}[{i}]' for i in range(1, 5)])} "
-             f"WHEN regexp_full_match({clean}, {S.q(B.JSON_LIST)}) THEN NULL "
+    parse = (f"CASE WHEN {valid} AND json_array_length({clean}) = 4 AND {number} THEN {s_box([f'CAST({x} AS VARCHAR)' for x in four])} "
+             f"WHEN {valid} THEN NULL "
              f"WHEN len({nums}) = 4 THEN {s_box([f'{nums}[{i}]' for i in range(1, 5)])} END")
     lst = (f"list_filter(list_transform(regexp_extract_all({S.answer_b(x)}, {S.q(K.BRACKET)}, 0), "
            f"lambda m: {parse}), lambda b: b IS NOT NULL)")
@@ -103,10 +106,16 @@ def _long_sql(src: str, expr: str, side: str) -> str:
 
 
 # ------------------------------------------------------------------- queries
-@register("x1_parse", IMG + _long_sql("img", s_extract_boxes("completion"), "pred") + " UNION ALL "
+#: Numbers beyond JSON that the parser takes as numbers.
+_X1_MORE = ("CASE WHEN image_id % 41 = 0 THEN replace(completion, '</answer>', ', [NaN, 1, 2, Infinity], [-Infinity,0,0,1]</answer>') "
+            "ELSE completion END")
+_IMG_MORE = f"WITH img AS (SELECT * REPLACE ({_X1_MORE} AS completion) FROM ({f2_box_rollouts_sql()})) "
+
+
+@register("x1_parse", _IMG_MORE + _long_sql("img", s_extract_boxes("completion"), "pred") + " UNION ALL "
           + _long_sql("img", s_extract_boxes("solution"), "gt"))
 def q_x1(spark, sf_dir):
-    d = f2_box_rollouts(spark, sf_dir).select("image_id", B.extract_boxes("completion").alias("p"),
+    d = f2_box_rollouts(spark, sf_dir).withColumn("completion", F.expr(_X1_MORE)).select("image_id", B.extract_boxes("completion").alias("p"),
                                               B.extract_boxes("solution").alias("g"))
     return _long(d, "p", "pred").unionByName(_long(d, "g", "gt"))
 

@@ -174,10 +174,20 @@ def q_l3(spark, sf_dir):
 @register("g1_total", CTE + f" SELECT row_id, {S.r6('r_accuracy')} AS r_accuracy, {S.r6('r_format')} AS r_format, "
                             f"{S.r6('reward')} AS reward FROM scored")
 def q_g1(spark, sf_dir):
-    return scored_f1(spark, sf_dir).select("row_id", r6("r_accuracy").alias("r_accuracy"),
+    """The reward registry: each reward in turn, then their sum."""
+    return R.apply_rewards(f1_rollouts(spark, sf_dir), R.class_registry(CL)).select("row_id", r6("r_accuracy").alias("r_accuracy"),
                                            r6("r_format").alias("r_format"), r6("reward").alias("reward"))
 
 
+@register("g11_model_reward", f"WITH f1 AS ({f1_sql(CL)}) SELECT row_id, "
+          + S.r6("length(completion) / (length(concat('Rate ', image_path)) + 1.0)") + " AS reward FROM f1")
+def q_g11(spark, sf_dir):
+    """A caller's scorer (here: relative length) over prompt and completion."""
+    d = f1_rollouts(spark, sf_dir).withColumn("problem", F.concat(F.lit("Rate "), F.col("image_path")))
+    d = R.apply_rewards(d, {"model": R.model_reward("model", lambda p, c: c.str.len() / (p.str.len() + 1.0))})
+    return d.select("row_id", r6("reward").alias("reward"))
+
+
 @register("g2_stats", CTE + f" SELECT row_id, step, group_id, {S.r6('group_mean')} AS group_mean, "
                             f"{S.r6('group_std')} AS group_std, CAST(group_size AS BIGINT) AS group_size FROM adv")
 def q_g2(spark, sf_dir):
@@ -255,7 +265,7 @@ _L5_SQL = (CTE + ", m AS (SELECT step, avg(r_accuracy) AS value FROM scored GROU
 @register("l5_running_best", _L5_SQL)
 def q_l5(spark, sf_dir):
     m = scored_f1(spark, sf_dir).groupBy("step").agg(F.avg("r_accuracy").alias("value"))
-    rb = G.running_best(m, block=4)
+    rb = G.running_best(m)
     return rb.select("step", r6("value").alias("value"), r6("prev_best").alias("prev_best"), "improved", "keep")
 
 

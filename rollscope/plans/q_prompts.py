@@ -1,12 +1,16 @@
 """Dataset building and prompts (F5 from ``part``, F4, F1): P1-P16, L1, L2, S3, S9, X14."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..functions import constants as K
 from ..functions import text as T
 from ..operators import prompts as P
+from ..session import checkpoint_path
+from ..sources import io as IO
 from . import sqlgen as S
 from .catalog import register
 from .fixtures import f1_rollouts, f1_sql, f5_items, f5_items_sql, table
@@ -100,28 +104,28 @@ _SLOTS = P.slot_template(K.EMOTION_CLASSES_COT, quoted=False)
     K.SECOND_STAGE_EMOTION, categories=S.q(_CATS), description=_s_t5("text", K.EMOTION_CLASSES_COT),
     slots=S.q(_SLOTS)) + " AS problem FROM documents")
 def q_p8a(spark, sf_dir):
-    d = table(spark, sf_dir, "documents", spread_by="doc_id")
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", P.second_stage_problem("emotion", "text").alias("problem"))
 
 
 @register("p8b_multibox_prompt", "SELECT doc_id, " + s_fill(
     K.SECOND_STAGE_MULTIBOX, target="lang", description=_s_t3("text")) + " AS problem FROM documents")
 def q_p8b(spark, sf_dir):
-    d = table(spark, sf_dir, "documents", spread_by="doc_id")
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", P.second_stage_problem("multibox", "text", "lang").alias("problem"))
 
 
 @register("p8c_onebox_prompt", "SELECT doc_id, " + s_fill(
     K.SECOND_STAGE_ONEBOX, target="lang", description="text") + " AS problem FROM documents")
 def q_p8c(spark, sf_dir):
-    d = table(spark, sf_dir, "documents", spread_by="doc_id")
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", P.second_stage_problem("onebox", "text", "lang").alias("problem"))
 
 
 @register("p8d_category_prompt", "SELECT doc_id, " + s_fill(
     K.SECOND_STAGE_CATEGORY, description=_s_t3("text")) + " AS problem FROM documents")
 def q_p8d(spark, sf_dir):
-    d = table(spark, sf_dir, "documents", spread_by="doc_id")
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", P.second_stage_problem("category", "text").alias("problem"))
 
 
@@ -129,7 +133,7 @@ def q_p8d(spark, sf_dir):
     K.SECOND_STAGE_EMOTION_EXAMPLE, categories=S.q(K.EXAMPLE_EMOTION_CATEGORIES),
     description=_s_t5("text", K.EMOTION_CLASSES), example=S.q(K.EXAMPLE_EMOTION_OUTPUT)) + " AS problem FROM documents")
 def q_p8e(spark, sf_dir):
-    d = table(spark, sf_dir, "documents", spread_by="doc_id")
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", P.second_stage_problem("emotion_example", "text").alias("problem"))
 
 
@@ -168,22 +172,28 @@ def q_p9(spark, sf_dir):
 
 
 @register("p10_assemble", f"WITH f1 AS ({f1_sql()}) SELECT row_id, concat('<think>', {S.think_a('completion')}, "
-          "'</think>', '<answer>', replace(replace(" + S.answer_a("completion") + ", chr(10), ''), chr(13), ''), "
-          "'</answer>') AS rollout FROM f1")
+          "'</think>', '<answer>', replace(replace(completion, chr(10), ''), chr(13), ''), '</answer>') AS rollout, "
+          f"concat('<think>', {S.think_a('completion')}, '</think>', '<answer>', completion, '</answer>') AS rollout_kept FROM f1")
 def q_p10(spark, sf_dir):
     d = f1_rollouts(spark, sf_dir)
     think = F.concat(F.lit("<think>"), T.extract_think("completion", "a"), F.lit("</think>"))
-    return d.select("row_id", P.assemble_rollout(think, T.extract_answer("completion", "a")).alias("rollout"))
+    # the completion holds newlines: deleted in the box tasks' form, kept in the other
+    return d.select("row_id", P.assemble_rollout(think, "completion").alias("rollout"),
+                    P.assemble_rollout(think, "completion", strip_newlines=False).alias("rollout_kept"))
 
 
 # ------------------------------------------------------------------ P12 - P14
 @register("p12_truncate", "SELECT conv_id, CAST(len(t) AS INTEGER) AS n_turns, CAST(len(k) AS INTEGER) AS n_kept, "
-          "k[1] AS first_kept_turn FROM (SELECT conv_id, t, t[greatest(1, len(t) - 3 + 1):] AS k FROM "
-          "(SELECT conv_id, list(turn ORDER BY turn) AS t FROM conversations GROUP BY conv_id))")
+          "k[1] AS first_kept_turn, array_to_string(m, '') AS mask FROM (SELECT conv_id, t, t[greatest(1, len(t) - 3 + 1):] AS k, "
+          "m[greatest(1, len(m) - 3 + 1):] AS m FROM (SELECT conv_id, list(turn ORDER BY turn) AS t, "
+          "list(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END ORDER BY turn) AS m FROM conversations GROUP BY conv_id))")
 def q_p12(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("t"))
-    k = P.keep_last("t", 3)
-    return c.select("conv_id", F.size("t").alias("n_turns"), F.size(k).alias("n_kept"), k[0].alias("first_kept_turn"))
+    """Ids and their mask are cut together."""
+    m = F.struct("turn", (F.col("role") == "assistant").cast("int").alias("m"))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(m)).alias("t"))
+    c = c.select("conv_id", F.size("t").alias("n_turns"), P.truncate_left(F.col("t.turn"), F.col("t.m"), 3).alias("k"))
+    return c.select("conv_id", "n_turns", F.size("k.ids").alias("n_kept"), F.col("k.ids")[0].alias("first_kept_turn"),
+                    F.array_join(F.col("k.mask").cast("array<string>"), "").alias("mask"))
 
 
 @register("p13_fanout", F5 + "SELECT row_id, gen_idx FROM items, range(8) r(gen_idx)")
@@ -199,33 +209,42 @@ _P14 = (F5 + f", f1 AS ({f1_sql()}), pr AS (SELECT row_id AS group_id, gen_idx F
 def q_p14(spark, sf_dir):
     prompts = P.fan_out(f5_items(spark, sf_dir).select(F.col("row_id").alias("group_id")), 8)
     resp = f1_rollouts(spark, sf_dir).select("group_id", "gen_idx", F.col("row_id").alias("response_id"))
-    matched, _ = P.attach_responses(prompts, resp)
+    matched, _, _ = P.attach_responses(prompts, resp)
     return matched.select("group_id", "gen_idx", "response_id")
 
 
-@register("p14_unmatched", _P14 + "SELECT group_id, gen_idx FROM pr WHERE NOT EXISTS (SELECT 1 FROM f1 "
-          "WHERE f1.group_id = pr.group_id AND f1.gen_idx = pr.gen_idx)")
+@register("p14_unmatched", _P14 + "SELECT group_id, gen_idx, 'prompt' AS side FROM pr WHERE NOT EXISTS (SELECT 1 FROM f1 "
+          "WHERE f1.group_id = pr.group_id AND f1.gen_idx = pr.gen_idx) UNION ALL SELECT group_id, gen_idx, 'response' FROM f1 "
+          "WHERE NOT EXISTS (SELECT 1 FROM pr WHERE f1.group_id = pr.group_id AND f1.gen_idx = pr.gen_idx)")
 def q_p14u(spark, sf_dir):
     prompts = P.fan_out(f5_items(spark, sf_dir).select(F.col("row_id").alias("group_id")), 8)
     resp = f1_rollouts(spark, sf_dir).select("group_id", "gen_idx")
-    _, unmatched = P.attach_responses(prompts, resp)
-    return unmatched.select("group_id", "gen_idx")
+    _, prompts, resp = P.attach_responses(prompts, resp)
+    return prompts.select("group_id", "gen_idx", F.lit("prompt").alias("side")).unionByName(
+        resp.select("group_id", "gen_idx", F.lit("response").alias("side")))
 
 
 # ------------------------------------------------------------------------ P16
-_S_REASON = ("CASE WHEN width IS NULL OR height IS NULL THEN 'missing' WHEN width = 0 OR height = 0 THEN 'zero_size' "
+_S_REASON = ("CASE WHEN row_id % 23 = 0 THEN 'bad_type' WHEN row_id % 3 = 0 AND (width = 0 OR height = 0 OR channels = 0) THEN 'empty' "
+             "WHEN row_id % 37 = 0 THEN 'bad_ndim' WHEN width IS NULL OR height IS NULL THEN 'missing' WHEN width = 0 OR height = 0 THEN 'zero_size' "
              "WHEN channels NOT IN (1, 3) THEN 'bad_channels' END")
 
 
+def _reason():
+    """Every 23rd item is neither image nor tensor, every third a tensor, every 37th of two dimensions."""
+    k = F.col("row_id")
+    kind = F.when(k % 23 == 0, F.lit("list")).when(k % 3 == 0, F.lit("tensor")).otherwise(F.lit("image"))
+    return P.image_reject_reason("width", "height", "channels", ndim=F.when(k % 37 == 0, 2).otherwise(3), kind=kind)
+
+
 @register("p16_gate", F5 + f"SELECT row_id, {_S_REASON} AS reject_reason FROM items")
 def q_p16(spark, sf_dir):
-    return f5_items(spark, sf_dir).select("row_id", P.image_reject_reason("width", "height", "channels")
-                                          .alias("reject_reason"))
+    return f5_items(spark, sf_dir).select("row_id", _reason().alias("reject_reason"))
 
 
 @register("p16_summary", F5 + f"SELECT {_S_REASON} AS reject_reason, count(*) AS n FROM items GROUP BY 1")
 def q_p16s(spark, sf_dir):
-    d = f5_items(spark, sf_dir).select(P.image_reject_reason("width", "height", "channels").alias("reject_reason"))
+    d = f5_items(spark, sf_dir).select(_reason().alias("reject_reason"))
     return d.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -244,9 +263,12 @@ def q_l2(spark, sf_dir):
 
 
 # --------------------------------------------------------------------- S3, S9
-@register("s3_split", F5 + "SELECT row_id, target, split FROM items WHERE split = 'train'")
+@register("s3_split", F5 + "SELECT row_id, target, split FROM items WHERE split = 'test'")
 def q_s3(spark, sf_dir):
-    return f5_items(spark, sf_dir).where(F.col("split") == "train").select("row_id", "target", "split")
+    """S3: one split of a saved dataset, by pruning its folders."""
+    path = checkpoint_path(spark, "rollscope-io", f"split-{uuid.uuid4().hex}")
+    IO.save_dataset(f5_items(spark, sf_dir), path)
+    return IO.load_split(spark, path, "test").select("row_id", "target", "split")
 
 
 @register("s9_summary", F5 + "SELECT target, count(*) AS n FROM items GROUP BY ROLLUP (target)")
@@ -261,16 +283,17 @@ def _x14_box():
     return B.box(s * 7, (k % 97) * 2, s * 7 + 100.5, (k % 97) * 2 + F.lit(2.5) * (k % 13))
 
 
-def _s_x14(v, dim, size):
-    return f"CAST(least(greatest(round_even(({v}) * (1000.0 / {dim}), 0), 0), {size - 1}) AS INTEGER)"
+def _s_x14(v, dim, size):  # (NULL stays NULL: greatest and least skip it)
+    return f"CASE WHEN {dim} IS NOT NULL THEN CAST(least(greatest(round_even(({v}) * (1000.0 / {dim}), 0), 0), {size - 1}) AS INTEGER)::VARCHAR END"
 
 
 @register("x14_rescale", F5 + "SELECT row_id, " + ", ".join(
     f"{_s_x14(v, d, 1000)} AS {n}" for v, d, n in [
         ("p_size * 7", "width", "x1"), ("(row_id % 97) * 2", "height", "y1"),
         ("p_size * 7 + 100.5", "width", "x2"), ("(row_id % 97) * 2 + 2.5 * (row_id % 13)", "height", "y2")])
-          + " FROM items WHERE width IS NOT NULL AND width > 0")
+          + " FROM (SELECT * REPLACE (CASE WHEN width > 0 THEN width END AS width) FROM items)")
 def q_x14(spark, sf_dir):
-    d = f5_items(spark, sf_dir).where(F.col("width").isNotNull() & (F.col("width") > 0))
+    """Items without a usable size have NULL boxes."""
+    d = f5_items(spark, sf_dir)
     b = B.rescale_box(_x14_box(), "width", "height")
-    return d.select("row_id", *[b[k].alias(k) for k in ("x1", "y1", "x2", "y2")])
+    return d.select("row_id", *[b[k].cast("string").alias(k) for k in ("x1", "y1", "x2", "y2")])

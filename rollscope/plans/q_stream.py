@@ -1,10 +1,12 @@
-"""The streaming operators (ST2, ST3) run over the whole given tables as
-bounded inputs: the same operator code, checked against SQL.  (The
-stream-vs-batch equivalence itself is tested in ``tests/test_io_stream.py``.)"""
+"""The streaming operators (ST1-ST3): every query starts a stream over files
+derived from the whole given tables and returns what the stream wrote."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_path
 from ..streaming import streams as ST
 from . import sqlgen as S
 from .catalog import r6, register
@@ -12,28 +14,55 @@ from .fixtures import table
 from .q_class import CTE, scored_f1
 
 
+def _base(spark, name: str) -> str:
+    """A fresh folder for a stream's files and state under the shared checkpoint directory."""
+    return checkpoint_path(spark, "rollscope-io", f"{name}-{uuid.uuid4().hex}")
+
+
 @register("st2_live_metrics",
           "SELECT CAST(epoch(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS window_start, event_type, "
           f"count(*) AS n, {S.r6('avg(value)')} AS mean_value, {S.r6('max(value)')} AS max_value "
           "FROM events GROUP BY 1, 2")
 def q_st2(spark, sf_dir):
-    ev = table(spark, sf_dir, "events", spread_by="event_type")
-    m = ST.live_metrics(ev, window="1 day")
+    """ST2 as a stream over the events' files: after each batch the metrics of all windows so far."""
+    base = _base(spark, "st2")
+    ev = table(spark, sf_dir, "events")
+    ev.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(ev.schema).parquet(f"{base}/in")
+    m = ST.live_metrics(stream, window="1 day")
+
+    def keep(batch, _):
+        batch.write.mode("overwrite").parquet(f"{base}/out")
+
+    q = (m.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+         .foreachBatch(keep).start())
+    q.awaitTermination()
+    m = spark.read.parquet(f"{base}/out")
     return m.select(F.unix_timestamp(F.col("window.start")).alias("window_start"), "event_type", "n",
                     r6("mean_value").alias("mean_value"), r6("max_value").alias("max_value"))
 
 
 @register("st3_advantages",
-          CTE + ", t AS (SELECT *, CAST(floor(row_id * 60 / 3600) AS BIGINT) AS hour FROM scored), "
-          "a AS (SELECT *, avg(reward) OVER w AS m, stddev_samp(reward) OVER w AS sd, count(*) OVER w AS n "
-          "FROM t WINDOW w AS (PARTITION BY step, group_id, hour)) "
+          CTE + ", a AS (SELECT *, avg(reward) OVER w AS m, stddev_samp(reward) OVER w AS sd, count(*) OVER w AS n "
+          "FROM scored WINDOW w AS (PARTITION BY step, group_id)) "
           f"SELECT step, group_id, gen_idx, {S.r6('(reward - m) / (sd + 0.0001)')} AS advantage, "
           "n AS group_size, n <> 8 AS incomplete FROM a")
 def q_st3(spark, sf_dir):
-    """Rollouts stamped one minute apart, grouped in hourly event-time
-    windows: groups cut by a window edge come out flagged ``incomplete``."""
-    d = scored_f1(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.col("row_id") * 60))
-    a = ST.streaming_advantages(d, window="1 hour", watermark="0 seconds")
+    """ST3 as a stream: rollouts stamped one minute apart (so groups cross the
+    hours) are written as files and followed; a last row, far in the future
+    and of no group, lets the watermark pass the last session."""
+    base = _base(spark, "st3")
+    d = scored_f1(spark, sf_dir).select("step", "group_id", "gen_idx", "reward",
+                                        F.timestamp_seconds(F.col("row_id") * 60 + 3600).alias("ts"))
+    d.write.parquet(f"{base}/in")
+    end = spark.range(1).selectExpr("cast(null AS bigint) AS step", "cast(null AS bigint) AS group_id", "cast(null AS bigint) AS gen_idx",
+                                    "cast(null AS double) AS reward", "timestamp'2200-01-01 00:00:00' AS ts")
+    end.write.mode("append").parquet(f"{base}/in")
+    a = ST.streaming_advantages(spark.readStream.schema(d.schema).parquet(f"{base}/in"), watermark="0 seconds")
+    q = (a.where("step IS NOT NULL").writeStream.format("parquet").option("checkpointLocation", f"{base}/state")
+         .trigger(availableNow=True).start(f"{base}/out"))
+    q.awaitTermination()
+    a = spark.read.schema(a.schema).parquet(f"{base}/out")
     return a.select("step", "group_id", "gen_idx", r6("advantage").alias("advantage"),
                     F.col("group_size").cast("long").alias("group_size"), "incomplete")
 
@@ -44,11 +73,9 @@ def q_st1(spark, sf_dir):
     log (S5), followed as a stream (one read per new file), and the stream is
     written to parquet under the shared checkpoint folder; the result is that
     parquet table."""
-    import uuid
-    from ..session import checkpoint_path
-    from ..sources import io as IO
     from ..functions import constants as K
-    base = checkpoint_path(spark, "rollscope-io", f"st1-{uuid.uuid4().hex}")
+    from ..sources import io as IO
+    base = _base(spark, "st1")
     IO.write_reward_log(IO.reward_log_records(scored_f1(spark, sf_dir), K.EMOTION_CLASSES), f"{base}/log")
     q = ST.start(ST.follow_reward_log(spark, f"{base}/log").select("step", "img_path", "reward"),
                  f"st1_{uuid.uuid4().hex[:8]}", path=f"{base}/out", trigger={"availableNow": True})

@@ -25,6 +25,28 @@ REWARD_LOG_SCHEMA = T.StructType([
     T.StructField("gt_probs", T.MapType(T.StringType(), T.DoubleType())),
 ])
 
+#: The box tasks' record: boxes instead of class maps, the target phrase and the match value.
+BOX_REWARD_LOG_SCHEMA = T.StructType([
+    T.StructField("step", T.LongType()),
+    T.StructField("img_path", T.StringType()),
+    T.StructField("content", T.StringType()),
+    T.StructField("sol", T.StringType()),
+    T.StructField("target", T.StringType()),
+    T.StructField("gt_bbox", T.ArrayType(T.ArrayType(T.DoubleType()))),
+    T.StructField("pred_bbox", T.ArrayType(T.ArrayType(T.DoubleType()))),
+    T.StructField("iou", T.DoubleType()),
+    T.StructField("reward", T.DoubleType()),
+    T.StructField("error", T.StringType()),
+])
+
+
+def clustered(df: DataFrame, files_per_step: int, step: str = "step") -> DataFrame:
+    """Rows dealt by (step, salt): at most ``files_per_step`` files for each
+    step, and a hot step is written by that many tasks instead of one.  The
+    salt is a hash of the row, so a retried task deals alike."""
+    hashable = [f"`{f.name}`" for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    return df.repartition(step, F.pmod(F.xxhash64(*hashable), F.lit(files_per_step)))
+
 
 # ----------------------------------------------------------------------- S1
 def scan_class_folders(spark: SparkSession, root: str, classes: Sequence[str]) -> DataFrame:
@@ -42,10 +64,14 @@ def scan_class_folders(spark: SparkSession, root: str, classes: Sequence[str]) -
 def read_box_label_files(spark: SparkSession, path: str) -> DataFrame:
     """One label file per image; lines with exactly four whitespace-
     separated floats become boxes (file order kept), other lines are skipped;
-    a file without boxes gives NULL."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("label_path"),
-                                                         F.col("value"))
-    lines = files.select("label_path", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    a file without boxes gives NULL.  Files are read line by line, so a large
+    one is split among tasks; the block's offset and the line's number within
+    the block keep the order."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+             .select(F.col("path").alias("label_path")))              # a listing: contents are not read
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        F.col("_metadata.file_path").alias("label_path"), F.col("value").alias("line"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("line_no"))
     tok = lines.withColumn("tok", F.split(F.trim(F.regexp_replace("line", r"(?U)\s+", " ")), " "))
     nums = [F.col("tok")[i].try_cast("double") for i in range(4)]
     ok = (F.size("tok") == 4) & nums[0].isNotNull() & nums[1].isNotNull() & nums[2].isNotNull() & nums[3].isNotNull()
@@ -79,18 +105,22 @@ def reward_log_records(scored: DataFrame, classes: Sequence[str]) -> DataFrame:
                          pred.alias("pred_probs"), gt.alias("gt_probs"))
 
 
-def write_reward_log(records: DataFrame, path: str, files_per_step: int | None = None) -> None:
+def box_reward_log_records(scored: DataFrame, target) -> DataFrame:
+    """S5 record shape for box tasks, from a scored box table (``gt_boxes``,
+    ``pred_boxes``, ``iou``, ``reward``, ``error``)."""
+    def plain(c):
+        return F.transform(c, lambda b: F.array(b["x1"], b["y1"], b["x2"], b["y2"]))
+
+    return scored.select(F.col("step").cast("long"), F.col("image_path").alias("img_path"),
+                         F.col("completion").alias("content"), F.col("solution").alias("sol"), target.alias("target"),
+                         plain("gt_boxes").alias("gt_bbox"), plain("pred_boxes").alias("pred_bbox"), "iou", "reward", "error")
+
+
+def write_reward_log(records: DataFrame, path: str, files_per_step: int = 4) -> None:
     """JSON lines, one directory per step, NULL fields kept, non-ASCII
-    kept.  Appending adds new files; it never rewrites existing ones.
-
-    By default every task writes its own file in each step it holds (no
-    shuffle).  ``files_per_step=k`` first hash-partitions on (step, salt) with
-    k salt values: at most k files per step, and a hot step is still written
-    by k tasks instead of one."""
-    if files_per_step:
-        hashable = [f.name for f in records.schema.fields if not isinstance(f.dataType, T.MapType)]
-        salt = F.pmod(F.xxhash64(*hashable), F.lit(files_per_step))   # deterministic: a retried task re-routes alike
-        records = records.repartition("step", salt)
+    kept, at most ``files_per_step`` files in a step.  Appending adds new
+    files; it never rewrites existing ones."""
+    records = clustered(records, files_per_step)
     (records.write.mode("append").partitionBy("step").option("ignoreNullFields", "false")
      .json(path))
 
@@ -115,17 +145,18 @@ def qa_records(df: DataFrame, question: str, answer: str, step: str = "step",
         (F.col(question).isNull() | F.col(answer).isNull()).alias("unpaired"))
 
 
-def write_qa(records: DataFrame, path: str) -> None:
-    records.write.mode("append").partitionBy("step").json(path)
+def write_qa(records: DataFrame, path: str, files_per_step: int = 4) -> None:
+    clustered(records, files_per_step).write.mode("append").partitionBy("step").json(path)
 
 
 # ------------------------------------------------------------------- S7, S8
-def write_clean_report(df: DataFrame, path: str, completion: str = "completion", cleaned: str = "cleaned") -> None:
+def write_clean_report(df: DataFrame, path: str, completion: str = "completion", cleaned: str = "cleaned",
+                       files_per_step: int = 4) -> None:
     """Raw vs cleaned text side by side, one directory per step."""
-    df.select("step", "group_id", "gen_idx", completion, cleaned).write.mode("append").partitionBy("step").parquet(path)
+    clustered(df.select("step", "group_id", "gen_idx", completion, cleaned), files_per_step).write.mode("append").partitionBy("step").parquet(path)
 
 
-def write_token_logs(tokens: DataFrame, path: str) -> None:
+def write_token_logs(tokens: DataFrame, path: str, files_per_step: int = 4) -> None:
     """Per-token policy / reference log-probs and KL, by step."""
     from ..operators.tokens import token_kl
-    tokens.withColumn("kl", token_kl("logp", "ref_logp")).write.mode("append").partitionBy("step").parquet(path)
+    clustered(tokens.withColumn("kl", token_kl("logp", "ref_logp")), files_per_step).write.mode("append").partitionBy("step").parquet(path)

@@ -58,17 +58,19 @@ def live_metrics(stream: DataFrame, ts: str = "ts", key: str = "event_type", val
             .agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_value"), F.max(value).alias("max_value")))
 
 
-def streaming_advantages(stream: DataFrame, ts: str = "ts", reward: str = "reward", window: str = "1 hour",
+def streaming_advantages(stream: DataFrame, ts: str = "ts", reward: str = "reward", gap: str = "1 hour",
                          watermark: str = "1 hour", g: int = K.DEFAULT_G, eps: float = K.ADVANTAGE_EPSILON,
                          keys=("step", "group_id")) -> DataFrame:
-    """ST3: collect each group's rollouts (at most G per group) in a
-    watermarked window, then compute mean / sample std / advantage per
-    rollout.  Row windows are not allowed on streams, hence the two steps.
-    Groups still short of G when the watermark passes are emitted and
-    flagged ``incomplete``."""
-    stream = event_time(stream, ts)
-    grouped = (stream.withWatermark(ts, watermark)
-               .groupBy(F.window(ts, window).alias("window"), *keys)
+    """ST3: collect each group's rollouts in a session of its own keys, then
+    compute mean / sample std / advantage per rollout.  Row windows are not
+    allowed on streams, hence the two steps.  A session ends when the group
+    has been silent for ``gap``, so no clock boundary cuts a group.  A rollout
+    that a producer sends again (same ``gen_idx``) counts once, so a group
+    holds G rollouts at most; groups short of G are flagged ``incomplete``."""
+    stream = event_time(stream, ts).withWatermark(ts, watermark)
+    once = [*keys, "gen_idx"]
+    stream = stream.dropDuplicatesWithinWatermark(once) if stream.isStreaming else stream.dropDuplicates(once)
+    grouped = (stream.groupBy(F.session_window(ts, gap).alias("window"), *keys)
                .agg(F.collect_list(F.struct("gen_idx", F.col(reward).alias("r"))).alias("rollouts")))
     rs = F.transform("rollouts", lambda x: x["r"])
     n = F.size(rs)

@@ -11,9 +11,11 @@ SF01 = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from rollscope.session import get_spark
-    s = get_spark("local[4]", shuffle_partitions=4)
+    os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, os.environ.get("PYTHONPATH")) if x)
+    s = get_spark("local[4]", shuffle_partitions=4,
+                  extra={"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     yield s
 
 

@@ -15,8 +15,10 @@ def plan(spark, name):
 
 @pytest.mark.parametrize("name,exchanges", [
     ("g3_advantage", 1),      # one hash partitioning on (step, group_id), reused by the window
-    ("b8_accuracy", 1),       # the scan spread only; scoring is narrow
-    ("t5_remove_sentences", 1),
+    ("b8_accuracy", 0),       # narrow
+    ("t5_remove_sentences", 0),
+    ("t1_process", 0),
+    ("p8a_emotion_prompt", 0),
     ("x11a_r1_multibox", 1),  # l_orderkey, reused by numbering window and per-image aggregate
 ])
 def test_exchange_count(spark, name, exchanges):
@@ -24,6 +26,39 @@ def test_exchange_count(spark, name, exchanges):
     assert p.count("Exchange hashpartitioning") + p.count("Exchange RoundRobin") == exchanges, p
 
 
+def events(spark, parts):
+    return spark.read.parquet(f"{SF001}/events.parquet").repartition(parts)
+
+
+@pytest.mark.parametrize("parts", [2, 40])
+def test_plans_do_not_depend_on_the_number_of_partitions(spark, parts):
+    from rollscope.operators import groups as G
+    from rollscope.operators import prompts as P
+    from rollscope.streaming import streams as ST
+    shape = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    live = shape(ST.live_metrics(events(spark, parts)))
+    assert live.index("partial_count") > live.index("Exchange hashpartitioning(window")      # the partial step is below
+    d = events(spark, parts).selectExpr("event_id div 8 AS group_id", "event_id div 128 AS step", "event_id % 8 AS gen_idx",
+                                        "value AS reward", "event_type", "user_id")
+    best = shape(G.best_of_group(d).select("step", "group_id", "gen_idx"))
+    assert "WindowGroupLimit" in best and "user_id" not in best.split("Exchange hashpartitioning(step")[0]
+    few = shape(P.few_shot(d.select("event_type", "reward"), "event_type", "reward"))
+    assert "WindowGroupLimit" in few and "Python" not in few and "Pandas" not in few
+
+
+def test_running_best_has_no_unbounded_window(spark):
+    from rollscope.operators import groups as G
+    rows = [(s, float((s * 7919) % 1000) / 1000) for s in range(0, 5000, 3)]
+    d = spark.createDataFrame(rows, "step long, value double")
+    got = G.running_best(d, block=8, levels=4)
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    best, want = 0.0, {}
+    for s, v in rows:
+        want[s] = best
+        best = max(best, v)
+    assert {r["step"]: r["prev_best"] for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("name", ["g3_advantage", "b8_accuracy", "g8_gather", "t1_process", "t4_remove_class_names",
                                   "t5_remove_sentences", "p8a_emotion_prompt", "g6_loss", "l4_select"])
 def test_no_python_in_core_plans(spark, name):
@@ -41,11 +76,3 @@ def test_regex_parsed_once(spark):
     df = QUERIES["b8_accuracy"](spark, SF001)
     opt = df._jdf.queryExecution().optimizedPlan().toString()
     assert opt.count("regexp_extract_all") == 4     # keys + values, completion + solution
-
-
-def test_spread_leaves_large_inputs_alone(spark):
-    from rollscope.plans.fixtures import spread
-    many = spark.range(0, 1000, 1, numPartitions=2 * spark.sparkContext.defaultParallelism)
-    assert "Exchange" not in spread(many, "id")._jdf.queryExecution().executedPlan().toString()
-    one = spark.range(0, 1000, 1, numPartitions=1)
-    assert "hashpartitioning(id" in spread(one, "id")._jdf.queryExecution().executedPlan().toString()
