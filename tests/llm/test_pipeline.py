@@ -5,13 +5,15 @@ import brute
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pytest
 from conftest import SF, odd_rows
 from tokenizers import Tokenizer
 
 from rollscope.llm import op9_quality, op10_secrets
 from rollscope.llm.common import cut
-from rollscope.llm.queries import QUERIES
+from rollscope.llm.queries import ORACLE, QUERIES
 from rollscope.llm.tokens import WORD_BPE
+from rollscope.plans.check import compare
 
 
 def as_rows(df):
@@ -75,5 +77,11 @@ def test_stages_on_odd_documents(spark, odd, empty):
     assert len(odd_rows()) == odd.count() and op10_secrets.BASE
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_equals_sql(spark, duck, name):
+    ok, info = compare(spark, duck, name, QUERIES[name], ORACLE[name], SF)
+    assert ok, info
+
+
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
