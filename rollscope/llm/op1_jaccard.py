@@ -19,6 +19,9 @@ sets at ``100 * |A n B| >= percent * |A u B|`` runs in these steps:
    least (Jaccard distance is a metric).  Only pairs that this does not
    settle are compared exactly.
 
+Before an exact comparison, pairs whose parity bits show them too far apart are
+left out (a lower bound of the distance: no link is lost).
+
 No pair within a label is ever made, so a group of n near copies costs O(n)
 pairs, and no link between different sets is lost for components.
 
@@ -42,6 +45,7 @@ from .common import COUNTER_SCHEMA, components, counter_rows, cut, drop, merged_
 
 SKETCH_BITS = 18          # counters of the order sketch: 2^18, whatever the data
 FILTER_BITS = 23          # bits of the id filter: 1 MB, whatever the data
+PARITY_BITS = 1024
 
 
 def sets_of(col, k: int):
@@ -63,31 +67,37 @@ def sets_of(col, k: int):
 
 
 def survey(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, digest) for each document (digest null for an empty set), and
-    the order sketch: counters of n-grams by hash prefix, as levels 0..255, rare to common."""
+    """(doc_id, n, digest, parity) for each document (digest null for an empty set),
+    and the order sketch: counters of n-grams by hash prefix, as levels 0..255, rare to
+    common.  ``parity`` has a bit for each of PARITY_BITS hash classes: is the number
+    of the set's n-grams in it odd?  Two sets differ in as many n-grams at least as
+    their parities differ in bits."""
     def run(batches):
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
-            n, digest = [], []
+            n, digest, parity = [], [], []
             for _, h in sets_of(b.column(1), k):
                 n.append(len(h))
                 digest.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
+                odd = np.bincount((h & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+                parity.append(np.packbits(odd.astype(bool)).view(np.int64))
                 np.add.at(total, h >> np.uint64(64 - SKETCH_BITS), 1)
             none = [None] * len(b)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(digest, pa.binary()),
-                 pa.array(none, pa.int32()), pa.array(none, pa.binary())], names)
+                 pa.array(parity, pa.list_(pa.int64())), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names)
         counts = counter_rows(total)
         none = [None] * len(counts)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(none, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary()), *counts.columns], names)
+            [pa.array(none, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary()),
+             pa.array(none, pa.list_(pa.int64())), *counts.columns], names)
         W.release()
 
-    names = ["doc_id", "n", "digest", "slice", "counts"]
+    names = ["doc_id", "n", "digest", "parity", "slice", "counts"]
     table = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, f"doc_id long, n int, digest binary, {COUNTER_SCHEMA}"), "survey")
+        run, f"doc_id long, n int, digest binary, parity array<long>, {COUNTER_SCHEMA}"), "survey")
     counts = merged_counters(table.where("slice is not null").select("slice", "counts"), 1 << SKETCH_BITS)
-    return (table.where("slice is null").select("doc_id", "n", "digest"),
+    return (table.where("slice is null").select("doc_id", "n", "digest", "parity"),
             np.minimum(255, 6 * np.log2(1.0 + counts)).astype(np.uint8))
 
 
@@ -177,6 +187,17 @@ def compared(sets: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
         F.size(F.array_intersect("ha", "hb")).alias("common")), name)
 
 
+def plausible(pairs: DataFrame, parities: DataFrame, most) -> DataFrame:
+    """``pairs`` without those whose distance is above ``most`` for certain: sets that
+    differ in ``v`` n-grams or more, of sizes n and m, have a distance of
+    ``2 v / (n + m + v)`` or more."""
+    x = parities.select(F.col("id").alias("a"), F.col("n").alias("pn"), F.col("parity").alias("pp"))
+    y = parities.select(F.col("id").alias("b"), F.col("n").alias("qn"), F.col("parity").alias("qp"))
+    v = F.expr("aggregate(zip_with(pp, qp, (x, y) -> bit_count(x ^ y)), 0, (s, v) -> s + v)")
+    return (pairs.join(x, "a").join(y, "b").withColumn("v", v).where(2 * F.col("v") / (F.col("pn") + F.col("qn") + F.col("v")) <= most)
+            .drop("pn", "pp", "qn", "qp", "v").distinct())
+
+
 def linked(percent: int):
     return F.expr(f"100L * common >= {percent}L * (na + nb - common)")
 
@@ -207,8 +228,9 @@ def join_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame
                                        F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos")), "index")
 
     # the pivots' answers
-    stars = cut(index.where("id <> pid").where(may_link(percent, "", "p"))
-                .select(F.col("pid").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    parities = table.where("digest is not null and doc_id is not null").select(F.col("doc_id").alias("id"), "n", "parity")
+    stars = index.where("id <> pid").where(may_link(percent, "", "p")).select(F.col("pid").alias("a"), F.col("id").alias("b"))
+    stars = cut(plausible(stars.distinct(), parities, F.lit(slack)), "stars")
     sets = sets_for(docs, stars.select("a"), stars.select("b"), k)
     found = compared(sets, stars, "answers")
     drop(sets)
@@ -225,28 +247,30 @@ def join_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame
     y = head.select("token", F.col("label").alias("b"), F.col("n").alias("yn"), F.col("pos").alias("ypos"))
     blocks = cut(x.join(y, "token").where("a < b").where(may_link(percent, "x", "y")).select("token", "a", "b").distinct(),
                  "blocks")
-    roots = cut(blocks.select("a", "b").distinct(), "roots")
+    # a member's distance to its label's root: known if it was compared with it, else 1 at most
+    direct = found.join(label.select(F.col("id").alias("b"), F.col("comp").alias("a")), ["a", "b"]).select(
+        F.col("b").alias("id"), distance().alias("away")).groupBy("id").agg(F.max("away").alias("away"))
+    away = cut(label.where("id <> comp").join(direct, "id", "left")
+               .select("id", F.col("comp").alias("label"), F.coalesce("away", F.lit(1.0)).alias("away")), "away")
+    most = away.groupBy("label").agg(F.max("away").alias("most"))
+    near = (F.lit(slack) + F.coalesce("ma", F.lit(0.0)) + F.coalesce("mb", F.lit(0.0)))
+
+    def with_most(pairs):
+        return (pairs.join(most.select(F.col("label").alias("a"), F.col("most").alias("ma")), "a", "left")
+                .join(most.select(F.col("label").alias("b"), F.col("most").alias("mb")), "b", "left"))
+
+    roots = cut(plausible(with_most(blocks.select("a", "b").distinct()), parities, near).select("a", "b"), "roots")
     if roots.isEmpty():
         all_links = links
     else:
+        blocks = blocks.join(roots, ["a", "b"])
         heads = blocks.select("token", F.col("a").alias("label")).union(blocks.select("token", F.col("b").alias("label")))
         touched = mixed.join(heads.distinct(), ["token", "label"], "left_semi").select("id", "label")
         touched = cut(touched.select("id").union(touched.select(F.col("label").alias("id"))).distinct(), "touched")
         sets = sets_for(docs, touched, touched, k)
         root_found = compared(sets, roots, "root-answers")
         open_roots = root_found.where(~linked(percent)).select("a", "b", distance().alias("d"))
-        ends = open_roots.select(F.col("a").alias("label")).union(open_roots.select(F.col("b").alias("label"))).distinct()
-        member = label.where("id <> comp").select(F.col("comp").alias("a"), F.col("id").alias("b"))
-        member = member.join(ends.select(F.col("label").alias("a")), "a", "left_semi").join(
-            touched.select(F.col("id").alias("b")), "b", "left_semi")
-        away = compared(sets, member, "away").select(F.col("b").alias("id"), F.col("a").alias("label"),
-                                                        distance().alias("away"))
-        most = away.groupBy("label").agg(F.max("away").alias("most"))
-        close = (open_roots.join(most.select(F.col("label").alias("a"), F.col("most").alias("ma")), "a", "left")
-                 .join(most.select(F.col("label").alias("b"), F.col("most").alias("mb")), "b", "left")
-                 .where("ma is not null or mb is not null")
-                 .where(F.col("d") <= slack + F.coalesce("ma", F.lit(0.0)) + F.coalesce("mb", F.lit(0.0)))
-                 .select("a", "b", "d"))
+        close = with_most(open_roots).where("ma is not null or mb is not null").where(F.col("d") <= near).select("a", "b", "d")
         entries = mixed.join(away.drop("label"), "id", "left").withColumn("away", F.coalesce("away", F.lit(0.0)))
         left = entries.select("token", F.col("label").alias("a"), F.col("id").alias("xid"), F.col("n").alias("xn"),
                               F.col("pos").alias("xpos"), F.col("away").alias("xaway"))
@@ -256,7 +280,7 @@ def join_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame
                 .where(may_link(percent, "x", "y"))
                 .where(F.col("d") <= slack + F.col("xaway") + F.col("yaway"))
                 .select(F.col("xid").alias("a"), F.col("yid").alias("b")).distinct())
-        more = compared(sets, rest, "more").where(linked(percent))
+        more = compared(sets, plausible(rest, parities, F.lit(slack)), "more").where(linked(percent))
         all_links = links.union(root_found.where(linked(percent))).union(more)
         # the labels found so far stand for their links
         grown = label.where("id <> comp").select(F.col("comp").alias("a"), F.col("id").alias("b"))
