@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import cut
 
-DIM = 1 << 13
-SAMPLE = 1500
+DIM = 1 << 12
+SAMPLE = 600
 LEARN_CHARS = 20_000                 # of a learned row; predictions read whole texts
 CHUNK = 1 << 18                      # code points worked on at once
 CLOSE = 0.2
@@ -66,7 +66,7 @@ def counts(text: str) -> np.ndarray | None:
         three = x[:-2] * np.uint64(0x9E3779B97F4A7C15) + two
         for salt, h in ((1, one), (2, two), (3, three)):
             h = (h[here] + np.uint64(salt << 56)) * np.uint64(0xD6E8FEB86659FD93)
-            total += np.bincount((h >> np.uint64(51)).astype(np.int64), minlength=DIM)
+            total += np.bincount((h >> np.uint64(52)).astype(np.int64), minlength=DIM)
         last = x[-2:]
     return total if any_letter else None
 
@@ -98,10 +98,10 @@ def code_words(n: int) -> np.ndarray:
 def train(x: np.ndarray, label: np.ndarray, code: np.ndarray, rounds: int = 150) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(weights DIM x bits, bias, importance): logistic regressions for all bits at once,
     each row weighted so that languages count alike."""
-    y = code[label]
+    y = code[label].astype(np.float32)
     share = 1.0 / np.bincount(label, minlength=len(code))[label]
-    share = (share / share.sum())[:, None]
-    w, b = np.zeros((x.shape[1], code.shape[1])), np.zeros(code.shape[1])
+    share = (share / share.sum()).astype(np.float32)[:, None]
+    w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     vw, vb = np.zeros_like(w), np.zeros_like(b)
     for _ in range(rounds):                        # gradient steps with momentum
         g = -y / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30))) * share
@@ -151,7 +151,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE):
     code = code_words(len(names))
     if len(names) < 2:
         return names, code, np.zeros((DIM, 1), np.float32), np.zeros(1), np.ones(1)
-    x = np.array([features(np.frombuffer(r["total"], np.float32).astype(float)) for r in rows])
+    x = np.empty((len(rows), DIM), np.float32)
+    for i, r in enumerate(rows):
+        x[i] = features(np.frombuffer(r["total"], np.float32))
     at = {n: i for i, n in enumerate(names)}
     w, b, weight = train(x, np.array([at[r["lang"]] for r in rows]), code)
     return names, code, w.astype(np.float32), b, weight
