@@ -43,7 +43,6 @@ FORMAT_TAGS = r"<think>.*?</think>\s*<answer>.*?</answer>"
 FORMAT_ONE_BOX = (r"<think>.*?</think>\s*<answer>\[\s*\d+(?:\.\d+)?\s*,\s*\d+(?:\.\d+)?\s*,"
                   r"\s*\d+(?:\.\d+)?\s*,\s*\d+(?:\.\d+)?\s*\]</answer>")
 # strict 4-number list (referred box)
-STRICT_BOX = r"\[\s*(-?\d+(?:\.\d+)?\s*,\s*){3}-?\d+(?:\.\d+)?\s*\]"
 STRICT_BOX_GROUPS = (r"\[\s*(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)"
                      r"\s*,\s*(-?\d+(?:\.\d+)?)\s*\]")
 # bracket without nested brackets (multi-box answers)

@@ -157,25 +157,10 @@ def number_leak(think) -> Column:
     return _c(think).rlike(jre(K.NUMBER_LEAK))
 
 
-def class_format_reward(completion, classes: Sequence[str]) -> Column:
-    """Full match of think/answer tags (DOTALL); the raw (not normalised)
-    answer is parsed; all-zero -> 0, else exp(-|sum(p) - 1|)."""
-    c = _c(completion)
-    ok = c.rlike(jre(K.FORMAT_TAGS, dotall=True, full=True))
-    ans = py_strip(F.regexp_extract(c, jre(r"<answer>(.*?)</answer>", dotall=True), 1))
-    probs = parse_probs(ans, classes)
-    return F.when(ok, format_score(F.array(*probs))).otherwise(F.lit(0.0))
-
-
-def format_score(probs) -> Column:
-    """exp(-|sum(p) - 1|), or 0 when every probability is 0 (B9 tail)."""
-    probs = _c(probs)
-    total = F.aggregate(probs, F.lit(0.0), lambda a, x: a + x)
-    return F.when(F.array_max(probs) == 0, F.lit(0.0)).otherwise(F.exp(-F.abs(total - F.lit(1.0))))
-
-
 def with_class_format(df, completion: str, classes: Sequence[str], out: str):
-    """B9 as staged projections (tag check and answer parse first, score after)."""
+    """Full match of think/answer tags (DOTALL); the raw (not normalised)
+    answer is parsed; all-zero -> 0, else exp(-|sum(p) - 1|).  Staged
+    projections: tag check and answer parse first, score after."""
     keep = df.columns
     c = F.col(completion)
     ans = py_strip(F.regexp_extract(c, jre(r"<answer>(.*?)</answer>", dotall=True), 1))

@@ -50,8 +50,10 @@ def sequence_loss(seq_stats: DataFrame, advantage: str = "advantage", beta: floa
 
 
 def step_loss(seq_loss: DataFrame, step: str = "step") -> DataFrame:
-    """G6 per step: mean over sequences (an average of per-sequence averages)."""
-    return seq_loss.groupBy(step).agg(F.avg("loss").alias("loss"))
+    """G6 per step: mean over sequences (an average of per-sequence averages).
+    A group of one has no advantage and so no loss; ``n_without_loss`` counts
+    the sequences that the mean leaves out for that."""
+    return seq_loss.groupBy(step).agg(F.avg("loss").alias("loss"), F.count_if(F.col("loss").isNull()).alias("n_without_loss"))
 
 
 def token_metrics(seq_stats: DataFrame, step: str = "step") -> DataFrame:

@@ -176,7 +176,7 @@ def q_x6(spark, sf_dir):
                     r6(B.iou(inv, g, "b")).alias("iou_b_inv"))
 
 
-def _s_geometry(g: str, p: str) -> list[str]:
+def _s_geometry(g: str, p: str, weights=(0.5, 0.5, 0.0)) -> list[str]:
     cg, cp = s_center(g), s_center(p)
     dist = f"sqrt(({cg[0]} - {cp[0]}) * ({cg[0]} - {cp[0]}) + ({cg[1]} - {cp[1]}) * ({cg[1]} - {cp[1]}))"
     cs = f"(1.0 - {dist} / {float((1000 ** 2 + 1000 ** 2) ** 0.5)!r})"
@@ -184,7 +184,7 @@ def _s_geometry(g: str, p: str) -> list[str]:
     ar = (f"(CASE WHEN {a1} <= 0 OR {a2} <= 0 OR isnan({a1}) OR isnan({a2}) THEN 0.0 ELSE "
           f"least(1.0, greatest(0.0, 1.0 - abs(ln({a1} / {a2})) / 2.302585092994046)) END)")
     i = s_iou(g, p, "b")
-    comp = f"least(1.0, greatest(0.0, 0.5 * {i} + 0.5 * {cs} + 0.0 * {ar}))"
+    comp = f"least(1.0, greatest(0.0, {weights[0]} * {i} + {weights[1]} * {cs} + {weights[2]} * {ar}))"
     return [i, cs, ar, comp]
 
 
@@ -197,6 +197,14 @@ def q_x7(spark, sf_dir):
         "image_id", "box_no", *[r6(geo[k]).alias(k) for k in ("iou", "center_score", "aspect_score", "composite")])
 
 
+@register("x7_geometry_cot", PAIRS + f"SELECT image_id, box_no, {S.r6(_s_geometry('g', 'p', (0.4, 0.3, 0.3))[3])} AS composite "
+          f"FROM (SELECT image_id, box_no, {_GB} AS g, {_PB} AS p FROM pairs)")
+def q_x7_cot(spark, sf_dir):
+    """X7 with the weights of the reasoning tasks."""
+    geo = B.geometry("g", "p", alpha=0.4, beta=0.3, gamma=0.3)
+    return _pair_boxes(spark, sf_dir).select("image_id", "box_no", r6(geo["composite"]).alias("composite"))
+
+
 @register("x8_pairs", IMG + "SELECT image_id, CAST(len(gt) AS BIGINT) AS n_gt, CAST(len(pred) AS BIGINT) AS n_pred, "
           f"{S.r6('coalesce(list_sum(list_transform(m, lambda r: list_sum(r))), 0.0)')} AS matrix_sum, "
           f"{S.r6('coalesce(list_max(list_transform(m, lambda r: list_max(r))), 0.0)')} AS matrix_max "

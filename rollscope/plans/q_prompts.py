@@ -41,6 +41,14 @@ def q_p1(spark, sf_dir):
     return f5_items(spark, sf_dir).select("row_id", P.one_hot_answer("target", GC).alias("answer"))
 
 
+@register("p2_slots", F5 + "SELECT row_id, concat(target, ': {', array_to_string(list_transform(range(20), lambda i: "
+          "concat(chr(39), c[i + 1], chr(39), ':prob_', i)), ', '), '}') AS slots FROM items, (SELECT ["
+          + ", ".join(S.q(c) for c in GC) + "] AS c)")
+def q_p2(spark, sf_dir):
+    """P2 in the generator's quoted form, after each item's class."""
+    return f5_items(spark, sf_dir).select("row_id", F.concat("target", F.lit(": "), F.lit(P.slot_template(GC))).alias("slots"))
+
+
 _S_ITEMS_TXT = (F5 + f", t AS (SELECT *, {s_fill(K.GENERATOR_QUESTION, answer='a')} AS problem, "
                 "concat('<answer>', a, '</answer>') AS solution FROM (SELECT *, " + S_ONEHOT + " AS a FROM items)) ")
 

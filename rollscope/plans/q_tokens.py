@@ -46,11 +46,11 @@ _ADV_SQL = (SEQ_SQL + ", r AS (SELECT seq.*, (o_totalprice % 1000) / 1000 AS rew
             "+ 0.0001) AS advantage FROM r WINDOW w AS (PARTITION BY step, group_id)) ")
 
 
-@register("g6_loss", _ADV_SQL + f"SELECT step, {S.r6('avg(-advantage + ' + repr(K.LOSS_BETA) + ' * mean_kl)')} AS loss "
-          "FROM a GROUP BY step")
+@register("g6_loss", _ADV_SQL + f"SELECT step, {S.r6('avg(-advantage + ' + repr(K.LOSS_BETA) + ' * mean_kl)')} AS loss, "
+          "count(*) FILTER (WHERE advantage IS NULL OR mean_kl IS NULL) AS n_without_loss FROM a GROUP BY step")
 def q_g6(spark, sf_dir):
     loss = TK.step_loss(TK.sequence_loss(_seq_with_adv(spark, sf_dir)))
-    return loss.select("step", r6("loss").alias("loss"))
+    return loss.select("step", r6("loss").alias("loss"), "n_without_loss")
 
 
 @register("g7_token_metrics", SEQ_SQL + f"SELECT step, {S.r6('avg(length)')} AS completion_length, "
