@@ -224,7 +224,7 @@ def join_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame
     lists = Window.partitionBy("token")
     index = cut(entry.select("token", "id", "n", "pos", F.count("*").over(lists).alias("c"),
                              F.min(F.struct("id", "n", "pos")).over(lists).alias("p"))
-                .where("c > 1").select("token", "id", "n", "pos", F.col("p.id").alias("pid"),
+                .where("c > 1").select("token", "id", "n", "pos", "c", F.col("p.id").alias("pid"),
                                        F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos")), "index")
 
     # the pivots' answers
@@ -237,8 +237,8 @@ def join_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame
     links = found.where(linked(percent))
     label = cut(components(links.select("a", "b")), "labels")
 
-    # pairs of different labels: block heads first
-    by = (index.select("token", "id", "n", "pos").join(label, "id", "left")
+    # pairs of different labels: block heads first (a list of two has no pair but the pivot's)
+    by = (index.where("c > 2").select("token", "id", "n", "pos").join(label, "id", "left")
           .withColumn("label", F.coalesce("comp", "id")).drop("comp"))
     mixed = cut(by.withColumn("lo", F.min("label").over(lists)).withColumn("hi", F.max("label").over(lists))
                 .where("lo <> hi").drop("lo", "hi"), "mixed")
@@ -265,8 +265,8 @@ def join_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame
     else:
         blocks = blocks.join(roots, ["a", "b"])
         heads = blocks.select("token", F.col("a").alias("label")).union(blocks.select("token", F.col("b").alias("label")))
-        touched = mixed.join(heads.distinct(), ["token", "label"], "left_semi").select("id", "label")
-        touched = cut(touched.select("id").union(touched.select(F.col("label").alias("id"))).distinct(), "touched")
+        mixed = cut(mixed.join(heads.distinct(), ["token", "label"], "left_semi"), "open-lists")
+        touched = cut(mixed.select("id").union(mixed.select(F.col("label").alias("id"))).distinct(), "touched")
         sets = sets_for(docs, touched, touched, k)
         root_found = compared(sets, roots, "root-answers")
         open_roots = root_found.where(~linked(percent)).select("a", "b", distance().alias("d"))
