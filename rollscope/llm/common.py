@@ -24,11 +24,22 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared(spark: SparkSession, *parts: str) -> str:
+    """A place in this application's part of the shared folder."""
+    return checkpoint_path(spark, f"llm-{spark.sparkContext.applicationId}", *parts)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that this application's operators have left in the shared
+    folder.  Results that are still to be read need some of them: write these first."""
+    _delete(spark, shared(spark))
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a table of its own in the shared folder and read it back:
     later work starts from files that outlive any executor."""
     spark = df.sparkSession
-    path = checkpoint_path(spark, "llm", f"{name}-{uuid.uuid4().hex}")
+    path = shared(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._llm_path = path
@@ -37,7 +48,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def drop(df: DataFrame) -> None:
     """Remove a table made by ``cut`` that nothing reads any more."""
-    spark, path = df.sparkSession, df._llm_path
+    _delete(df.sparkSession, df._llm_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 

@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollscope.session import checkpoint_path
+from .common import shared
 
 #: kind, pattern, group whose length counts, least length.  The first three are the base rules.
 RULES = (
@@ -90,7 +90,7 @@ def scan(versions: DataFrame, ledger_path: str, rules=RULES) -> DataFrame:
 
 
 def fresh_ledger(df: DataFrame) -> str:
-    return checkpoint_path(df.sparkSession, "llm", f"ledger-{uuid.uuid4().hex}")
+    return shared(df.sparkSession, f"ledger-{uuid.uuid4().hex}")
 
 
 def digest(found: DataFrame, base=BASE) -> DataFrame:

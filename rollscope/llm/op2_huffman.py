@@ -29,10 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rollscope.session import checkpoint_path
-
 from . import words as W
-from .common import COUNTER_SCHEMA, counter_rows, cut, merged_counters, parallel
+from .common import COUNTER_SCHEMA, counter_rows, cut, merged_counters, parallel, shared
 from .tokens import WORD_BPE, Encoder
 
 LIMIT = 18
@@ -165,10 +163,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = WORD_BPE, end_id:
     lengths = code_lengths(id_counts(tokens))
     spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "id int, length int") \
         .coalesce(1).write.parquet(f"{path}/codebook")
-    shared = spark.sparkContext.broadcast((lengths, canonical_codes(lengths)))
+    book = spark.sparkContext.broadcast((lengths, canonical_codes(lengths)))
 
     def encode(batches):
-        lengths, codes = shared.value
+        lengths, codes = book.value
         part, block, before = TaskContext.get().partitionId(), 0, 0
         held, size = [], 0
 
@@ -211,10 +209,10 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     blocks = spark.read.parquet(f"{path}/blocks")
     parts = blocks.groupBy("part").agg(F.sum("n").alias("n"))       # a row for each file's task
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    shared = spark.sparkContext.broadcast(lengths)
+    sizes = spark.sparkContext.broadcast(lengths)
 
     def decode(batches):
-        table, longest = decode_table(shared.value)
+        table, longest = decode_table(sizes.value)
         for b in batches:
             for i in range(0, len(b), 32):
                 rows = b.slice(i, 32).to_pylist()
@@ -242,6 +240,6 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
 
 def round_trip(docs: DataFrame, vocabulary: str = WORD_BPE, end_id: int = 2) -> DataFrame:
     """Write ``docs`` to fresh files in the shared folder and read them back."""
-    path = checkpoint_path(docs.sparkSession, "llm", f"huffman-{uuid.uuid4().hex}")
+    path = shared(docs.sparkSession, f"huffman-{uuid.uuid4().hex}")
     write_tokens(docs, path, vocabulary, end_id)
     return read_tokens(docs.sparkSession, path, ids=False)

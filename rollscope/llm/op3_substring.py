@@ -98,7 +98,7 @@ def ordered(table: pa.Table):
 
 def sketch(docs: DataFrame, k: int, shards: int) -> DataFrame:
     """A chunk's cells by shard, and under shard -1 its numbers of rows and words."""
-    def run(key, table):
+    def cells(table):
         keys, n_words = [], 0
         data, off = W.text_bytes(table["text"])
         for _, _, part, po in W.slices(data, off):
@@ -115,7 +115,7 @@ def sketch(docs: DataFrame, k: int, shards: int) -> DataFrame:
             t = pa.Table.from_batches([b])
             for chunk in pc.unique(t["chunk"]).to_pylist():
                 own = t.filter(pc.equal(t["chunk"], chunk))
-                x, n = run(None, own)
+                x, n = cells(own)
                 held.setdefault(chunk, []).append(x)
                 r = rows.setdefault(chunk, [0, 0])
                 r[0] += len(own)
