@@ -83,7 +83,7 @@ def q_p5(spark, sf_dir):
 @register("p6_image_prompt", _S_ITEMS_TXT + "SELECT row_id, 'user' AS role_0, 2 AS n_parts, 'image' AS type_0, "
           "'text' AS type_1, problem AS text_1 FROM t")
 def q_p6(spark, sf_dir):
-    p = P.with_prompt(_items_with_text(spark, sf_dir)).select("row_id", "prompt")
+    p = P.with_prompt(_items_with_text(spark, sf_dir).withColumn("image", F.col("image_path"))).select("row_id", "prompt")
     c = F.col("prompt")[0]["content"]
     return p.select("row_id", F.col("prompt")[0]["role"].alias("role_0"), F.size(c).alias("n_parts"),
                     c[0]["type"].alias("type_0"), c[1]["type"].alias("type_1"), c[1]["text"].alias("text_1"))
