@@ -21,8 +21,8 @@ import numpy as np
 from . import words as W
 
 WORD_BPE = "word_bpe_49k.json"
-MOST_UNITS = 1 << 21          # pieces and words that a worker keeps (about 40 bytes each)
-SLICE = 1 << 21
+MOST_UNITS = 1 << 20          # pieces and words that a worker keeps (about 40 bytes each)
+SLICE = 1 << 20
 
 # classes of bytes: 0 white space, 1 letter, 2 digit (a piece of its own), 3 other sign, 9 not plain
 _CLASS = np.full(256, 9, np.uint8)
@@ -44,26 +44,26 @@ def find_units(data: np.ndarray, off: np.ndarray):
     start, end, first = W.find_words(data, off)
     if not len(start):
         return start, end, first, np.zeros(0, bool), data
-    before = np.concatenate([[0], data[:-1]]).astype(np.uint8)
+    before = np.concatenate([np.zeros(1, np.uint8), data[:-1]])
     kind = _CLASS[data]
     follows = (data & 0xC0) == 0x80
     kind[follows & (before != 0xC3)] = 9
     sign = np.flatnonzero(follows & ((data == 0x97) | (data == 0xB7)) & (before == 0xC3))      # the signs U+00D7, U+00F7
     kind[sign] = kind[sign - 1] = 3
     kind[:-1][(data[:-1] == 60) & (data[1:] == 124)] = 9                                        # "<|": special tokens
-    odd = np.concatenate([[0], np.cumsum(kind == 9)])
+    odd = np.concatenate([np.zeros(1, np.int32), np.cumsum(kind == 9, dtype=np.int32)])
     odd = odd[end] > odd[start]
     change = np.zeros(len(data) + 1, np.int8)
     change[start[odd]] += 1
     change[end[odd]] -= 1
-    whole = np.cumsum(change[:-1]) > 0
+    whole = np.cumsum(change[:-1], dtype=np.int8) > 0
     inside = kind != 0
-    s = inside & ~whole & ((kind != np.concatenate([[0], kind[:-1]])) | (kind == 2))
+    s = inside & ~whole & ((kind != np.concatenate([_CLASS[32:33], kind[:-1]])) | (kind == 2))
     s[start] = True
     edge = np.zeros(len(data), bool)
     edge[end - 1] = True
     edge[:-1] |= s[1:] & inside[:-1]
-    low = data + 32 * (((data >= 65) & (data <= 90)) | ((before == 0xC3) & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)))
+    low = data + np.uint8(32) * (((data >= 65) & (data <= 90)) | ((before == 0xC3) & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)))
     unit = np.flatnonzero(s)
     return unit, np.flatnonzero(edge) + 1, np.searchsorted(unit, off), whole[unit], low.astype(np.uint8)
 
