@@ -87,20 +87,19 @@ def q_s4(spark, sf_dir):
     return IO.load_split(spark, path, "train").select("row_id", "target", "split")
 
 
-@register("s1_class_scan", F5_SQL + "SELECT target, count(*) AS n_files, CAST(sum(row_id) AS BIGINT) AS sum_ids FROM items GROUP BY target")
+@register("s1_class_scan", F5_SQL + "SELECT DISTINCT row_id // 200 AS shelf, target FROM items")
 def q_s1(spark, sf_dir):
-    """S1 over class folders derived from the catalog: one folder for each
-    class and one of no class, one file per item (named by a folder that holds
-    it), scanned by listing only.  Compared: the (path, class) pairs, as the
-    item ids in the paths by class; the folder outside the list is ignored."""
+    """S1 over class folders derived from the catalog: folders of shelves (200
+    items each) with a folder for each class and one of no class, scanned by
+    listing only.  Compared: the (path, class) pairs, the path by its shelf;
+    folders outside the list are ignored."""
     path = _scratch(spark, "classes")
-    items = f5_items(spark, sf_dir).select(F.col("target").alias("class"), F.col("row_id").alias("item"), "image_path")
-    other = items.where("item % 50 = 0").withColumn("class", F.lit("not a class"))
-    items.unionByName(other).repartition("class", "item").write.partitionBy("item", "class").text(path)
+    items = f5_items(spark, sf_dir).select(F.col("target").alias("class"), F.expr("row_id div 200").alias("shelf"), "image_path")
+    other = items.withColumn("class", F.lit("not a class"))
+    items.unionByName(other).repartition("class", "shelf").write.partitionBy("shelf", "class").text(path)
     listed = IO.scan_class_folders(spark, path, [f"class={c}" for c in K.GENERATOR_CLASSES])
-    pairs = listed.select(F.regexp_replace("target", "^class=", "").alias("target"),
-                          F.regexp_extract("image_path", "/item=([0-9]+)/", 1).cast("long").alias("row_id"))
-    return pairs.distinct().groupBy("target").agg(F.count("*").alias("n_files"), F.sum("row_id").alias("sum_ids"))
+    return listed.select(F.regexp_extract("image_path", "/shelf=([0-9]+)/", 1).cast("long").alias("shelf"),
+                         F.regexp_replace("target", "^class=", "").alias("target")).distinct()
 
 
 @register("s7_clean_report", "WITH " + _parsed_cte().strip() + " SELECT step, group_id, gen_idx, completion, "
