@@ -23,7 +23,14 @@ Before an exact comparison, pairs whose parity bits show them too far apart are
 left out (a lower bound of the distance: no link is lost).
 
 No pair within a label is ever made, so a group of n near copies costs O(n)
-pairs, and no link between different sets is lost for components.
+pairs, and no link between different sets is lost for components.  The pairs found
+on the way tie the components together; they are not all links.
+
+``link_counts`` adds each document's number of links, over all pairs.  Linked sets
+share a component, so the sets of a component are compared exactly with each other,
+in a grid of salted blocks of bounded size: a task counts the links of two blocks,
+and no pair is stored.  A component of m sets costs O(m^2) comparisons and sends
+each set to one task for each of its blocks.
 
 Cases: null or word-less text has an empty set (n_shingles 0) and is linked
 with nothing; fewer than ``k`` words are one n-gram.  Repeated rows come out as
@@ -46,6 +53,8 @@ from .common import COUNTER_SCHEMA, components, counter_rows, cut, drop, merged_
 SKETCH_BITS = 18          # counters of the order sketch: 2^18, whatever the data
 FILTER_BITS = 23          # bits of the id filter: 1 MB, whatever the data
 PARITY_BITS = 1024
+BLOCK_SETS = 2048         # of one component, in one block of the grid that counts links
+BLOCK_GRAMS = 1 << 20
 
 
 def sets_of(col, k: int):
@@ -213,10 +222,98 @@ def may_link(percent: int, x: str, y: str):
                   f"{100 + percent}L * least({x}n - {x}pos, {y}n - {y}pos) >= {percent}L * ({x}n + {y}n)")
 
 
+def block_links(table: pa.Table, percent: int) -> pa.Table:
+    """(digest, linked): for the sets of two blocks (or of one), how many documents of the
+    other block (of the same one, its own included) each set links with."""
+    hashes = table["hashes"].combine_chunks()
+    off = hashes.offsets.to_numpy().astype(np.int64)
+    n = np.diff(off)
+    _, token, found = np.unique(hashes.values.to_numpy()[off[0]:off[-1]], return_inverse=True, return_counts=True)
+    # n-grams of one set alone are in no overlap
+    shared = found[token] > 1
+    off = np.concatenate([[0], np.cumsum(shared)])[off - off[0]]
+    token = token[shared]
+    copies, block = table["copies"].to_numpy(), table["block"].to_numpy()
+    x = np.flatnonzero(block == table["lo"][0].as_py())
+    twice = table["lo"][0].as_py() != table["hi"][0].as_py()
+    y = np.flatnonzero(block == table["hi"][0].as_py())
+    own = np.concatenate([token[off[j]:off[j + 1]] for j in y]) if len(y) else token[:0]
+    ends = np.concatenate([[0], np.cumsum(off[y + 1] - off[y])])
+    linked, mark = np.zeros(len(n), np.int64), np.zeros(len(found), bool)
+    for i in x:
+        mark[token[off[i]:off[i + 1]]] = True
+        common = np.diff(np.concatenate([[0], np.cumsum(mark[own])])[ends])
+        mark[token[off[i]:off[i + 1]]] = False
+        if not twice:
+            common[y == i] = n[i]
+        hit = y[100 * common >= percent * (n[i] + n[y] - common)]
+        linked[i] += copies[hit].sum()
+        if twice:
+            linked[hit] += copies[i]
+    return pa.Table.from_arrays([table["digest"], pa.array(linked)], ["digest", "linked"])
+
+
+def count_links(docs: DataFrame, table: DataFrame, label: DataFrame, k: int, percent: int) -> DataFrame:
+    """(digest, n_links): with how many other documents a document of this set is linked
+    (rows without a doc_id aside).  Linked sets are in one component, so each component's
+    sets are compared with each other, block by block."""
+    sets = table.where("digest is not null and doc_id is not null").groupBy("digest").agg(
+        F.min("doc_id").alias("id"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    sets = cut(sets.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "classes")
+    blocks = sets.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("grams")).where("m > 1").select(
+        "comp", F.expr(f"greatest(ceil(m / {BLOCK_SETS}), ceil(grams / {BLOCK_GRAMS}))").alias("blocks"))
+    some = cut(sets.join(blocks, "comp").select("id", "digest", "copies", "comp", "blocks", F.expr(
+        "pmod(xxhash64(digest), blocks)").alias("block")), "several")
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(id_filter(some.select("id").distinct())))
+
+    def build(batches):
+        bits = np.unpackbits(shared.value).astype(bool)
+        for b in batches:
+            b = b.filter(pa.array(bits[hashed(b.column(0))]))
+            if len(b):
+                got = [h for _, h in sets_of(b.column(1), k)]
+                digest = [hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None for h in got]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array(digest, pa.binary()), pa.array([h.view(np.int64) for h in got], pa.list_(pa.int64()))],
+                    ["id", "digest", "hashes"])
+        W.release()
+
+    built = (docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
+             .mapInArrow(build, "id long, digest binary, hashes array<long>"))
+    grid = some.join(built, ["id", "digest"]).dropDuplicates(["id", "digest"]).withColumn(
+        "other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    grid = grid.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+                       "block", "digest", "copies", "hashes")
+    counted = grid.groupBy("comp", "lo", "hi").applyInArrow(lambda t: block_links(t, percent), "digest binary, linked long")
+    counted = counted.groupBy("digest").agg(F.sum("linked").alias("linked"))
+    return sets.join(counted, "digest", "left").select("digest", (F.coalesce("linked", "copies") - 1).alias("n_links"))
+
+
+def link_counts(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_links): the number of other documents that each document is linked with,
+    those with the same set included; 0 for an empty set or a null doc_id."""
+    table, _, label, _ = joined(docs, k, percent)
+    found = F.when(F.col("doc_id").isNotNull(), F.col("n_links"))
+    return table.join(count_links(docs, table, label, k, percent), "digest", "left").select(
+        "doc_id", F.coalesce(found, F.lit(0)).alias("n_links"))
+
+
 def join_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(members, links): ``members(doc_id, n_shingles, set_id, component_id)``
-    has one row per document; ``links(a, b, na, nb, common)`` the exact pairs
-    between distinct sets that tie each component together."""
+    has one row per document; ``links(a, b, na, nb, common)`` exact pairs between
+    distinct sets, enough to tie each component together but not all of its links
+    (``link_counts`` counts them all)."""
+    table, reps, label, links = joined(docs, k, percent)
+    members = (table.join(reps, "digest", "left").join(label, "id", "left")
+               .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
+                       F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")).alias("set_id"),
+                       F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "id", "doc_id")).alias("component_id")))
+    return members, links
+
+
+def joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(table, reps, label, links): the survey's documents, the id of each set, the
+    components ``label(id, comp)`` and the links that tie them together."""
     slack = 1 - percent / 100 + 1e-9
     table, level = survey(docs, k)
     reps = cut(table.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id")), "reps")
@@ -286,12 +383,7 @@ def join_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame
         grown = label.where("id <> comp").select(F.col("comp").alias("a"), F.col("id").alias("b"))
         grown = grown.union(root_found.where(linked(percent)).select("a", "b")).union(more.select("a", "b"))
         label = cut(components(grown), "labels")
-
-    members = (table.join(reps, "digest", "left").join(label, "id", "left")
-               .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
-                       F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")).alias("set_id"),
-                       F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "id", "doc_id")).alias("component_id")))
-    return members, all_links
+    return table, reps, label, all_links
 
 
 def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -7,7 +7,7 @@ from . import op2_huffman, op3_substring, op4_fingerprint, op5_chat, op6_mixing,
 from pyspark.sql import functions as F
 
 from .common import documents
-from .op1_jaccard import join_sets
+from .op1_jaccard import join_sets, link_counts
 
 
 def op1_ngram_jaccard_join(spark, sf_dir):
@@ -15,6 +15,10 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return members.select("doc_id", "n_shingles", "component_id", "set_id")
 
 
+def op1_ngram_jaccard_links(spark, sf_dir):
+    return link_counts(documents(spark, sf_dir))
+
+
 def op2_huffman_tokens(spark, sf_dir):
     return op2_huffman.round_trip(documents(spark, sf_dir))
 
@@ -57,11 +61,11 @@ def op10_secret_scans(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard_join, op2_huffman_tokens, op3_substring_dedup, op4_minhash_fingerprints,
+    op1_ngram_jaccard_join, op1_ngram_jaccard_links, op2_huffman_tokens, op3_substring_dedup, op4_minhash_fingerprints,
     op5_chat_format, op6_source_mixing, op7_language_id, op8_best_fit_packing, op9_quality_rules,
     op10_secret_scans)}
 #: The others have no SQL form (tokenizers, fitted models, 64-bit hashes): tests hold them against brute force.
 ORACLE: dict[str, str] = {
-    "op1_ngram_jaccard_join": oracle.OP1, "op3_substring_dedup": oracle.OP3, "op5_chat_format": oracle.OP5,
+    "op1_ngram_jaccard_join": oracle.OP1, "op1_ngram_jaccard_links": oracle.OP1_LINKS, "op3_substring_dedup": oracle.OP3, "op5_chat_format": oracle.OP5,
     "op6_source_mixing": oracle.OP6, "op10_secret_scans": oracle.OP10,
 }

@@ -54,6 +54,14 @@ def jaccard_components(rows, percent=80):
     return [(d, len(s), None if d is None else sets[root(i)][0]) for i, (d, s) in enumerate(sets)]
 
 
+def jaccard_links(rows, percent=80):
+    """[(doc_id, n_links)] of [(doc_id, text)] by comparing all pairs."""
+    sets = [(d, shingles(t)) for d, t in rows]
+    ok = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+    return [(d, sum(1 for j, (e, t) in enumerate(sets) if d is not None and e is not None and s and t and j != i and ok(s, t)))
+            for i, (d, s) in enumerate(sets)]
+
+
 def substring_dedup(rows, k=20):
     """[(doc_id, n_words, n_removed, kept_sha256)] in ascending (doc_id, text), nulls last."""
     seen, out = set(), []

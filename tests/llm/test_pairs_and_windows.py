@@ -52,6 +52,19 @@ def test_components_at_the_threshold(spark, seed):
     assert members(spark.createDataFrame(rows, "doc_id long, text string")) == sorted(brute.jaccard_components(rows), key=KEY)
 
 
+@pytest.mark.parametrize("block", [2048, 7])
+def test_links_within_a_component_are_all_counted(spark, odd, empty, block, monkeypatch):
+    monkeypatch.setattr(op1_jaccard, "BLOCK_SETS", block)
+    # repeated rows, equal texts, a null doc_id and a doc_id with two near texts
+    rows = near_copies(3, 2, 30)
+    rows += [rows[0], (900, rows[0][1]), (None, rows[0][1]), (rows[1][0], rows[0][1] + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counted = lambda x: sorted((tuple(r) for r in op1_jaccard.link_counts(x).collect()), key=KEY)
+    assert counted(df) == sorted(brute.jaccard_links(rows), key=KEY)
+    assert counted(odd) == sorted(brute.jaccard_links([r[:2] for r in odd_rows()]), key=KEY)
+    assert counted(empty) == []
+
+
 def test_representatives_keep_one_of_each_component(odd, docs, doc_rows):
     keep = {c for _, n, c in brute.jaccard_components([r[:2] for r in doc_rows]) if n} | \
            {d for d, n, _ in brute.jaccard_components([r[:2] for r in doc_rows]) if not n}
