@@ -9,8 +9,8 @@ codewords; ``ambiguous`` is set where the runner-up is close.
 The classifiers learn from at most ``SAMPLE`` labelled rows a language, those of
 smallest hashed (doc_id, text); the rows' feature vectors are made on the executors
 and only these fixed-size vectors reach the driver.  Everything learned is a
-matrix of ``DIM`` x bits numbers, whatever the data.  Predictions read the whole
-text and nothing else.
+matrix of ``DIM`` x bits numbers, whatever the data.  Learned rows and predictions
+read whole texts; predictions read nothing else.
 
 Cases: null texts and texts without a letter are ``und`` with score 0.  Rows
 with a null language are never learned from.  With one language everything is
@@ -29,7 +29,6 @@ from .common import cut
 
 DIM = 1 << 12
 SAMPLE = 600
-LEARN_CHARS = 20_000                 # of a learned row; predictions read whole texts
 CHUNK = 1 << 18                      # code points worked on at once
 CLOSE = 0.2
 UND = "und"
@@ -131,7 +130,7 @@ def learning_rows(docs: DataFrame, sample: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            got = [counts(t[:LEARN_CHARS]) for t in b.column(1).to_pylist()]
+            got = [counts(t.as_py()) for t in b.column(1)]
             keep = [k for k, g in enumerate(got) if g is not None]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(keep, pa.int64())), pa.array([got[k].astype(np.float32).tobytes() for k in keep], pa.binary())],

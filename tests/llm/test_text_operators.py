@@ -4,6 +4,7 @@ import re
 import statistics
 
 import brute
+import numpy as np
 import pytest
 from conftest import odd_rows
 from pyspark.sql import functions as F
@@ -128,6 +129,13 @@ def test_language_accuracy(spark):
     assert all(again[d]["lang_pred"] == r["lang_pred"] for d, r in got.items())
 
 
+def test_language_learns_from_whole_texts(spark):
+    text = "foreign header " * 2000 + "zzz qqq " * 3000
+    df = spark.createDataFrame([(i, text, "xx") for i in range(4)], "doc_id long, text string, lang string")
+    rows = op7_language.learning_rows(df, 10).collect()
+    assert rows and all((np.frombuffer(r["total"], np.float32) == op7_language.counts(text)).all() for r in rows)
+
+
 def test_language_of_odd_documents(odd, empty, spark):
     import zlib
     got = op7_language.identify(odd).collect()
