@@ -122,11 +122,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def learning_rows(docs: DataFrame, sample: int) -> DataFrame:
-    """(lang, total): the n-gram counts of each language's first rows by hash."""
+    """(lang, total): the n-gram counts of each language's first rows by hash; of rows
+    that share a hash (repeated rows), one."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(~held_out())
-    key = rows.select(F.col("doc_id").cast("long").alias("d"), "lang", F.xxhash64("doc_id", "text").alias("h"))
-    first = Window.partitionBy("lang").orderBy("h", "d")
-    chosen = cut(key.withColumn("i", F.row_number().over(first)).where(f"i <= {sample}").select("h"), "learning")
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    first = Window.partitionBy("lang").orderBy("h")
+    key = rows.select("lang", "h").distinct()
+    chosen = cut(key.withColumn("i", F.row_number().over(first)).where(f"i <= {sample}").select("lang", "h"), "learning")
 
     def run(batches):
         for b in batches:
@@ -138,7 +140,7 @@ def learning_rows(docs: DataFrame, sample: int) -> DataFrame:
         W.release()
 
     # as many hashes as languages times the sample: small whatever the data
-    some = rows.join(F.broadcast(chosen), F.xxhash64("doc_id", "text") == F.col("h"), "left_semi")
+    some = rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
     return some.select("lang", "text").mapInArrow(run, "lang string, total binary")
 
 

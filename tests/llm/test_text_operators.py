@@ -136,6 +136,13 @@ def test_language_learns_from_whole_texts(spark):
     assert rows and all((np.frombuffer(r["total"], np.float32) == op7_language.counts(text)).all() for r in rows)
 
 
+def test_language_sample_has_a_repeated_row_once(spark):
+    rows = [(1, "abc def", "xx")] * 30 + [(None, "ghi jkl", "xx")] * 30 + [(i, f"text {chr(97 + i) * 3}", "yy") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = collections.Counter(r["lang"] for r in op7_language.learning_rows(df, 5).collect())
+    assert got == {"xx": 2, "yy": 5}
+
+
 def test_language_of_odd_documents(odd, empty, spark):
     import zlib
     got = op7_language.identify(odd).collect()
