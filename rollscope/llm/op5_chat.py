@@ -98,9 +98,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) from the output."""
     df = formatted.withColumn("turns", F.filter(F.split("formatted", CONTROL, -1), lambda x, i: i % 2 == 1))
     said = F.transform("turns", lambda x: F.concat(parse_turn(x)[0], F.lit("\n"), parse_turn(x)[1], F.lit("\n")))
-    # the mask's spans, read piece by piece (a span within the whole text is its piece's start plus `at`)
-    loss = F.transform(F.filter("pieces", lambda t: t["learned"]),
-                       lambda t: unescape(F.substr(t["piece"], t["at"] + 1, t["length"])))
+    # the mask's spans of the whole text
+    loss = F.transform("mask", lambda m: unescape(F.substr(F.col("formatted"), (m["start"] + 1).cast("int"), m["length"])))
     df = df.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.array_join(said, "").alias("said"),
                    F.array_join(loss, "").alias("loss"), F.char_length("formatted").cast("long").alias("formatted_chars"))
     return df.select("conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"),

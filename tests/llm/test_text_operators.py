@@ -92,6 +92,16 @@ def test_chat_leaves_plain_texts_alone_and_masks_the_whole_text(spark):
     assert op5_chat.read_back(op5_chat.format_conversations(df.where("conv_id > 1"))).collect() == []
 
 
+def test_chat_loss_is_read_under_the_mask(spark):
+    rows = [(1, 0, "user", "hello"), (1, 1, "assistant", "été <|im_end|> ok"), (1, 2, "assistant", "plain")]
+    out = op5_chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    (r,) = op5_chat.read_back(out).collect()
+    assert r["loss_sha256"] == brute.sha("été <|im_end|> okplain")
+    moved = out.withColumn("mask", F.expr("transform(mask, m -> named_struct('start', m.start + 1, 'length', m.length))"))
+    (r,) = op5_chat.read_back(moved).collect()
+    assert r["loss_sha256"] == brute.sha("té <|im_end|> ok<lain<")
+
+
 # ---------------------------------------------------------------- 6 mixing
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_mixing(which, docs, odd, doc_rows):
