@@ -9,7 +9,7 @@ from rollscope.plans.q_class import scored_f1
 from rollscope.sources import io as IO
 from rollscope.streaming import streams as ST
 
-from conftest import SF001
+from testdata_paths import SF001
 
 
 def test_s1_class_folders_read_listing_only(spark, tmp_path):

@@ -5,7 +5,7 @@ import pytest
 from rollscope.plans.catalog import ORACLE, QUERIES, load_all
 from rollscope.plans.check import compare
 
-from conftest import SF001
+from testdata_paths import SF001
 
 load_all()
 

@@ -4,7 +4,7 @@ import pytest
 
 from rollscope.plans.catalog import QUERIES, load_all
 
-from conftest import SF001
+from testdata_paths import SF001
 
 load_all()
 

@@ -63,7 +63,7 @@ def test_token_kl_nonnegative(spark, rows):
 
 def test_metamorphic_repartition_same_scores(spark):
     from rollscope.plans.q_class import scored_f1
-    from conftest import SF001
+    from testdata_paths import SF001
     a = scored_f1(spark, SF001).select("row_id", "reward")
     b = scored_f1(spark, SF001).repartition(7, "row_id").select("row_id", "reward")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
