@@ -4,7 +4,7 @@ import random
 import brute
 import numpy as np
 import pytest
-from conftest import odd_rows
+from odd_documents import odd_rows
 
 from rollscope.llm import op1_jaccard, op3_substring
 from rollscope.llm import words as W

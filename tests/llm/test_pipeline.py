@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import SF, odd_rows
+from odd_documents import SF, odd_rows
 from tokenizers import Tokenizer
 
 from rollscope.llm import op9_quality, op10_secrets

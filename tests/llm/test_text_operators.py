@@ -6,7 +6,7 @@ import statistics
 import brute
 import numpy as np
 import pytest
-from conftest import odd_rows
+from odd_documents import odd_rows
 from pyspark.sql import functions as F
 
 from rollscope.llm import op4_fingerprint, op5_chat, op6_mixing, op7_language, op9_quality, op10_secrets
