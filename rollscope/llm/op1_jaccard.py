@@ -60,10 +60,9 @@ BLOCK_GRAMS = 1 << 20
 def sets_of(col, k: int):
     """Yield (row, sorted distinct n-gram hashes) for the texts of a batch."""
     data, off = W.text_bytes(col)
-    table = W.byte_table(lower=True)
     for i, j, part, po in W.slices(data, off):
         start, end, first = W.find_words(part, po)
-        h = W.word_hashes(part, start, end, table)
+        h = W.word_hashes(W.lowered(part), start, end)
         roll = W.rolling(h, k)
         for r in range(j - i):
             a, b = int(first[r]), int(first[r + 1])

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .common import COUNTER_SCHEMA, counter_rows, cut, merged_counters, parallel, shared
-from .tokens import WORD_BPE, Encoder
+from .tokens import WORD_BPE, Encoder, two_bytes
 
 LIMIT = 18
 BLOCK = 1 << 16
@@ -44,7 +44,7 @@ def token_table(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     def encode(batches):
         enc = Encoder.of(vocabulary)
         for b in batches:
-            ids = [np.append(x, np.uint32(end_id)).astype("<u2").tobytes() for _, x in enc.encode(b.column(1))]
+            ids = [two_bytes(np.append(x, np.uint32(end_id))) for _, x in enc.encode(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ids, pa.binary())],
                                              ["doc_id", "ids"])
         W.release()

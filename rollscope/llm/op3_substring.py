@@ -66,7 +66,7 @@ def unpack_sorted(raw) -> np.ndarray:
 
 def window_hashes(part, start, end, first, k, seed):
     """(hash, index) of all windows of a slice; index counts the slice's words."""
-    h = W.rolling(W.word_hashes(part, start, end, W.byte_table(seed)), k)
+    h = W.rolling(W.word_hashes(part, start, end, seed), k)
     last = np.repeat(first[1:], np.diff(first))[:len(h)]
     at = np.flatnonzero(np.arange(len(h)) + k <= last)
     return h[at], at

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .common import cut
-from .tokens import WORD_BPE, Encoder
+from .tokens import WORD_BPE, Encoder, two_bytes
 
 WINDOW = 2048
 
@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, window: int) -> DataFr
                     crc.append(zlib.crc32(own.tobytes()))
                     total.append(len(ids))
                     rank.append(int(seen[len(own)]))
-                    raw.append(own.astype("<u2").tobytes())
+                    raw.append(two_bytes(own))
                     seen[len(own)] += 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, pa.int64()) for x in (doc, start, length, crc, total, rank, [part] * len(doc))]

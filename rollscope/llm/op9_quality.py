@@ -75,7 +75,7 @@ def text_stats(col, k: int = 5) -> np.ndarray:
     out = np.zeros((len(off) - 1, len(STATS)), np.int64)
     for i, j, part, po in W.slices(data, off):
         start, end, first = W.find_words(part, po)
-        roll = W.rolling(W.word_hashes(part, start, end, W.byte_table(seed=9)), k)
+        roll = W.rolling(W.word_hashes(part, start, end, 9), k)
         inside = ~W._SPACE[part] & ((part & 0xC0) != 0x80)
         out[i:j, 0] = np.diff(first)
         for c, mask in ((1, inside), (2, _SYMBOL[part])):

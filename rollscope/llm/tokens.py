@@ -7,7 +7,7 @@ are split further into the tokenizer's own pieces by numpy: normalising leaves
 them alone and lower-casing maps letter by letter; a piece goes straight to the
 merge model.  All other words go through the whole tokenizer.
 
-Each Python worker keeps the ids of what it has met (a bounded table of arrays,
+Each Python worker keeps the ids of what it has met, by its bytes (a bounded table,
 emptied when full); a text's ids are gathered by numpy.
 """
 from __future__ import annotations
@@ -21,7 +21,7 @@ import numpy as np
 from . import words as W
 
 WORD_BPE = "word_bpe_49k.json"
-MOST_UNITS = 1 << 20          # pieces and words that a worker keeps (about 40 bytes each)
+MOST_UNITS = 1 << 19          # pieces and words that a worker keeps (about 150 bytes each)
 SLICE = 1 << 20
 
 # classes of bytes: 0 white space, 1 letter, 2 digit (a piece of its own), 3 other sign, 9 not plain
@@ -90,43 +90,48 @@ class Encoder:
         self.clear()
 
     def clear(self):
-        self.keys = np.zeros(0, np.uint64)                  # hashes of the units, sorted
-        self.at = np.zeros(0, np.int32)                     # where a unit's ids begin in the pool
-        self.size = np.zeros(0, np.int32)
+        self.known = ({}, {})                               # place of a piece, and of a word, by its bytes
+        self.at = np.zeros(1 << 12, np.int64)               # where its ids begin in the pool
+        self.size = np.zeros(1 << 12, np.int64)
         self.pool = np.zeros(1 << 16, np.uint32)
-        self.used = 0
+        self.count = self.used = 0
 
-    def _learn(self, keys, units):
-        """Keep the ids of new units: bytes that are a plain piece, or (True, bytes of a word)."""
+    def _learn(self, units, word: bool):
+        """Keep the ids of new units (bytes): plain pieces, or words for the whole tokenizer."""
         gc.disable()              # many small objects come and go: nothing here makes cycles
         try:
             merge = self.tokenizer.model.tokenize
-            words = [u.decode() for w, u in units if w]
-            rest = iter([e.ids for i in range(0, len(words), 4096)
-                         for e in self.tokenizer.encode_batch_fast(words[i:i + 4096], add_special_tokens=False)])
-            got = [array("I", next(rest) if w else
-                         [t.id for t in merge(u.decode() if u.isascii() else u.decode("latin-1").translate(_LETTER))])
-                   for w, u in units]
-            sizes = np.array([len(x) for x in got], np.int32)
+            if word:
+                words = [u.decode() for u in units]
+                got = [array("I", e.ids) for i in range(0, len(words), 4096)
+                       for e in self.tokenizer.encode_batch_fast(words[i:i + 4096], add_special_tokens=False)]
+            else:
+                got = [array("I", [t.id for t in merge(u.decode() if u.isascii() else u.decode("latin-1").translate(_LETTER))])
+                       for u in units]
+            sizes = np.array([len(x) for x in got], np.int64)
             flat = np.frombuffer(b"".join(got), np.uint32)
-            del got, rest
+            del got
         finally:
             gc.enable()
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
+        while self.count + len(units) > len(self.at):
+            self.at, self.size = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.at, self.size))
         self.pool[self.used:self.used + len(flat)] = flat
-        at = (self.used + np.cumsum(sizes) - sizes).astype(np.int32)
+        here = slice(self.count, self.count + len(units))
+        self.at[here], self.size[here] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.known[word].update(zip(units, range(here.start, here.stop)))
         self.used += len(flat)
-        place = np.searchsorted(self.keys, keys)            # both sorted: one pass of inserts
-        self.keys, self.at, self.size = (np.insert(a, place, b) for a, b in (
-            (self.keys, keys), (self.at, at), (self.size, sizes)))
+        self.count = here.stop
 
-    def _find(self, keys):
-        pos = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        if len(self.keys):
-            known = self.keys[np.minimum(pos, len(self.keys) - 1)] == keys
-        return pos, known
+    def _places(self, found, word: bool) -> np.ndarray:
+        """The places of the units of an Arrow array; units are the same only if their bytes are."""
+        found = found.dictionary_encode()
+        units, known = found.dictionary.to_pylist(), self.known[word]
+        new = [u for u in units if u not in known]
+        if new:
+            self._learn(new, word)
+        return np.fromiter(map(known.__getitem__, units), np.int64, len(units))[found.indices.to_numpy()]
 
     def encode(self, col):
         """Yield (row, ids) for every text of an Arrow string column (null: no ids)."""
@@ -137,22 +142,21 @@ class Encoder:
             else:
                 (start, end, first), low = W.find_words(part, po), part
                 whole = np.ones(len(start), bool)
-            h = W.word_hashes(low, start, end, W.byte_table(seed=7))
-            h[whole] = W.word_hashes(part, start[whole], end[whole], W.byte_table(seed=8))
-            keys, one, where = np.unique(h, return_index=True, return_inverse=True)
-            pos, known = self._find(keys)
-            if not known.all():
-                if len(self.keys) + len(keys) > MOST_UNITS:
-                    self.clear()
-                    known[:] = False
-                raw, lower = part.tobytes(), low.tobytes()
-                new = np.flatnonzero(~known)
-                self._learn(keys[new], [(w, (raw if w else lower)[a:b]) for w, a, b in zip(
-                    whole[one[new]].tolist(), start[one[new]].tolist(), end[one[new]].tolist())])
-                pos, _ = self._find(keys)
-            at, size = self.at[pos][where], self.size[pos][where]
+            if self.count > MOST_UNITS:
+                self.clear()
+            place = np.empty(len(start), np.int64)
+            place[~whole] = self._places(W.gathered(low, start[~whole], end[~whole]), False)
+            place[whole] = self._places(W.gathered(part, start[whole], end[whole]), True)
+            at, size = self.at[place], self.size[place]
             total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
             ids = self.pool[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
             cut = total[first]
             for r in range(j - i):
                 yield i + r, ids[cut[r]:cut[r + 1]]
+
+
+def two_bytes(ids: np.ndarray) -> bytes:
+    """Ids as little-endian 16-bit numbers; larger ones are an error."""
+    if len(ids) and int(ids.max()) > 0xFFFF:
+        raise ValueError("an id over 65,535 does not fit the 16-bit format")
+    return ids.astype("<u2").tobytes()

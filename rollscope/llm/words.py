@@ -1,7 +1,7 @@
 """Vectorised word kernels over Arrow string columns.
 
 Words are runs of bytes outside ``\\x20 \\x09-\\x0D``.  All hashes are 64-bit
-and depend on the bytes of a word alone, so equal words hash alike in every
+and depend on the bytes of a word (and a seed) alone, so equal words hash alike in every
 task.  Arrays are worked through in slices of about ``SLICE`` bytes, so the
 memory of a task does not depend on the number of rows in an Arrow batch.
 """
@@ -20,6 +20,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _STEP = _U(0xC2B2AE3D27D4EB4F)
+_ALL = _U(0xFFFFFFFFFFFFFFFF)
 
 
 def mix64(x):
@@ -30,33 +31,6 @@ def mix64(x):
     return x ^ (x >> _U(31))
 
 
-_TABLES = {}
-
-
-def byte_table(seed: int = 0, lower: bool = False) -> np.ndarray:
-    """A 64-bit value per byte; with ``lower`` A-Z count as a-z."""
-    if (seed, lower) not in _TABLES:
-        b = np.arange(256, dtype=np.uint64)
-        if lower:
-            b[65:91] += _U(32)
-        _TABLES[seed, lower] = mix64(b + _U(1 + 1000 * seed)) | _U(1)
-    return _TABLES[seed, lower]
-
-
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int):
-    if len(_POWERS[0]) < n:
-        n = max(n, SLICE)
-        inverse = _U(pow(int(_BASE), -1, 1 << 64))
-        for k, base in enumerate((_BASE, inverse)):
-            a = np.full(n, base, np.uint64)
-            a[0] = 1
-            _POWERS[k] = np.multiply.accumulate(a)
-    return _POWERS
-
-
 def text_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string column; nulls count as empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -101,23 +75,52 @@ def find_words(data: np.ndarray, off: np.ndarray):
     return start, np.flatnonzero(e) + 1, np.searchsorted(start, off)
 
 
-def word_hashes(data, start, end, table) -> np.ndarray:
-    """64-bit hash of each word: a polynomial of its bytes, scrambled."""
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z."""
+    return data + np.uint8(32) * ((data >= 65) & (data <= 90))
+
+
+def word_hashes(data, start, end, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each word.  Blocks of eight bytes (the last one filled up with
+    zeros) are scrambled, each together with its place in the word and the seed, and
+    added up; the sum and the length are scrambled again.  No step is linear in the
+    bytes, so words that are built from the same parts do not meet by their structure."""
     out = np.empty(len(start), np.uint64)
     i, n = 0, len(start)
+    base = mix64(np.array([seed], np.uint64) * _STEP + _BASE)[0]
     while i < n:
         j = max(i + 1, int(np.searchsorted(end, start[i] + SLICE, side="right")))
-        base = start[i]
-        part = data[base:end[j - 1]]
-        p, q = _powers(len(part) + 1)
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(table[part] * p[:len(part)], out=total[1:])
-        a, b = start[i:j] - base, end[i:j] - base
-        out[i:j] = mix64((total[b] - total[a]) * q[a] + (b - a).astype(np.uint64) * _STEP)
+        at, size = start[i:j] - start[i], end[i:j] - start[i:j]
+        part = np.concatenate([data[start[i]:end[j - 1]], np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(part) - 7,), "<u8", part, 0, (1,))          # eight bytes from each place on
+        left = np.minimum(size, 8).astype(np.uint64)
+        block = eight[at] & (_ALL >> (_U(64) - _U(8) * left))
+        total = mix64(block ^ base)
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            more = (size[long] - 1) // 8                                   # blocks after the first
+            which = np.repeat(long, more)
+            k = np.arange(len(which)) - np.repeat(np.cumsum(more) - more, more) + 1
+            left = np.minimum(size[which] - 8 * k, 8).astype(np.uint64)
+            block = eight[at[which] + 8 * k] & (_ALL >> (_U(64) - _U(8) * left))
+            block = mix64(block ^ mix64(base + k.astype(np.uint64) * _STEP))
+            total[long] += np.add.reduceat(block, np.cumsum(more) - more)
+        out[i:j] = mix64(total + size.astype(np.uint64) * _BASE)
         i = j
     return out
 
 
+def gathered(data, start, end) -> pa.Array:
+    """The words as an Arrow array of binary values."""
+    size = end - start
+    edge = np.zeros(len(data) + 1, np.int8)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, end, -1)
+    off = np.concatenate([np.zeros(1, np.int32), np.cumsum(size, dtype=np.int32)])
+    return pa.Array.from_buffers(pa.binary(), len(size), [
+        None, pa.py_buffer(off), pa.py_buffer(data[np.cumsum(edge[:-1], dtype=np.int8) > 0])])
+
+
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k consecutive word hashes (len(h) - k + 1 values, not
     regarding document ends): built from halves, log2(k) passes."""

@@ -29,3 +29,12 @@ def odd_rows():
         (15, "x" * 50_000, "en", "z"), (16, "###*** |||| <<<>>> %%% $$$ &&& word word word word word word", "en", "z"),
         (17, "ab " * 5_000, "en", "z"), (18, "<|endoftext|> a<|startoftext|>b don't WE'LL 1234", "en", "z"),
     ]
+
+
+def twins():
+    """Two words of 1,024 letters a and b, each other's complement: polynomial hashes
+    modulo a power of two give both the same value."""
+    w = "a"
+    while len(w) < 1024:
+        w += w.translate({97: 98, 98: 97})
+    return w, w.translate({97: 98, 98: 97})

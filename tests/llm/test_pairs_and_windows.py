@@ -4,7 +4,7 @@ import random
 import brute
 import numpy as np
 import pytest
-from odd_documents import odd_rows
+from odd_documents import odd_rows, twins
 
 from rollscope.llm import op1_jaccard, op3_substring
 from rollscope.llm import words as W
@@ -105,13 +105,33 @@ def test_sorted_numbers_round_trip():
 
 def test_word_hashes_depend_on_the_word_alone():
     import pyarrow as pa
-    texts = ["aa bb cc", " bb\n", None, "", "x aa\tcc\x0bBB", "é\x85é"]
+    texts = ["aa bb cc", " bb\n", None, "", "x aa\tcc\x0bBB", "é\x85é", "abcdefgh abcdefghi ABCDEFGHI abcdefghabcdefgh",
+             "x" * 70 + " " + "x" * 71 + " " + "X" * 70, *twins()]
     data, off = W.text_bytes(pa.array(texts))
     start, end, first = W.find_words(data, off)
-    h = W.word_hashes(data, start, end, W.byte_table(lower=True))
+    h = W.word_hashes(W.lowered(data), start, end)
     w = [bytes(data[a:b]).decode() for a, b in zip(start, end)]
     assert w == [x for t in texts for x in brute.words(t)]
     by = {}
     for x, v in zip(w, h):
         assert by.setdefault(x.lower(), v) == v
     assert len(set(by.values())) == len(by) and first.tolist()[-1] == len(w)
+    assert len(set(W.word_hashes(data, start, end, 5).tolist()) & set(h.tolist())) == 0
+    assert W.gathered(data, start, end).to_pylist() == [x.encode() for x in w]
+
+
+def test_words_of_the_same_parts_are_told_apart(spark):
+    """Twin words in windows and sets: nothing is linked or removed that is not the same."""
+    a, b = twins()
+    rest = [f"w{i}" for i in range(24)]
+    rows = [(1, " ".join([a, *rest[:4]])), (2, " ".join([b, *rest[:4]])), (3, " ".join([a, *rest])), (4, " ".join([b, *rest[:19]])),
+            (5, a), (6, b), (7, a)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert members(df) == sorted(brute.jaccard_components(rows), key=KEY)
+    from rollscope.llm.common import cut
+    got = op3_substring.dedup(cut(df.coalesce(1), "twins"), text=False).collect()
+    assert sorted(tuple(r) for r in got) == sorted(brute.substring_dedup(rows))
+    from rollscope.llm import op9_quality
+    import pyarrow as pa
+    text = " ".join([a, *rest[:9], b, *rest[:9]])
+    assert op9_quality.text_stats(pa.array([text]))[0].tolist() == list(brute.statistics(text)[:5])

@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from odd_documents import odd_rows
+from odd_documents import odd_rows, twins
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -47,6 +47,20 @@ def test_encoder_forgets_when_full(library, monkeypatch):
     assert got == [library.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_encoder_tells_words_of_the_same_parts_apart(library):
+    a, b = twins()
+    texts = [a, b, f"{b} {a}", f"é{a}'s é{b}'s"]
+    got = [x.tolist() for _, x in Encoder(WORD_BPE).encode(pa.array(texts))]
+    assert got == [library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_ids_over_sixteen_bits_are_refused():
+    from rollscope.llm.tokens import two_bytes
+    assert two_bytes(np.array([1, 65535], np.uint32)) == b"\x01\x00\xff\xff"
+    with pytest.raises(ValueError):
+        two_bytes(np.array([65536], np.uint32))
+
+
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_files_round_trip(request, library, which, docs, odd, doc_rows):
     df, rows = (docs, doc_rows) if which == "docs" else (odd, odd_rows())
