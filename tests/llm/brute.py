@@ -2,6 +2,7 @@
 import collections
 import hashlib
 import re
+import zlib
 
 import numpy as np
 
@@ -155,3 +156,52 @@ def mix(rows, weights=(5, 2, 1), cap=3, seed=1):
         u = int(hashlib.md5(f"{seed}:{'' if d is None else d}".encode()).hexdigest()[:8], 16) / 2 ** 32
         out.append((n, total[s], target[s], int(rate) + (u < rate - int(rate))))
     return out
+
+
+def counted_words(rows, least=5, count=3, every=97):
+    """{word: n} of [(doc_id, text)]."""
+    n = collections.Counter()
+    for d, t in rows:
+        for w in re.findall("[A-Za-z\u00C0-\u00FF]+", t or ""):
+            w = w.translate(LOWER)
+            h = zlib.crc32(f"{'' if d is None else d}:{w}".encode())
+            if h % every == 0:
+                w = w[:h % len(w)] + w[h % len(w) + 1:]
+            n[w] += 1
+    return {w: c for w, c in n.items() if len(w) >= least and c >= count}
+
+
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    if len(a) > len(b):
+        a, b = b, a
+    i = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return len(b) == len(a) + 1 and b[i + 1:] == a[i:]
+
+
+def spelling(n):
+    """[(word, form, root, n, n_near, form_n)] of {word: n}, by comparing all words that have a
+    shortened spelling in common (short tables: all words)."""
+    lists = collections.defaultdict(set)
+    for w in n:
+        for i in range(-1, len(w) if len(w) < 100 else -1):
+            lists[w[:i] + w[i + 1:] if i >= 0 else w].add(w)
+        if len(w) >= 100:
+            lists[None].add(w)
+    some = collections.defaultdict(set)
+    for ws in lists.values():
+        for w in ws:
+            some[w] |= ws
+    near = {w: [u for u in some[w] if one_edit(u, w)] for w in n}
+    form = {}
+    for w, us in near.items():
+        best = min(us, key=lambda u: (-n[u], u), default=None)
+        if best is not None and n[best] >= 2 * n[w]:
+            form[w] = best
+
+    def root(w):
+        while w in form:
+            w = form[w]
+        return w
+    return [(w, form.get(w), root(w), n[w], len(near[w]), n[form[w]] if w in form else None) for w in n]
