@@ -3,7 +3,7 @@ operator, with production parameters, to a whole table and returns the digest
 columns of its contract."""
 from __future__ import annotations
 
-from . import op2_huffman, op3_substring, op4_fingerprint, op5_chat, op6_mixing, op7_language, op8_packing, op9_quality, op10_secrets, op12_spelling, op13_alignment, oracle
+from . import op2_huffman, op3_substring, op4_fingerprint, op5_chat, op6_mixing, op7_language, op8_packing, op9_quality, op10_secrets, op11_lm, op12_spelling, op13_alignment, oracle
 from pyspark.sql import functions as F
 
 from .common import documents
@@ -55,6 +55,10 @@ def op9_quality_rules(spark, sf_dir):
     return op9_quality.verdicts(documents(spark, sf_dir))
 
 
+def op11_lm_scores(spark, sf_dir):
+    return op11_lm.score(documents(spark, sf_dir), ~op11_lm.held_out())
+
+
 def op12_spelling_variants(spark, sf_dir):
     return op12_spelling.variants(documents(spark, sf_dir))
 
@@ -71,7 +75,7 @@ def op10_secret_scans(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op1_ngram_jaccard_links, op2_huffman_tokens, op3_substring_dedup, op4_minhash_fingerprints,
     op5_chat_format, op6_source_mixing, op7_language_id, op8_best_fit_packing, op9_quality_rules,
-    op10_secret_scans, op12_spelling_variants, op13_tokenizer_alignment)}
+    op10_secret_scans, op11_lm_scores, op12_spelling_variants, op13_tokenizer_alignment)}
 #: The others have no SQL form (tokenizers, fitted models, 64-bit hashes): tests hold them against brute force.
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard_join": oracle.OP1, "op1_ngram_jaccard_links": oracle.OP1_LINKS, "op3_substring_dedup": oracle.OP3, "op5_chat_format": oracle.OP5,

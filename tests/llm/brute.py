@@ -205,3 +205,62 @@ def spelling(n):
             w = form[w]
         return w
     return [(w, form.get(w), root(w), n[w], len(near[w]), n[form[w]] if w in form else None) for w in n]
+
+
+class KneserNey:
+    """Interpolated modified Kneser-Ney in dictionaries; ``texts`` are lists of tokens."""
+
+    def __init__(self, texts, order, fallback):
+        self.order, self.counts, self.d = order, {}, {}
+        top = collections.Counter()
+        for t in texts:
+            t = ["<s>"] * (order - 1) + t
+            top.update(tuple(t[i - order + 1:i + 1]) for i in range(order - 1, len(t)))
+        self.counts[order] = top
+        for k in range(order - 1, 0, -1):
+            self.counts[k] = collections.Counter(g[1:] for g in self.counts[k + 1])
+        self.context = {k: collections.defaultdict(list) for k in self.counts}
+        for k, c in self.counts.items():
+            for g, n in c.items():
+                self.context[k][g[:-1]].append(n)
+            n = [sum(x == i for x in c.values()) for i in range(1, 5)]
+            d = list(fallback)
+            if min(n) > 0:
+                y = n[0] / (n[0] + 2 * n[1])
+                got = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
+                if all(0 < x <= i for i, x in enumerate(got, 1)):
+                    d = got
+            self.d[k] = d
+        self.words = {g[0] for g in self.counts[1]}
+        self.share = {k: {c: (sum(of), sum(self.d[k][min(x, 3) - 1] for x in of)) for c, of in v.items()}
+                      for k, v in self.context.items()}
+
+    def p(self, gram):
+        """Probability of the last of ``gram`` after the others."""
+        if not gram:
+            return 1 / (len(self.words) + 1)
+        k = len(gram)
+        below = self.p(gram[1:])
+        if gram[:-1] not in self.share[k]:
+            return below
+        total, rest = self.share[k][gram[:-1]]
+        d = self.d[k]
+        n = self.counts[k].get(gram, 0)
+        kept = max(n - d[min(n, 3) - 1], 0) if n else 0
+        return (kept + rest * below) / total
+
+
+def lm_scores(rows, order, fallback):
+    """{doc_id: [(held_out, n_tokens, n_known, train_tokens, base_score, score)]} of [(doc_id, text)]."""
+    texts = [words((t or "").translate(LOWER)) + ["</s>"] for _, t in rows]
+    held = [zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2 for d, _ in rows]
+    train = [t for t, h in zip(texts, held) if not h]
+    c = collections.Counter(w for t in train for w in t)
+    n, v = sum(c.values()), len(c)
+    model = KneserNey(train, order, fallback)
+    out = collections.defaultdict(list)
+    for (d, _), t, h in zip(rows, texts, held):
+        long = ["<s>"] * (order - 1) + t
+        out[d].append((h, len(t), sum(w in c for w in t), n, sum(np.log10((c[w] + 1) / (n + v + 1)) for w in t),
+                       sum(np.log10(model.p(tuple(long[i:i + order]))) for i in range(len(t)))))
+    return out
