@@ -3,8 +3,9 @@
 The tokens of a text are its words, A-Z lower-cased, and one end.  The model learns from
 the documents that ``learn`` holds for, and scores all.
 
-1. Texts become *chunks* of about ``CHUNK`` tokens, written as a table: 64-bit hashes of
-   the chunk's words, common words first, and the tokens as places in that list.
+1. Texts become *chunks* of about ``CHUNK`` tokens: 64-bit hashes of the chunk's words,
+   common words first, and the tokens as places in that list.  They are written as a
+   table bucketed by the task that made them, so that no later step shuffles them.
 2. From the highest order down, each chunk sends its distinct n-grams, with their counts,
    to the shards that their hashes name: sorted arrays of 48 bits within a shard.  A
    shard adds the counts up and answers each chunk in the order of its question.  It
@@ -35,6 +36,7 @@ text and those of ``learn`` are not read.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -44,18 +46,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import cut, parallel
+from .common import cut, parallel, shared
 
 ORDER = 2
-CHUNK = 1 << 21                # tokens
+CHUNK = 1 << 20                # tokens
 SHARD = 1 << 22                # n-grams, of all chunks
 BLOCK = 1 << 18                # tokens looked up at once
 FALLBACK = (0.5, 1.0, 1.5)
 _U = np.uint64
 _LOW = _U((1 << 48) - 1)
 BEGIN, END = W.mix64(np.array([1, 2], np.uint64))
-ASKED = "shard long, chunk long, grams binary, counts binary"
-TOLD = "chunk long, shard long, counts binary"
+ASKED = "shard long, task long, chunk long, grams binary, counts binary"
+TOLD = "task long, chunk long, shard long, counts binary"
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -78,9 +80,9 @@ def unpacked(raw) -> np.ndarray:
 
 
 def chunks(docs: DataFrame, learn: Column, order: int) -> DataFrame:
-    """(chunk, doc_id[], learn[], size[], words, ids, n_tokens): texts as places in the chunk's list of words."""
+    """(task, chunk, doc_id[], learn[], size[], words, ids, n_tokens): texts as places in the chunk's list of words."""
     def run(batches):
-        task, made = TaskContext.get().partitionId() << 32, 0
+        task, made = TaskContext.get().partitionId(), 0
         doc, use, size, hashes, held = [], [], [], [], 0
 
         def chunk():
@@ -90,7 +92,7 @@ def chunks(docs: DataFrame, learn: Column, order: int) -> DataFrame:
             place = np.empty(len(words), np.int64)
             place[by_count] = np.arange(len(words))
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in (
-                (task + made, pa.int64()), (doc, pa.list_(pa.int64())), (use, pa.list_(pa.bool_())),
+                (task, pa.int64()), ((task << 32) + made, pa.int64()), (doc, pa.list_(pa.int64())), (use, pa.list_(pa.bool_())),
                 (size, pa.list_(pa.int64())), (words[by_count].tobytes(), pa.binary()), (packed(place[where]), pa.binary()),
                 (len(h), pa.int64()))], names)
 
@@ -112,9 +114,19 @@ def chunks(docs: DataFrame, learn: Column, order: int) -> DataFrame:
             yield chunk()
         W.release()
 
-    names = ["chunk", "doc_id", "learn", "size", "words", "ids", "n_tokens"]
+    names = ["task", "chunk", "doc_id", "learn", "size", "words", "ids", "n_tokens"]
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", learn.alias("learn")).mapInArrow(
-        run, "chunk long, doc_id array<long>, learn array<boolean>, size array<long>, words binary, ids binary, n_tokens long")
+        run, "task long, chunk long, doc_id array<long>, learn array<boolean>, size array<long>, words binary, ids binary, n_tokens long")
+
+
+def bucketed(df: DataFrame, column: str) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed by ``column``: grouping by it needs no shuffle."""
+    spark = df.sparkSession
+    name = f"llm_{uuid.uuid4().hex}"
+    df.write.bucketBy(2 * parallel(spark), column).option("path", shared(spark, name)).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")                      # the files stay; the catalog keeps nothing
+    return out
 
 
 class Tokens:
@@ -153,9 +165,9 @@ def asked(grams: np.ndarray, counts: np.ndarray, chunk: int) -> pa.RecordBatch:
     edge = np.append(first, len(grams)).tolist()
     low = (grams & _LOW).astype(np.int64)
     return pa.RecordBatch.from_arrays([
-        pa.array(names.astype(np.int64)), pa.array([chunk] * len(names), pa.int64()),
+        pa.array(names.astype(np.int64)), pa.array([chunk >> 32] * len(names), pa.int64()), pa.array([chunk] * len(names), pa.int64()),
         pa.array([packed(np.diff(low[i:j], prepend=0)) for i, j in zip(edge[:-1], edge[1:])], pa.binary()),
-        pa.array([packed(counts[:, i:j]) for i, j in zip(edge[:-1], edge[1:])], pa.binary())], ["shard", "chunk", "grams", "counts"])
+        pa.array([packed(counts[:, i:j]) for i, j in zip(edge[:-1], edge[1:])], pa.binary())], ["shard", "task", "chunk", "grams", "counts"])
 
 
 def answers(questions: DataFrame, columns: int) -> DataFrame:
@@ -184,9 +196,9 @@ def answers(questions: DataFrame, columns: int) -> DataFrame:
         total[columns, owner[owner >= 0]] = 1
         stats = np.array(first + last, np.int64).tobytes()
         shard = table["shard"][0].as_py()
-        return pa.table([pa.array([-1] + table["chunk"].to_pylist(), pa.int64()), pa.array([shard] * (len(table) + 1), pa.int64()),
+        return pa.table([pa.array([-1] + table[c].to_pylist(), pa.int64()) for c in ("task", "chunk")] + [pa.array([shard] * (len(table) + 1), pa.int64()),
                          pa.array([stats] + [packed(total[:, i:j]) for i, j in zip(edge[:-1], edge[1:])], pa.binary())],
-                        ["chunk", "shard", "counts"])
+                        ["task", "chunk", "shard", "counts"])
 
     return questions.groupBy("shard").applyInArrow(add, TOLD)
 
@@ -210,9 +222,9 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.array([0.0, *FALLBACK])
 
 
-def told_counts(told: pa.Table, level: int, columns: int) -> np.ndarray:
+def told_counts(told: pa.Table, chunk: int, level: int, columns: int) -> np.ndarray:
     """A chunk's answers on an order: a row for each of ``columns``, in the order of its sorted n-grams."""
-    told = told.filter(pc.equal(told["level"], level)).sort_by("shard")
+    told = told.filter(pc.and_(pc.equal(told["level"], level), pc.equal(told["chunk"], chunk))).sort_by("shard")
     return np.concatenate([unpacked(x).reshape(columns, -1) for x in told["counts"]], axis=1)
 
 
@@ -236,11 +248,10 @@ def ask_highest(corpus: DataFrame, order: int, shards: int) -> DataFrame:
 
 def ask_lower(corpus: DataFrame, above: DataFrame, level: int, order: int, shards: int) -> DataFrame:
     """Owners of n-grams of the order above count their continuations and contexts."""
-    def run(left: pa.Table, right: pa.Table):
-        t = Tokens(left, order, shards)
+    def count(t, told):
         up = t.ends(level + 1)
         _, one = np.unique(t.keys(level + 1, up), return_index=True)
-        counts = told_counts(right, level + 1, columns(level + 1, order))
+        counts = told_counts(told, t.chunk, level + 1, columns(level + 1, order))
         own = np.flatnonzero(counts[-1])
         place, n = up[one[own]], counts[0][own]
         at = t.ends(level)
@@ -252,9 +263,14 @@ def ask_lower(corpus: DataFrame, above: DataFrame, level: int, order: int, shard
         got = [tally(ends), total, tally(context[n == 1]), tally(context[n == 2]), tally(context[n > 2])]
         if level == 1:
             got.append(tally(where[np.searchsorted(at, t.at[t.learn])]))
-        return pa.Table.from_batches([asked(grams, np.stack(got), t.chunk)])
+        return asked(grams, np.stack(got), t.chunk)
+
+    def run(left: pa.Table, right: pa.Table):
+        out = pa.Table.from_batches([count(Tokens(left.slice(k, 1), order, shards), right) for k in range(len(left))])
+        W.release()
+        return out
 
-    return corpus.groupBy("chunk").cogroup(above.where("chunk >= 0").groupBy("chunk")).applyInArrow(run, ASKED)
+    return corpus.groupBy("task").cogroup(above.where("chunk >= 0").groupBy("task")).applyInArrow(run, ASKED)
 
 
 class Slice:
@@ -294,7 +310,7 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER) -> DataFrame:
     if order < 2:
         raise ValueError("the order must be 2 or more")
     spark = docs.sparkSession
-    corpus = cut(chunks(docs, learn, order), "chunks")
+    corpus = bucketed(chunks(docs, learn, order), "task")
     tokens = corpus.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(parallel(spark), -(-tokens // SHARD))
     told, stats = {}, {}
@@ -307,9 +323,9 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER) -> DataFrame:
         every = every.unionByName(told[k])
     n, v = int(stats[1][7]), int(stats[1][6])
 
-    def run(left: pa.Table, right: pa.Table):
-        t = Tokens(left, order, shards)
-        slices = {k: Slice(np.unique(t.keys(k, t.ends(k))), told_counts(right, k, columns(k, order))) for k in range(1, order + 1)}
+    def scored(t, told):
+        slices = {k: Slice(np.unique(t.keys(k, t.ends(k))), told_counts(told, t.chunk, k, columns(k, order)))
+                  for k in range(1, order + 1)}
         logs, own = np.empty(len(t.at)), np.empty(len(t.at), np.int64)
         for i in range(0, len(t.at), BLOCK):
             logs[i:i + BLOCK], own[i:i + BLOCK] = log_probabilities(t, slices, stats, t.at[i:i + BLOCK])
@@ -319,7 +335,12 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER) -> DataFrame:
                          pa.array(np.full(len(first), n)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(logs, first))],
                         ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return corpus.groupBy("chunk").cogroup(every.where("chunk >= 0").groupBy("chunk")).applyInArrow(
+    def run(left: pa.Table, right: pa.Table):
+        out = pa.concat_tables([scored(Tokens(left.slice(k, 1), order, shards), right) for k in range(len(left))])
+        W.release()
+        return out
+
+    return corpus.groupBy("task").cogroup(every.where("chunk >= 0").groupBy("task")).applyInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
