@@ -47,7 +47,7 @@ BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 PIECE = 1 << 16                # steps of the merge in one piece
 UNITS = 1 << 16                # units in one block
-MOST_UNITS = 1 << 18           # units that a worker keeps (about 300 bytes each)
+MOST_UNITS = 1 << 20           # units that a worker keeps (about 250 bytes each)
 SLICE = 1 << 20
 
 
