@@ -33,6 +33,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import os
+import re
 from array import array
 
 import numpy as np
@@ -49,6 +50,8 @@ PIECE = 1 << 16                # steps of the merge in one piece
 UNITS = 1 << 16                # units in one block
 MOST_UNITS = 1 << 20           # units that a worker keeps (about 250 bytes each)
 SLICE = 1 << 20
+#: A space, plain letters, and signs but the apostrophe: two pieces of A's own splitting.
+PLAIN = re.compile(rb" (?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+([!-&(-/:-@\[-`{-~]*)")
 
 
 def with_spaces(data: np.ndarray, off: np.ndarray):
@@ -153,8 +156,11 @@ class Aligner:
         gc.disable()
         try:
             texts = [u.decode() for u in units]
-            a = [array("i", e.ids) for i in range(0, len(texts), 4096)
-                 for e in self.a.encode_batch_fast(texts[i:i + 4096], add_special_tokens=False)]
+            plain = [PLAIN.fullmatch(u) for u in units]
+            rest = [t for t, p in zip(texts, plain) if not p]
+            rest = iter([e.ids for i in range(0, len(rest), 4096)
+                         for e in self.a.encode_batch_fast(rest[i:i + 4096], add_special_tokens=False)])
+            a = [array("i", self.merged(u, p.start(1)) if p else next(rest)) for u, p in zip(units, plain)]
             b = [array("i", x if len(t) > 1 else [self.space]) for i in range(0, len(texts), 4096)
                  for t, x in zip(texts[i:i + 4096], self.b.encode([t[1:] for t in texts[i:i + 4096]], num_threads=1))]
             good = [b"".join(map(self.a_bytes.__getitem__, x)) == u == b"".join(map(self.b_bytes.__getitem__, y))
@@ -176,6 +182,12 @@ class Aligner:
             self.used[k] += len(flat)
         self.known.update(zip(units, range(n, n + more)))
 
+    def merged(self, unit: bytes, cut: int) -> list[int]:
+        """A's ids of a plain unit: its word and its signs, merged apart."""
+        letters, merge = unit.decode("latin-1").translate(_LETTER), self.a.model.tokenize
+        ids = [t.id for t in merge(letters[:cut])]
+        return ids + [t.id for t in merge(letters[cut:])] if cut < len(letters) else ids
+
     def places(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         off = np.append(starts, len(data)).astype(np.int32)
         found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(off), pa.py_buffer(data)]).dictionary_encode()
