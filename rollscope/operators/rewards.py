@@ -7,9 +7,10 @@ one narrow stage with no shuffle.
 """
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -102,21 +103,49 @@ def class_registry(classes: Sequence[str] = K.EMOTION_CLASSES) -> dict[str, Rewa
     return {"accuracy": accuracy_reward(classes), "format": format_reward(classes)}
 
 
-def model_reward(name: str, scorer, prompt: str = "problem") -> RewardFn:
-    """G11 hook: a user-supplied scorer ``(prompts: pd.Series, completions:
-    pd.Series) -> pd.Series[float]`` (e.g. a text classifier) runs as an
-    Arrow-batched pandas UDF over prompt + completion and becomes reward
-    column ``r_<name>``.  No model is shipped; the scorer is the caller's.
-    ``prompt`` names the prompt column; without it this is an error (the
-    solution never stands in for the prompt)."""
-    @F.pandas_udf(DoubleType())
-    def _score(prompts: pd.Series, completions: pd.Series) -> pd.Series:
-        return pd.Series(scorer(prompts, completions), dtype="float64")
+_SCORERS: dict[str, Callable] = {}          # of this worker
+
+
+def _scorer(token: str, load: Callable) -> Callable:
+    """The worker's own scorer: ``load`` runs once in it, however many tasks and batches follow."""
+    if token not in _SCORERS:
+        _SCORERS[token] = load()
+    return _SCORERS[token]
+
+
+def model_reward(name: str, load: Callable[[], Callable], prompt: str = "problem", completion: str = "completion",
+                 columns: Sequence[str] | None = None) -> RewardFn:
+    """G11 hook: a caller's scorer as reward column ``r_<name>``.
+
+    ``load()`` returns the scorer (and may load a model); it runs once in each Python worker.
+    The scorer gets every column of the table (or ``columns``), as Arrow arrays of a batch:
+    ``scorer(prompts, completions, **others)`` with the prompt and completion columns as
+    its first two arguments and all others -- solution, step, keys, targets -- by their
+    names.  It returns one number (or null) a row.  Rows go to it in Arrow batches by an
+    iterator, with no shuffle; the table's own columns stay in the JVM.  ``prompt`` must
+    be a column: the solution never stands in for the prompt.  No model is shipped."""
+    token = uuid.uuid4().hex
+
+    @F.arrow_udf(DoubleType())
+    def _score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = _scorer(token, load)
+        for rows in batches:
+            given = {f.name: rows.field(i) for i, f in enumerate(rows.type)}
+            got = scorer(given.pop(prompt), given.pop(completion), **given)
+            if not isinstance(got, (pa.Array, pa.ChunkedArray)):
+                got = pa.array(got, from_pandas=True)
+            got = got.combine_chunks() if isinstance(got, pa.ChunkedArray) else got
+            if len(got) != len(rows):
+                raise ValueError(f"the scorer {name!r} returned {len(got)} numbers for {len(rows)} rows")
+            yield got.cast(pa.float64())
 
     def fn(df: DataFrame) -> DataFrame:
-        if prompt not in df.columns:
-            raise ValueError(f"model_reward needs the prompt column {prompt!r}")
-        return df.withColumn(f"r_{name}", _score(F.col(prompt), F.col("completion")))
+        use = list(columns or df.columns)
+        use += [c for c in (prompt, completion) if c not in use]
+        missing = [c for c in use if c not in df.columns]
+        if missing:
+            raise ValueError(f"model_reward needs the columns {missing}")
+        return df.withColumn(f"r_{name}", _score(F.struct(*[F.col(_q(c)).alias(c) for c in use])))
     return fn
 
 

@@ -180,11 +180,20 @@ def q_g1(spark, sf_dir):
 
 
 @register("g11_model_reward", f"WITH f1 AS ({f1_sql(CL)}) SELECT row_id, "
-          + S.r6("length(completion) / (length(concat('Rate ', image_path)) + 1.0)") + " AS reward FROM f1")
+          + S.r6("length(completion) / (length(concat('Rate ', image_path)) + 1.0) + 0.01 * length(solution) + step % 7 + 0.5 * gen_idx")
+          + " AS reward FROM f1")
 def q_g11(spark, sf_dir):
-    """A caller's scorer (here: relative length) over prompt and completion."""
+    """A caller's scorer that reads prompt, completion, solution, step and the rollout's place."""
+    def load():
+        import pyarrow.compute as pc
+
+        def score(prompts, completions, solution, step, gen_idx, **_):
+            size = [pc.utf8_length(x).to_numpy() for x in (prompts, completions, solution)]
+            return size[1] / (size[0] + 1.0) + 0.01 * size[2] + step.to_numpy() % 7 + 0.5 * gen_idx.to_numpy()
+        return score
+
     d = f1_rollouts(spark, sf_dir).withColumn("problem", F.concat(F.lit("Rate "), F.col("image_path")))
-    d = R.apply_rewards(d, {"model": R.model_reward("model", lambda p, c: c.str.len() / (p.str.len() + 1.0))})
+    d = R.apply_rewards(d, {"model": R.model_reward("model", load)})
     return d.select("row_id", r6("reward").alias("reward"))
 
 

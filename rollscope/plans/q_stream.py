@@ -48,23 +48,25 @@ def q_st2(spark, sf_dir):
           f"SELECT step, group_id, gen_idx, {S.r6('(reward - m) / (sd + 0.0001)')} AS advantage, "
           "n AS group_size, n <> 8 AS incomplete FROM a")
 def q_st3(spark, sf_dir):
-    """ST3 as a stream: rollouts stamped one minute apart (so groups cross the
-    hours) are written as files and followed; a last row, far in the future
-    and of no group, lets the watermark pass the last session."""
+    """ST3 as a stream over four files, read one a batch, whose borders cut groups (rollouts are
+    stamped one minute apart, and each file sends the last rows of the one before again):
+    every group is emitted in the batch that completes it."""
     base = _base(spark, "st3")
-    d = scored_f1(spark, sf_dir).select("step", "group_id", "gen_idx", "reward",
+    d = scored_f1(spark, sf_dir).select("step", "group_id", "gen_idx", "reward", "row_id",
                                         F.timestamp_seconds(F.col("row_id") * 60 + 3600).alias("ts"))
-    d.write.parquet(f"{base}/in")
-    end = spark.range(1).selectExpr("cast(null AS bigint) AS step", "cast(null AS bigint) AS group_id", "cast(null AS bigint) AS gen_idx",
-                                    "cast(null AS double) AS reward", "timestamp'2200-01-01 00:00:00' AS ts")
-    end.write.mode("append").parquet(f"{base}/in")
-    a = ST.streaming_advantages(spark.readStream.schema(d.schema).parquet(f"{base}/in"), watermark="0 seconds")
-    q = (a.where("step IS NOT NULL").writeStream.format("parquet").option("checkpointLocation", f"{base}/state")
-         .trigger(availableNow=True).start(f"{base}/out"))
+    d.write.parquet(f"{base}/scored")
+    d = spark.read.schema(d.schema).parquet(f"{base}/scored")
+    n = d.agg(F.max("row_id")).first()[0] + 1
+    for k in range(4):
+        own = d.where((F.col("row_id") >= k * n // 4 - 2) & (F.col("row_id") < (k + 1) * n // 4 + 3))
+        own.drop("row_id").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(d.drop("row_id").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    a = ST.streaming_advantages(stream)
+    q = (a.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+         .start(f"{base}/out"))
     q.awaitTermination()
     a = spark.read.schema(a.schema).parquet(f"{base}/out")
-    return a.select("step", "group_id", "gen_idx", r6("advantage").alias("advantage"),
-                    F.col("group_size").cast("long").alias("group_size"), "incomplete")
+    return a.select("step", "group_id", "gen_idx", r6("advantage").alias("advantage"), "group_size", "incomplete")
 
 
 @register("st1_follow_log", CTE + f" SELECT step, image_path AS img_path, {S.r6('r_accuracy')} AS reward FROM scored")

@@ -1,17 +1,20 @@
 """Structured Streaming operators (ST1-ST3).
 
 ST1 follows the reward log directory as new JSON files arrive; ST2 keeps
-live windowed metrics with a watermark; ST3 emits group advantages once a
-group's window has closed.  State is bounded by the watermark, and
+live windowed metrics with a watermark; ST3 emits a group's advantages when
+its G-th rollout arrives.  State is bounded by the watermark, and
 checkpoints go under the shared ``spark.checkpoint.dir``.
 """
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as K
+from ..operators.groups import group_advantages
 from ..session import checkpoint_path
 from ..sources.io import REWARD_LOG_SCHEMA
 
@@ -58,28 +61,59 @@ def live_metrics(stream: DataFrame, ts: str = "ts", key: str = "event_type", val
             .agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_value"), F.max(value).alias("max_value")))
 
 
+ADVANTAGE_STATE = "gen array<long>, reward array<double>, latest long, done boolean"
+
+
 def streaming_advantages(stream: DataFrame, ts: str = "ts", reward: str = "reward", gap: str = "1 hour",
                          watermark: str = "1 hour", g: int = K.DEFAULT_G, eps: float = K.ADVANTAGE_EPSILON,
                          keys=("step", "group_id")) -> DataFrame:
-    """ST3: collect each group's rollouts in a session of its own keys, then
-    compute mean / sample std / advantage per rollout.  Row windows are not
-    allowed on streams, hence the two steps.  A session ends when the group
-    has been silent for ``gap``, so no clock boundary cuts a group.  A rollout
-    that a producer sends again (same ``gen_idx``) counts once, so a group
-    holds G rollouts at most; groups short of G are flagged ``incomplete``."""
-    stream = event_time(stream, ts).withWatermark(ts, watermark)
-    once = [*keys, "gen_idx"]
-    stream = stream.dropDuplicatesWithinWatermark(once) if stream.isStreaming else stream.dropDuplicates(once)
-    grouped = (stream.groupBy(F.session_window(ts, gap).alias("window"), *keys)
-               .agg(F.collect_list(F.struct("gen_idx", F.col(reward).alias("r"))).alias("rollouts")))
-    rs = F.transform("rollouts", lambda x: x["r"])
-    n = F.size(rs)
-    mean = F.aggregate(rs, F.lit(0.0), lambda a, x: a + x) / n
-    var = F.aggregate(rs, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / (n - 1)
-    d = grouped.select("window", *keys, F.col("rollouts"), n.alias("group_size"), mean.alias("group_mean"),
-                       F.when(n > 1, F.sqrt(var)).alias("group_std"))
-    d = d.select("*", F.explode("rollouts").alias("ro")).drop("rollouts")
-    return d.select("window", *keys, F.col("ro.gen_idx").alias("gen_idx"), F.col("ro.r").alias(reward),
-                    "group_size", "group_mean", "group_std",
-                    ((F.col(f"ro.r") - F.col("group_mean")) / (F.col("group_std") + F.lit(eps))).alias("advantage"),
-                    (F.col("group_size") != F.lit(g)).alias("incomplete"))
+    """ST3: the advantages of a rollout group in the batch that brings its G-th rollout.
+
+    Each group has keyed state: the rollouts so far (G at most) and a timer, ``gap`` of event
+    time after its latest row.  A full group is emitted at once; its state then only
+    remembers that, so a rollout that is sent again (same ``gen_idx``, the first one counts)
+    or one beyond G changes nothing.  When the watermark passes the timer, a group
+    that is still short is emitted with ``incomplete``, and the state goes.  Rows later than
+    the watermark are dropped; a group that speaks up again after its timer is a new one.
+
+    On a table that is no stream the result is the same for all rollouts together."""
+    types = {f.name: f.dataType for f in stream.schema}
+    out = T.StructType([*[T.StructField(k, types[k]) for k in keys]]).add("gen_idx", "long").add(reward, "double") \
+        .add("group_size", "long").add("group_mean", "double").add("group_std", "double").add("advantage", "double").add("incomplete", "boolean")
+    stream = event_time(stream, ts).select(*keys, F.col("gen_idx").cast("long").alias("gen_idx"),
+                                           F.col(reward).cast("double").alias("r"), F.col(ts).alias("ts"))
+    if not stream.isStreaming:
+        once = stream.groupBy(*keys, "gen_idx").agg(F.min_by("r", F.struct("ts", "r")).alias(reward))
+        return group_advantages(once, reward, keys, eps, g).select([F.col(f.name).cast(f.dataType) for f in out])
+    wait = int(pd.Timedelta(gap).total_seconds() * 1000)
+
+    def rows(key, gen, values, full):
+        x = np.array(values, float)
+        mean, std = x.mean(), (x.std(ddof=1) if len(x) > 1 else np.nan)
+        own = {k: pd.Series([None if v != v else v] * len(x), dtype=object) for k, v in zip(keys, key)}
+        return pd.DataFrame({**own, "gen_idx": gen, reward: x, "group_size": len(x), "group_mean": mean, "group_std": std,
+                             "advantage": (x - mean) / (std + eps), "incomplete": not full})
+
+    def step(key, frames, state):
+        gen, values, latest, done = state.get if state.exists else ([], [], 0, False)
+        gen, values = list(gen), list(values)
+        if state.hasTimedOut:
+            state.remove()
+            if gen and not done:
+                yield rows(key, gen, values, False)
+            return
+        for f in frames:
+            f = f.sort_values(["ts", "gen_idx", "r"])
+            latest = max(latest, int(f["ts"].max().timestamp() * 1000))
+            for i, r in zip(f["gen_idx"].tolist(), f["r"].tolist()):
+                if not done and i not in gen:
+                    gen.append(i)
+                    values.append(r)
+                    if len(gen) == g:
+                        yield rows(key, gen, values, True)
+                        gen, values, done = [], [], True
+        state.update((gen, values, latest, done))
+        state.setTimeoutTimestamp(max(latest + wait, state.getCurrentWatermarkMs() + 1))
+
+    return stream.withWatermark("ts", watermark).groupBy(*keys).applyInPandasWithState(
+        step, out, ADVANTAGE_STATE, "append", "EventTimeTimeout")

@@ -1,4 +1,5 @@
 """Source/sink round trips (fresh temp dirs) and stream = batch checks."""
+import datetime
 import os
 
 from pyspark.sql import functions as F
@@ -86,26 +87,56 @@ def test_st2_live_metrics_equal_batch(spark, tmp_path):
     assert joined.where(got["n"] != batch["n"]).count() == 0
 
 
-def test_st3_streaming_advantages(spark, tmp_path):
-    """Complete groups equal the batch result, also across the hour; a group
-    short of G is flagged; a rollout sent twice counts once."""
+def test_st3_emits_when_the_group_is_full(spark, tmp_path):
+    """Batch by batch: a full group comes out with its last rollout, long before the gap has passed; one that is
+    short at its timer is flagged; what is sent again, also in a later batch, counts once."""
+    schema = "step long, group_id long, gen_idx long, reward double, ts timestamp"
+    rows = lambda *r: [(0, g, i, v, datetime.datetime(2024, 1, 1, 0, m)) for g, i, v, m in r]
+    os.makedirs(tmp_path / "in")
+    stream = ST.streaming_advantages(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), gap="30 minutes",
+                                     watermark="10 minutes", g=3)
+    seen = set()
+
+    def batch(*r):
+        spark.createDataFrame(rows(*r), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = (stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state"))
+             .trigger(availableNow=True).start(str(tmp_path / "out")))
+        q.awaitTermination()
+        got = {tuple(x) for x in spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect()}
+        new = got - seen
+        seen.update(got)
+        return sorted((x[1], x[2], x[3], x[4], round(x[7], 3), x[8]) for x in new)
+
+    assert batch((1, 0, 1.0, 0), (1, 1, 2.0, 1), (2, 0, 5.0, 2)) == []
+    assert batch((1, 1, 9.0, 2), (2, 1, 5.0, 3)) == []                         # 1 is sent again: still two of three
+    full = batch((1, 2, 3.0, 4))
+    assert full == [(1, 0, 1.0, 3, -1.0, False), (1, 1, 2.0, 3, 0.0, False), (1, 2, 3.0, 3, 1.0, False)]
+    assert batch((1, 0, 7.0, 5), (1, 5, 7.0, 5)) == []                         # resent, and beyond G
+    short = batch((3, 0, 1.0, 55))                                              # the watermark passes group 2's timer
+    short += batch((3, 0, 1.0, 55))
+    assert short == [(2, 0, 5.0, 2, 0.0, True), (2, 1, 5.0, 2, 0.0, True)]
+    assert len(seen) == 5
+
+
+def test_st3_stream_equals_batch(spark, tmp_path):
     f1 = scored_f1(spark, SF001).withColumn("ts", F.timestamp_seconds(F.col("row_id") * 60 + 3600))
     f1 = f1.select("step", "group_id", "gen_idx", "reward", "ts").where("not (group_id = 5 and gen_idx = 3)")
-    f1.union(f1.where("group_id = 7 and gen_idx = 2")).write.parquet(str(tmp_path / "r"))
-    spark.sql("SELECT 0L AS step, -1L AS group_id, 0L AS gen_idx, 0D AS reward, timestamp'2200-01-01' AS ts") \
+    f1.union(f1.where("group_id = 7 and gen_idx = 2")).repartition(3).write.parquet(str(tmp_path / "r"))
+    spark.sql("SELECT -1L AS step, -1L AS group_id, 0L AS gen_idx, 0D AS reward, timestamp'2200-01-01' AS ts") \
         .write.mode("append").parquet(str(tmp_path / "r"))
     schema = "step long, group_id long, gen_idx long, reward double, ts timestamp"
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "r"))
-    q = (ST.streaming_advantages(stream, watermark="0 seconds").writeStream.format("memory")
-         .queryName("st3_out").outputMode("append").trigger(availableNow=True)
-         .option("checkpointLocation", str(tmp_path / "ck")).start())
+    q = (ST.streaming_advantages(stream).writeStream.format("parquet").trigger(availableNow=True)
+         .option("checkpointLocation", str(tmp_path / "ck")).start(str(tmp_path / "out")))
     q.awaitTermination(120)
     from rollscope.operators.groups import group_advantages
     key = lambda d: {(r["step"], r["group_id"], r["gen_idx"]): r for r in d.collect()}
-    got, batch = key(spark.table("st3_out")), key(group_advantages(f1))
-    assert got.keys() == batch.keys()
-    assert all(abs(got[k]["advantage"] - batch[k]["advantage"]) < 1e-9 for k in got)
-    assert {k[1] for k, r in got.items() if r["incomplete"]} == {5}
+    got = key(spark.read.parquet(str(tmp_path / "out")).where("step >= 0"))
+    batch = key(group_advantages(f1))
+    table = key(ST.streaming_advantages(spark.read.schema(schema).parquet(str(tmp_path / "r"))).where("step >= 0"))
+    assert got.keys() == batch.keys() == table.keys()
+    assert all(abs(got[k]["advantage"] - batch[k]["advantage"]) < 1e-9 > abs(table[k]["advantage"] - batch[k]["advantage"]) for k in got)
+    assert {k[1] for k, r in got.items() if r["incomplete"]} == {k[1] for k, r in table.items() if r["incomplete"]} == {5}
 
 
 def test_start_helper_checkpoints_under_shared_dir(spark, tmp_path):
