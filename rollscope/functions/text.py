@@ -19,6 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as K
+from .trie import alternation
 
 _REGEX_SPECIAL = set("\\.^$|?*+()[]{}")
 
@@ -64,9 +65,13 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: What Python's ``str.strip`` takes away.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def py_strip(c) -> Column:
     """Python ``str.strip()``: remove leading and trailing Unicode whitespace."""
-    return F.regexp_replace(_c(c), jre(r"\A\s+|\s+\z"), "")
+    return F.btrim(_c(c), F.lit(SPACES))
 
 
 # ---------------------------------------------------------------- T8, T9, T10
@@ -135,7 +140,7 @@ def remove_floats_full(c) -> Column:
 
 # ---------------------------------------------------------------- T4, T6
 def _class_alt(classes: Sequence[str]) -> str:
-    return r"\b(" + "|".join(escape(x) for x in classes) + r")\b"
+    return r"\b(" + alternation(classes, escape, icase=True) + r")\b"
 
 
 def remove_class_names(c, classes: Sequence[str]) -> Column:
@@ -162,30 +167,26 @@ def remove_sentences_with_words(c, words: Sequence[str], enders: str = K.SENTENC
     Deleting sentences word by word is the same as keeping the sentences that
     contain none of the words, as long as no word holds an ender (sentence
     boundaries never move).  If one does (``e.g.``), a match of it runs across
-    boundaries, and the words are deleted one after the other.  Splitting into sentences once is linear in the text length,
-    where the per-word ``[^E]*word[^E]*[E]`` scan backtracks quadratically on
-    long texts without enders.
+    boundaries, and the words are deleted one after the other.
+
+    One pass matches the sentences one after the other: those without a word (the words as
+    one trie, looked for at each letter) and the trailing piece are put back, the others not.
+    No step goes back over a sentence, so long texts without enders cost their length, where
+    the per-word ``[^E]*word[^E]*[E]`` scan backtracks quadratically.  Texts without any of
+    the words are not rewritten.
     """
     e = _class_escape(enders)
-    t = F.regexp_replace(_c(c), "\n", " ")
+    t = F.translate(_c(c), "\n", " ")
     if any(x in enders for w in words for x in w):
         for w in words:
             t = F.regexp_replace(t, f"[^{e}]*{escape(w)}[^{e}]*[{e}]", "")
         return py_strip(F.regexp_replace(t, jre(r"\s+"), " "))
-    pieces = F.regexp_extract_all(t, F.lit(f"[^{e}]*[{e}]|[^{e}]+\\z"), 0)
     ws = [w for w in words if w]
     if ws:
-        def keep(s):
-            none = None
-            for w in ws:
-                x = ~F.contains(s, F.lit(w))
-                none = x if none is None else (none & x)
-            # the trailing piece has no ender: always kept
-            return ~F.substring(s, -1, 1).isin(*list(enders)) | none
-        pieces = F.filter(pieces, keep)
-    s = F.array_join(pieces, "")
-    s = F.regexp_replace(s, jre(r"\s+"), " ")
-    return py_strip(s)
+        word = alternation(ws, escape)
+        clean = f"((?:(?!{word})[^{e}])*+[{e}]|[^{e}]++\\z)|[^{e}]*+[{e}]"
+        t = F.when(t.rlike(word), F.regexp_replace(t, clean, "$1")).otherwise(t)
+    return py_strip(F.regexp_replace(t, jre(r"\s+"), " "))
 
 
 # ---------------------------------------------------------------------- T7
