@@ -71,6 +71,17 @@ def q_s6(spark, sf_dir):
                        "question_text", "model_answer", "unpaired")
 
 
+@register("s6_qa_documents", "WITH " + _parsed_cte().strip() + ", r AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY group_id, gen_idx) - 1 AS k, "
+          "CASE WHEN row_id % 37 = 0 THEN NULL ELSE think END AS a FROM parsed) SELECT step, k AS question_id, solution AS question_text, "
+          "a AS model_answer, '1.1' AS data_version, CAST(count(*) FILTER (a IS NULL) OVER (PARTITION BY step) AS BIGINT) AS unpaired FROM r")
+def q_s6_documents(spark, sf_dir):
+    """S6 as the steps' JSON documents with positional ids, written by several tasks and read back; some answers are missing."""
+    path = _scratch(spark, "qa-documents")
+    d = parsed_f1(spark, sf_dir).withColumn("a", F.expr("CASE WHEN row_id % 37 <> 0 THEN think END"))
+    IO.write_qa_documents(d, path, "solution", "a")
+    return IO.read_qa_documents(spark, path)
+
+
 def _scratch(spark, name: str) -> str:
     """A fresh folder under the shared checkpoint directory."""
     import uuid
@@ -87,29 +98,33 @@ def q_s4(spark, sf_dir):
     return IO.load_split(spark, path, "train").select("row_id", "target", "split")
 
 
-@register("s1_class_scan", F5_SQL + "SELECT DISTINCT row_id // 200 AS shelf, target FROM items")
+@register("s1_class_scan", F5_SQL + "SELECT row_id // 200 AS shelf, target, count(*) AS n_items FROM items GROUP BY 1, 2")
 def q_s1(spark, sf_dir):
     """S1 over class folders derived from the catalog: folders of shelves (200
-    items each) with a folder for each class and one of no class, scanned by
-    listing only.  Compared: the (path, class) pairs, the path by its shelf;
-    folders outside the list are ignored."""
+    items each) with a folder for each class and one of no class, and one file in
+    it with a line for each item, scanned by listing only.  Compared: every file by its shelf,
+    class and number of lines, so a lost or doubled file shows; folders outside the
+    list are ignored."""
     path = _scratch(spark, "classes")
     items = f5_items(spark, sf_dir).select(F.col("target").alias("class"), F.expr("row_id div 200").alias("shelf"), "image_path")
     other = items.withColumn("class", F.lit("not a class"))
     items.unionByName(other).repartition("class", "shelf").write.partitionBy("shelf", "class").text(path)
     listed = IO.scan_class_folders(spark, path, [f"class={c}" for c in K.GENERATOR_CLASSES])
-    return listed.select(F.regexp_extract("image_path", "/shelf=([0-9]+)/", 1).cast("long").alias("shelf"),
-                         F.regexp_replace("target", "^class=", "").alias("target")).distinct()
+    tail = lambda c: F.regexp_extract(c, "/(shelf=.*)$", 1).alias("file")
+    held = spark.read.text(path).groupBy(tail(F.url_decode("_metadata.file_path"))).agg(F.count(F.lit(1)).alias("n_items"))
+    return (listed.select("target", tail("image_path")).join(held, "file")
+            .select(F.regexp_extract("file", "^shelf=([0-9]+)/", 1).cast("long").alias("shelf"),
+                    F.regexp_replace("target", "^class=", "").alias("target"), "n_items"))
 
 
 @register("s7_clean_report", "WITH " + _parsed_cte().strip() + " SELECT step, group_id, gen_idx, completion, "
-          + s_rr(s_process("think", "a"), K.FLOAT_FULL) + " AS cleaned FROM parsed")
+          + s_rr(s_process("think", "a"), K.FLOAT_FULL) + " AS cleaned, row_number() OVER (PARTITION BY step ORDER BY group_id, gen_idx) AS sample FROM parsed")
 def q_s7(spark, sf_dir):
     """S7 through storage: raw completion and its cleaned reasoning written
-    side by side per step, then read back."""
+    side by side per step, numbered within the step, then read back."""
     path = _scratch(spark, "report")
     IO.write_clean_report(parsed_f1(spark, sf_dir).withColumn("cleaned", T.remove_floats_full(T.process_text("think", "a"))), path)
-    return spark.read.parquet(path).select(F.col("step").cast("long"), "group_id", "gen_idx", "completion", "cleaned")
+    return spark.read.parquet(path).select(F.col("step").cast("long"), "group_id", "gen_idx", "completion", "cleaned", "sample")
 
 
 @register("s8_token_log", "WITH tok AS (" + f3_tokens_sql() + ") SELECT seq_id, pos, step, round(logp, 6) + 0.0 AS logp, round(ref_logp, 6) + 0.0 AS ref_logp, round(exp(ref_logp - logp) - (ref_logp - logp) - 1, 6) + 0.0 "

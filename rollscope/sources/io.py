@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import boxes as B
+from ..operators.numbering import numbered_within
 
 REWARD_LOG_SCHEMA = T.StructType([
     T.StructField("step", T.LongType()),
@@ -149,11 +150,64 @@ def write_qa(records: DataFrame, path: str, files_per_step: int = 4) -> None:
     clustered(records, files_per_step).write.mode("append").partitionBy("step").json(path)
 
 
+def write_lines(lines: DataFrame, path: str, by: Sequence[str], key: str = "step", parts: int | None = None) -> None:
+    """Text files by ``key``: the column ``line`` of ``lines`` in the order of ``by`` (which starts
+    with the key).  Several tasks write a key's lines; its files, read in the order of their
+    names, give them in order."""
+    n = parts or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = lines.repartitionByRange(n, *by).sortWithinPartitions(*by)
+    ordered.select(key, "line").write.mode("append").partitionBy(key).text(path)
+
+
+def write_qa_documents(df: DataFrame, path: str, question: str, answer: str, step: str = "step",
+                       order: Sequence[str] = ("group_id", "gen_idx"), data_version: str = "1.1", parts: int | None = None) -> None:
+    """One JSON document for each step, ``{"metadata": {step, timestamp, data_version}, "qa_pairs":
+    [{question_id, question_text, model_answer}, ...]}``; question_id is the position in the step,
+    from 0.  The document is the step's files in the order of their names: a head, a line for
+    each pair, a foot.  Pairs that lack a question or an answer make the counts differ: the
+    metadata then say how many (``unpaired``)."""
+    pairs = df.select(F.col(step).cast("long").alias("step"), *order, F.col(question).cast("string").alias("question_text"),
+                      F.col(answer).cast("string").alias("model_answer"))
+    # written once (numbered_within): the heads and the lines come from the same rows
+    pairs = numbered_within(pairs, ["step"], order, "n", total="of", parts=parts)
+    one = F.to_json(F.struct((F.col("n") - 1).alias("question_id"), "question_text", "model_answer"), {"ignoreNullFields": "false"})
+    body = pairs.select("step", F.lit(1).alias("kind"), "n", F.concat(one, F.when(F.col("n") < F.col("of"), ",").otherwise("")).alias("line"))
+    steps = pairs.groupBy("step").agg(F.count_if(F.col("question_text").isNull() | F.col("model_answer").isNull()).alias("bad"))
+    meta = F.to_json(F.struct("step", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
+                              F.lit(data_version).alias("data_version"), F.nullif("bad", F.lit(0)).alias("unpaired")))
+    head = steps.select("step", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("n"),
+                        F.concat(F.lit('{"metadata": '), meta, F.lit(', "qa_pairs": [')).alias("line"))
+    foot = steps.select("step", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("n"), F.lit("]}").alias("line"))
+    write_lines(head.union(body).union(foot), path, ["step", "kind", "n"], parts=parts)
+
+
+def read_qa_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(step, question_id, question_text, model_answer, data_version, unpaired) of the documents of S6,
+    line by line, by any number of tasks; ``unpaired`` as the metadata of the step have it."""
+    lines = spark.read.text(path)
+    meta = F.from_json(F.regexp_extract("value", r'^\{"metadata": (.*), "qa_pairs": \[$', 1), "data_version string, unpaired long")
+    heads = lines.where(F.col("value").startswith('{"metadata": ')).select(F.col("step").cast("long").alias("step"), meta.alias("m"))
+    pair = F.from_json(F.regexp_replace("value", r",\z", ""), "question_id long, question_text string, model_answer string")
+    pairs = lines.where(F.col("value").startswith('{"question_id":')).select(F.col("step").cast("long").alias("step"), pair.alias("p"))
+    return pairs.join(heads, "step").select("step", "p.*", "m.data_version", F.coalesce("m.unpaired", F.lit(0)).cast("long").alias("unpaired"))
+
+
 # ------------------------------------------------------------------- S7, S8
 def write_clean_report(df: DataFrame, path: str, completion: str = "completion", cleaned: str = "cleaned",
-                       files_per_step: int = 4) -> None:
-    """Raw vs cleaned text side by side, one directory per step."""
-    clustered(df.select("step", "group_id", "gen_idx", completion, cleaned), files_per_step).write.mode("append").partitionBy("step").parquet(path)
+                       files_per_step: int = 4, order: Sequence[str] = ("group_id", "gen_idx")) -> None:
+    """Raw vs cleaned text side by side, one directory per step; ``sample`` counts the step's rows
+    from 1 in the given order."""
+    rows = numbered_within(df.select("step", *order, completion, cleaned), ["step"], order, "sample")
+    clustered(rows, files_per_step).write.mode("append").partitionBy("step").parquet(path)
+
+
+def write_text_report(df: DataFrame, path: str, completion: str = "completion", cleaned: str = "cleaned",
+                      order: Sequence[str] = ("group_id", "gen_idx"), parts: int | None = None) -> None:
+    """S7 as text, by step: ``Sample i:``, the completion, the cleaned response, a rule of 50 signs."""
+    rows = numbered_within(df.select("step", *order, completion, cleaned), ["step"], order, "sample", parts=parts)
+    line = F.concat(F.lit("Sample "), F.col("sample").cast("string"), F.lit(":\nCompletion: "), F.coalesce(completion, F.lit("None")),
+                    F.lit("\nCleaned Response: "), F.coalesce(cleaned, F.lit("None")), F.lit("\n" + "=" * 50))
+    write_lines(rows.select("step", "sample", line.alias("line")), path, ["step", "sample"], parts=parts)
 
 
 def write_token_logs(tokens: DataFrame, path: str, files_per_step: int = 4) -> None:
