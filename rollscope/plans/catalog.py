@@ -32,4 +32,4 @@ def r6(c) -> Column:
 
 def load_all() -> None:
     # importing the modules runs their @register decorators
-    from . import q_class, q_boxes, q_text, q_prompts, q_tokens, q_io, q_stream, q_lists  # noqa: F401
+    from . import q_class, q_boxes, q_text, q_prompts, q_tokens, q_io, q_stream, q_lists, q_large_boxes  # noqa: F401
