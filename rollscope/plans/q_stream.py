@@ -19,29 +19,44 @@ def _base(spark, name: str) -> str:
     return checkpoint_path(spark, "rollscope-io", f"{name}-{uuid.uuid4().hex}")
 
 
-@register("st2_live_metrics",
-          "SELECT CAST(epoch(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS window_start, event_type, "
-          f"count(*) AS n, {S.r6('avg(value)')} AS mean_value, {S.r6('max(value)')} AS max_value "
-          "FROM events GROUP BY 1, 2")
-def q_st2(spark, sf_dir):
-    """ST2 as a stream over the events' files: after each batch the metrics of all windows so far."""
+_ST2 = """WITH f AS (SELECT *, least(event_id * 8 // (SELECT max(event_id) + 1 FROM events) + CASE WHEN event_id % 50 = 0 THEN 2 ELSE 0 END, 7) AS file FROM events),
+  m AS (SELECT file, max(ts) AS latest FROM f GROUP BY 1),
+  l AS (SELECT file, max(latest) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 DAY AS before FROM m),
+  r AS (SELECT f.*, coalesce(ts < before, false) AS late FROM f JOIN l USING (file)) """
+
+
+def _st2(spark, sf_dir) -> str:
+    """ST2 as a stream over eight files of the events, one a batch, every 50th event two files late; the folder of its results."""
     base = _base(spark, "st2")
     ev = table(spark, sf_dir, "events")
-    ev.write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(ev.schema).parquet(f"{base}/in")
-    m = ST.live_metrics(stream, window="1 day")
+    n = ev.agg(F.max("event_id")).first()[0] + 1
+    file = F.least(F.expr(f"event_id * 8 div {n}") + F.when(F.col("event_id") % 50 == 0, 2).otherwise(0), F.lit(7))
+    for k in range(8):
+        ev.where(file == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    q = (ST.metrics_with_quarantine(stream, f"{base}/out").option("checkpointLocation", f"{base}/state")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return f"{base}/out"
 
-    def keep(batch, _):
-        batch.write.mode("overwrite").parquet(f"{base}/out")
 
-    q = (m.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
-         .foreachBatch(keep).start())
-    q.awaitTermination()
-    m = spark.read.parquet(f"{base}/out")
+@register("st2_live_metrics", _ST2 + ", w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) - INTERVAL (i) DAY AS start, event_type, value FROM r, range(2) t(i) WHERE NOT late) "
+          "SELECT CAST(epoch(start) AS BIGINT) AS window_start, event_type, count(*) AS n, "
+          f"{S.r6('avg(value)')} AS mean_value, {S.r6('max(value)')} AS max_value FROM w "
+          "WHERE start + INTERVAL 2 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2")
+def q_st2(spark, sf_dir):
+    """ST2: the sliding windows that the stream has closed, of the rows that came in time."""
+    m = ST.closed_windows(spark, _st2(spark, sf_dir))
     return m.select(F.unix_timestamp(F.col("window.start")).alias("window_start"), "event_type", "n",
                     r6("mean_value").alias("mean_value"), r6("max_value").alias("max_value"))
 
 
+@register("st2_late_rows", _ST2 + "SELECT event_id, event_type, file AS batch FROM r WHERE late")
+def q_st2_late(spark, sf_dir):
+    """ST2's quarantine: every row that came too late, with its batch."""
+    return ST.late_rows(spark, _st2(spark, sf_dir)).select("event_id", "event_type", F.col("batch").cast("long").alias("batch"))
+
+
 @register("st3_advantages",
           CTE + ", a AS (SELECT *, avg(reward) OVER w AS m, stddev_samp(reward) OVER w AS sd, count(*) OVER w AS n "
           "FROM scored WINDOW w AS (PARTITION BY step, group_id)) "

@@ -61,6 +61,58 @@ def live_metrics(stream: DataFrame, ts: str = "ts", key: str = "event_type", val
             .agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_value"), F.max(value).alias("max_value")))
 
 
+def metrics_with_quarantine(stream: DataFrame, out: str, ts: str = "ts", key: str = "event_type", value: str = "value",
+                            window: str = "2 days", slide: str | None = "1 day", delay: str = "1 day"):
+    """ST2 with eviction and a quarantine: a writer for ``stream`` (start it with a checkpoint).
+
+    Each batch first tells late rows from the others: a row is late if it is older than the
+    latest event time of the batches before, less ``delay``.  Late rows go to ``out``/late as they
+    came; nothing is dropped unseen.  The others join the open windows, a table of as many
+    rows as there are open windows and keys; windows that end before the new limit are
+    closed: they are written once and never held again.  A batch reads the tables of the batch
+    before and overwrites its own, so a batch that runs again leaves the same.
+    ``closed_windows`` and ``late_rows`` read the results."""
+    spark = stream.sparkSession
+    stream = event_time(stream, ts)
+    w = F.window(ts, window, slide) if slide else F.window(ts, window)
+
+    def limit(n):
+        """The limit that batch ``n`` leaves (None before the first)."""
+        return spark.read.parquet(f"{out}/limit/batch={n}").first()["limit"] if n >= 0 else None
+
+    def step(batch, n):
+        before = limit(n - 1)
+        rows = batch.withColumn("late", F.coalesce(F.col(ts) < F.lit(before), F.lit(False)) if before else F.lit(False))
+        rows.write.mode("overwrite").partitionBy("late").parquet(f"{out}/rows/batch={n}")
+        # read back: what follows sees the same rows as the quarantine
+        rows = spark.read.schema(rows.schema).parquet(f"{out}/rows/batch={n}")
+        after = rows.agg((F.max(ts) - F.expr(f"INTERVAL {delay}")).alias("limit"))
+        after = after.select(F.greatest("limit", F.lit(before).cast("timestamp")).alias("limit"))
+        after.write.mode("overwrite").parquet(f"{out}/limit/batch={n}")
+        after = limit(n)
+        new = rows.where("not late").select(w.alias("window"), key, value).groupBy("window", key).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.count(value).alias("n_values"), F.max(value).alias("max_value"))
+        if n:
+            held = spark.read.parquet(f"{out}/windows/batch={n - 1}").where("not closed").drop("closed")
+            new = new.unionByName(held).groupBy("window", key).agg(F.sum("n").alias("n"), F.sum("total").alias("total"),
+                                                                   F.sum("n_values").alias("n_values"), F.max("max_value").alias("max_value"))
+        new = new.withColumn("closed", F.coalesce(F.col("window.end") <= F.lit(after), F.lit(False)) if after else F.lit(False))
+        new.write.mode("overwrite").parquet(f"{out}/windows/batch={n}")
+
+    return stream.writeStream.foreachBatch(step)
+
+
+def closed_windows(spark: SparkSession, out: str) -> DataFrame:
+    """(window, key, n, mean_value, max_value, batch) of the windows that ST2 has closed, each once."""
+    d = spark.read.parquet(f"{out}/windows").where("closed")
+    return d.withColumn("mean_value", F.col("total") / F.col("n_values")).drop("closed", "total", "n_values")
+
+
+def late_rows(spark: SparkSession, out: str) -> DataFrame:
+    """The rows that came too late, with the batch that brought them."""
+    return spark.read.parquet(f"{out}/rows").where(F.col("late").cast("boolean")).drop("late")
+
+
 ADVANTAGE_STATE = "gen array<long>, reward array<double>, latest long, done boolean"
 
 

@@ -87,6 +87,35 @@ def test_st2_live_metrics_equal_batch(spark, tmp_path):
     assert joined.where(got["n"] != batch["n"]).count() == 0
 
 
+def test_st2_state_is_bounded_and_late_rows_are_kept(spark, tmp_path):
+    """Many days in many batches: only the windows that can still change are held; a window comes out once; late rows are
+    counted; the closed windows equal a batch aggregate of the rows in time."""
+    schema = "id long, ts timestamp, event_type string, value double"
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    os.makedirs(tmp_path / "in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    day = lambda d, h=0: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=d, hours=h)
+    for b in range(12):
+        rows = [(b * 10 + h, day(b, 2 * h), "ab"[h % 2], float(h)) for h in range(10)]
+        if b >= 4:
+            rows += [(1000 + b, day(b - 4), "a", 99.0)]                  # four days old: late
+            rows += [(2000 + b, day(b - 1, 20), "a", None)]              # old, but not older than the delay
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for _ in range(2):                                                   # a second start finds nothing new
+        q = ST.metrics_with_quarantine(stream, out).option("checkpointLocation", ck).trigger(availableNow=True).start()
+        q.awaitTermination()
+    late = ST.late_rows(spark, out).collect()
+    assert sorted(r["id"] for r in late) == [1000 + b for b in range(4, 12)]
+    held = {r["batch"]: r["count"] for r in spark.read.parquet(f"{out}/windows").where("not closed").groupBy("batch").count().collect()}
+    assert len(held) == 12 and max(held.values()) <= 8                   # at most 4 open windows of 2 keys
+    got = ST.closed_windows(spark, out)
+    rows = spark.read.schema(schema).parquet(str(tmp_path / "in")).where("id < 1000 or id >= 2000")
+    want = rows.groupBy(F.window("ts", "2 days", "1 day").alias("window"), "event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.max("value").alias("x")).where(F.col("window.end") <= F.lit(day(10, 18)))
+    flat = lambda d, *c: sorted((r["window"]["start"], r["event_type"], *[r[k] for k in c]) for r in d.collect())
+    assert flat(got, "n", "mean_value", "max_value") == flat(want, "n", "m", "x") and got.count() > 15
+
+
 def test_st3_emits_when_the_group_is_full(spark, tmp_path):
     """Batch by batch: a full group comes out with its last rollout, long before the gap has passed; one that is
     short at its timer is flagged; what is sent again, also in a later batch, counts once."""
