@@ -85,8 +85,9 @@ def scan(versions: DataFrame, ledger_path: str, rules=RULES) -> DataFrame:
     one = texts.join(unseen, (F.col("blob") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
     new = find(one, "text", rules).select("blob", F.lit(version).alias("rules"), "spans").dropDuplicates(["blob"])
     new.write.mode("append").parquet(ledger_path)
-    done = spark.read.schema(schema).parquet(ledger_path).where(F.col("rules") == version)
-    return refs.join(done.drop("rules"), "blob", "left")
+    # two runs at a time may both have scanned a blob: the ledger's pairs count once
+    done = spark.read.schema(schema).parquet(ledger_path).where(F.col("rules") == version).drop("rules").dropDuplicates(["blob"])
+    return refs.join(done, "blob", "left")
 
 
 def fresh_ledger(df: DataFrame) -> str:

@@ -46,6 +46,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as W
 from .common import COUNTER_SCHEMA, components, counter_rows, cut, drop, merged_counters
@@ -387,7 +388,8 @@ def joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame,
 
 def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without those of a component's documents but the
-    smallest doc_id; of rows that repeat this doc_id, one stays.  Rows with an
+    smallest doc_id.  Of rows that repeat this doc_id with the same set, the one of the
+    smallest text stays; rows that repeat it with other sets all stay.  Rows with an
     empty set or a null doc_id stay."""
     members, _ = join_sets(docs, k, percent)
     keep = members.where("n_shingles > 0 and doc_id = component_id").select("doc_id").distinct()
@@ -395,5 +397,17 @@ def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     empty = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^ \\t-\\r]")
     alone = keyed.where(empty | F.col("__id").isNull()).drop("__id")
     one = (keyed.where(~empty & F.col("__id").isNotNull())
-           .join(keep.withColumnRenamed("doc_id", "__id"), "__id", "left_semi").drop("__id"))
-    return one.dropDuplicates(["doc_id"]).unionByName(alone)
+           .join(keep.withColumnRenamed("doc_id", "__id"), "__id", "left_semi"))
+    twice = cut(docs.select(F.col("doc_id").cast("long").alias("__id")).groupBy("__id").count().where("count > 1").select("__id"), "twice")
+    same = (one.join(twice, "__id", "left_semi").select("__id", F.col("text").alias("__text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")))
+    text = same.columns.index("__text")
+
+    def sets(batches):
+        for b in batches:
+            digest = [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for _, h in sets_of(b.column(text), k)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digest, pa.binary())], [*b.schema.names, "__set"])
+        W.release()
+
+    same = same.mapInArrow(sets, T.StructType([*same.schema.fields, T.StructField("__set", T.BinaryType())]))
+    same = same.groupBy("__id", "__set").agg(F.min_by("__row", "__text").alias("__row")).select("__row.*")
+    return one.join(twice, "__id", "left_anti").drop("__id").unionByName(same).unionByName(alone)

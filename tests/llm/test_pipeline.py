@@ -84,4 +84,26 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_operator_has_a_query():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    """One query for each operator, in order, and one more that counts the links of the first."""
+    first = list(dict.fromkeys(n.split("_")[0] for n in QUERIES))
+    assert first == [f"op{i}" for i in range(1, 14)] and len(QUERIES) == 14
+
+
+def test_deduplicate_keeps_other_texts_of_a_doc_id(spark):
+    a, b = "one two three four five six seven", "red green blue white black brown pink"
+    rows = [(1, a, "x"), (1, b, "y"), (1, b.upper(), "z"), (2, a, "x"), (3, "other words that are like nothing else", "x"), (3, None, "n")]
+    docs = cut(spark.createDataFrame(rows, "doc_id bigint, text string, `a b` string"), "t")
+    got = dict(corpus_pipeline.STAGES)["deduplicate"](spark, docs, SF)
+    assert got.columns == docs.columns
+    want = [(1, a, "x"), (1, b.upper(), "z"), (3, "other words that are like nothing else", "x"), (3, None, "n")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_a_blob_twice_in_the_ledger_counts_once(spark, odd):
+    path = op10_secrets.fresh_ledger(odd)
+    first = op10_secrets.scan(odd, path)
+    n = first.count()
+    spark.read.parquet(path).coalesce(1).write.mode("append").parquet(path + "-copy")
+    spark.read.parquet(path + "-copy").write.mode("append").parquet(path)          # as two concurrent runs leave it
+    again = op10_secrets.scan(odd, path)
+    assert again.count() == n == odd.count()
