@@ -175,6 +175,13 @@ def attach_responses(prompts: DataFrame, responses: DataFrame, keys: Sequence[st
             responses.join(prompts, keys, "left_anti"))
 
 
+def attach_in_groups(prompts: DataFrame, responses: DataFrame, keys: Sequence[str] = ("step", "group_id"), gen: str = "gen_idx") -> DataFrame:
+    """P14 for tables stored by group (``sources.io.store_by_group``): joined by the group alone, so the buckets
+    serve as they are; within a group (G rows a side) a prompt meets the response of its own place."""
+    right = responses.withColumnRenamed(gen, "__gen")
+    return prompts.join(right.hint("merge"), list(keys)).where(F.col(gen) - F.col("__gen") == 0).drop("__gen")
+
+
 # ---------------------------------------------------------------------- P16
 def image_reject_reason(width, height, channels, ndim=None, kind=None) -> Column:
     """Why an image is unusable (NULL = valid).  ``kind`` is what was

@@ -285,3 +285,18 @@ def q_b8_image(spark, sf_dir):
     keys never survive the answer normalisation, ruling D1)."""
     d = R.score_class_rollouts(f1_rollouts(spark, sf_dir, K.IMAGE_CLASSES), K.IMAGE_CLASSES)
     return d.select("row_id", r6("r_accuracy").alias("r_accuracy"), r6("r_format").alias("r_format"))
+
+
+@register("g3_stored_by_group", CTE + f" SELECT step, group_id, gen_idx, {S.r6('advantage')} AS advantage FROM adv")
+def q_g3_stored(spark, sf_dir, buckets: int = 8):
+    """P13, P14, scoring, G2 and G3 over prompts and responses that are stored by group: no row moves between tasks."""
+    import uuid
+    from ..operators import prompts as P
+    from ..session import checkpoint_path
+    from ..sources import io as IO
+    base = checkpoint_path(spark, "rollscope-io", f"by-group-{uuid.uuid4().hex}")
+    f1 = f1_rollouts(spark, sf_dir)
+    prompts = IO.store_by_group(f1.where("gen_idx = 0").select("step", "group_id", "solution"), f"{base}/prompts", buckets)
+    responses = IO.store_by_group(f1.select("step", "group_id", "gen_idx", "completion"), f"{base}/responses", buckets)
+    both = P.attach_in_groups(P.fan_out(prompts), responses)
+    return G.group_advantages(R.score_class_rollouts(both, CL)).select("step", "group_id", "gen_idx", r6("advantage").alias("advantage"))

@@ -111,3 +111,22 @@ def q_g12(spark, sf_dir):
 def q_g12s(spark, sf_dir):
     a, b = _f8(spark, sf_dir)
     return DF.allclose_summary(DF.tolerance_diff(a, b, ["k"], ["v"]))
+
+
+_G12_B = "o_totalprice * CASE WHEN o_orderkey // 1024 % 7 = 2 THEN 1.0 + 0.002 * (o_orderkey % 3) ELSE 1.0 END"
+_G12_IN = "NOT (o_orderkey // 1024 % 7 = 4 AND o_orderkey % 50 = 7)"
+
+
+@register("g12_blocks", f"WITH a AS (SELECT o_orderkey AS k, CAST(o_totalprice AS DOUBLE) AS v FROM orders), b AS (SELECT o_orderkey AS k, CAST({_G12_B} AS DOUBLE) AS v "
+          f"FROM orders WHERE {_G12_IN}) SELECT coalesce(a.k, b.k) AS k, {_G12_STATUS} AS status FROM a FULL OUTER JOIN b ON a.k = b.k")
+def q_g12_blocks(spark, sf_dir):
+    """G12 over orders in blocks of 1,024 keys, of which two in seven differ: the others are settled by their digests."""
+    import uuid
+    from ..session import checkpoint_path
+    base = checkpoint_path(spark, "rollscope-io", f"blocks-{uuid.uuid4().hex}")
+    spelled = lambda x: x.replace("//", "div")
+    orders = table(spark, sf_dir, "orders")
+    block = F.expr("k div 1024")
+    DF.write_blocks(orders.selectExpr("o_orderkey AS k", "CAST(o_totalprice AS DOUBLE) AS v"), f"{base}/a", ["k"], ["v"], block)
+    DF.write_blocks(orders.where(spelled(_G12_IN)).selectExpr("o_orderkey AS k", f"CAST({spelled(_G12_B)} AS DOUBLE) AS v"), f"{base}/b", ["k"], ["v"], block)
+    return DF.block_diff(f"{base}/a", f"{base}/b", ["k"], ["v"], spark)[0]

@@ -7,6 +7,7 @@ the output consistent (no file locks, no appends to a shared file).
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -214,3 +215,15 @@ def write_token_logs(tokens: DataFrame, path: str, files_per_step: int = 4) -> N
     """Per-token policy / reference log-probs and KL, by step."""
     from ..operators.tokens import token_kl
     clustered(tokens.withColumn("kl", token_kl("logp", "ref_logp")), files_per_step).write.mode("append").partitionBy("step").parquet(path)
+
+
+# ---------------------------------------------------- rollouts stored by group
+def store_by_group(df: DataFrame, path: str, buckets: int, keys: Sequence[str] = ("step", "group_id")) -> DataFrame:
+    """``df`` stored in ``buckets`` buckets by rollout group, each sorted: attaching responses (P14, by
+    ``attach_in_groups``), group statistics (G2, G3) and the best of a group (L4) over the stored
+    table move no rows.  The files stay under ``path``; the catalog keeps no entry."""
+    spark, name = df.sparkSession, f"rollouts_{uuid.uuid4().hex}"
+    (df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name))
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out

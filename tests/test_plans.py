@@ -76,3 +76,28 @@ def test_regex_parsed_once(spark):
     df = QUERIES["b8_accuracy"](spark, SF001)
     opt = df._jdf.queryExecution().optimizedPlan().toString()
     assert opt.count("regexp_extract_all") == 4     # keys + values, completion + solution
+
+
+def test_stored_groups_move_no_rows(spark):
+    from rollscope.plans.q_class import q_g3_stored
+    for buckets in (4, 16):
+        p = q_g3_stored(spark, SF001, buckets)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in p and p.count("Bucketed: true") == 2 and f"SelectedBucketsCount: {buckets} out of {buckets}" in p
+
+
+def test_block_diff_reads_only_blocks_that_differ(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from rollscope.operators import diff as DF
+    nan, inf = float("nan"), float("inf")
+    a = [(k, float(k), 1.0) for k in range(400)] + [(1000, nan, 1.0), (1001, inf, 1.0), (1002, None, 1.0)]
+    b = [(k, float(k) * (1.01 if k == 57 else 1.0), 1.0) for k in range(390) if k != 123] + [(2000, 1.0, 1.0), *a[-3:]]
+    schema = "k long, v double, w double"
+    x, y = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    for d, name in ((x, "a"), (y, "b")):
+        DF.write_blocks(d, str(tmp_path / name), ["k"], ["v", "w"], F.expr("k div 50"))
+    got, compared = DF.block_diff(str(tmp_path / "a"), str(tmp_path / "b"), ["k"], ["v", "w"], spark)
+    scans = [s for s in got._jdf.queryExecution().executedPlan().toString().split("FileScan")[1:] if "v#" in s.split("]")[0]]
+    assert len(scans) == 2 and all("PartitionFilters: [" in s and "PartitionFilters: []" not in s.split("ReadSchema")[0] for s in scans)
+    want = DF.tolerance_diff(x, y, ["k"], ["v", "w"]).select("k", "status")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert compared == [1, 2, 7, 20, 40]              # the changed, the missing, the short, the not finite, the new
