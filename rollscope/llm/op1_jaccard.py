@@ -51,7 +51,7 @@ from pyspark.sql import types as T
 from . import words as W
 from .common import COUNTER_SCHEMA, components, counter_rows, cut, drop, merged_counters
 
-SKETCH_BITS = 18          # counters of the order sketch: 2^18, whatever the data
+SKETCH_BITS = 20          # counters of the order sketch: 2^20, whatever the data
 FILTER_BITS = 23          # bits of the id filter: 1 MB, whatever the data
 PARITY_BITS = 1024
 BLOCK_SETS = 2048         # of one component, in one block of the grid that counts links
