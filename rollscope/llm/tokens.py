@@ -127,11 +127,13 @@ class Encoder:
     def _places(self, found, word: bool) -> np.ndarray:
         """The places of the units of an Arrow array; units are the same only if their bytes are."""
         found = found.dictionary_encode()
-        units, known = found.dictionary.to_pylist(), self.known[word]
-        new = [u for u in units if u not in known]
-        if new:
-            self._learn(new, word)
-        return np.fromiter(map(known.__getitem__, units), np.int64, len(units))[found.indices.to_numpy()]
+        units, place = found.dictionary.to_pylist(), self.known[word].get
+        at = np.array([place(u, -1) for u in units], np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = self.count + np.arange(len(new))
+            self._learn([units[i] for i in new.tolist()], word)
+        return at[found.indices.to_numpy()]
 
     def encode(self, col):
         """Yield (row, ids) for every text of an Arrow string column (null: no ids)."""
