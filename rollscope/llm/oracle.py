@@ -102,3 +102,26 @@ each AS (SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{
 SELECT docs.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256,
        coalesce(spans, '') AS spans FROM docs LEFT JOIN each ON each.doc_id = docs.doc_id
 """
+
+#: crc32 byte by byte, its table from the rule of the polynomial; runs hold ASCII and U+00C0-U+00FF (bytes 0xC3, code - 64) alone.
+OP12 = """
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], list_transform(range(8), lambda k: 0::BIGINT)),
+         lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{00C0}-\\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+         FROM documents WHERE text IS NOT NULL),
+each AS (SELECT doc_id, run, count(*) AS c FROM runs GROUP BY 1, 2),
+hashed AS (SELECT run, c, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(concat(doc_id, ':', run), ''),
+             lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [195::BIGINT, ord(x)::BIGINT - 64] END))),
+             lambda s, b: xor(s // 256, t[(xor(s, b) & 255) + 1])), 4294967295) AS h FROM each, tab),
+spelled AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM hashed),
+w AS (SELECT word, sum(c)::BIGINT AS n FROM spelled WHERE length(word) >= 5 GROUP BY 1 HAVING sum(c) >= 3),
+d AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS s FROM (SELECT word, unnest(range(1, length(word) + 1))::INT AS i FROM w)),
+one AS (SELECT d.word AS long, w.word AS short FROM d JOIN w ON w.word = d.s),
+near AS (SELECT a.word, b.word AS other FROM d a JOIN d b ON a.i = b.i AND a.s = b.s AND a.word <> b.word
+         UNION SELECT long, short FROM one UNION SELECT short, long FROM one),
+best AS (SELECT near.word, other, o.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+                row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) AS k FROM near JOIN w o ON o.word = other),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form,
+             CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n FROM w LEFT JOIN (SELECT * FROM best WHERE k = 1) b ON b.word = w.word),
+chain AS (SELECT word, word AS at FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM f JOIN chain c ON c.word = f.word JOIN f e ON e.word = c.at AND e.form IS NULL"""

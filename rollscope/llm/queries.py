@@ -79,5 +79,5 @@ QUERIES = {f.__name__: f for f in (
 #: The others have no SQL form (tokenizers, fitted models, 64-bit hashes): tests hold them against brute force.
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard_join": oracle.OP1, "op1_ngram_jaccard_links": oracle.OP1_LINKS, "op3_substring_dedup": oracle.OP3, "op5_chat_format": oracle.OP5,
-    "op6_source_mixing": oracle.OP6, "op10_secret_scans": oracle.OP10,
+    "op6_source_mixing": oracle.OP6, "op10_secret_scans": oracle.OP10, "op12_spelling_variants": oracle.OP12,
 }
