@@ -289,13 +289,21 @@ def count_links(docs: DataFrame, table: DataFrame, label: DataFrame, k: int, per
     return sets.join(counted, "digest", "left").select("digest", (F.coalesce("linked", "copies") - 1).alias("n_links"))
 
 
+def member_columns() -> list:
+    """A document's columns in the survey joined with the ids of the sets and their components."""
+    own = F.col("doc_id").isNotNull()
+    return ["doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(own, F.coalesce("id", "doc_id")).alias("set_id"),
+            F.when(own, F.coalesce("comp", "id", "doc_id")).alias("component_id")]
+
+
 def link_counts(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_links): the number of other documents that each document is linked with,
-    those with the same set included; 0 for an empty set or a null doc_id."""
-    table, _, label, _ = joined(docs, k, percent)
+    """(doc_id, n_shingles, component_id, n_links): with the members, the number of other
+    documents that each document is linked with, those with the same set included; 0 for
+    an empty set or a null doc_id."""
+    table, reps, label, _ = joined(docs, k, percent)
     found = F.when(F.col("doc_id").isNotNull(), F.col("n_links"))
-    return table.join(count_links(docs, table, label, k, percent), "digest", "left").select(
-        "doc_id", F.coalesce(found, F.lit(0)).alias("n_links"))
+    members = table.join(count_links(docs, table, label, k, percent), "digest", "left").join(reps, "digest", "left").join(label, "id", "left")
+    return members.select(*member_columns(), F.coalesce(found, F.lit(0)).alias("n_links")).drop("set_id")
 
 
 def join_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -304,10 +312,7 @@ def join_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame
     distinct sets, enough to tie each component together but not all of its links
     (``link_counts`` counts them all)."""
     table, reps, label, links = joined(docs, k, percent)
-    members = (table.join(reps, "digest", "left").join(label, "id", "left")
-               .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
-                       F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")).alias("set_id"),
-                       F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "id", "doc_id")).alias("component_id")))
+    members = table.join(reps, "digest", "left").join(label, "id", "left").select(*member_columns())
     return members, links
 
 

@@ -23,18 +23,11 @@ SELECT docs.doc_id, coalesce(n, 0) AS n_shingles, component_id, least(docs.doc_i
 FROM docs LEFT JOIN sizes ON sizes.doc_id = docs.doc_id JOIN least_ ON least_.a = docs.doc_id LEFT JOIN twins ON twins.a = docs.doc_id
 """
 
-OP1_LINKS = rf"""
-WITH docs AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
-grams AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
-                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM docs),
-sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
-same AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
-found AS (SELECT a, count(*) AS n_links FROM same JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
-          WHERE 100 * c >= 80 * (x.n + y.n - c) GROUP BY a)
-SELECT docs.doc_id, coalesce(n_links, 0) AS n_links FROM docs LEFT JOIN found ON found.a = docs.doc_id
+#: The same with every document's number of links.
+OP1_LINKS = OP1.split("SELECT docs.doc_id, coalesce(n, 0)")[0].rstrip() + """,
+found AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT docs.doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links
+FROM docs LEFT JOIN sizes ON sizes.doc_id = docs.doc_id JOIN least_ ON least_.a = docs.doc_id LEFT JOIN found ON found.a = docs.doc_id
 """
 
 OP3 = f"""
