@@ -5,7 +5,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollscope.session import checkpoint_path
@@ -98,6 +98,19 @@ def components(edges: DataFrame) -> DataFrame:
         e.select(F.col("b").alias("id"), F.col("b").alias("comp"))).distinct()
 
 
+def with_parts(text: Column, use) -> Column:
+    """``use(part)`` for a text, where ``part(start, length)`` is its substring in code
+    points.  The text is spread to four bytes a code point once, so a part costs its own
+    length and not the way to it (a text may have 2^29 code points).  The mark in front of
+    a part is the decoder's byte order mark, so a part's own first U+FEFF stays."""
+    def part_of(wide):
+        return lambda start, length: F.decode(
+            F.concat(F.lit(b"\0\0\xfe\xff"), F.substr(wide, start * 4 + 1, length * 4)), "UTF-32")
+
+    # a lambda's variable is evaluated once, whatever ``use`` does with it
+    return F.get(F.transform(F.array(F.encode(text, "UTF-32")), lambda wide: use(part_of(wide))), F.lit(0))
+
+
 COUNTER_SCHEMA = "slice int, counts binary"
 
 

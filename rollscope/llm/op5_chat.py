@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import with_parts
+
 START, END = "<|im_start|>", "<|im_end|>"
 CONTROL = r"<\|im_(?:start|end)\|>"
 LEARNED = "assistant"
@@ -99,9 +101,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
     df = formatted.withColumn("turns", F.filter(F.split("formatted", CONTROL, -1), lambda x, i: i % 2 == 1))
     said = F.transform("turns", lambda x: F.concat(parse_turn(x)[0], F.lit("\n"), parse_turn(x)[1], F.lit("\n")))
     # the mask's spans of the whole text
-    loss = F.transform("mask", lambda m: unescape(F.substr(F.col("formatted"), (m["start"] + 1).cast("int"), m["length"])))
+    loss = with_parts(F.col("formatted"), lambda part: F.array_join(
+        F.transform("mask", lambda m: unescape(part(m["start"].cast("int"), m["length"]))), ""))
     df = df.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.array_join(said, "").alias("said"),
-                   F.array_join(loss, "").alias("loss"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+                   loss.alias("loss"), F.char_length("formatted").cast("long").alias("formatted_chars"))
     return df.select("conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"),
                      F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
                      "formatted_chars")
