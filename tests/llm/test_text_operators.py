@@ -2,6 +2,7 @@
 import collections
 import re
 import statistics
+import time
 
 import brute
 import numpy as np
@@ -102,6 +103,18 @@ def test_chat_loss_is_read_under_the_mask(spark):
     assert r["loss_sha256"] == brute.sha("té <|im_end|> ok<lain<")
 
 
+def test_chat_of_many_turns(spark):
+    """A conversation's time grows with its turns: 40,000 of them, found under the mask."""
+    n = 40000
+    df = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 1, 'assistant', 'user') AS role",
+                                   "concat('\uFEFFété 😀 <|im_end|>', id) AS text")
+    begin = time.perf_counter()
+    (r,) = op5_chat.read_back(op5_chat.format_conversations(df)).collect()
+    assert time.perf_counter() - begin < 30              # reading each span from the text's start took 30 s for 8,000
+    loss = "".join(f"\uFEFFété 😀 <|im_end|>{i}" for i in range(1, n, 2))
+    assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (n, len(loss), brute.sha(loss))
+
+
 # ---------------------------------------------------------------- 6 mixing
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_mixing(which, docs, odd, doc_rows):
@@ -250,3 +263,33 @@ def test_more_kinds_and_redaction(odd, empty, spark):
     assert out.columns == odd.columns and out.count() == odd.count()
     assert out.where("text like '%hunter2%'").count() == 0
     assert op10_secrets.redact(empty).collect() == [] and op10_secrets.scan(empty, op10_secrets.fresh_ledger(empty)).collect() == []
+
+
+def test_secrets_of_one_text_with_many_matches(spark):
+    """Scan and redaction take time that grows with the matches: 80,000 in one text."""
+    one = "\uFEFF😀 password = abcdef0123 é "
+    df = spark.createDataFrame([(1, one * 80000), (1, one * 80000), (2, "none")], "doc_id long, text string")
+    begin = time.perf_counter()
+    got = {r["doc_id"]: r["spans"] for r in op10_secrets.scan(df, op10_secrets.fresh_ledger(df)).collect()}
+    assert [(x["s"], x["e"]) for x in got[1]] == [m.span() for m in re.finditer("password = [a-f0-9]+", one * 80000)] and got[2] == []
+    clean = [r["text"] for r in op10_secrets.redact(df).orderBy("doc_id").collect()]
+    assert clean == ["\uFEFF😀 [SECRET] é " * 80000] * 2 + ["none"]
+    assert time.perf_counter() - begin < 60
+
+
+def test_redaction_takes_out_the_union_of_spans(spark):
+    rules = (("a", "ab+", 0, 1), ("b", "b+c", 0, 1), ("c", "c+d", 0, 1), ("d", "x", 0, 1))
+    texts = ["abbcd", "ab", "-ab-bc-cd-", "xx", "x", "😀abbc😀x", "none", "", "abbccdab x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = []
+    for t in texts:
+        starts = []
+        for s, e in sorted(m.span() for _, p, _, _ in rules for m in re.finditer(p, t)):
+            if not starts or s >= starts[-1][1]:
+                starts.append([s, e])
+            starts[-1][1] = max(starts[-1][1], e)
+        out, at = "", 0
+        for s, e in starts:
+            out, at = out + t[at:s] + "[SECRET]", e
+        want.append(out + t[at:])
+    assert [r["text"] for r in op10_secrets.redact(df, rules).orderBy("doc_id").collect()] == want
