@@ -13,12 +13,14 @@ document and an earlier start); windows are judged on the input.
    cells were hit twice or more.  The counts are never too small, so every
    repeated window is among them.
 3. A second pass over the text takes the windows in such cells only, with 96
-   bits of hash, and groups them exactly, shard by shard; all but the first
-   window of a group go back to their chunks as positions.
+   bits of hash.  A chunk marks all but its own first window of each sequence
+   itself; the first ones are grouped exactly, shard by shard, and all but the
+   first of a group go back to their chunks as positions.
 4. The chunks take the covered words out.
 
-Shards are dealt by hash and chunks by input partition, so no common window or
-group of copies makes a large task.  A chunk must hold the same rows in both
+Shards are dealt by hash and chunks by input partition, and a chunk sends a
+sequence once however often it holds it: no common window or group of copies makes
+a large task.  A chunk must hold the same rows in both
 passes: their number and their words are compared, and a difference is an error.
 
 Cases: null, empty or word-less texts have no words (n_words 0, the hash of
@@ -161,7 +163,8 @@ def repeated_cells(sketches: DataFrame) -> DataFrame:
 
 
 def candidate_windows(docs: DataFrame, cells: DataFrame, k: int, shards: int) -> DataFrame:
-    """The windows in repeated cells, by shard: position in the chunk, doc_id and 96 bits of hash."""
+    """A chunk's first windows of each sequence in repeated cells, by shard: position in the
+    chunk, doc_id and 96 bits of hash.  Under shard -1 - chunk, the positions of its others."""
     def take(left: pa.Table, right: pa.Table):
         ids, text, _ = ordered(left)
         hot, told = [np.zeros(0, np.int64)], None
@@ -190,16 +193,23 @@ def candidate_windows(docs: DataFrame, cells: DataFrame, k: int, shards: int) ->
         if not found:
             return ARROW.empty_table()
         pos, doc, h, g = (np.concatenate(x) for x in zip(*found))
+        # positions rise with (doc_id, start), and the sort is stable: the first of a run is the chunk's first
+        order = np.lexsort((g, h))
+        later = np.zeros(len(pos), bool)
+        later[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (g[order[1:]] == g[order[:-1]])
+        others = pos[later]
+        pos, doc, h, g = pos[~later], doc[~later], h[~later], g[~later]
         s = shard_of(h, shards)
         order = np.argsort(s, kind="stable")
         pos, doc, h, g = pos[order], doc[order], h[order], g[order]
         cut = np.searchsorted(s[order], np.arange(shards + 1))
         found = [x for x in range(shards) if cut[x + 1] > cut[x]]
-        part = lambda a: pa.array([a[cut[x]:cut[x + 1]].tobytes() for x in found], pa.binary())
-        return pa.Table.from_arrays(
-            [pa.array(found, pa.int32()), pa.array([left["chunk"][0].as_py()] * len(found), pa.int64()),
-             pa.array([pack_sorted(pos[cut[x]:cut[x + 1]]) for x in found], pa.binary()),
-             part(doc), part(h), part(g)], schema=ARROW)
+        part = lambda a: [a[cut[x]:cut[x + 1]].tobytes() for x in found]
+        chunk = left["chunk"][0].as_py()
+        rows = [found, [chunk] * len(found), [pack_sorted(pos[cut[x]:cut[x + 1]]) for x in found], part(doc), part(h), part(g)]
+        if len(others):
+            rows = [x + [y] for x, y in zip(rows, (-1 - chunk, chunk, pack_sorted(others), None, None, None))]
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(rows, ARROW)], schema=ARROW)
 
     return docs.groupBy("chunk").cogroup(cells.groupBy("chunk")).applyInArrow(take, BLOBS)
 
@@ -207,6 +217,8 @@ def candidate_windows(docs: DataFrame, cells: DataFrame, k: int, shards: int) ->
 def later_windows(windows: DataFrame) -> DataFrame:
     """For each chunk, the positions of windows that are not the first of their group."""
     def group(table):
+        if table["shard"][0].as_py() < 0:                  # found by the chunk itself
+            return table
         chunk = table["chunk"].to_numpy()
         pos = [unpack_sorted(x) for x in table["a"].to_pylist()]
         size = [len(x) for x in pos]

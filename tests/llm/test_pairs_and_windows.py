@@ -5,10 +5,11 @@ import brute
 import numpy as np
 import pytest
 from odd_documents import odd_rows, twins
+from pyspark.sql import functions as F
 
 from rollscope.llm import op1_jaccard, op3_substring
 from rollscope.llm import words as W
-from rollscope.llm.common import components
+from rollscope.llm.common import components, cut
 
 KEY = lambda r: tuple((x is None, x) for x in r)
 
@@ -97,6 +98,19 @@ def test_windows_of_odd_documents(odd, empty):
     assert op3_substring.dedup(empty).collect() == []
 
 
+def test_a_window_that_fills_the_table_is_sent_once_a_chunk(spark):
+    rows = [(i, "a " * 3000 if i % 3 else " ".join(f"w{(i + j) % 700}" for j in range(900))) for i in range(60)]
+    df = cut(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "hot")
+    got = [tuple(r) for r in op3_substring.dedup(df, text=False).collect()]
+    assert sorted(got) == sorted(brute.substring_dedup(rows))
+    docs = df.withColumn("chunk", F.spark_partition_id().cast("long"))
+    chunks = docs.select("chunk").distinct().count()
+    cells = op3_substring.repeated_cells(op3_substring.sketch(docs, 20, 8))
+    sent = op3_substring.candidate_windows(docs, cells, 20, 8).where("shard >= 0").select("chunk", "c").collect()
+    hashes = [(r["chunk"], h) for r in sent for h in np.frombuffer(r["c"], np.uint64).tolist()]
+    assert len(set(hashes)) == len(hashes) <= chunks * 701
+
+
 def test_sorted_numbers_round_trip():
     for x in ([], [0], [0, 0, 3], [65534, 65535, 65536, 5 * 65535, 10 ** 7]):
         x = np.array(x, np.int64)
@@ -128,7 +142,6 @@ def test_words_of_the_same_parts_are_told_apart(spark):
             (5, a), (6, b), (7, a)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert members(df) == sorted(brute.jaccard_components(rows), key=KEY)
-    from rollscope.llm.common import cut
     got = op3_substring.dedup(cut(df.coalesce(1), "twins"), text=False).collect()
     assert sorted(tuple(r) for r in got) == sorted(brute.substring_dedup(rows))
     from rollscope.llm import op9_quality
