@@ -168,11 +168,12 @@ def fan_out(df: DataFrame, g: int = K.DEFAULT_G, col: str = "gen_idx") -> DataFr
 
 def attach_responses(prompts: DataFrame, responses: DataFrame, keys: Sequence[str] = ("group_id", "gen_idx")):
     """Attach generated responses by key; returns (matched, prompts without
-    a response, responses without a prompt).  An equi-join on the keys; Spark
-    splits skewed keys of a sort-merge join at run time."""
+    a response, responses without a prompt).  A sort-merge join on the keys, whose
+    skewed keys Spark splits at run time; never a broadcast, which would hold a whole
+    side in every task (a side packed into few bytes of a file looks small to Spark)."""
     keys = list(keys)
-    return (prompts.join(responses, keys, "inner"), prompts.join(responses, keys, "left_anti"),
-            responses.join(prompts, keys, "left_anti"))
+    return (prompts.join(responses.hint("merge"), keys, "inner"), prompts.join(responses.hint("merge"), keys, "left_anti"),
+            responses.join(prompts.hint("merge"), keys, "left_anti"))
 
 
 def attach_in_groups(prompts: DataFrame, responses: DataFrame, keys: Sequence[str] = ("step", "group_id"), gen: str = "gen_idx") -> DataFrame:
