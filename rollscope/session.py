@@ -42,6 +42,12 @@ def get_spark(master: str | None = None, app: str = "rollscope",
     return spark
 
 
+def compile_scoring(spark: SparkSession) -> None:
+    """The JIT limit of ``DEFAULT_CONF`` in a session that someone else made (it may be set at any time)."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.set(key, DEFAULT_CONF[key])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint directory named by ``spark.checkpoint.dir``.
 
