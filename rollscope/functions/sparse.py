@@ -8,7 +8,6 @@ work of a row grows with the number of classes (the class list is one literal).
 """
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -19,16 +18,12 @@ from .dist import kv_arrays
 from .text import _c
 
 
-def class_array(classes: Sequence[str]) -> Column:
-    """The class list as one array literal."""
-    return F.from_json(F.lit(json.dumps(list(classes))), "array<string>")
-
-
 def sparse_probs(keys, values, classes: Sequence[str]) -> Column:
     """B1 on key and value arrays: struct(c, p) of the classes that have a probability, in the
     order of their last mention.  The *last* value of a class counts, if it lies in [0, 1]."""
     keys, values = F.reverse(_c(keys)), F.reverse(_c(values)).try_cast("array<double>")
-    named = F.array_intersect(keys, class_array(classes))
+    # membership in one set of literals, built once: an intersection with the list would build its set for every row
+    named = F.array_distinct(F.filter(keys, lambda k: k.isin(list(classes))))
     each = F.transform(named, lambda k: F.struct(k.alias("c"), F.element_at(values, F.array_position(keys, k).cast("int")).alias("p")))
     each = F.filter(each, lambda x: x["p"].between(0.0, 1.0) & (x["p"] > 0))
     return F.struct(F.transform(each, lambda x: x["c"]).alias("c"), F.transform(each, lambda x: x["p"]).alias("p"))

@@ -8,7 +8,7 @@ from ..functions import sparse as SP
 from ..functions import text as T
 from . import sqlgen as S
 from .catalog import r6, register
-from .fixtures import table
+from .fixtures import spread, table
 from .q_text import NW, WS, docs, s_rr, s_strip_u
 
 N_CLASSES = 500
@@ -54,7 +54,7 @@ def _dense_sql() -> str:
 @register("b8_accuracy_500_classes", _dense_sql())
 def q_b8_500(spark, sf_dir):
     """B1, B3, B4, B8 and B9 over 500 classes, kept sparse."""
-    d = table(spark, sf_dir, "events").selectExpr("event_id AS e").selectExpr(*_rollouts("spark"))
+    d = spread(table(spark, sf_dir, "events").selectExpr("event_id AS e")).selectExpr(*_rollouts("spark"))
     d = SP.score_sparse_rollouts(d, CLASSES)
     return d.select("row_id", r6("kl").alias("kl"), r6("r_accuracy").alias("r_accuracy"), r6("r_format").alias("r_format"))
 
