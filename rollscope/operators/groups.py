@@ -8,12 +8,14 @@ before the shuffle.
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..session import checkpoint_path
 
 GROUP_KEYS = ("step", "group_id")
 
@@ -113,8 +115,13 @@ def running_best(metrics: DataFrame, value: str = "value", order: str = "step",
     and so on for ``levels`` levels.  Every window runs within one block, so it
     holds ``block`` rows at most as long as the order values span less than
     ``block ** (levels + 1)`` (10^15 by default); each level's table is joined
-    back on its block id.
+    back on its block id.  The levels all read the metrics, which are written to the shared folder
+    first: what made them runs once.
     """
+    spark, path = metrics.sparkSession, checkpoint_path(metrics.sparkSession, "rollscope-io", f"running-best-{uuid.uuid4().hex}")
+    metrics.write.parquet(path)
+    metrics = spark.read.schema(metrics.schema).parquet(path)
+
     def inside(df, key, parent, val, out):
         w = Window.partitionBy(parent).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(out, F.max(val).over(w))
