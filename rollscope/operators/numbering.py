@@ -24,7 +24,8 @@ def numbered_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], na
     by = [*keys, *order]
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = checkpoint_path(spark, "rollscope-io", f"numbered-{uuid.uuid4().hex}")
-    rows = (df.repartitionByRange(n, *by).sortWithinPartitions(*by)
+    df.write.parquet(f"{path}-rows")                  # the ranges are drawn from it: what made the rows runs once
+    rows = (spark.read.schema(df.schema).parquet(f"{path}-rows").repartitionByRange(n, *by).sortWithinPartitions(*by)
             .withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33)))
     rows.write.parquet(path)
     rows = spark.read.schema(rows.schema).parquet(path)

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import boxes as B
 from ..operators.numbering import numbered_within
+from ..session import checkpoint_path
 
 REWARD_LOG_SCHEMA = T.StructType([
     T.StructField("step", T.LongType()),
@@ -43,11 +44,18 @@ BOX_REWARD_LOG_SCHEMA = T.StructType([
 
 
 def clustered(df: DataFrame, files_per_step: int, step: str = "step") -> DataFrame:
-    """Rows dealt by (step, salt): at most ``files_per_step`` files for each
-    step, and a hot step is written by that many tasks instead of one.  The
-    salt is a hash of the row, so a retried task deals alike."""
+    """Rows dealt by ranges of (step, salt), so that the neighbouring steps of a task have one file
+    each and their folders are moved whole when the job commits; a hot step is written by up
+    to ``files_per_step`` tasks, and has no more files.  The salt is a hash of the row, so a retried task
+    deals alike.  The rows are first written as they come to a table in the shared folder: the ranges
+    are drawn from it, and what made the rows runs once."""
+    spark = df.sparkSession
     hashable = [f"`{f.name}`" for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-    return df.repartition(step, F.pmod(F.xxhash64(*hashable), F.lit(files_per_step)))
+    path = checkpoint_path(spark, "rollscope-io", f"dealt-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return (spark.read.schema(df.schema).parquet(path)
+            .repartitionByRange(n, F.col(step), F.pmod(F.xxhash64(*hashable), F.lit(files_per_step))))
 
 
 # ----------------------------------------------------------------------- S1
