@@ -108,7 +108,9 @@ def q_s1(spark, sf_dir):
     path = _scratch(spark, "classes")
     items = f5_items(spark, sf_dir).select(F.col("target").alias("class"), F.expr("row_id div 200").alias("shelf"), "image_path")
     other = items.withColumn("class", F.lit("not a class"))
-    items.unionByName(other).repartition("class", "shelf").write.partitionBy("shelf", "class").text(path)
+    # a shelf is written by one task, and its folder moved whole when the job commits
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    items.unionByName(other).repartition(parts, "shelf").write.partitionBy("shelf", "class").text(path)
     listed = IO.scan_class_folders(spark, path, [f"class={c}" for c in K.GENERATOR_CLASSES])
     tail = lambda c: F.regexp_extract(c, "/(shelf=.*)$", 1).alias("file")
     held = spark.read.text(path).groupBy(tail(F.url_decode("_metadata.file_path"))).agg(F.count(F.lit(1)).alias("n_items"))
@@ -154,8 +156,11 @@ def q_s2(spark, sf_dir):
     lines mixed in; images without a good line have no boxes."""
     path = _scratch(spark, "labels")
     lines = f2_box_pairs(spark, sf_dir).selectExpr("image_id div 16 AS image", "image_id", "box_no", f"{_S2_LINE_SPARK} AS value")
-    lines.repartition("image").sortWithinPartitions("image", "image_id", "box_no").select("image", "value") \
-        .write.partitionBy("image").text(path)
+    # the folders of 256 neighbouring images lie in one: written by one task, moved whole, listed by many tasks
+    lines = lines.withColumn("shelf", F.expr("image div 256"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartition(parts, "shelf").sortWithinPartitions("shelf", "image", "image_id", "box_no").select("shelf", "image", "value") \
+        .write.partitionBy("shelf", "image").text(path)
     boxes = F.expr("array_join(transform(boxes, b -> concat_ws(',', cast(b.x1 AS bigint), cast(b.y1 AS bigint), "
                    "cast(b.x2 AS bigint), cast(floor(b.y2) AS bigint))), ';')")
     return IO.read_box_label_files(spark, path).select(
