@@ -75,3 +75,42 @@ def test_a_thousand_rows_are_matched_in_a_second():
     got = M.batch_assignment([score / 1000])[0]
     assert time.process_time() - t < 2
     assert got == pytest.approx((100 + i % 17 + 50 + i % 23).sum() / 1000)
+
+
+def test_a_step_of_few_rows_is_one_file_and_rows_are_made_once(spark, tmp_path):
+    """Writers by step: small steps have one file (up to two at the border of a task's range), a hot step several, and
+    what makes the rows runs once although they are dealt by range."""
+    import os
+    from rollscope.sources import io as IO
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            runs.add(len(b))
+            yield b
+
+    d = spark.range(4000).selectExpr("CASE WHEN id % 4 = 0 THEN 100 ELSE id % 40 END AS step", "id AS group_id", "0L AS gen_idx", "'q' AS q", "'a' AS a")
+    d = d.mapInPandas(seen, d.schema)
+    IO.write_qa(IO.qa_records(d, "q", "a"), str(tmp_path / "qa"))
+    files = {s: len([f for f in os.listdir(tmp_path / "qa" / s) if f.startswith("part-")]) for s in os.listdir(tmp_path / "qa") if s.startswith("step=")}
+    assert len(files) == 31 and sum(files.values()) <= 31 + 2 * 4 and files["step=100"] <= 4
+    assert runs.value == 4000 and spark.read.json(str(tmp_path / "qa")).count() == 4000
+    IO.write_clean_report(d.selectExpr("step", "group_id", "gen_idx", "q AS completion", "a AS cleaned"), str(tmp_path / "report"))
+    assert runs.value == 8000
+
+
+def test_folders_of_a_shelf_come_from_one_task(spark, tmp_path):
+    """The class folders of a shelf, and the images of a shelf, are written by one task each."""
+    import os
+    import re
+    from rollscope.plans import q_io
+    from rollscope.session import checkpoint_path
+    spark.range(3000).selectExpr("id AS p_partkey", "int(id % 50) AS p_size", "1D AS p_retailprice").write.parquet(str(tmp_path / "part.parquet"))
+    seen = lambda: set(os.listdir(checkpoint_path(spark, "rollscope-io").replace("file:", ""))) if os.path.isdir(checkpoint_path(spark, "rollscope-io").replace("file:", "")) else set()
+    before = seen()
+    rows = q_io.q_s1(spark, str(tmp_path)).collect()
+    assert sum(r["n_items"] for r in rows) == 3000
+    path = os.path.join(checkpoint_path(spark, "rollscope-io").replace("file:", ""), next(x for x in seen() - before if x.startswith("classes-")))
+    for shelf in (x for x in os.listdir(path) if x.startswith("shelf=")):
+        tasks = {re.match(r"part-(\d+)-", f)[1] for _, _, fs in os.walk(os.path.join(path, shelf)) for f in fs if f.startswith("part-")}
+        assert len(tasks) == 1
