@@ -10,7 +10,7 @@ from ..session import checkpoint_path
 from ..streaming import streams as ST
 from . import sqlgen as S
 from .catalog import r6, register
-from .fixtures import table
+from .fixtures import ROWS_PER_TASK, table
 from .q_class import CTE, scored_f1
 
 
@@ -63,23 +63,26 @@ def q_st2_late(spark, sf_dir):
           f"SELECT step, group_id, gen_idx, {S.r6('(reward - m) / (sd + 0.0001)')} AS advantage, "
           "n AS group_size, n <> 8 AS incomplete FROM a")
 def q_st3(spark, sf_dir):
-    """ST3 as a stream over four files, read one a batch, whose borders cut groups (rollouts are
-    stamped one minute apart, and each file sends the last rows of the one before again):
-    every group is emitted in the batch that completes it."""
+    """ST3 as a stream over four deliveries, read one a batch, whose borders cut groups (rollouts are
+    stamped one minute apart, and each delivery sends the last rows of the one before again):
+    every group is emitted in the batch that completes it.  Many tasks write a delivery's files; the stream
+    goes on from its checkpoint when all of them are there, since a batch that saw only some of the files would move
+    the watermark past the rows of the others."""
     base = _base(spark, "st3")
     d = scored_f1(spark, sf_dir).select("step", "group_id", "gen_idx", "reward", "row_id",
                                         F.timestamp_seconds(F.col("row_id") * 60 + 3600).alias("ts"))
     d.write.parquet(f"{base}/scored")
     d = spark.read.schema(d.schema).parquet(f"{base}/scored")
-    n = d.agg(F.max("row_id")).first()[0] + 1
+    last, rows = d.agg(F.max("row_id"), F.count(F.lit(1))).first()
+    n = last + 1
     for k in range(4):
         own = d.where((F.col("row_id") >= k * n // 4 - 2) & (F.col("row_id") < (k + 1) * n // 4 + 3))
-        own.drop("row_id").coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(d.drop("row_id").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    a = ST.streaming_advantages(stream)
-    q = (a.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
-         .start(f"{base}/out"))
-    q.awaitTermination()
+        own.drop("row_id").write.mode("append").parquet(f"{base}/in")
+        a = ST.streaming_advantages(spark.readStream.schema(d.drop("row_id").schema).parquet(f"{base}/in"))
+        with ST.state_partitions(spark, rows // 4 // ROWS_PER_TASK):
+            q = (a.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+                 .start(f"{base}/out"))
+        q.awaitTermination()
     a = spark.read.schema(a.schema).parquet(f"{base}/out")
     return a.select("step", "group_id", "gen_idx", r6("advantage").alias("advantage"), "group_size", "incomplete")
 

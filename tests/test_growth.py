@@ -114,3 +114,48 @@ def test_folders_of_a_shelf_come_from_one_task(spark, tmp_path):
     for shelf in (x for x in os.listdir(path) if x.startswith("shelf=")):
         tasks = {re.match(r"part-(\d+)-", f)[1] for _, _, fs in os.walk(os.path.join(path, shelf)) for f in fs if f.startswith("part-")}
         assert len(tasks) == 1
+
+
+def test_streaming_advantages_hold_state_by_bucket(spark, tmp_path):
+    """ST3: a batch calls Python for a bucket of groups, not for each group; keys that only differ beyond a float's digits or
+    in a NULL stay apart; a rollout sent thousands of times counts once, the first."""
+    import datetime
+    import json
+
+    from rollscope.streaming import streams as ST
+    big = 1 << 53
+    d = spark.range(16000).selectExpr("0L AS step", "id div 8 AS group_id", "id % 8 AS gen_idx", "id % 7 / 7D AS reward", "timestamp_seconds(id + 3600) AS ts")
+    odd = spark.range(32).selectExpr("-1L AS step", f"element_at(array(NULL, 0L, {big}L, {big + 1}L), int(id div 8) + 1) AS group_id", "id % 8 AS gen_idx",
+                                     "id * id / 9D AS reward", "timestamp_seconds(id + 3600) AS ts")
+    hot = spark.range(25000).selectExpr("-2L AS step", "7L AS group_id", "id % 3 AS gen_idx", "25000D - id AS reward", "timestamp_seconds(id + 3600) AS ts")
+    d.union(odd).union(hot).write.parquet(str(tmp_path / "in"))
+    schema = "step long, group_id long, gen_idx long, reward double, ts timestamp"
+    a = ST.streaming_advantages(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), g=8, watermark="365 days")
+    q = a.writeStream.format("parquet").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start(str(tmp_path / "out"))
+    q.awaitTermination()
+    held = [o["numRowsTotal"] for p in q.recentProgress for o in json.loads(p.json)["stateOperators"]]
+    assert 0 < max(held) <= 256
+    key = lambda x: {(r["step"], r["group_id"], r["gen_idx"]): (r["group_size"], round(r["advantage"], 9), r["incomplete"]) for r in x.collect()}
+    got = key(spark.read.schema(a.schema).parquet(str(tmp_path / "out")))
+    want = key(ST.streaming_advantages(spark.read.schema(schema).parquet(str(tmp_path / "in"))))
+    assert got == {k: v for k, v in want.items() if k[0] > -2} and len(got) == 16032
+    late = spark.createDataFrame([(-3, 0, 0, 0.0, datetime.datetime(1999, 1, 1))], schema)
+    late.write.mode("append").parquet(str(tmp_path / "in"))                 # the watermark passes the hot group's timer
+    q = a.writeStream.format("parquet").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start(str(tmp_path / "out"))
+    q.awaitTermination()
+    got = key(spark.read.schema(a.schema).parquet(str(tmp_path / "out")).where("step = -2"))
+    assert got == {k: v for k, v in want.items() if k[0] == -2} and {v[2] for v in got.values()} == {True}
+
+
+def test_deliveries_of_a_stream_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """st3_advantages: no file of the stream holds a quarter of the table; the session's own setting stays."""
+    import glob
+
+    from rollscope.plans import fixtures, q_stream
+    spark.range(4000).withColumnRenamed("id", "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(fixtures, "spread", lambda df: df.repartition(3))
+    monkeypatch.setattr(q_stream, "_base", lambda *_: str(tmp_path / "st3"))
+    got = q_stream.q_st3(spark, str(tmp_path))
+    assert len(glob.glob(str(tmp_path / "st3" / "in" / "part-*"))) >= 8
+    assert got.distinct().count() == got.count() == 4000 and got.where("group_size <> 8 OR incomplete").count() == 0
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
