@@ -156,13 +156,10 @@ def q_s2(spark, sf_dir):
     lines mixed in; images without a good line have no boxes."""
     path = _scratch(spark, "labels")
     lines = f2_box_pairs(spark, sf_dir).selectExpr("image_id div 16 AS image", "image_id", "box_no", f"{_S2_LINE_SPARK} AS value")
-    # the folders of 256 neighbouring images lie in one: written by one task, moved whole, listed by many tasks
-    lines = lines.withColumn("shelf", F.expr("image div 256"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lines.repartition(parts, "shelf").sortWithinPartitions("shelf", "image", "image_id", "box_no").select("shelf", "image", "value") \
-        .write.partitionBy("shelf", "image").text(path)
+    # 256 neighbouring images lie in one folder
+    IO.write_label_files(lines.withColumn("shelf", F.expr("image div 256")), path, ["image_id", "box_no"])
     boxes = F.expr("array_join(transform(boxes, b -> concat_ws(',', cast(b.x1 AS bigint), cast(b.y1 AS bigint), "
                    "cast(b.x2 AS bigint), cast(floor(b.y2) AS bigint))), ';')")
     return IO.read_box_label_files(spark, path).select(
-        F.regexp_extract("label_path", "/image=([0-9]+)/", 1).cast("long").alias("image"),
+        F.regexp_extract("label_path", r"/image=([0-9]+)[./]", 1).cast("long").alias("image"),
         F.coalesce(F.size("boxes"), F.lit(0)).cast("long").alias("n_boxes"), F.coalesce(boxes, F.lit("")).alias("boxes"))

@@ -4,6 +4,8 @@ Readers are ordinary Spark data sources (binaryFile, text, parquet, json);
 writers are DataFrame writers partitioned by split or step, so a job that
 loses an executor simply re-runs the lost tasks and the committer keeps
 the output consistent (no file locks, no appends to a shared file).
+Where a table has a file for each image, step or class, a folder of the
+``file:`` scheme is written, listed and read by ``folders``.
 """
 from __future__ import annotations
 
@@ -18,6 +20,7 @@ from ..functions import boxes as B
 from ..operators.numbering import numbered_within
 from ..session import checkpoint_path
 
+from . import folders as FO
 REWARD_LOG_SCHEMA = T.StructType([
     T.StructField("step", T.LongType()),
     T.StructField("img_path", T.StringType()),
@@ -59,6 +62,13 @@ def clustered(df: DataFrame, files_per_step: int, step: str = "step") -> DataFra
 
 
 # ----------------------------------------------------------------------- S1
+def _listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of every file under ``root``, as Spark names it."""
+    if at := FO.there(spark, root):
+        return FO.list_files(spark, at).select(F.concat(F.lit("file:"), "path").alias("path"))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+
+
 def scan_class_folders(spark: SparkSession, root: str, classes: Sequence[str]) -> DataFrame:
     """Every file under ``root/<class>/`` -> (image_path, target).  Only
     the file listing is read (``content`` is pruned).  The class list is a
@@ -77,16 +87,45 @@ def read_box_label_files(spark: SparkSession, path: str) -> DataFrame:
     a file without boxes gives NULL.  Files are read line by line, so a large
     one is split among tasks; the block's offset and the line's number within
     the block keep the order."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-             .select(F.col("path").alias("label_path")))              # a listing: contents are not read
+    if at := FO.there(spark, path):
+        def blocks(whole):
+            tok = F.transform(FO.lines_of("text"), _tokens)
+            nums = F.transform(F.filter(tok, lambda t: F.size(t) == 4), lambda t: F.array(*_numbers(t)))
+            ok = F.filter(nums, lambda v: F.forall(v, lambda x: x.isNotNull()))
+            return FO.read_blocks(spark, at, whole).select(F.concat(F.lit("file:"), "path").alias("label_path"), "at", F.transform(
+                F.coalesce(ok, F.array().cast("array<array<double>>")), lambda v: B.box(*[v[i] for i in range(4)])).alias("b"))
+
+        parts = blocks(False).groupBy("label_path").agg(F.array_sort(F.collect_list(F.struct("at", "b"))).alias("bs"))
+        both = blocks(True).select("label_path", "b").union(parts.select("label_path", F.flatten(F.transform("bs", lambda x: x["b"]))))
+        return both.select("label_path", F.when(F.size("b") > 0, F.col("b")).alias("boxes"))
+    files = _listing(spark, path).select(F.col("path").alias("label_path"))              # contents are not read
     lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
         F.col("_metadata.file_path").alias("label_path"), F.col("value").alias("line"),
         F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("line_no"))
-    tok = lines.withColumn("tok", F.split(F.trim(F.regexp_replace("line", r"(?U)\s+", " ")), " "))
-    nums = [F.col("tok")[i].try_cast("double") for i in range(4)]
+    tok = lines.withColumn("tok", _tokens("line"))
+    nums = _numbers(F.col("tok"))
     ok = (F.size("tok") == 4) & nums[0].isNotNull() & nums[1].isNotNull() & nums[2].isNotNull() & nums[3].isNotNull()
     boxes = tok.where(ok).select("label_path", "line_no", B.box(*nums).alias("b"))
     per_file = boxes.groupBy("label_path").agg(F.array_sort(F.collect_list(F.struct("line_no", "b"))).alias("_bs"))
+def write_label_files(lines: DataFrame, path: str, order: Sequence[str]) -> None:
+    """A label file ``shelf=../image=..`` for each ``image`` of ``lines`` (shelf, image, value), its lines in the given order.
+    A shelf, the folder of neighbouring images, is written by one task and listed by any."""
+    lines = lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shelf") \
+        .sortWithinPartitions("shelf", "image", *order)
+    if at := FO.local_path(lines.sparkSession, path):
+        FO.write_folders(lines, at, ["shelf", "image"], "value", ".txt", named=True)
+    else:
+        lines.select("shelf", "image", "value").write.partitionBy("shelf", "image").text(path)
+
+
+def _tokens(line):
+    return F.split(F.trim(F.regexp_replace(line, r"(?U)\s+", " ")), " ")
+
+
+def _numbers(tok):
+    return [F.get(tok, F.lit(i)).try_cast("double") for i in range(4)]
+
+
     per_file = per_file.select("label_path", F.transform("_bs", lambda x: x["b"]).alias("boxes"))
     return files.select("label_path").join(per_file, "label_path", "left")
 
