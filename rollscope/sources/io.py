@@ -9,6 +9,7 @@ Where a table has a file for each image, step or class, a folder of the
 """
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Sequence
 
@@ -175,7 +176,12 @@ def write_reward_log(records: DataFrame, path: str, files_per_step: int = 4) ->
 
 
 def read_reward_log(spark: SparkSession, path: str, schema: T.StructType = REWARD_LOG_SCHEMA) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    at = FO.there(spark, path)
+    if not (at and os.path.isdir(at) and any(e.name.startswith("step=") for e in os.scandir(at))):
+        return spark.read.schema(schema).json(path)
+    lines = FO.read_lines(spark, at).where(~F.col("value").rlike(r"^\s*$"))
+    data = T.StructType([f for f in schema.fields if f.name != "step"])
+    return lines.select(F.from_json("value", data).alias("r"), FO.key_of(F.col("path"), "step").try_cast(schema["step"].dataType).alias("step")).select("r.*", "step")
 
 
 # ----------------------------------------------------------------------- S6
@@ -185,6 +191,10 @@ def qa_records(df: DataFrame, question: str, answer: str, step: str = "step",
     ``question_id`` is the rollout key, not a position.  Rows with a missing
     question or answer are the count-mismatch case and are flagged."""
     return df.select(
+    if at := FO.local_path(records.sparkSession, path):
+        record = F.to_json(F.struct(*[c for c in records.columns if c != "step"]), {"ignoreNullFields": "false"})
+        FO.write_folders(records.sortWithinPartitions("step").select("step", record.alias("record")), at, ["step"], "record", ".json")
+        return
         F.struct(F.col(step).cast("long").alias("step"), F.current_timestamp().alias("timestamp"),
                  F.lit(data_version).alias("data_version")).alias("metadata"),
         F.col(step).cast("long").alias("step"),
