@@ -108,12 +108,10 @@ def q_s1(spark, sf_dir):
     path = _scratch(spark, "classes")
     items = f5_items(spark, sf_dir).select(F.col("target").alias("class"), F.expr("row_id div 200").alias("shelf"), "image_path")
     other = items.withColumn("class", F.lit("not a class"))
-    # a shelf is written by one task, and its folder moved whole when the job commits
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    items.unionByName(other).repartition(parts, "shelf").write.partitionBy("shelf", "class").text(path)
+    IO.write_class_lines(items.unionByName(other), path, ["shelf", "class"], "image_path")
     listed = IO.scan_class_folders(spark, path, [f"class={c}" for c in K.GENERATOR_CLASSES])
     tail = lambda c: F.regexp_extract(c, "/(shelf=.*)$", 1).alias("file")
-    held = spark.read.text(path).groupBy(tail(F.url_decode("_metadata.file_path"))).agg(F.count(F.lit(1)).alias("n_items"))
+    held = IO.read_text_lines(spark, path).groupBy(tail("path")).agg(F.count(F.lit(1)).alias("n_items"))
     return (listed.select("target", tail("image_path")).join(held, "file")
             .select(F.regexp_extract("file", "^shelf=([0-9]+)/", 1).cast("long").alias("shelf"),
                     F.regexp_replace("target", "^class=", "").alias("target"), "n_items"))

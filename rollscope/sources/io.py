@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from ..functions import boxes as B
 from ..operators.numbering import numbered_within
 from ..session import checkpoint_path
-
 from . import folders as FO
+
 REWARD_LOG_SCHEMA = T.StructType([
     T.StructField("step", T.LongType()),
     T.StructField("img_path", T.StringType()),
@@ -62,7 +62,6 @@ def clustered(df: DataFrame, files_per_step: int, step: str = "step") -> DataFra
             .repartitionByRange(n, F.col(step), F.pmod(F.xxhash64(*hashable), F.lit(files_per_step))))
 
 
-# ----------------------------------------------------------------------- S1
 def _listing(spark: SparkSession, root: str) -> DataFrame:
     """(path) of every file under ``root``, as Spark names it."""
     if at := FO.there(spark, root):
@@ -70,18 +69,53 @@ def _listing(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
 
 
+# ----------------------------------------------------------------------- S1
+def write_class_lines(df: DataFrame, path: str, keys: Sequence[str], value: str) -> None:
+    """Text files in folders by ``keys``; the folders of a first key are written by one task."""
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), keys[0])
+    if at := FO.local_path(df.sparkSession, path):
+        FO.write_folders(df.sortWithinPartitions(*keys), at, keys, value, ".txt")
+    else:                                             # the first key's folder is moved whole when the job commits
+        df.select(*keys, value).write.partitionBy(*keys).text(path)
+
+
+def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value) of every line of the files under ``path``."""
+    if at := FO.there(spark, path):
+        return FO.read_lines(spark, at)
+    return spark.read.option("recursiveFileLookup", "true").text(path).select(F.url_decode("_metadata.file_path").alias("path"), "value")
+
+
 def scan_class_folders(spark: SparkSession, root: str, classes: Sequence[str]) -> DataFrame:
     """Every file under ``root/<class>/`` -> (image_path, target).  Only
     the file listing is read (``content`` is pruned).  The class list is a
     fixed parameter, so joining it is a broadcast of a bounded table."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-             .select(F.col("path")))
+    files = _listing(spark, root)
     files = files.withColumn("target", F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1))
     cls = spark.createDataFrame([(c,) for c in classes], "target string")
     return files.join(F.broadcast(cls), "target").select(F.col("path").alias("image_path"), "target")
 
 
 # ----------------------------------------------------------------------- S2
+def write_label_files(lines: DataFrame, path: str, order: Sequence[str]) -> None:
+    """A label file ``shelf=../image=..`` for each ``image`` of ``lines`` (shelf, image, value), its lines in the given order.
+    A shelf, the folder of neighbouring images, is written by one task and listed by any."""
+    lines = lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shelf") \
+        .sortWithinPartitions("shelf", "image", *order)
+    if at := FO.local_path(lines.sparkSession, path):
+        FO.write_folders(lines, at, ["shelf", "image"], "value", ".txt", named=True)
+    else:
+        lines.select("shelf", "image", "value").write.partitionBy("shelf", "image").text(path)
+
+
+def _tokens(line):
+    return F.split(F.trim(F.regexp_replace(line, r"(?U)\s+", " ")), " ")
+
+
+def _numbers(tok):
+    return [F.get(tok, F.lit(i)).try_cast("double") for i in range(4)]
+
+
 def read_box_label_files(spark: SparkSession, path: str) -> DataFrame:
     """One label file per image; lines with exactly four whitespace-
     separated floats become boxes (file order kept), other lines are skipped;
@@ -108,25 +142,6 @@ def read_box_label_files(spark: SparkSession, path: str) -> DataFrame:
     ok = (F.size("tok") == 4) & nums[0].isNotNull() & nums[1].isNotNull() & nums[2].isNotNull() & nums[3].isNotNull()
     boxes = tok.where(ok).select("label_path", "line_no", B.box(*nums).alias("b"))
     per_file = boxes.groupBy("label_path").agg(F.array_sort(F.collect_list(F.struct("line_no", "b"))).alias("_bs"))
-def write_label_files(lines: DataFrame, path: str, order: Sequence[str]) -> None:
-    """A label file ``shelf=../image=..`` for each ``image`` of ``lines`` (shelf, image, value), its lines in the given order.
-    A shelf, the folder of neighbouring images, is written by one task and listed by any."""
-    lines = lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shelf") \
-        .sortWithinPartitions("shelf", "image", *order)
-    if at := FO.local_path(lines.sparkSession, path):
-        FO.write_folders(lines, at, ["shelf", "image"], "value", ".txt", named=True)
-    else:
-        lines.select("shelf", "image", "value").write.partitionBy("shelf", "image").text(path)
-
-
-def _tokens(line):
-    return F.split(F.trim(F.regexp_replace(line, r"(?U)\s+", " ")), " ")
-
-
-def _numbers(tok):
-    return [F.get(tok, F.lit(i)).try_cast("double") for i in range(4)]
-
-
     per_file = per_file.select("label_path", F.transform("_bs", lambda x: x["b"]).alias("boxes"))
     return files.select("label_path").join(per_file, "label_path", "left")
 
@@ -171,6 +186,10 @@ def write_reward_log(records: DataFrame, path: str, files_per_step: int = 4) ->
     kept, at most ``files_per_step`` files in a step.  Appending adds new
     files; it never rewrites existing ones."""
     records = clustered(records, files_per_step)
+    if at := FO.local_path(records.sparkSession, path):
+        record = F.to_json(F.struct(*[c for c in records.columns if c != "step"]), {"ignoreNullFields": "false"})
+        FO.write_folders(records.sortWithinPartitions("step").select("step", record.alias("record")), at, ["step"], "record", ".json")
+        return
     (records.write.mode("append").partitionBy("step").option("ignoreNullFields", "false")
      .json(path))
 
@@ -191,10 +210,6 @@ def qa_records(df: DataFrame, question: str, answer: str, step: str = "step",
     ``question_id`` is the rollout key, not a position.  Rows with a missing
     question or answer are the count-mismatch case and are flagged."""
     return df.select(
-    if at := FO.local_path(records.sparkSession, path):
-        record = F.to_json(F.struct(*[c for c in records.columns if c != "step"]), {"ignoreNullFields": "false"})
-        FO.write_folders(records.sortWithinPartitions("step").select("step", record.alias("record")), at, ["step"], "record", ".json")
-        return
         F.struct(F.col(step).cast("long").alias("step"), F.current_timestamp().alias("timestamp"),
                  F.lit(data_version).alias("data_version")).alias("metadata"),
         F.col(step).cast("long").alias("step"),
