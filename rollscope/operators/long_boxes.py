@@ -11,15 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import boxes as B
 from ..functions.matching import batch_assignment
-from .graph import components
+from .graph import components, table_of
 
 GRID = 64            # cells across an image: a box lies in 65 x 65 at most
+PAIRS = 1 << 17      # overlapping pairs of an image that one task takes whole
 
 
 def overlapping_pairs(gt: DataFrame, pred: DataFrame, image: str = "image_id", box: str = "box_no", grid: int = GRID) -> DataFrame:
@@ -38,11 +40,13 @@ def overlapping_pairs(gt: DataFrame, pred: DataFrame, image: str = "image_id", b
     def in_cells(d, s):
         b = F.col(f"{s}b")
         d = d.where((b["x2"] > b["x1"]) & (b["y2"] > b["y1"])).join(size, "i")
-        d = d.withColumn("cx", F.explode(F.sequence(cell(b["x1"], F.col("x0")), cell(b["x2"], F.col("x0")))))
-        return d.withColumn("cy", F.explode(F.sequence(cell(b["y1"], F.col("y0")), cell(b["y2"], F.col("y0")))))
+        d = d.withColumns({"fx": cell(b["x1"], F.col("x0")), "fy": cell(b["y1"], F.col("y0"))})
+        d = d.withColumn("cx", F.explode(F.sequence("fx", cell(b["x2"], F.col("x0")))))
+        d = d.withColumn("cy", F.explode(F.sequence("fy", cell(b["y2"], F.col("y0")))))
+        return d.select("i", "cx", "cy", s, f"{s}b", (F.col("cx") == F.col("fx")).alias(f"{s}x"), (F.col("cy") == F.col("fy")).alias(f"{s}y"))
 
-    met = in_cells(g, "g").join(in_cells(p, "p").drop("x0", "y0", "w"), ["i", "cx", "cy"])
-    met = met.where((F.col("cx") == cell(F.greatest("gb.x1", "pb.x1"), F.col("x0"))) & (F.col("cy") == cell(F.greatest("gb.y1", "pb.y1"), F.col("y0"))))
+    # the larger of two first cells is the cell of the larger corner
+    met = in_cells(g, "g").join(in_cells(p, "p"), ["i", "cx", "cy"]).where("(gx or px) and (gy or py)")
     return met.select(F.col("i").alias(image), "g", "p", B.iou("gb", "pb", "a").alias("iou")).where("iou > 0")
 
 
@@ -60,16 +64,99 @@ def component_total(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(batch_assignment(mats))
 
 
+def edge_components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node that each of the edges (a, b) between nodes 0 .. n - 1 is connected with."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return x
+        low = np.minimum(x, y)
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def image_totals(image: np.ndarray, g: np.ndarray, p: np.ndarray, iou: np.ndarray) -> np.ndarray:
+    """The best one-to-one total of images 0, 1, .. whose pairs (image, g, p, iou) are given, by components."""
+    gi, a = np.unique(image * (g.max() + 1) + g, return_inverse=True)
+    pi, b = np.unique(image * (p.max() + 1) + p, return_inverse=True)
+    comp = edge_components(a, b + len(gi), len(gi) + len(pi))
+    _, comp = np.unique(comp, return_inverse=True)
+    order = np.argsort(comp, kind="stable")
+    image, a, b, iou, comp = image[order], a[order], b[order], iou[order], comp[order]
+    starts = np.flatnonzero(np.diff(comp, prepend=-1))
+    ends = np.append(starts[1:], len(comp))
+
+    def places(node, n):
+        """Each edge's place of its node among the nodes of the component, and how many these are."""
+        of = np.empty(n, np.int64)
+        of[node] = comp
+        by = np.argsort(of, kind="stable")
+        count = np.bincount(of, minlength=len(starts))
+        at = np.empty(n, np.int64)
+        at[by] = np.arange(n) - (np.cumsum(count) - count)[of[by]]
+        return at[node], count
+
+    (r, rows), (c, columns) = places(a, len(gi)), places(b, len(pi))
+    total = np.maximum.reduceat(iou, starts)          # a component of one row or one column
+    rest = np.flatnonzero((rows > 1) & (columns > 1))
+    mats = []
+    for k in rest:
+        s = slice(starts[k], ends[k])
+        m = np.zeros((rows[k], columns[k]))
+        m[r[s], c[s]] = iou[s]
+        mats.append(m)
+    total[rest] = batch_assignment(mats)
+    return np.bincount(image[starts], total)
+
+
+def totals_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(image, s) of rows (image, g, p, iou) that come image by image; whole images are solved together."""
+    def solved(t: pa.Table) -> pa.RecordBatch:
+        code = [t.column(c).combine_chunks().dictionary_encode() for c in range(3)]
+        num = [x.indices.to_numpy().astype(np.int64) for x in code]
+        return pa.RecordBatch.from_arrays([code[0].dictionary, pa.array(image_totals(*num, t.column(3).to_numpy()))], [t.column_names[0], "s"])
+
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        held = t if held is None else pa.concat_tables([held, t])
+        if held.num_rows < PAIRS:
+            continue
+        i = held.column(0).combine_chunks().dictionary_encode().indices.to_numpy()
+        cut = int(np.searchsorted(i, i[-1]))          # the last image may go on
+        if cut:
+            yield solved(held.slice(0, cut))
+            held = held.slice(cut)
+    if held is not None:
+        yield solved(held)
+
+
 def match_long(gt: DataFrame, pred: DataFrame, image: str = "image_id", box: str = "box_no", grid: int = GRID) -> DataFrame:
     """X9 in long form: (image, n_gt, n_pred, match_sum) for every image with a box on either side; equal
-    to ``matching.match_sum`` of the dense matrix of variant-a IoUs.  One task solves one
-    component; components of an image are spread over tasks."""
-    pairs = overlapping_pairs(gt, pred, image, box, grid)
-    node = lambda s: F.concat(F.col(image).cast("string"), F.lit(f" {s} "), F.col(s).cast("string"))
-    pairs = pairs.withColumns({"a": node("g"), "b": node("p")})
-    label = components(pairs.select("a", "b"))
-    own = pairs.join(label, pairs["a"] == label["id"]).groupBy(image, "component").agg(F.collect_list(F.struct("g", "p", "iou")).alias("m"))
-    total = own.select(image, component_total("m").alias("s")).groupBy(image).agg(F.sum("s").alias("match_sum"))
+    to ``matching.match_sum`` of the dense matrix of variant-a IoUs.
+
+    The pairs are written once to the shared folder.  An image of at most ``PAIRS`` pairs is one task's: its components are found
+    and solved there, from one exchange.  A larger one's components are found by rounds and
+    spread over tasks; one task solves one component."""
+    spark = gt.sparkSession
+    pairs = table_of(overlapping_pairs(gt, pred, image, box, grid).where("g is not null and p is not null"))
+    large = table_of(pairs.groupBy(image).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PAIRS).select(image))
+    some = not large.isEmpty()
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = (pairs.join(large, image, "left_anti") if some else pairs).repartition(n, image).sortWithinPartitions(image)
+    total = few.select(image, "g", "p", "iou").mapInArrow(totals_in_order, StructType([pairs.schema[image], StructField("s", DoubleType())]))
+    if some:
+        node = lambda s: F.concat(F.col(image).cast("string"), F.lit(f" {s} "), F.col(s).cast("string"))
+        many = pairs.join(large, image, "left_semi").withColumns({"a": node("g"), "b": node("p")})
+        label = components(many.select("a", "b"))
+        own = many.join(label, many["a"] == label["id"]).groupBy(image, "component").agg(F.collect_list(F.struct("g", "p", "iou")).alias("m"))
+        total = total.union(own.select(image, component_total("m").alias("s")).groupBy(image).agg(F.sum("s").alias("s")))
+    total = total.withColumnRenamed("s", "match_sum")
     n = (gt.select(image, F.lit(1).alias("g"), F.lit(0).alias("p")).union(pred.select(image, F.lit(0), F.lit(1)))
          .groupBy(image).agg(F.sum("g").alias("n_gt"), F.sum("p").alias("n_pred")))
     return n.join(total, image, "left").select(image, "n_gt", "n_pred", F.coalesce("match_sum", F.lit(0.0)).alias("match_sum"))
