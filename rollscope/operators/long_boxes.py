@@ -21,17 +21,111 @@ from ..functions.matching import batch_assignment
 from .graph import components, table_of
 
 GRID = 64            # cells across an image: a box lies in 65 x 65 at most
+BOXES = 1 << 15      # boxes of an image that one task takes whole
+CELLS = 8            # cells that a box lies in, on average, where a task has the whole image
+BLOCK = 1 << 20      # candidates that are compared at once
 PAIRS = 1 << 17      # overlapping pairs of an image that one task takes whole
 
 
+def by_image(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Tables of whole images, of ``rows`` rows or little more, from rows that come image by image (the first column)."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        held = t if held is None else pa.concat_tables([held, t])
+        if held.num_rows < rows:
+            continue
+        i = held.column(0).combine_chunks().dictionary_encode().indices.to_numpy()
+        cut = int(np.searchsorted(i, i[-1]))          # the last image may go on
+        if cut:
+            yield held.slice(0, cut)
+            held = held.slice(cut)
+    if held is not None:
+        yield held
+
+
+def pairs_in_order(grid: int):
+    """(i, g, p, iou) of the overlapping pairs, from rows (i, of_g, g, p, x1, y1, x2, y2) that come image by image."""
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        i, g, p = (t.column(c).combine_chunks() for c in (0, 2, 3))
+        image = i.dictionary_encode().indices.to_numpy().astype(np.int64)
+        of_g = t.column(1).to_numpy()
+        x1, y1, x2, y2 = (t.column(c).to_numpy() for c in range(4, 8))
+        area = (x2 - x1) * (y2 - y1)
+        starts = np.flatnonzero(np.diff(image, prepend=-1))
+        x0, y0 = np.minimum.reduceat(x1, starts), np.minimum.reduceat(y1, starts)
+        w = np.maximum(np.maximum(np.maximum.reduceat(x2, starts) - x0, np.maximum.reduceat(y2, starts) - y0), 1e-9)
+        n = grid
+        while True:                                   # wide boxes: fewer cells
+            ax, bx = (np.floor((v - x0[image]) * n / w[image]).astype(np.int64) for v in (x1, x2))
+            ay, by = (np.floor((v - y0[image]) * n / w[image]).astype(np.int64) for v in (y1, y2))
+            ny = by - ay + 1
+            count = (bx - ax + 1) * ny
+            if n == 1 or count.sum() <= CELLS * len(image):
+                break
+            n //= 2
+        row = np.repeat(np.arange(len(image)), count)
+        off = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        cx, cy = ax[row] + off // ny[row], ay[row] + off % ny[row]
+        key = (image[row] * (n + 1) + cx) * (n + 1) + cy
+        left, right = np.flatnonzero(of_g[row]), np.flatnonzero(~of_g[row])
+        right = right[np.argsort(key[right], kind="stable")]
+        low = np.searchsorted(key[right], key[left], "left")
+        met = np.searchsorted(key[right], key[left], "right") - low
+        ends = np.cumsum(met)
+        s = 0
+        while s < len(left):
+            done = ends[s - 1] if s else 0
+            e = max(s + 1, int(np.searchsorted(ends, done + BLOCK, "right")))
+            a = np.repeat(np.arange(s, e), met[s:e])
+            c = right[low[a] + np.arange(len(a)) - (ends - met)[a] + done]
+            a, s = left[a], e
+            u, v = row[a], row[c]
+            xa, ya, xb, yb = np.maximum(x1[u], x1[v]), np.maximum(y1[u], y1[v]), np.minimum(x2[u], x2[v]), np.minimum(y2[u], y2[v])
+            # the cell where the overlap begins
+            ok = (cx[a] == np.maximum(ax[u], ax[v])) & (cy[a] == np.maximum(ay[u], ay[v])) & (xb > xa) & (yb > ya)
+            u, v = u[ok], v[ok]
+            inter = ((xb - xa) * (yb - ya))[ok]
+            union = area[u] + area[v] - inter
+            iou = np.divide(inter, union, out=np.zeros(len(u)), where=union > 0)
+            u, v, iou = u[iou > 0], v[iou > 0], iou[iou > 0]
+            if len(u):
+                yield pa.RecordBatch.from_arrays([i.take(pa.array(u)), g.take(pa.array(u)), p.take(pa.array(v)), pa.array(iou)], ["i", "g", "p", "iou"])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_image(batches, BOXES):
+            yield from pairs(t)
+    return go
+
+
 def overlapping_pairs(gt: DataFrame, pred: DataFrame, image: str = "image_id", box: str = "box_no", grid: int = GRID) -> DataFrame:
     """X8 in long form: (image, g, p, iou) of all pairs of boxes of an image whose IoU is above 0.
 
     ``gt`` and ``pred`` are (image, box, x1, y1, x2, y2), a row a box.  The cell size is the image's
     extent over ``grid``.  A pair is kept in the one cell that holds the corner where its overlap
-    begins, so none comes twice and nothing is removed afterwards."""
+    begins, so none comes twice and nothing is removed afterwards.  An image of at most ``BOXES`` boxes is one task's: its boxes
+    meet there, after one exchange.  The boxes of a larger one are dealt by cells."""
+    spark = gt.sparkSession
     side = lambda d, s: d.select(F.col(image).alias("i"), F.col(box).alias(s), B.box(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")]).alias(f"{s}b"))
     g, p = side(gt, "g"), side(pred, "p")
+    large = table_of(g.select("i").union(p.select("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BOXES).select("i"))
+    some = not large.isEmpty()
+    kinds = {s: d.schema[s].dataType for d, s in ((g, "g"), (p, "p"))}
+    flat = lambda d, s: d.where(F.col("i").isNotNull() & (F.col(f"{s}b.x2") > F.col(f"{s}b.x1")) & (F.col(f"{s}b.y2") > F.col(f"{s}b.y1"))).select(
+        "i", F.lit(s == "g").alias("of_g"), *[F.col(c) if c == s else F.lit(None).cast(kinds[c]).alias(c) for c in "gp"], f"{s}b.*")
+    few = flat(g, "g").union(flat(p, "p"))
+    few = few.join(large, "i", "left_anti").select(few.columns) if some else few
+    few = few.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "i").sortWithinPartitions("i")
+    schema = StructType([StructField("i", g.schema["i"].dataType), *[StructField(s, kinds[s]) for s in "gp"], StructField("iou", DoubleType())])
+    out = few.mapInArrow(pairs_in_order(grid), schema)
+    if some:
+        out = out.union(_pairs_by_cells(g.join(large, "i", "left_semi"), p.join(large, "i", "left_semi"), grid))
+    return out.withColumnRenamed("i", image)
+
+
+def _pairs_by_cells(g: DataFrame, p: DataFrame, grid: int) -> DataFrame:
     each = g.select("i", F.col("gb").alias("b")).union(p.select("i", F.col("pb").alias("b")))
     size = each.groupBy("i").agg(F.min("b.x1").alias("x0"), F.min("b.y1").alias("y0"),
                                  F.greatest(F.max("b.x2") - F.min("b.x1"), F.max("b.y2") - F.min("b.y1"), F.lit(1e-9)).alias("w"))
@@ -47,7 +141,7 @@ def overlapping_pairs(gt: DataFrame, pred: DataFrame, image: str = "image_id", b
 
     # the larger of two first cells is the cell of the larger corner
     met = in_cells(g, "g").join(in_cells(p, "p"), ["i", "cx", "cy"]).where("(gx or px) and (gy or py)")
-    return met.select(F.col("i").alias(image), "g", "p", B.iou("gb", "pb", "a").alias("iou")).where("iou > 0")
+    return met.select("i", "g", "p", B.iou("gb", "pb", "a").alias("iou")).where("iou > 0")
 
 
 @F.pandas_udf(DoubleType())
@@ -119,21 +213,8 @@ def totals_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         num = [x.indices.to_numpy().astype(np.int64) for x in code]
         return pa.RecordBatch.from_arrays([code[0].dictionary, pa.array(image_totals(*num, t.column(3).to_numpy()))], [t.column_names[0], "s"])
 
-    held = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([b])
-        held = t if held is None else pa.concat_tables([held, t])
-        if held.num_rows < PAIRS:
-            continue
-        i = held.column(0).combine_chunks().dictionary_encode().indices.to_numpy()
-        cut = int(np.searchsorted(i, i[-1]))          # the last image may go on
-        if cut:
-            yield solved(held.slice(0, cut))
-            held = held.slice(cut)
-    if held is not None:
-        yield solved(held)
+    for t in by_image(batches, PAIRS):
+        yield solved(t)
 
 
 def match_long(gt: DataFrame, pred: DataFrame, image: str = "image_id", box: str = "box_no", grid: int = GRID) -> DataFrame:
